@@ -13,6 +13,7 @@ from tidemark.operators.series import run_summary, window_summary
 from tidemark.operators.trace import replay_totals, trace_rows
 from tidemark.operators.window_metrics import window_firing, window_metrics
 from tidemark.operators.windows import WindowSpec
+from tidemark.session import materialize
 
 RUN = ["window_type", "lag_ms"]
 
@@ -25,7 +26,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def sweep_totals(scan: DataFrame, sweep: Sweep, **options) -> DataFrame:
     """Trace totals of every (window type, lag) from one scan of the log."""
-    return _union([replay_totals(scan, spec, lags, **options) for spec, lags in sweep])
+    totals = _union([replay_totals(scan, spec, lags, **options) for spec, lags in sweep])
+    return materialize(totals, "trace-totals")
 
 
 def sweep_trace(scan: DataFrame, sweep: Sweep, lanes: int, **options) -> DataFrame:

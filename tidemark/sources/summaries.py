@@ -41,8 +41,8 @@ def parse_window_summaries(texts: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str, file_name: str) -> DataFrame:
     """Whole texts ``folder/<run>/file_name`` with the run taken from the folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    texts = reader.option("pathGlobFilter", file_name).text(folder)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
+    texts = reader.text(folder, wholetext=True)
     return texts.selectExpr("element_at(split(_metadata.file_path, '/'), -2) as run_id", "value")
 
 

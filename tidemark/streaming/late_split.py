@@ -96,14 +96,15 @@ class LateSplit:
         return "cast(null as bigint)" if value is None else f"{value}L"
 
     def _all(self, spark: SparkSession, kind: str) -> DataFrame:
-        return spark.read.option("basePath", f"{self.root}/{kind}").parquet(f"{self.root}/{kind}")
+        return spark.read.parquet(f"{self.root}/{kind}")
 
     def late(self, spark: SparkSession) -> DataFrame:
         return self._all(spark, "late")
 
     def metrics(self, spark: SparkSession) -> DataFrame:
         """Metric rows of all windows closed so far, with the watermark that closed them."""
-        windows = self._all(spark, "windows").where("closed").drop("closed")
+        everything = spark.read.schema(PARTIALS + ", batch_id BIGINT, closed BOOLEAN")
+        windows = everything.parquet(f"{self.root}/windows").where("closed").drop("closed")
         steps = self._all(spark, "watermark").selectExpr(
             "batch_id", f"seen_ts - {self.lag_ms} - 1 as current_wm"
         )

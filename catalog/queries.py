@@ -13,11 +13,11 @@ from catalog.settings import (
 from tidemark.functions.messages import late_message, window_message
 from tidemark.functions.naming import lag_seconds, run_name, window_kind
 from tidemark.functions.parse import format_line, lane_key, parse_lines, parse_rejects
-from tidemark.operators import calibrate, delay, disorder, series
+from tidemark.operators import calibrate, delay, disorder, series, trace
 from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, watermark
 from tidemark.operators.lateness import drop_rates, late_events, partial_misses
-from tidemark.operators.trace import trace_totals
-from tidemark.operators.window_metrics import id_gaps, window_counts
+from tidemark.operators.window_metrics import id_gaps, window_counts, window_metrics
+from tidemark.operators.window_metrics import window_firing as firing_times
 from tidemark.operators.windows import sliding, tumbling
 from tidemark.plans import tradeoff
 from tidemark.session import materialize, prepare, scratch_path
@@ -236,12 +236,12 @@ METRIC_COLUMNS = [
 
 @query
 def tumbling_window_metrics(spark, sf_dir):
-    return tradeoff.sweep_metrics(scan(spark, sf_dir), SWEEP[:1], LANES).select(*METRIC_COLUMNS)
+    return window_metrics(scan(spark, sf_dir), SWEEP[:1], LANES).select(*METRIC_COLUMNS)
 
 
 @query
 def sliding_window_metrics(spark, sf_dir):
-    return tradeoff.sweep_metrics(scan(spark, sf_dir), SWEEP[1:], LANES).select(*METRIC_COLUMNS)
+    return window_metrics(scan(spark, sf_dir), SWEEP[1:], LANES).select(*METRIC_COLUMNS)
 
 
 @query
@@ -272,20 +272,20 @@ def partial_miss_sliding(spark, sf_dir):
 
 @query
 def window_firing(spark, sf_dir):
-    rows = tradeoff.sweep_firing(scan(spark, sf_dir), SWEEP)
+    rows = firing_times(scan(spark, sf_dir), SWEEP)
     times = ["coalesce(trigger_ts, -1L) as trigger_ts", "coalesce(current_wm, -1L) as current_wm"]
     return rows.selectExpr(*RUN, "window_end", "trigger_ts is null as pending", *times)
 
 
 @query
 def window_firing_flushed(spark, sf_dir):
-    rows = tradeoff.sweep_firing(scan(spark, sf_dir), SWEEP, flush=True)
+    rows = firing_times(scan(spark, sf_dir), SWEEP, flush=True)
     return rows.select(*RUN, "window_end", "trigger_ts", "current_wm")
 
 
 @query
 def window_messages(spark, sf_dir):
-    rows = tradeoff.sweep_metrics(scan(spark, sf_dir), [(spec, [LAG]) for spec, _ in SWEEP], LANES)
+    rows = window_metrics(scan(spark, sf_dir), [(spec, [LAG]) for spec, _ in SWEEP], LANES)
     text = window_message("task_id", "window_type", "window_end", "current_wm", "count_actual")
     return rows.selectExpr("window_type", "task_id", "window_end", f"{text} as message")
 
@@ -296,12 +296,17 @@ def late_messages(spark, sf_dir):
     return rows.selectExpr("log_id", f"{late_message(f'pmod(log_id, {LANES})', 'log_id')} as message")
 
 
+def _replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Window metrics and trace totals of the whole sweep."""
+    return tradeoff.replay_sweep(scan(spark, sf_dir), SWEEP, LANES)
+
+
 # --- traces, series, summaries ---------------------------------------------------
 
 
 @query
 def trace_rows(spark, sf_dir):
-    return tradeoff.sweep_trace(scan(spark, sf_dir, extra=("content",)), SWEEP, LANES)
+    return trace.trace_rows(scan(spark, sf_dir, extra=("content",)), SWEEP, LANES)
 
 
 @query
@@ -312,25 +317,24 @@ def lag_sweep(spark, sf_dir):
 
 @query
 def per_second_series(spark, sf_dir):
-    rows = series.run_series(tradeoff.sweep_totals(scan(spark, sf_dir), SWEEP), RUN, CUTOFF_S, HOUR)
+    rows = series.run_series(_replay(spark, sf_dir)[1], RUN, CUTOFF_S, HOUR)
     return rounded(rows, "throughput", "processed_count", "drop_rate", "avg_delay_processed")
 
 
 @query
 def run_summary(spark, sf_dir):
-    rows = series.run_summary(tradeoff.sweep_totals(scan(spark, sf_dir), SWEEP), RUN, CUTOFF_S, HOUR)
+    rows = series.run_summary(_replay(spark, sf_dir)[1], RUN, CUTOFF_S, HOUR)
     return rounded(rows, "drop_rate", "avg_latency_s")
 
 
 @query
 def trigger_latency_summary(spark, sf_dir):
-    rows = series.window_summary(tradeoff.sweep_metrics(scan(spark, sf_dir), SWEEP, LANES), RUN, CUTOFF_S, HOUR)
+    rows = series.window_summary(window_metrics(scan(spark, sf_dir), SWEEP, LANES), RUN, CUTOFF_S, HOUR)
     return rounded(rows, "avg_trigger_delay_s")
 
 
 def _tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan(spark, sf_dir)
-    totals, metrics = tradeoff.sweep_totals(rows, SWEEP), tradeoff.sweep_metrics(rows, SWEEP, LANES)
+    metrics, totals = _replay(spark, sf_dir)
     return tradeoff.tradeoff_table(totals, metrics, RUN, CUTOFF_S, HOUR)
 
 
@@ -355,15 +359,15 @@ SKEW = "task_id * 900000 - 400000"
 @query
 def calibrate_trace(spark, sf_dir):
     """Trace whose tasks have different clock offsets, calibrated per task."""
-    trace = tradeoff.sweep_trace(scan(spark, sf_dir), SWEEP[:1], LANES)
-    skewed = materialize(trace.withColumn("sys_ts", F.expr(f"sys_ts + {SKEW}")), "trace")
+    rows = trace.trace_rows(scan(spark, sf_dir), SWEEP[:1], LANES)
+    skewed = materialize(rows.withColumn("sys_ts", F.expr(f"sys_ts + {SKEW}")), "trace")
     rows = calibrate.calibrate(skewed, FILE, **CALIBRATION)
     return rows.select(*FILE, "sys_ts", "event_ts", "log_id", "status", "window_end")
 
 
 @query
 def calibrate_metrics(spark, sf_dir):
-    metrics = tradeoff.sweep_metrics(scan(spark, sf_dir), SWEEP, LANES)
+    metrics = window_metrics(scan(spark, sf_dir), SWEEP, LANES)
     skewed = materialize(metrics.withColumn("trigger_ts", F.expr(f"trigger_ts + {SKEW}")), "metrics")
     rows = calibrate.calibrate(skewed, FILE, **CALIBRATION)
     return rows.select(*FILE, "window_end", "trigger_ts", "count_actual", "lag_system")
@@ -371,7 +375,7 @@ def calibrate_metrics(spark, sf_dir):
 
 @query
 def clock_offsets(spark, sf_dir):
-    metrics = tradeoff.sweep_metrics(scan(spark, sf_dir), SWEEP, LANES)
+    metrics = window_metrics(scan(spark, sf_dir), SWEEP, LANES)
     skewed = metrics.withColumn("trigger_ts", F.expr(f"trigger_ts + {SKEW}"))
     return calibrate.clock_offsets(skewed, FILE, "trigger_ts", **CALIBRATION)
 
@@ -391,14 +395,14 @@ def _named(rows: DataFrame) -> DataFrame:
 def stored_traces(spark, sf_dir):
     """Trace files written per run, read back, condensed and summarised."""
     folder = scratch_path(spark, "traces")
-    trace = tradeoff.sweep_trace(scan(spark, sf_dir, extra=("content",)), SWEEP, LANES)
-    sinks.write_trace(_named(trace), folder, ["run_id"], fmt="csv")
+    rows = trace.trace_rows(scan(spark, sf_dir, extra=("content",)), SWEEP, LANES)
+    sinks.write_trace(_named(rows), folder, ["run_id"], fmt="csv")
     back = spark.read.option("header", True).schema(
         "task_id INT, sys_ts BIGINT, event_ts BIGINT, log_id BIGINT, content STRING, status STRING, "
         "window_end BIGINT, run_id STRING"
     )
     rows = run_files.select_run(back.csv(folder))
-    totals = materialize(trace_totals(rows, ["run_id"]), "trace-totals")
+    totals = materialize(trace.trace_totals(rows, ["run_id"]), "trace-totals")
     return rounded(series.run_summary(totals, ["run_id"], CUTOFF_S, HOUR), "drop_rate", "avg_latency_s")
 
 
@@ -416,8 +420,7 @@ def run_names(spark, sf_dir):
 def summary_texts(spark, sf_dir):
     """Summary texts written out, parsed again and joined to the trade-off table."""
     folder = scratch_path(spark, "summaries")
-    rows = scan(spark, sf_dir)
-    totals, metrics = tradeoff.sweep_totals(rows, SWEEP), tradeoff.sweep_metrics(rows, SWEEP, LANES)
+    metrics, totals = _replay(spark, sf_dir)
     traces = _named(series.run_summary(totals, RUN, CUTOFF_S, HOUR))
     windows = _named(series.window_summary(metrics, RUN, CUTOFF_S, HOUR))
     windows = windows.withColumn("run_id", F.regexp_replace("run_id", "all-data-trace", "window_Tumbling"))

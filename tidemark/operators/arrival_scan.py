@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import lookup_join, materialize
+from tidemark.session import lookup_join, materialize, materialize_observed
 
 ORDER = ["arrival_ts", "log_id", "event_ts"]
 ROWS_PER_BUCKET = 1_000_000
@@ -91,21 +91,27 @@ def arrival_scan(
         bucket_ms = time_bucket_width(rows, rows_per_bucket)
     timed = rows.withColumn("bucket", F.expr(f"arrival_ts div {bucket_ms}"))
     counted = timed.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.max("event_ts").alias("top_0"))
-    histogram = materialize(counted, "arrival-histogram")
-    fullest, n_buckets = histogram.agg(F.expr("coalesce(max(n), 0)"), F.count("*")).first()
-    balanced = fullest <= hot_rows
+    histogram, found = materialize_observed(
+        counted,
+        "arrival-histogram",
+        F.expr("coalesce(max(n), 0L) as fullest"),
+        F.expr("count(1) as buckets"),
+    )
+    balanced = found["fullest"] <= hot_rows
 
     if balanced and lanes == 1:
         # The histogram already holds all that is carried over.
         scanned = _bucket_scan(timed, by, 1)
-        carried = _carry(histogram, by, 1)
+        carried, n_buckets = _carry(histogram, by, 1), found["buckets"]
     else:
         scanned = _bucket_scan(timed if balanced else range_buckets(rows, by), by, lanes)
         scanned = materialize(scanned, "arrival-scan")
         tops = [F.max(f"top_{r}").alias(f"top_{r}") for r in range(lanes)]
         summary = scanned.groupBy(*by, "bucket").agg(F.count("*").alias("n"), *tops)
-        carried = _carry(summary, by, lanes)
-        n_buckets = n_buckets if balanced else None
+        carried, found = materialize_observed(
+            _carry(summary, by, lanes), "arrival-carry", F.expr("count(1) as buckets")
+        )
+        n_buckets = found["buckets"]
 
     joined = lookup_join(scanned, carried, [*by, "bucket"], right_rows=n_buckets)
     tops = [f"greatest(top_{r}, carry_{r})" for r in range(lanes)]

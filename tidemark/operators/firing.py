@@ -15,37 +15,36 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arith import floor_div
 from tidemark.operators.prefix import BLOCK, min_at_or_after
-from tidemark.operators.windows import WindowSpec
+from tidemark.operators.windows import Sweep, WindowSpec
 from tidemark.session import lookup_join, materialize
 
 END_OF_TIME = 2**63 - 1
 
+Grid = tuple[int, int]
 
-def slot_grids(spec: WindowSpec, lags_ms: list[int]) -> list[tuple[int, int]]:
-    """Grids ``(step, offset)`` on which every threshold ``end + lag`` is a slot border.
 
-    One fine grid if the lags share a large enough divisor, otherwise one grid of
-    slide steps for each distinct remainder.
+def _own_grid(spec: WindowSpec, lag: int) -> Grid:
+    """Step and offset of the thresholds ``window_end + lag`` of one replay."""
+    return spec.slide_ms, (spec.size_ms + lag) % spec.slide_ms
+
+
+def slot_grids(sweep: Sweep) -> list[Grid]:
+    """Grids on which every threshold of the sweep is a slot border.
+
+    One grid with a common step if that gives no more slots than separate grids,
+    otherwise one grid for each slide and remainder.
     """
-    offsets = sorted({(spec.size_ms + lag) % spec.slide_ms for lag in lags_ms})
-    step = math.gcd(spec.slide_ms, *offsets)
-    if spec.slide_ms // step <= len(offsets):
-        return [(step, 0)]
-    return [(spec.slide_ms, offset) for offset in offsets]
+    grids = sorted({_own_grid(spec, lag) for spec, lags in sweep for lag in lags})
+    step = math.gcd(*[part for grid in grids for part in grid])
+    return [(step, 0)] if sum(step / slide for slide, _ in grids) >= 1 else grids
 
 
-def _slot(grid: tuple[int, int], value: str) -> str:
+def _slot(grid: Grid, value: str) -> str:
     step, offset = grid
     return floor_div(f"({value} - {offset})", step)
 
 
-def _grid_of(grids: list[tuple[int, int]], spec: WindowSpec, lag: int) -> int:
-    if len(grids) == 1:
-        return 0
-    return grids.index((spec.slide_ms, (spec.size_ms + lag) % spec.slide_ms))
-
-
-def watermark_steps(scan: DataFrame, grids: list[tuple[int, int]], by: list[str]) -> DataFrame:
+def watermark_steps(scan: DataFrame, grids: list[Grid], by: list[str]) -> DataFrame:
     """Per slot of ``seen_ts``: arrival time and ``seen_ts`` of the first row in it."""
     rows = scan.where("seen_ts is not null")
     if len(grids) == 1:
@@ -62,21 +61,20 @@ def watermark_steps(scan: DataFrame, grids: list[tuple[int, int]], by: list[str]
 def attach_firing(
     windows: DataFrame,
     scan: DataFrame,
-    spec: WindowSpec,
-    lags_ms: list[int],
+    sweep: Sweep,
     by: tuple[str, ...] = (),
     flush: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add ``trigger_ts`` and ``current_wm`` to rows with ``lag_ms, window_end``.
+    """Add ``trigger_ts`` and ``current_wm`` to rows with ``window_type, lag_ms, window_end``.
 
     Windows the log never closes keep nulls there; ``flush`` fires them with the
     last arrival and the final watermark instead.
     """
     by = list(by)
-    grids = slot_grids(spec, lags_ms)
+    grids = slot_grids(sweep)
     steps = materialize(watermark_steps(scan, grids, by), "watermark-steps")
-    windows = materialize(_with_slot(windows, spec, lags_ms, grids), "windows")
+    windows = materialize(_with_slot(windows, sweep, grids), "windows")
     fired = min_at_or_after(windows, steps, [*by, "grid"], "slot", ["trigger_ts", "fired_seen_ts"], block)
     fired = fired.withColumn("current_wm", F.expr("fired_seen_ts - lag_ms - 1"))
     if flush:
@@ -84,15 +82,18 @@ def attach_firing(
     return fired.drop("grid", "slot", "fired_seen_ts")
 
 
-def _with_slot(
-    windows: DataFrame, spec: WindowSpec, lags_ms: list[int], grids: list[tuple[int, int]]
-) -> DataFrame:
+def _with_slot(windows: DataFrame, sweep: Sweep, grids: list[Grid]) -> DataFrame:
     """Grid and slot of the threshold ``window_end + lag``."""
-    numbers = {lag: _grid_of(grids, spec, lag) for lag in lags_ms}
-    grid = " ".join(f"when {lag} then {g}" for lag, g in numbers.items())
-    windows = windows.withColumn("grid", F.expr(f"case lag_ms {grid} end"))
+    grid = "0"
+    if len(grids) > 1:
+        cases = [
+            f"when window_type = '{spec.kind}' and lag_ms = {lag} then {grids.index(_own_grid(spec, lag))}"
+            for spec, lags in sweep
+            for lag in lags
+        ]
+        grid = f"case {' '.join(cases)} end"
     slots = " ".join(f"when {g} then {_slot(grids[g], '(window_end + lag_ms)')}" for g in range(len(grids)))
-    return windows.withColumn("slot", F.expr(f"case grid {slots} end"))
+    return windows.withColumn("grid", F.expr(grid)).withColumn("slot", F.expr(f"case grid {slots} end"))
 
 
 def _flush(fired: DataFrame, scan: DataFrame, by: list[str]) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parse import lane_of
-from tidemark.operators.firing import attach_firing
-from tidemark.operators.lateness import closed, window_pairs, with_overrun
+from tidemark.operators.lateness import closed, window_pairs
 from tidemark.operators.prefix import BLOCK
 from tidemark.operators.window_metrics import window_firing
-from tidemark.operators.windows import WindowSpec, last_window_end
+from tidemark.operators.windows import Sweep, last_window_end
 from tidemark.session import lookup_join
 
 # Fixed values of the trace format.
@@ -19,8 +20,7 @@ NORMAL, LATE, NO_WINDOW = "NORMAL", "LATE", -1
 
 def trace_rows(
     scan: DataFrame,
-    spec: WindowSpec,
-    lags_ms: list[int],
+    sweep: Sweep,
     lanes: int,
     by: tuple[str, ...] = (),
     flush: bool = False,
@@ -31,17 +31,19 @@ def trace_rows(
     NORMAL rows carry the firing time as ``sys_ts``, LATE rows their arrival time.
     Both kinds come from the same pass over the (event, window) pairs.
     """
-    lags = ", ".join(f"{lag}L" for lag in lags_ms)
-    pairs = window_pairs(scan, spec).selectExpr("*", f"explode(array({lags})) as lag_ms")
-    pairs = pairs.where(f"not {closed('lag_ms')} or window_end = {last_window_end(spec)}")
-    pairs = pairs.withColumn("late", F.expr(closed("lag_ms"))).drop("overrun")
-
-    firing = window_firing(scan, spec, lags_ms, by, flush, block)
-    firing = firing.where("trigger_ts is not null").drop("window_type", "current_wm")
-    joined = lookup_join(pairs, firing, [*by, "lag_ms", "window_end"], how="left")
+    parts = []
+    for spec, lags in sweep:
+        each = f"explode(array({', '.join(f'{lag}L' for lag in lags)})) as lag_ms"
+        pairs = window_pairs(scan, spec).selectExpr("*", f"'{spec.kind}' as window_type", each)
+        pairs = pairs.where(f"not {closed('lag_ms')} or window_end = {last_window_end(spec)}")
+        parts.append(pairs.withColumn("late", F.expr(closed("lag_ms"))).drop("overrun"))
+    pairs = reduce(DataFrame.unionByName, parts)
+
+    firing = window_firing(scan, sweep, by, flush, block).where("trigger_ts is not null").drop("current_wm")
+    joined = lookup_join(pairs, firing, [*by, "window_type", "lag_ms", "window_end"], how="left")
     return joined.where("late or trigger_ts is not null").selectExpr(
         *by,
-        f"'{spec.kind}' as window_type",
+        "window_type",
         "lag_ms",
         f"{lane_of('log_id', lanes)} as task_id",
         "if(late, arrival_ts, trigger_ts) as sys_ts",
@@ -53,57 +55,39 @@ def trace_rows(
     )
 
 
-def trace_totals(trace: DataFrame, by: list[str]) -> DataFrame:
+def trace_totals(trace: DataFrame, run: list[str]) -> DataFrame:
     """A trace condensed to one row per ``sys_ts``: all that series and summaries need."""
-    return trace.groupBy(*by, "sys_ts").agg(
+    return trace.groupBy(*run, "sys_ts").agg(
         F.expr(f"count_if(status <> '{LATE}') as processed"),
         F.expr(f"count_if(status = '{LATE}') as late"),
         F.expr(f"coalesce(sum(case when status <> '{LATE}' then sys_ts - event_ts end), 0L) as delay_ms"),
     )
 
 
-def replay_totals(
-    scan: DataFrame,
-    spec: WindowSpec,
-    lags_ms: list[int],
-    by: tuple[str, ...] = (),
-    flush: bool = False,
-    block: int = BLOCK,
-) -> DataFrame:
-    """``trace_totals`` of a replay without writing out the trace rows.
+def replay_totals(scan: DataFrame, metrics: DataFrame, sweep: Sweep, by: tuple[str, ...] = ()) -> DataFrame:
+    """``trace_totals`` of a replay from its window metrics, without the trace rows.
 
-    Accepted pairs are aggregated per window before the firing time is looked up,
-    late events per arrival time, so nothing is joined at row level.
+    Accepted events come from the metrics (already combined per window), late
+    events are counted per arrival time, so nothing is joined at row level.
     """
-    numbered = list(enumerate(lags_ms))
-    sums = []
-    for k, lag in numbered:
-        accepted = f"not {closed(lag)}"
-        # Sum the distance to the window end: it stays small, unlike epoch times.
-        sums += [
-            f"count_if({accepted}) as n_{k}",
-            f"sum(case when {accepted} then window_end - event_ts end) as wait_{k}",
-        ]
-    flat = [f"named_struct('lag_ms', {lag}L, 'processed', n_{k}, 'wait_ms', wait_{k})" for k, lag in numbered]
-    windows = window_pairs(scan, spec).groupBy(*by, "window_end").agg(*[F.expr(x) for x in sums])
-    windows = windows.selectExpr(*by, "window_end", f"inline(array({', '.join(flat)}))").where("processed > 0")
-    fired = attach_firing(windows, scan, spec, lags_ms, by, flush, block).where("trigger_ts is not null")
-    normal = fired.selectExpr(
-        *by,
-        "lag_ms",
-        "trigger_ts as sys_ts",
-        "processed",
-        "0L as late",
-        "wait_ms + processed * (trigger_ts - window_end) as delay_ms",
-    )
+    run = [*by, "window_type", "lag_ms"]
+    delay = "sum(wait_ms + count_actual * (sys_ts - window_end)) as delay_ms"
+    normal = metrics.withColumnRenamed("trigger_ts", "sys_ts").groupBy(*run, "sys_ts")
+    normal = normal.agg(F.expr("sum(count_actual) as processed"), F.expr(delay))
+    normal = normal.selectExpr(*run, "sys_ts", "processed", "0L as late", "delay_ms")
 
-    # Events late for the smallest lag include those late for any other.
-    late = with_overrun(scan, spec, [*by, "arrival_ts as sys_ts"]).where(f"overrun >= {min(lags_ms)}")
-    late = late.groupBy(*by, "sys_ts").agg(*[F.expr(f"count_if(overrun >= {lag}) as late_{k}") for k, lag in numbered])
-    flat = [f"named_struct('lag_ms', {lag}L, 'late', late_{k})" for k, lag in numbered]
+    overruns, candidates, sums, flat = [], [], [], []
+    for s, (spec, lags) in enumerate(sweep):
+        overruns.append(f"seen_ts - {last_window_end(spec)} as overrun_{s}")
+        # Events late for the smallest lag include those late for any other.
+        candidates.append(f"overrun_{s} >= {min(lags)}")
+        for k, lag in enumerate(lags):
+            sums.append(f"count_if(overrun_{s} >= {lag}) as late_{s}_{k}")
+            flat.append(f"named_struct('window_type', '{spec.kind}', 'lag_ms', {lag}L, 'late', late_{s}_{k})")
+    late = scan.where("event_ts is not null").selectExpr(*by, "arrival_ts as sys_ts", *overruns)
+    late = late.where(" or ".join(candidates)).groupBy(*by, "sys_ts").agg(*[F.expr(x) for x in sums])
     late = late.selectExpr(*by, "sys_ts", f"inline(array({', '.join(flat)}))").where("late > 0")
-    late = late.selectExpr(*by, "lag_ms", "sys_ts", "0L as processed", "late", "0L as delay_ms")
+    late = late.selectExpr(*run, "sys_ts", "0L as processed", "late", "0L as delay_ms")
 
-    both = normal.unionByName(late).groupBy(*by, "lag_ms", "sys_ts")
-    both = both.agg(*[F.sum(c).alias(c) for c in ("processed", "late", "delay_ms")])
-    return both.withColumn("window_type", F.lit(spec.kind))
+    both = normal.unionByName(late).groupBy(*run, "sys_ts")
+    return both.agg(*[F.sum(c).alias(c) for c in ("processed", "late", "delay_ms")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,36 +11,45 @@ from tidemark.functions.parse import lane_key, lane_of
 from tidemark.operators.firing import attach_firing
 from tidemark.operators.lateness import closed, window_pairs
 from tidemark.operators.prefix import BLOCK
-from tidemark.operators.windows import WindowSpec, assign_windows
+from tidemark.operators.windows import Sweep, WindowSpec, assign_windows
 
 
 def window_counts(
     scan: DataFrame, spec: WindowSpec, lags_ms: list[int], lanes: int, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Count, lowest and highest id of the accepted events per (key, window, lag).
+    """Accepted events per (key, window, lag): count, lowest and highest id, waiting time.
 
     All lags are conditional aggregates of the same rows, combined before the
     shuffle, so neither a hot window nor the number of lags multiplies the data.
+    ``wait_ms`` sums the distance to the window end, which stays small, unlike
+    epoch times.
     """
     keys = [*by, "task_id", "window_end"]
     rows = window_pairs(scan, spec).selectExpr(
-        *by, f"{lane_of('log_id', lanes)} as task_id", "window_end", "overrun", "log_id"
+        *by,
+        f"{lane_of('log_id', lanes)} as task_id",
+        "window_end",
+        "log_id",
+        "window_end - event_ts as wait",
+        "coalesce(overrun, -9223372036854775808L) as overrun",
     )
     aggregates, per_lag = [], []
     for k, lag in enumerate(lags_ms):
-        accepted = f"not {closed(lag)}"
+        accepted = f"overrun < {lag}"
         aggregates += [
             f"count_if({accepted}) as n_{k}",
             f"min(case when {accepted} then log_id end) as min_{k}",
             f"max(case when {accepted} then log_id end) as max_{k}",
+            f"sum(case when {accepted} then wait end) as wait_{k}",
         ]
         per_lag.append(
-            f"named_struct('lag_ms', {lag}L, 'count_actual', n_{k}, 'min_id', min_{k}, 'max_id', max_{k})"
+            f"named_struct('lag_ms', {lag}L, 'count_actual', n_{k}, 'min_id', min_{k}, 'max_id', max_{k}, "
+            f"'wait_ms', wait_{k})"
         )
     grouped = rows.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
     flat = grouped.selectExpr(*keys, f"inline(array({', '.join(per_lag)}))").where("count_actual > 0")
     # The key is a function of the task, so it need not be grouped by.
-    return flat.withColumn("key", F.expr(lane_key("task_id", lanes)))
+    return flat.selectExpr("*", f"{lane_key('task_id', lanes)} as key", f"'{spec.kind}' as window_type")
 
 
 def id_gaps(metrics: DataFrame, lanes: int) -> DataFrame:
@@ -58,31 +69,25 @@ def id_gaps(metrics: DataFrame, lanes: int) -> DataFrame:
 
 def window_metrics(
     scan: DataFrame,
-    spec: WindowSpec,
-    lags_ms: list[int],
+    sweep: Sweep,
     lanes: int,
     by: tuple[str, ...] = (),
     flush: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One metric row per (key, window) that fires, for every lag."""
-    counts = window_counts(scan, spec, lags_ms, lanes, by)
-    fired = attach_firing(counts, scan, spec, lags_ms, by, flush, block)
-    rows = id_gaps(fired.where("trigger_ts is not null"), lanes)
-    return rows.selectExpr("*", "trigger_ts - window_end as lag_system", f"'{spec.kind}' as window_type")
+    """One metric row per (key, window) that fires, for every window type and lag."""
+    counts = reduce(DataFrame.unionByName, [window_counts(scan, spec, lags, lanes, by) for spec, lags in sweep])
+    fired = attach_firing(counts, scan, sweep, by, flush, block).where("trigger_ts is not null")
+    return id_gaps(fired, lanes).withColumn("lag_system", F.expr("trigger_ts - window_end"))
 
 
 def window_firing(
-    scan: DataFrame,
-    spec: WindowSpec,
-    lags_ms: list[int],
-    by: tuple[str, ...] = (),
-    flush: bool = False,
-    block: int = BLOCK,
+    scan: DataFrame, sweep: Sweep, by: tuple[str, ...] = (), flush: bool = False, block: int = BLOCK
 ) -> DataFrame:
     """Firing time of every non-empty window for every lag; nulls while pending."""
-    ends = assign_windows(scan.where("event_ts is not null"), spec).select(*by, "window_end").distinct()
-    lags = ", ".join(f"{lag}L" for lag in lags_ms)
-    windows = ends.selectExpr("*", f"explode(array({lags})) as lag_ms")
-    fired = attach_firing(windows, scan, spec, lags_ms, by, flush, block)
-    return fired.withColumn("window_type", F.lit(spec.kind))
+    parts = []
+    for spec, lags in sweep:
+        ends = assign_windows(scan.where("event_ts is not null"), spec).select(*by, "window_end").distinct()
+        each = f"explode(array({', '.join(f'{lag}L' for lag in lags)})) as lag_ms"
+        parts.append(ends.selectExpr("*", f"'{spec.kind}' as window_type", each))
+    return attach_firing(reduce(DataFrame.unionByName, parts), scan, sweep, by, flush, block)

@@ -25,6 +25,10 @@ class WindowSpec:
         return self.size_ms == self.slide_ms
 
 
+# Window types with the lags (ms) to replay each of them with.
+Sweep = list[tuple[WindowSpec, list[int]]]
+
+
 def tumbling(size_ms: int) -> WindowSpec:
     return WindowSpec("tumbling", size_ms, size_ms)
 

@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arith import in_units
 from tidemark.functions.naming import WINDOW_MARK, lag_seconds, window_kind
 from tidemark.operators.series import run_summary, window_summary
-from tidemark.operators.trace import replay_totals, trace_rows
-from tidemark.operators.window_metrics import window_firing, window_metrics
-from tidemark.operators.windows import WindowSpec
+from tidemark.operators.trace import replay_totals
+from tidemark.operators.window_metrics import window_metrics
+from tidemark.operators.windows import Sweep
 from tidemark.session import materialize
 
 RUN = ["window_type", "lag_ms"]
 
-Sweep = list[tuple[WindowSpec, list[int]]]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def sweep_totals(scan: DataFrame, sweep: Sweep, **options) -> DataFrame:
-    """Trace totals of every (window type, lag) from one scan of the log."""
-    totals = _union([replay_totals(scan, spec, lags, **options) for spec, lags in sweep])
-    return materialize(totals, "trace-totals")
-
-
-def sweep_trace(scan: DataFrame, sweep: Sweep, lanes: int, **options) -> DataFrame:
-    """Trace rows of every (window type, lag)."""
-    return _union([trace_rows(scan, spec, lags, lanes, **options) for spec, lags in sweep])
-
-
-def sweep_metrics(scan: DataFrame, sweep: Sweep, lanes: int, **options) -> DataFrame:
-    """Window metric rows of every (window type, lag)."""
-    return _union([window_metrics(scan, spec, lags, lanes, **options) for spec, lags in sweep])
-
-
-def sweep_firing(scan: DataFrame, sweep: Sweep, **options) -> DataFrame:
-    """Firing time of every window for every (window type, lag)."""
-    return _union([window_firing(scan, spec, lags, **options) for spec, lags in sweep])
+def replay_sweep(
+    scan: DataFrame, sweep: Sweep, lanes: int, by: tuple[str, ...] = (), flush: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Window metrics and trace totals of every (window type, lag) from one scan of the log."""
+    metrics = materialize(window_metrics(scan, sweep, lanes, by, flush), "window-metrics")
+    return metrics, materialize(replay_totals(scan, metrics, sweep, by), "trace-totals")
 
 
 def join_summaries(traces: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:

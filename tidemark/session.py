@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Lookup tables up to this many rows are broadcast; larger ones are joined by
@@ -53,6 +53,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_observed(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, plus aggregates of the written rows from the same job."""
+    observation = Observation()
+    table = materialize(df.observe(observation, *metrics), label)
+    return table, observation.get
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys``, nulls matching nulls, keeping the left keys."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -60,7 +74,7 @@ def lookup_join(
     how: str = "inner",
     right_rows: int | None = None,
 ) -> DataFrame:
-    """Join a lookup table with unique ``keys`` onto ``left``, nulls matching nulls.
+    """Join a lookup table with unique ``keys`` onto many rows.
 
     The table is broadcast only when its counted size allows it. ``right_rows``
     passes a size already known; otherwise the table is written once and counted.
@@ -72,10 +86,8 @@ def lookup_join(
             {f.name: F.lit(values[f.name]).cast(f.dataType) for f in right.schema.fields}
         )
     if right_rows is None:
-        right = materialize(right, "lookup")
-        right_rows = right.count()
-    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+        right, counted = materialize_observed(right, "lookup", F.count(F.lit(1)).alias("rows"))
+        right_rows = counted["rows"]
     if right_rows <= BROADCAST_ROWS:
-        renamed = F.broadcast(renamed)
-    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+        right = F.broadcast(right)
+    return same_keys(left, right, keys, how)

@@ -213,7 +213,7 @@ def watermark_by_source(spark, sf_dir):
 @query
 def watermark_range_buckets(spark, sf_dir):
     """The same scan with the buckets cut by range partitioning, as for hot buckets."""
-    return _watermarks(scan(spark, sf_dir, hot_rows=1))
+    return _watermarks(scan(spark, sf_dir, hot_rows=1, rows_per_bucket=2_000))
 
 
 @query

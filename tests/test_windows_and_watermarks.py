@@ -31,7 +31,7 @@ def rows_of(log):
 @pytest.mark.parametrize("lanes", [1, 3])
 @pytest.mark.parametrize(
     "options",
-    [{"bucket_ms": 50}, {"bucket_ms": 1000}, {"bucket_ms": 10**9}, {"rows_per_bucket": 40}, {"bucket_ms": 1000, "hot_rows": 1}],
+    [{"bucket_ms": 50}, {"bucket_ms": 1000}, {"bucket_ms": 10**9}, {"rows_per_bucket": 40}, {"bucket_ms": 1000, "hot_rows": 1, "rows_per_bucket": 50}],
     ids=str,
 )
 def test_scan_matches_row_by_row_job(log, lanes, options):
@@ -47,7 +47,7 @@ def test_scan_spreads_copies_over_buckets(spark, log):
     frame = log(disorderly(600, 2))
     same = spark.createDataFrame([(a, 77, e, "copy") for a, e in copies], frame.schema)
     frame = frame.unionByName(same).repartition(6)
-    scan = arrival_scan(frame, 3, bucket_ms=1000, hot_rows=50)
+    scan = arrival_scan(frame, 3, bucket_ms=1000, hot_rows=50, rows_per_bucket=60)
     ordered = sorted((r.arrival_ts, r.log_id, r.event_ts) for r in frame.collect())
     tops, expected = [None] * 3, []
     for turn, row in enumerate(ordered):

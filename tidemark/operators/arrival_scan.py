@@ -29,15 +29,17 @@ def time_bucket_width(rows: DataFrame, rows_per_bucket: int) -> int:
     return 1 if not n else max(1, (high - low + 1) * rows_per_bucket // n)
 
 
-def range_buckets(rows: DataFrame, by: list[str]) -> DataFrame:
+def range_buckets(rows: DataFrame, by: list[str], buckets: int) -> DataFrame:
     """Buckets of even size from a range partitioning on the sort key.
 
     The input partition number ends the key, so that even a large group of
     identical rows is spread over several buckets; their order is immaterial.
-    Bucket numbers must be written out before they are used twice.
+    The number of buckets is explicit: adaptive execution would merge them by
+    bytes, and copies take few bytes. Bucket numbers must be written out before
+    they are used twice.
     """
     keys = [*by, *ORDER, "_from"]
-    spread = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(*keys)
+    spread = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(buckets, *keys)
     return spread.withColumn("bucket", F.spark_partition_id().cast("bigint")).drop("_from")
 
 
@@ -96,6 +98,7 @@ def arrival_scan(
         "arrival-histogram",
         F.expr("coalesce(max(n), 0L) as fullest"),
         F.expr("count(1) as buckets"),
+        F.expr("coalesce(sum(n), 0L) as total"),
     )
     balanced = found["fullest"] <= hot_rows
 
@@ -104,7 +107,8 @@ def arrival_scan(
         scanned = _bucket_scan(timed, by, 1)
         carried, n_buckets = _carry(histogram, by, 1), found["buckets"]
     else:
-        scanned = _bucket_scan(timed if balanced else range_buckets(rows, by), by, lanes)
+        bucketed = timed if balanced else range_buckets(rows, by, -(-found["total"] // rows_per_bucket))
+        scanned = _bucket_scan(bucketed, by, lanes)
         scanned = materialize(scanned, "arrival-scan")
         tops = [F.max(f"top_{r}").alias(f"top_{r}") for r in range(lanes)]
         summary = scanned.groupBy(*by, "bucket").agg(F.count("*").alias("n"), *tops)

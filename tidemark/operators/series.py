@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arith import in_units, ratio
 from tidemark.operators.prefix import BLOCK, dense_range, running_sums
-from tidemark.session import lookup_join, materialize
+from tidemark.session import materialize, same_keys
 
 # Smoothing width and default tail cut, in seconds.
 SMOOTHING = 5
@@ -23,10 +23,10 @@ def cut_tail(rows: DataFrame, run: list[str], ts: str, cutoff_ms: int) -> DataFr
     """Leave out the last ``cutoff_ms`` of every run; adds ``start_ts`` (first time kept).
 
     If any row of a run is kept, the run's first row is, so both bounds come from
-    one aggregation.
+    one aggregation. ``rows`` is read twice and holds aggregates, not raw events.
     """
     bounds = rows.groupBy(*run).agg(F.min(ts).alias("start_ts"), F.max(ts).alias("_last_ts"))
-    kept = lookup_join(rows, bounds, run)
+    kept = same_keys(rows, bounds, run)
     return kept.where(f"{ts} <= _last_ts - {cutoff_ms}").drop("_last_ts")
 
 
@@ -59,8 +59,7 @@ def run_series(
     rolled = rolled.agg(*[F.sum(c).alias(f"{c}_near") for c in ("total", "processed", "delay_ms")])
     keys = [*run, second]
     full = grid.join(seconds.select(*keys, "total", "late"), keys, "left").join(rolled, keys, "left")
-    full = materialize(full.na.fill(0), "series")
-    full = running_sums(full, run, second, {"total": "total_upto", "late": "late_upto"}, block)
+    full = running_sums(full.na.fill(0), run, second, {"total": "total_upto", "late": "late_upto"}, block)
     available = f"double(least({second} + {half}, last_s) - greatest({second} - {half}, 0L) + 1)"
     return full.selectExpr(
         *keys,
@@ -95,6 +94,6 @@ def window_summary(
     firings = metrics.groupBy(*run, "trigger_ts").agg(
         F.count("*").alias("windows"), F.expr("sum(trigger_ts - window_end) as latency_ms")
     )
-    kept = cut_tail(materialize(firings, "firings"), run, "trigger_ts", cutoff_s * unit_ms)
+    kept = cut_tail(firings, run, "trigger_ts", cutoff_s * unit_ms)
     kept = kept.groupBy(*run).agg(F.sum("windows").alias("windows"), F.sum("latency_ms").alias("latency_ms"))
     return kept.selectExpr(*run, "windows", f"{in_units('latency_ms', unit_ms)} / windows as avg_trigger_delay_s")

@@ -19,7 +19,7 @@ def replay_sweep(
     scan: DataFrame, sweep: Sweep, lanes: int, by: tuple[str, ...] = (), flush: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Window metrics and trace totals of every (window type, lag) from one scan of the log."""
-    metrics = materialize(window_metrics(scan, sweep, lanes, by, flush), "window-metrics")
+    metrics = window_metrics(scan, sweep, lanes, by, flush)
     return metrics, materialize(replay_totals(scan, metrics, sweep, by), "trace-totals")
 
 

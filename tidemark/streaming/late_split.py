@@ -4,18 +4,18 @@ Each micro-batch ``n`` reads what batch ``n - 1`` left (the watermark and the
 partial aggregates of open windows), splits off late events, adds the rest to the
 partials, and moves the watermark. Everything it writes goes to folders named
 after the batch and is overwritten if the batch is run again, so a restart after
-a failure gives the same result. A batch reads only open windows: state does not
-grow with the length of the stream.
+a failure gives the same result. A batch reads only what one batch left behind:
+state does not grow with the length of the stream.
 
-Folders below ``root``, each with one ``batch_id=<n>`` per batch:
-``windows/.../closed=true`` metric rows of windows closed by the batch,
-``windows/.../closed=false`` partials of open windows, ``late`` late events,
-``accepted`` the other events per window (optional), ``watermark`` one row.
+Folders below ``root``, each with one ``batch_id=<n>`` per batch: ``windows``
+aggregates of the windows that were open at the start of the batch (those closed
+by its watermark are final), ``late`` late events, ``accepted`` the other events
+per window (optional), ``watermark`` one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,49 +47,46 @@ class LateSplit:
         if batch_id == 0:
             return None, spark.createDataFrame([], PARTIALS)
         seen = spark.read.parquet(self._folder("watermark", batch_id - 1)).first()["seen_ts"]
-        everything = spark.read.schema(PARTIALS + ", closed BOOLEAN")
-        partials = everything.parquet(self._folder("windows", batch_id - 1))
-        return seen, partials.where("not closed").drop("closed")
+        partials = spark.read.schema(PARTIALS).parquet(self._folder("windows", batch_id - 1))
+        return seen, partials.where(f"not {self._closed(self._long(seen))}")
+
+    def _closed(self, seen: str) -> str:
+        return f"coalesce({seen} - window_end >= {self.lag_ms}, false)"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen, partials = self._previous(spark, batch_id)
+        task = f"{lane_of('log_id', self.lanes)} as task_id"
         batch = batch.select("event_ts", "log_id", *[c for c in ("content",) if c in batch.columns])
-        batch = batch.persist()
-        top = batch.agg(F.max("event_ts")).first()[0]
-        seen_after = max((t for t in (seen, top) if t is not None), default=None)
+        rows = batch.withColumn("seen_ts", F.lit(seen).cast("bigint")).persist()
 
-        rows = batch.withColumn("seen_ts", F.lit(seen).cast("bigint"))
         late = with_overrun(rows, self.spec).where(f"overrun >= {self.lag_ms}").drop("overrun", "seen_ts")
-        late = late.selectExpr(
-            f"{lane_of('log_id', self.lanes)} as task_id",
-            "*",
-            f"'{LATE}' as status",
-            f"bigint({NO_WINDOW}) as window_end",
-            f"{self._long(seen)} - {self.lag_ms} - 1 as current_wm",
-        )
+        late = late.selectExpr(task, "*", f"'{LATE}' as status", f"bigint({NO_WINDOW}) as window_end")
         late.write.mode("overwrite").parquet(self._folder("late", batch_id))
 
-        pairs = window_pairs(rows, self.spec).where(f"not {closed(self.lag_ms)}").drop("overrun", "seen_ts")
-        pairs = pairs.selectExpr(f"{lane_of('log_id', self.lanes)} as task_id", "*")
-        if self.keep_events:
-            pairs.write.mode("overwrite").parquet(self._folder("accepted", batch_id))
+        top = Observation()
+        pairs = window_pairs(rows.observe(top, F.max("event_ts").alias("top")), self.spec)
+        pairs = pairs.where(f"not {closed(self.lag_ms)}").drop("overrun", "seen_ts").selectExpr(task, "*")
         new = pairs.groupBy("task_id", "window_end").agg(
             F.count("*").alias("count_actual"),
             F.expr("min(bigint(log_id)) as min_id"),
             F.expr("max(bigint(log_id)) as max_id"),
         )
-        merged = new.unionByName(partials).groupBy("task_id", "window_end")
-        merged = merged.agg(
+        merged = new.unionByName(partials).groupBy("task_id", "window_end").agg(
             F.sum("count_actual").alias("count_actual"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id")
         )
-        due = f"coalesce({self._long(seen_after)} - window_end >= {self.lag_ms}, false) as closed"
-        target = merged.selectExpr("*", due).write.mode("overwrite").partitionBy("closed")
-        target.parquet(self._folder("windows", batch_id))
+        merged.write.mode("overwrite").parquet(self._folder("windows", batch_id))
+        if self.keep_events:
+            pairs.write.mode("overwrite").parquet(self._folder("accepted", batch_id))
 
-        after = spark.createDataFrame([(seen_after,)], "seen_ts BIGINT")
+        seen_after = max((t for t in (seen, top.get["top"]) if t is not None), default=None)
+        after = spark.range(1).selectExpr(
+            f"{self._long(seen)} as seen_before",
+            f"{self._long(seen_after)} as seen_ts",
+            "unix_millis(current_timestamp()) as processed_ts",
+        )
         after.write.mode("overwrite").parquet(self._folder("watermark", batch_id))
-        batch.unpersist()
+        rows.unpersist()
 
     @staticmethod
     def _long(value: int | None) -> str:
@@ -99,21 +96,32 @@ class LateSplit:
         return spark.read.parquet(f"{self.root}/{kind}")
 
     def late(self, spark: SparkSession) -> DataFrame:
-        return self._all(spark, "late")
+        """Late events with the watermark they met and the time they were processed."""
+        steps = self._all(spark, "watermark").selectExpr(
+            "batch_id", f"seen_before - {self.lag_ms} - 1 as current_wm", "processed_ts as sys_ts"
+        )
+        return self._all(spark, "late").join(steps, "batch_id")
 
     def metrics(self, spark: SparkSession) -> DataFrame:
         """Metric rows of all windows closed so far, with the watermark that closed them."""
-        everything = spark.read.schema(PARTIALS + ", batch_id BIGINT, closed BOOLEAN")
-        windows = everything.parquet(f"{self.root}/windows").where("closed").drop("closed")
-        steps = self._all(spark, "watermark").selectExpr(
-            "batch_id", f"seen_ts - {self.lag_ms} - 1 as current_wm"
+        rows = self._all(spark, "windows").join(self._all(spark, "watermark"), "batch_id")
+        rows = rows.where(self._closed("seen_ts")).selectExpr(
+            "batch_id",
+            "task_id",
+            f"{lane_key('task_id', self.lanes)} as key",
+            "window_end",
+            "processed_ts as trigger_ts",
+            "count_actual",
+            "min_id",
+            "max_id",
+            "processed_ts - window_end as lag_system",
+            f"seen_ts - {self.lag_ms} - 1 as current_wm",
         )
-        rows = windows.join(steps, "batch_id").withColumn("key", F.expr(lane_key("task_id", self.lanes)))
         return id_gaps(rows, self.lanes)
 
     def trace(self, spark: SparkSession) -> DataFrame:
         """NORMAL rows of closed windows and LATE rows (needs ``keep_events``)."""
-        done = self.metrics(spark).select("task_id", "window_end")
-        normal = self._all(spark, "accepted").join(done, ["task_id", "window_end"], "left_semi")
+        fired = self.metrics(spark).select("task_id", "window_end", F.col("trigger_ts").alias("sys_ts"))
+        normal = self._all(spark, "accepted").join(fired, ["task_id", "window_end"])
         normal = normal.withColumn("status", F.lit(NORMAL))
         return normal.unionByName(self.late(spark).drop("current_wm"))

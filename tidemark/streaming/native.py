@@ -35,7 +35,8 @@ def window_stream(events: DataFrame, spec: WindowSpec, lag_ms: int, lanes: int)
         "min_id",
         "max_id",
     )
-    return id_gaps(rows, lanes)
+    rows = rows.withColumn("trigger_ts", F.expr("unix_millis(current_timestamp())"))
+    return id_gaps(rows, lanes).withColumn("lag_system", F.expr("trigger_ts - window_end"))
 
 
 def start_native(metrics: DataFrame, output: str, checkpoint: str) -> StreamingQuery:

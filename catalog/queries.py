@@ -120,7 +120,6 @@ def delay_summary(spark, sf_dir):
 
 @query
 def arrival_order(spark, sf_dir):
-    # The position in the global order, from the lanes of a single dealer.
     return delay.arrival_order(arrivals(spark, sf_dir)).select("arrival_ts", "log_id", "event_ts")
 
 
@@ -424,16 +423,12 @@ def summary_texts(spark, sf_dir):
     traces = _named(series.run_summary(totals, RUN, CUTOFF_S, HOUR))
     windows = _named(series.window_summary(metrics, RUN, CUTOFF_S, HOUR))
     windows = windows.withColumn("run_id", F.regexp_replace("run_id", "all-data-trace", "window_Tumbling"))
-    trace_texts, window_texts = f"{folder}/trace", f"{folder}/window"
-    materialized = summaries.summary_texts(traces), summaries.window_summary_texts(windows)
-    summaries.write_texts(materialized[0], trace_texts)
-    summaries.write_texts(materialized[1], window_texts)
-    back = [
-        spark.read.schema("value STRING, run_id STRING").text(path, wholetext=True)
-        for path in (trace_texts, window_texts)
-    ]
+    summaries.write_texts(summaries.summary_texts(traces), f"{folder}/trace")
+    summaries.write_texts(summaries.window_summary_texts(windows), f"{folder}/window")
+    texts = spark.read.schema("value STRING, run_id STRING")
     table = tradeoff.tradeoff_from_summaries(
-        summaries.parse_summaries(back[0]), summaries.parse_window_summaries(back[1])
+        summaries.parse_summaries(texts.text(f"{folder}/trace", wholetext=True)),
+        summaries.parse_window_summaries(texts.text(f"{folder}/window", wholetext=True)),
     )
     return rounded(table, "drop_rate", "avg_latency_s", "avg_trigger_delay_s")
 
@@ -441,16 +436,16 @@ def summary_texts(spark, sf_dir):
 # --- streaming -----------------------------------------------------------------
 
 
-def _feed(spark: SparkSession, sf_dir: str, files: int) -> DataFrame:
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "feed")
     log = arrivals(spark, sf_dir).withColumn("slice", F.expr(f"(arrival_ts - {FEED_START}) div {FEED_SLICE}"))
     lines = log.selectExpr("slice", f"{format_line('event_ts', 'log_id', 'content')} as value")
-    write_feed(lines, "slice", FEED_SLICES, folder, files)
+    files = write_feed(materialize(lines, "feed-lines"), "slice", FEED_SLICES, folder)
     return parse_lines(stream_lines(spark, folder, files))
 
 
 def _native(spark, sf_dir, kind):
-    metrics = window_stream(_feed(spark, sf_dir, 4), SPECS[kind], LAG, LANES)
+    metrics = window_stream(_feed(spark, sf_dir), SPECS[kind], LAG, LANES)
     output = scratch_path(spark, "stream-output")
     start_native(metrics, output, scratch_path(spark, "stream-checkpoint")).awaitTermination()
     rows = spark.read.schema(metrics.schema).parquet(output)
@@ -472,7 +467,7 @@ def stream_sliding_metrics(spark, sf_dir):
 
 def _split(spark, sf_dir, kind, keep_events=False) -> LateSplit:
     job = LateSplit(scratch_path(spark, "late-split"), SPECS[kind], LAG, LANES, keep_events)
-    job.start(_feed(spark, sf_dir, 4), scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    job.start(_feed(spark, sf_dir), scratch_path(spark, "stream-checkpoint")).awaitTermination()
     return job
 
 

@@ -31,16 +31,21 @@ def trace_rows(
     NORMAL rows carry the firing time as ``sys_ts``, LATE rows their arrival time.
     Both kinds come from the same pass over the (event, window) pairs.
     """
-    parts = []
-    for spec, lags in sweep:
-        each = f"explode(array({', '.join(f'{lag}L' for lag in lags)})) as lag_ms"
-        pairs = window_pairs(scan, spec).selectExpr("*", f"'{spec.kind}' as window_type", each)
-        pairs = pairs.where(f"not {closed('lag_ms')} or window_end = {last_window_end(spec)}")
-        parts.append(pairs.withColumn("late", F.expr(closed("lag_ms"))).drop("overrun"))
-    pairs = reduce(DataFrame.unionByName, parts)
-
-    firing = window_firing(scan, sweep, by, flush, block).where("trigger_ts is not null").drop("current_wm")
-    joined = lookup_join(pairs, firing, [*by, "window_type", "lag_ms", "window_end"], how="left")
+    run = [*by, "window_type", "window_end"]
+    firing = window_firing(scan, sweep, by, flush, block).where("trigger_ts is not null")
+    # One lookup row per window with the firing times of all lags: the pairs are
+    # joined once and multiplied by the lags afterwards, without moving again.
+    fired = firing.groupBy(*run).agg(
+        F.expr("map_from_entries(collect_list(struct(lag_ms, trigger_ts))) as fired_at")
+    )
+    pairs = [window_pairs(scan, spec).withColumn("window_type", F.lit(spec.kind)) for spec, _ in sweep]
+    joined = lookup_join(reduce(DataFrame.unionByName, pairs), fired, run, how="left")
+
+    lags = " ".join(f"when '{spec.kind}' then array({', '.join(f'{n}L' for n in ns)})" for spec, ns in sweep)
+    last = " ".join(f"when '{spec.kind}' then {last_window_end(spec)}" for spec, _ in sweep)
+    joined = joined.selectExpr("*", f"explode(case window_type {lags} end) as lag_ms")
+    joined = joined.selectExpr("*", f"{closed('lag_ms')} as late", "try_element_at(fired_at, lag_ms) as trigger_ts")
+    joined = joined.where(f"not late or window_end = case window_type {last} end")
     return joined.where("late or trigger_ts is not null").selectExpr(
         *by,
         "window_type",

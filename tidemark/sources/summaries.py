@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.arith import percent_text
+
 # Labels of the stored summary texts.
 RUN_LABEL = "实验"
 ROWS_LABEL = "总数据量(清洗后)"
@@ -53,7 +55,7 @@ def summary_texts(summaries: DataFrame) -> DataFrame:
         f"concat('{ROWS_LABEL}: ', rows)",
         f"concat('{PROCESSED_LABEL}: ', processed)",
         f"concat('{LATE_LABEL}: ', late)",
-        f"format_string('{DROP_LABEL}: %.2f%%', drop_rate * 100)",
+        f"concat('{DROP_LABEL}: ', {percent_text('drop_rate')})",
         f"format_string('{LATENCY_LABEL}: %.4f s', avg_latency_s)",
     ]
     return summaries.selectExpr("run_id", f"concat_ws('\n', {', '.join(lines)}, '') as value")

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_feed(lines: DataFrame, slice_col: str, slices: int, folder: str, files: int = 1) -> None:
-    """Append ``value`` lines slice by slice, ``files`` files each.
+def write_feed(lines: DataFrame, slice_col: str, slices: int, folder: str, rows_per_file: int = 1_000_000) -> int:
+    """Append ``value`` lines slice by slice; returns the number of files per slice.
 
-    A file stream takes older files first, so with ``files`` files per trigger
-    every slice becomes one micro-batch.
+    A file stream takes older files first, so with that many files per trigger
+    every slice becomes one micro-batch. The number follows the fullest slice.
     """
+    sizes = lines.groupBy(slice_col).count().agg(F.max("count"))
+    files = -(-(sizes.first()[0] or 1) // rows_per_file)
     for number in range(slices):
         part = lines.where(F.col(slice_col) == number).select("value")
         part.repartition(files).write.mode("append").text(folder)
+    return files

@@ -298,6 +298,17 @@ FROM (SELECT *, unnest(range(50)) AS bin FROM bounds) LEFT JOIN counts USING (so
     sql["delay_p99"] = f"""WITH {LOG}
 SELECT source, round(quantile_cont(delay_ms::DOUBLE, 0.99) / {HOUR}, 6) AS delay_s FROM log GROUP BY source"""
 
+    sql["disorder_profile"] = f"""WITH {LOG}, {scan(1, 'source')}, lagged AS (
+  SELECT *, greatest(seen_ts - event_ts, 0) AS lag_ms FROM scan)
+SELECT source, count(*) AS "rows", round(sum(delay_ms) / {HOUR}.0::DOUBLE / count(*), 6) AS avg_delay_s,
+       round(max(delay_ms) / {HOUR}.0::DOUBLE, 6) AS max_delay_s,
+       round(count(*) FILTER (delay_ms > 2 * {HOUR}) / count(*), 6) AS share_over_2s,
+       round(quantile_cont(delay_ms::DOUBLE, 0.99) / {HOUR}, 6) AS p99_delay_s,
+       count(*) FILTER (lag_ms > 0) AS out_of_order, round(count(*) FILTER (lag_ms > 0) / count(*), 6) AS out_of_order_share,
+       round(max(lag_ms) / {HOUR}.0::DOUBLE, 6) AS max_lag_s,
+       round(quantile_cont(lag_ms::DOUBLE, 0.99) / {HOUR}, 6) AS p99_lag_s
+FROM lagged GROUP BY source"""
+
     sql["watermark_1lane"] = _watermarks(1)
     sql["watermark_3lane"] = _watermarks(LANES)
     sql["watermark_by_source"] = _watermarks(LANES, "source")

@@ -12,14 +12,14 @@ from catalog.settings import (
 )
 from tidemark.functions.messages import late_message, window_message
 from tidemark.functions.naming import lag_seconds, run_name, window_kind
-from tidemark.functions.parse import format_line, lane_key, parse_lines, parse_rejects
+from tidemark.functions.parse import format_line, lane_key, parse_lines, parse_rejects, typed_lines
 from tidemark.operators import calibrate, delay, disorder, series, trace
 from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, watermark
 from tidemark.operators.lateness import drop_rates, late_events, partial_misses
 from tidemark.operators.window_metrics import id_gaps, window_counts, window_metrics
 from tidemark.operators.window_metrics import window_firing as firing_times
 from tidemark.operators.windows import sliding, tumbling
-from tidemark.plans import tradeoff
+from tidemark.plans import profile, tradeoff
 from tidemark.session import materialize, prepare, scratch_path
 from tidemark.sources import replay_files, run_files, sinks, summaries
 from tidemark.sources.lines import stream_lines
@@ -185,6 +185,13 @@ def delay_p99(spark, sf_dir):
     return rounded(disorder.delay_percentile(arrivals(spark, sf_dir), ["source"], 0.99, HOUR), "delay_s")
 
 
+@query
+def disorder_profile(spark, sf_dir):
+    rows = profile.disorder_profile(arrivals(spark, sf_dir), ["source"], HOUR, bucket_ms=BUCKET)
+    floats = [f for f, kind in rows.dtypes if kind == "double"]
+    return rounded(rows, *floats)
+
+
 # --- watermarks ----------------------------------------------------------------
 
 
@@ -219,9 +226,8 @@ def watermark_range_buckets(spark, sf_dir):
 def watermark_raw_lines(spark, sf_dir):
     """Lanes are dealt before parsing: malformed lines take turns but move no watermark."""
     lines = text_lines(arrivals(spark, sf_dir)).select("line_no", "arrival_ts", "value")
-    typed = parse_lines(lines.select("line_no", "value")).select("line_no", "event_ts")
-    rows = lines.select("line_no", "arrival_ts").join(typed, "line_no", "left")
-    scanned = arrival_scan(rows.withColumnRenamed("line_no", "log_id"), LANES, bucket_ms=BUCKET)
+    rows = typed_lines(lines).selectExpr("arrival_ts", "line_no as log_id", "event_ts")
+    scanned = arrival_scan(rows, LANES, bucket_ms=BUCKET)
     return _watermarks(scanned.where("event_ts is not null"))
 
 

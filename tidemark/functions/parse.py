@@ -26,6 +26,16 @@ def _fields(lines: DataFrame, value: str) -> DataFrame:
     )
 
 
+def typed_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """All lines, with null fields where the line is malformed.
+
+    For scans that deal raw lines to lanes, where bad lines take their turn too.
+    """
+    rows = _fields(lines, value).withColumn("_valid", F.expr(VALID))
+    fields = {c: F.expr(f"if(_valid, {c}, null)") for c in ("event_ts", "log_id", "content")}
+    return rows.withColumns(fields).drop("_parts", "_valid", value)
+
+
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Typed events; lines with missing fields or bad integers are left out.
 

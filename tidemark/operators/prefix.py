@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arith import floor_div
 from tidemark.session import lookup_join, materialize, same_keys
 
-BLOCK = 65_536
+BLOCK = 8_192
 
 
 def running_sums(
@@ -79,16 +79,21 @@ def min_at_or_after(
 
 
 def exact_percentile(rows: DataFrame, by: list[str], col: str, share: float, block: int = BLOCK) -> DataFrame:
-    """Linearly interpolated percentile of an integer column, per ``by``.
+    """Linearly interpolated percentile of an integer column, per ``by``."""
+    counts = rows.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
+    return percentile_of_counts(materialize(counts, "values"), by, col, share, block)
 
-    Values are counted first (combined before the shuffle), then ranked over the
-    distinct values block by block, so no task ever holds all values of a group.
+
+def percentile_of_counts(
+    counts: DataFrame, by: list[str], col: str, share: float, block: int = BLOCK
+) -> DataFrame:
+    """The same from a table of distinct values and their counts ``n``.
+
+    The values are ranked block by block, so no task ever holds all values of a
+    group, let alone its rows. ``counts`` is read several times.
     """
-    counts = materialize(
-        rows.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n")), "values"
-    )
-    ranked = running_sums(counts, by, col, {"_n": "_upto"}, block)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    ranked = running_sums(counts, by, col, {"n": "_upto"}, block)
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
     placed = lookup_join(ranked, totals, by).withColumn("_pos", F.expr(f"(_total - 1) * {float(share)}D"))
     ends = placed.groupBy(*by).agg(
         F.expr(f"min(case when _upto - 1 >= floor(_pos) then {col} end) as _low"),

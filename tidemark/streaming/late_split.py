@@ -29,7 +29,10 @@ PARTIALS = "task_id BIGINT, window_end BIGINT, count_actual BIGINT, min_id BIGIN
 
 
 class LateSplit:
-    """``foreachBatch`` handler; ``start`` runs it on a stream of parsed events."""
+    """``foreachBatch`` handler; ``start`` runs it on a stream of parsed events.
+
+    ``root`` and the checkpoint belong together: begin both anew, or neither.
+    """
 
     def __init__(self, root: str, spec: WindowSpec, lag_ms: int, lanes: int, keep_events: bool = False):
         self.root = root.rstrip("/")

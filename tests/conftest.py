@@ -10,10 +10,9 @@ from tidemark.session import prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "3")
     builder = builder.config("spark.ui.enabled", "false")
-    builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield prepare(session)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arith import floor_div
 from tidemark.operators.prefix import BLOCK, min_at_or_after
 from tidemark.operators.windows import Sweep, WindowSpec
-from tidemark.session import lookup_join, materialize
+from tidemark.session import lookup_join
 
 END_OF_TIME = 2**63 - 1
 
@@ -73,8 +73,8 @@ def attach_firing(
     """
     by = list(by)
     grids = slot_grids(sweep)
-    steps = materialize(watermark_steps(scan, grids, by), "watermark-steps")
-    windows = materialize(_with_slot(windows, sweep, grids), "windows")
+    steps = watermark_steps(scan, grids, by)
+    windows = _with_slot(windows, sweep, grids)
     fired = min_at_or_after(windows, steps, [*by, "grid"], "slot", ["trigger_ts", "fired_seen_ts"], block)
     fired = fired.withColumn("current_wm", F.expr("fired_seen_ts - lag_ms - 1"))
     if flush:

@@ -51,26 +51,19 @@ def min_at_or_after(
 
     With values that rise with ``order`` this is the next point, i.e. an as-of
     lookup, expressed as a union and a window instead of a range join. Both
-    inputs are read twice.
+    inputs are read once: their union is written out.
     """
-    queries = queries.withColumn("_block", F.expr(floor_div(order, block)))
-    points = points.select(*by, order, *values).withColumn("_block", F.expr(floor_div(order, block)))
+    points = points.select(*by, order, *values).withColumn("_query", F.lit(False))
+    marked = queries.withColumn("_query", F.lit(True)).unionByName(points, allowMissingColumns=True)
+    marked = materialize(marked.withColumn("_block", F.expr(floor_div(order, block))), "as-of")
 
     # Default frame: RANGE, so points at the same order value count for a query.
     inside = Window.partitionBy(*by, "_block").orderBy(F.desc(order))
-    marked = queries.withColumn("_query", F.lit(True)).unionByName(
-        points.withColumn("_query", F.lit(False)), allowMissingColumns=True
-    )
     local = marked.withColumns({v: F.min(v).over(inside) for v in values}).where("_query")
 
     later = Window.partitionBy(*by).orderBy(F.desc("_block"))
     later = later.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        points.select(*by, "_block", *values)
-        .unionByName(queries.select(*by, "_block").distinct(), allowMissingColumns=True)
-        .groupBy(*by, "_block")
-        .agg(*[F.min(v).alias(v) for v in values])
-    )
+    blocks = marked.groupBy(*by, "_block").agg(*[F.min(v).alias(v) for v in values])
     carried = blocks.select(*by, "_block", *[F.min(v).over(later).alias(f"_later_{v}") for v in values])
     # The rows are already partitioned by block, so only the carried rows move.
     joined = same_keys(local, carried, [*by, "_block"])

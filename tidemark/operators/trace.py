@@ -81,18 +81,18 @@ def replay_totals(scan: DataFrame, metrics: DataFrame, sweep: Sweep, by: tuple[s
     normal = normal.agg(F.expr("sum(count_actual) as processed"), F.expr(delay))
     normal = normal.selectExpr(*run, "sys_ts", "processed", "0L as late", "delay_ms")
 
-    overruns, candidates, sums, flat = [], [], [], []
+    overruns, candidates, late_for = [], [], []
     for s, (spec, lags) in enumerate(sweep):
         overruns.append(f"seen_ts - {last_window_end(spec)} as overrun_{s}")
         # Events late for the smallest lag include those late for any other.
         candidates.append(f"overrun_{s} >= {min(lags)}")
-        for k, lag in enumerate(lags):
-            sums.append(f"count_if(overrun_{s} >= {lag}) as late_{s}_{k}")
-            flat.append(f"named_struct('window_type', '{spec.kind}', 'lag_ms', {lag}L, 'late', late_{s}_{k})")
+        for lag in lags:
+            entry = f"named_struct('window_type', '{spec.kind}', 'lag_ms', {lag}L)"
+            late_for.append(f"if(overrun_{s} >= {lag}, {entry}, null)")
     late = scan.where("event_ts is not null").selectExpr(*by, "arrival_ts as sys_ts", *overruns)
-    late = late.where(" or ".join(candidates)).groupBy(*by, "sys_ts").agg(*[F.expr(x) for x in sums])
-    late = late.selectExpr(*by, "sys_ts", f"inline(array({', '.join(flat)}))").where("late > 0")
-    late = late.selectExpr(*run, "sys_ts", "0L as processed", "late", "0L as delay_ms")
+    late = late.where(" or ".join(candidates)).selectExpr(*by, "sys_ts", f"inline(array({', '.join(late_for)}))")
+    late = late.where("lag_ms is not null")
+    late = late.selectExpr(*run, "sys_ts", "0L as processed", "1L as late", "0L as delay_ms")
 
     both = normal.unionByName(late).groupBy(*run, "sys_ts")
     return both.agg(*[F.sum(c).alias(c) for c in ("processed", "late", "delay_ms")])

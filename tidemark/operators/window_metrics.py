@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parse import lane_key, lane_of
 from tidemark.operators.firing import attach_firing
-from tidemark.operators.lateness import closed, window_pairs
+from tidemark.operators.lateness import window_pairs
 from tidemark.operators.prefix import BLOCK
 from tidemark.operators.windows import Sweep, WindowSpec, assign_windows
 
@@ -19,37 +19,39 @@ def window_counts(
 ) -> DataFrame:
     """Accepted events per (key, window, lag): count, lowest and highest id, waiting time.
 
-    All lags are conditional aggregates of the same rows, combined before the
-    shuffle, so neither a hot window nor the number of lags multiplies the data.
+    A pair accepted for one lag is accepted for every larger one, so pairs are
+    counted once, by the smallest lag that accepts them, and the few counts of a
+    window are added up over the lags afterwards. Counts are combined before the
+    shuffle: neither a hot window nor the number of lags multiplies the data.
     ``wait_ms`` sums the distance to the window end, which stays small, unlike
     epoch times.
     """
+    lags = sorted(set(lags_ms))
     keys = [*by, "task_id", "window_end"]
-    rows = window_pairs(scan, spec).selectExpr(
+    refused_by = " + ".join(f"int(coalesce(overrun >= {lag}, false))" for lag in lags)
+    pairs = window_pairs(scan, spec).selectExpr(
         *by,
         f"{lane_of('log_id', lanes)} as task_id",
         "window_end",
         "log_id",
         "window_end - event_ts as wait",
-        "coalesce(overrun, -9223372036854775808L) as overrun",
+        f"{refused_by} as refused_by",
+    )
+    counts = pairs.groupBy(*keys, "refused_by").agg(
+        F.count("*").alias("n"), F.min("log_id").alias("low"), F.max("log_id").alias("high"), F.sum("wait").alias("wait")
+    )
+    all_lags = f"array({', '.join(f'{lag}L' for lag in lags)})"
+    # explode_outer: the planner would turn the test of an empty array, for pairs no
+    # lag accepts, into a costly filter on the rows.
+    each = counts.selectExpr("*", f"explode_outer(slice({all_lags}, refused_by + 1, {len(lags)})) as lag_ms")
+    totals = each.where("lag_ms is not null").groupBy(*keys, "lag_ms").agg(
+        F.sum("n").alias("count_actual"),
+        F.min("low").alias("min_id"),
+        F.max("high").alias("max_id"),
+        F.sum("wait").alias("wait_ms"),
     )
-    aggregates, per_lag = [], []
-    for k, lag in enumerate(lags_ms):
-        accepted = f"overrun < {lag}"
-        aggregates += [
-            f"count_if({accepted}) as n_{k}",
-            f"min(case when {accepted} then log_id end) as min_{k}",
-            f"max(case when {accepted} then log_id end) as max_{k}",
-            f"sum(case when {accepted} then wait end) as wait_{k}",
-        ]
-        per_lag.append(
-            f"named_struct('lag_ms', {lag}L, 'count_actual', n_{k}, 'min_id', min_{k}, 'max_id', max_{k}, "
-            f"'wait_ms', wait_{k})"
-        )
-    grouped = rows.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
-    flat = grouped.selectExpr(*keys, f"inline(array({', '.join(per_lag)}))").where("count_actual > 0")
     # The key is a function of the task, so it need not be grouped by.
-    return flat.selectExpr("*", f"{lane_key('task_id', lanes)} as key", f"'{spec.kind}' as window_type")
+    return totals.selectExpr("*", f"{lane_key('task_id', lanes)} as key", f"'{spec.kind}' as window_type")
 
 
 def id_gaps(metrics: DataFrame, lanes: int) -> DataFrame:

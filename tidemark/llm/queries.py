@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality
+from tidemark.llm import ngram_join, quality, suffix_dedup
 from tidemark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,13 @@ def op1_quality_classifier(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(documents, table(spark, sf_dir, "labels"))
     return quality.classify(documents, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, percent=85))
+
+
+@query
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.remains(table(spark, sf_dir, "documents"), suffix_dedup.Settings(length=100))

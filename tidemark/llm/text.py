@@ -28,9 +28,17 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256,
 
 
 def prepare_arrow(spark: SparkSession) -> SparkSession:
-    """Bounds the bytes of an Arrow batch, whatever the length of the texts."""
+    """Bounds the bytes of an Arrow batch, whatever the length of the texts.
+
+    Joins of all texts with a few chosen ids may filter the texts before their
+    shuffle by a Bloom filter of the ids, of bounded size.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1m")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "64m")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.expectedNumItems", "4000000")
     return spark
 
 

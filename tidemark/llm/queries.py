@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram_join, quality, suffix_dedup
+from tidemark.llm import ngram_join, quality, suffix_dedup, token_counts, token_files, transducer
 from tidemark.session import prepare
 
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 @query
 def op1_quality_classifier(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,3 +48,19 @@ def op2_ngram_jaccard_join(spark, sf_dir):
 @query
 def op3_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.remains(table(spark, sf_dir, "documents"), suffix_dedup.Settings(length=100))
+
+
+@query
+def op4_token_id_output(spark, sf_dir):
+    files, _ = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary_path())
+    return token_files.read_token_files(files)
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), limit=2048)
+
+
+@query
+def op6_bpe_encode_decode(spark, sf_dir):
+    return transducer.digests(table(spark, sf_dir, "documents"), vocabulary_path())

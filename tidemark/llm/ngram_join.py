@@ -257,43 +257,61 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
 
     shared = materialize(shared_blocks(documents, like), "blocks")
 
-    def of_sets(pairs: DataFrame) -> DataFrame:
-        """Pairs of documents as pairs of sets whose sizes allow a link."""
-        pairs = pairs.join(ids.toDF("a", "first_a", "size_a"), "a").join(ids.toDF("b", "first_b", "size_b"), "b")
-        fits = f"100 * least(size_a, size_b) >= {like.percent} * greatest(size_a, size_b)"
-        pairs = pairs.where(fits).selectExpr("least(first_a, first_b) as a", "greatest(first_a, first_b) as b")
-        return pairs.where("a < b").distinct()
-
-    pairs = materialize(of_sets(shared.selectExpr("leader as a", "doc_id as b").distinct()), "pairs")
     wanted = shared.select("doc_id").union(shared.select("leader")).distinct().join(ids, "doc_id").select("first_id")
     wanted = materialize(wanted.distinct().toDF("doc_id"), "wanted").where("doc_id > -9223372036854775808")
     sets = materialize(_sets(documents.join(wanted, "doc_id", "left_semi"), like), "sets")
-    links = materialize(linked(pairs, sets, like), "linked")
+
+    # Pairs of sets that agree on blocks, and on how many of them.
+    stars = shared.groupBy("leader", "doc_id").agg(F.count(F.lit(1)).alias("blocks"))
+    stars = stars.join(ids.toDF("leader", "first_a", "size_a"), "leader").join(ids.toDF("doc_id", "first_b", "size_b"), "doc_id")
+    stars = stars.where(_fits(like)).selectExpr("least(first_a, first_b) as a", "greatest(first_a, first_b) as b", "blocks")
+    stars = materialize(stars.where("a < b").groupBy("a", "b").agg(F.max("blocks").alias("blocks")), "stars")
+
+    # Every set against the partner it agrees with most, then all other leaders
+    # of its blocks, then whatever still shares a block: links found before make
+    # most of the later pairs needless, as their ends are one component already.
+    best = stars.groupBy("b").agg(F.max(F.struct("blocks", (-F.col("a")).alias("a"))).alias("best"))
+    pairs = materialize(best.selectExpr("-best.a as a", "b"), "pairs")
     twice = ids.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.count_distinct("first_id").alias("n"))
-    again = twice.where("n > 1").join(ids, "doc_id").selectExpr("a", "first_id as b")
+    links = twice.where("n > 1").join(ids, "doc_id").selectExpr("a", "first_id as b")
+    links = links.union(materialize(linked(pairs, sets, like), "linked"))
+    labels = components(links)
+
+    more = _apart(stars.select("a", "b"), labels).join(pairs, ["a", "b"], "left_anti")
+    more, seen = materialize_observed(more, "pairs", F.count(F.lit(1)).alias("rows"))
+    if seen["rows"]:
+        pairs = pairs.union(more)
+        links = links.union(materialize(linked(more, sets, like), "linked"))
+        labels = components(links)
 
-    # Blocks with documents of several components: the pairs not seen from the leader.
-    labels = components(links.union(again))
     inside = shared.select("block", "doc_id").union(shared.select("block", "leader").distinct())
-    inside = inside.join(ids.select("doc_id", "first_id"), "doc_id")
-    inside = inside.join(labels.toDF("first_id", "component"), "first_id", "left")
-    inside = inside.selectExpr("block", "first_id", "coalesce(component, first_id) as component")
+    inside = inside.join(ids, "doc_id").join(labels.toDF("first_id", "component"), "first_id", "left")
+    inside = inside.selectExpr("block", "first_id", "n_shingles", "coalesce(component, first_id) as component")
     mixed = inside.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     inside = inside.join(mixed.where("lo < hi").select("block"), "block").distinct()
     inside, seen = materialize_observed(inside, "mixed", F.count(F.lit(1)).alias("rows"))
     if seen["rows"]:
-        other = inside.toDF("block", "b", "component_b")
-        cross = inside.withColumnRenamed("first_id", "a").join(other, "block").where("a < b and component <> component_b")
-        cross = of_sets(cross.select("a", "b").distinct()).join(pairs, ["a", "b"], "left_anti")
+        one, two = (inside.toDF("block", f"first_{x}", f"size_{x}", f"component_{x}") for x in "ab")
+        cross = one.join(two, "block").where("first_a < first_b and component_a <> component_b").where(_fits(like))
+        cross = cross.selectExpr("first_a as a", "first_b as b").distinct().join(pairs, ["a", "b"], "left_anti")
         cross, seen = materialize_observed(cross, "cross", F.count(F.lit(1)).alias("rows"))
         if seen["rows"]:
-            more = materialize(linked(cross, sets, like), "linked")
-            labels = components(links.union(again).union(more))
+            labels = components(links.union(materialize(linked(cross, sets, like), "linked")))
     labels = labels.toDF("first_id", "component")
     out = members.join(labels, "first_id", "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, first_id, doc_id) as component_id")
 
 
+def _fits(like: Similarity) -> str:
+    return f"100 * least(size_a, size_b) >= {like.percent} * greatest(size_a, size_b)"
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not one component yet."""
+    pairs = pairs.join(labels.toDF("a", "one"), "a", "left").join(labels.toDF("b", "two"), "b", "left")
+    return pairs.where("coalesce(one, a) <> coalesce(two, b)").select("a", "b")
+
+
 def _sets(documents: DataFrame, like: Similarity) -> DataFrame:
     def run(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
         for first, part in texts.runs():

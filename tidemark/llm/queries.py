@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram_join, quality, suffix_dedup, token_counts, token_files, transducer
+from tidemark.llm import decontaminate, kd_shards, ngram_join, quality, quality_rules, suffix_dedup, token_counts, token_files, transducer, warc
 from tidemark.session import prepare
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,3 +64,43 @@ def op5_token_counts(spark, sf_dir):
 @query
 def op6_bpe_encode_decode(spark, sf_dir):
     return transducer.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontaminate.find_leaks(documents, table(spark, sf_dir, "benchmark"))
+    return leaks.selectExpr("doc_id", "size(leaked_items) > 0 as contaminated", "leaked_items")
+
+
+@query
+def op8_kd_tree_shards(spark, sf_dir):
+    rows = kd_shards.kd_shards(table(spark, sf_dir, "documents"), shards=40)
+    return rows.selectExpr("doc_id", "size", "text_crc32", "'bytes' as law", "shard", "slot", "int(null) as grown_shard")
+
+
+@query
+def op9_warc(spark, sf_dir):
+    arcs = warc.write_arcs(table(spark, sf_dir, "pages"))
+    return warc.warc_index(warc.convert(arcs))
+
+
+ORACLES["op9_warc"] = """
+with payloads as (
+    select page_id, encode(coalesce(html, '')) as payload from pages
+), sized as (
+    select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from payloads
+), first as (
+    select *, min(page_id) over (partition by payload_digest) as first_id from sized
+)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from first
+"""
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    rows = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return rows.drop("class_distance", "word_distance")

@@ -320,7 +320,7 @@ def _repeats(documents: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     single = rows.where("not copy and doc_id is not null").select("doc_id", "twin").distinct()
     found = materialize(repeated_anchors(texts, settings), "anchors")
     found = found.join(single.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     found = found.join(counts, "anchor").withColumn("hot", F.expr(f"n > {settings.hot}"))
     places = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "runs", "anchor", "hot")).alias("places"))
     places = materialize(places, "places").where("doc_id > -9223372036854775808")

@@ -147,7 +147,7 @@ def write_token_files(documents: DataFrame, path: str, layout: Layout = Layout()
             with pa.ipc.new_file(sink, table.schema) as out:
                 out.write_table(table, max_chunksize=100_000)
             shared_files.write(f"{uri}.docs", sink.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([part]), pa.array([writer.total])], ["file", "part", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([part], pa.int32()), pa.array([writer.total])], ["file", "part", "n_ids"])
 
     return materialize(rows.mapInArrow(run, "file STRING, part INT, n_ids BIGINT"), "files"), folder
 

@@ -59,7 +59,8 @@ def _coordinates(documents: DataFrame, dimensions: dict[str, str]) -> DataFrame:
     for d in dimensions:
         lo, hi = seen[f"lo_{d}"], seen[f"hi_{d}"]
         scale = ((1 << GRID) - 1) / (hi - lo) if lo is not None and hi > lo else 0.0
-        rows = rows.withColumn(d, F.coalesce(F.expr(f"bigint((_{d} - {lo}D) * {scale!r}D)") if scale else F.lit(0), F.lit(0)).cast("bigint"))
+        at = F.expr(f"bigint((_{d} - {lo!r}D) * {scale!r}D)") if scale else F.lit(0)
+        rows = rows.withColumn(f"at_{d}", F.coalesce(at, F.lit(0)).cast("bigint"))
     return rows.drop(*[f"_{d}" for d in dimensions])
 
 
@@ -142,7 +143,7 @@ def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int
     rows = _coordinates(documents, dimensions)
     if shards is None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    root = kd_tree(rows, list(dimensions), shards)
+    root = kd_tree(rows, [f"at_{d}" for d in dimensions], shards)
     rows = rows.select("doc_id", "size", "text_crc32", F.expr(f"int({root.sql(lambda n: n.first)})").alias("shard"))
     rows = rows.sortWithinPartitions("shard", "doc_id").withColumn("place", F.monotonically_increasing_id())
     rows = materialize(rows, "shards").withColumn("part", F.expr("place >> 33"))

@@ -41,21 +41,26 @@ CLASSES = {
 
 @dataclass(frozen=True)
 class Settings:
-    """Base limits, the largest distances, and the least sizes they apply from."""
+    """Base limits, the largest distances, and the least sizes they apply from.
+
+    A distance may exceed its limit by the noise of a small sample, ``noise``
+    over the square root of the characters or words.
+    """
 
     least_words: int = 10
     repeat_percent: int = 20
-    class_distance: float = 0.25
-    word_distance: float = 0.5
+    class_distance: float = 0.2
+    class_noise: float = 3.0
+    word_distance: float = 0.12
+    word_noise: float = 2.0
     least_chars: int = 200
-    least_common: int = 40
+    least_listed: int = 50
 
 
 def _base(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The base counts of ``text``; ``words`` stays for the histograms."""
     rows = rows.withColumn("_t", F.coalesce("text", F.lit("")))
-    trimmed = F.regexp_replace("_t", f"^[{BLANKS}]+|[{BLANKS}]+$", "")
-    rows = rows.withColumn("_trim", trimmed)
+    rows = rows.withColumn("_trim", F.btrim("_t", F.lit(" \t\n\x0b\f\r")))
     words = F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", f"[{BLANKS}]+"))
     rows = rows.select(*keep, "_t", words.alias("words"))
     full = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
@@ -90,7 +95,7 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _histograms(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``classes`` and ``common``: counts by character class and by common word."""
+    """``classes`` and ``common``: counts by character class, by common word and of other words."""
     left, counts = "_t", []
     for name, pattern in CLASSES.items():
         rows = rows.withColumn(f"_{name}", F.regexp_replace(left, pattern, ""))
@@ -101,10 +106,12 @@ def _histograms(rows: DataFrame, keep: list[str]) -> DataFrame:
         listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
     rows = rows.withColumn("_listed", F.coalesce(listed, F.array(F.lit(NO_WORD))))
     letters = "".join(chr(97 + k) for k in range(max(map(len, COMMON.values()))))
-    # Each word as one letter, "-" for the others, so counts are lengths.
-    coded = F.transform("words", lambda x: F.substring(F.lit("-" + letters), F.array_position(F.col("_listed"), F.lower(x)).cast("int") + 1, F.lit(1)))
+    # Each common word as one letter, so counts are lengths.
+    known = F.filter(F.transform("words", F.lower), lambda x: x.isin(sorted({w for words in COMMON.values() for w in words})))
+    coded = F.transform(known, lambda x: F.substring(F.lit("-" + letters), F.array_position(F.col("_listed"), x).cast("int") + 1, F.lit(1)))
     rows = rows.withColumn("_coded", F.array_join(coded, ""))
     common = [(F.length("_coded") - F.length(F.replace("_coded", F.lit(c)))).cast("double") for c in letters]
+    common.append(F.when(F.col("_listed")[0] != NO_WORD, F.size("words") - F.length(F.replace("_coded", F.lit("-")))).otherwise(0).cast("double"))
     return rows.select(*keep, F.array(*counts, F.length(left).cast("double")).alias("classes"), F.array(*common).alias("common"))
 
 
@@ -130,7 +137,7 @@ def judge(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Base counts, distances and verdict of every row of ``documents``.
 
     ``doc_id``, the counts, ``base_failed``, ``class_distance``, ``word_distance``
-    (null under the least sizes: fewer characters, fewer common words, or a
+    (null under the least sizes: fewer characters, fewer words, or a
     language without a list) and ``kept``. A null text has no words; a null or
     unknown ``lang`` has a reference of its own for the character classes only. An
     empty table gives no rows; other columns are not looked at.
@@ -140,7 +147,7 @@ def judge(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     failed = (F.col("n_words") < settings.least_words) | (100 * F.col("n_repeat_words") > settings.repeat_percent * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed), "histograms")
 
-    n_classes, n_common = len(CLASSES) + 1, max(map(len, COMMON.values()))
+    n_classes, n_common = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
     sums = [F.sum(F.col(c)[k]).alias(f"{c}{k}") for c, n in (("classes", n_classes), ("common", n_common)) for k in range(n)]
     found = rows.where("not base_failed").groupBy("lang").agg(*sums)
     found = found.select(
@@ -152,7 +159,13 @@ def judge(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     for c in ("classes", "common"):
         rows = rows.withColumns({f"_{c}_total": _total(F.col(c)), f"_all_{c}_total": _total(F.col(f"all_{c}"))})
     class_distance = F.when(F.col("_classes_total") >= settings.least_chars, jensen_shannon("classes", "all_classes"))
-    word_distance = F.when(F.col("_common_total") >= settings.least_common, jensen_shannon("common", "all_common"))
+    word_distance = F.when(F.col("_common_total") >= settings.least_listed, jensen_shannon("common", "all_common"))
     rows = rows.withColumns({"class_distance": class_distance, "word_distance": word_distance})
-    near = F.coalesce(F.col("class_distance") <= settings.class_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= settings.word_distance, F.lit(True))
-    return rows.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")
+    limits = {
+        "class_distance": settings.class_distance + settings.class_noise / F.sqrt("_classes_total"),
+        "word_distance": settings.word_distance + settings.word_noise / F.sqrt("_common_total"),
+    }
+    far = F.lit(False)
+    for name, limit in limits.items():
+        far |= F.coalesce(F.col(name) > limit, F.lit(False))
+    return rows.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")

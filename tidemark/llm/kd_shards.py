@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from tidemark.session import lookup_join, materialize, materialize_observed
 
 # Buckets of a histogram, for each node of a level.
-BUCKETS = 2048
-GRID, TIE = 31, 62
+BUCKETS = 1 << 14
+GRID, TIE = 28, 62
 
 DIMENSIONS = {
     "lang": "crc32(coalesce(lang, ''))",
@@ -110,7 +110,7 @@ def _cuts(rows: DataFrame, root: Node, nodes: list[Node], slack: int) -> None:
 def kd_tree(rows: DataFrame, dimensions: list[str], leaves: int) -> Node:
     total = rows.agg(F.sum("size")).first()[0] or 0
     root = Node(leaves, 0, total)
-    slack = max(1, total // leaves // 2000)
+    slack = max(1, total // leaves // 1000)
     while True:
         nodes = [n for n in _ends(root) if n.leaves > 1]
         if not nodes:

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, kd_shards, ngram_join, quality, quality_rules, suffix_dedup, token_counts, token_files, transducer, warc
+from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import prepare
 
 VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
@@ -85,21 +85,6 @@ def op9_warc(spark, sf_dir):
     return warc.warc_index(warc.convert(arcs))
 
 
-ORACLES["op9_warc"] = """
-with payloads as (
-    select page_id, encode(coalesce(html, '')) as payload from pages
-), sized as (
-    select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from payloads
-), first as (
-    select *, min(page_id) over (partition by payload_digest) as first_id from sized
-)
-select page_id, payload_bytes, payload_digest,
-       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
-       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
-from first
-"""
-
-
 @query
 def op7_quality_rules(spark, sf_dir):
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))

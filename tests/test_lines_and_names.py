@@ -24,11 +24,32 @@ def test_bad_lines_are_rejected_with_a_reason(spark):
         "x,6,c": "bad event_ts",
         "5,1_0,c": "bad log_id",
         "5,7.5,c": "bad log_id",
-        "5,3000000000,c": "bad log_id",
+        "5,99999999999999999999,c": "bad log_id",
     }
-    rows = lines(spark, "5, 7 ,ok", *bad)
-    assert [r.log_id for r in parse_lines(rows).collect()] == [7]
+    rows = lines(spark, "5, 7 ,ok", "5,3000000000,big", *bad)
+    assert [r.log_id for r in parse_lines(rows).collect()] == [7, 3_000_000_000]
     assert {r.value: r.reason for r in parse_rejects(rows).collect()} == bad
+    assert [r.log_id for r in parse_lines(rows, id_type="int").collect()] == [7]
+    assert parse_rejects(rows, id_type="int").count() == len(bad) + 1
+
+
+def test_blanks_of_all_scripts_are_stripped(spark):
+    pads = ["\u00a0", "\u3000", "\u2003", "\u0085", "\u2028", "\x1c", "\x1f", "\t \r", "\u202f\u205f\u1680"]
+    rows = lines(spark, *[f"{p}5,{k},a\u00a0b{p}" for k, p in enumerate(pads)])
+    assert [(r.log_id, r.content) for r in parse_lines(rows).orderBy("log_id").collect()] == [(k, "a\u00a0b") for k in range(len(pads))]
+
+
+def test_delays_of_any_id(spark):
+    ids = [0, 999, 1000, -1, -1000, -123456, 2 * 10**15, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(i, 0) for i in ids], "log_id BIGINT, event_ts BIGINT")
+    got = {r.log_id: r.delay_ms for r in inject_delay(rows).collect()}
+    table = delay_quantiles()
+    assert got == {i: table[(i % 1000 * 7919 + i // 1000 * 104729) % 1000] for i in ids}
+    assert {r.log_id for r in lose(rows).collect()} == {i for i in ids if (i * 31 + 7) % 100 >= 2}
+
+
+def test_delay_table_matches_its_stored_facts():
+    assert sum(delay_quantiles()) == 506_172 and max(delay_quantiles()) == 5_116
 
 
 def test_line_round_trip_and_keys(spark):

@@ -10,45 +10,50 @@ KEY_SPREAD = 1001
 VALID = "size(_parts) = 3 and event_ts is not null and log_id is not null"
 
 
+# The characters that pad lines, blanks of all scripts included.
+BLANK = r"[\t-\r\x{1c}- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def strip(value: str) -> str:
-    # trim() removes blanks only; lines may be padded with tabs and the like.
-    return rf"regexp_replace({value}, r'^\s+|\s+$', '')"
+    # trim() removes plain blanks only.
+    return rf"regexp_replace({value}, r'^{BLANK}+|{BLANK}+$', '')"
 
 
-def _fields(lines: DataFrame, value: str) -> DataFrame:
+def _fields(lines: DataFrame, value: str, id_type: str) -> DataFrame:
     split = lines.withColumn("_parts", F.expr(f"split({strip(value)}, ',', 3)"))
     return split.withColumns(
         {
             "event_ts": F.expr("try_cast(get(_parts, 0) as bigint)"),
-            "log_id": F.expr("try_cast(get(_parts, 1) as int)"),
+            "log_id": F.expr(f"try_cast(get(_parts, 1) as {id_type})"),
             "content": F.expr("get(_parts, 2)"),
         }
     )
 
 
-def typed_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+def typed_lines(lines: DataFrame, value: str = "value", id_type: str = "bigint") -> DataFrame:
     """All lines, with null fields where the line is malformed.
 
     For scans that deal raw lines to lanes, where bad lines take their turn too.
     """
-    rows = _fields(lines, value).withColumn("_valid", F.expr(VALID))
+    rows = _fields(lines, value, id_type).withColumn("_valid", F.expr(VALID))
     fields = {c: F.expr(f"if(_valid, {c}, null)") for c in ("event_ts", "log_id", "content")}
     return rows.withColumns(fields).drop("_parts", "_valid", value)
 
 
-def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_lines(lines: DataFrame, value: str = "value", id_type: str = "bigint") -> DataFrame:
     """Typed events; lines with missing fields or bad integers are left out.
 
     Commas after the second one stay in ``content``. Other columns pass through.
+    With ``id_type="int"`` ids of 2**31 and above are bad, as in the original job.
     """
-    return _fields(lines, value).where(VALID).drop("_parts", value)
+    return _fields(lines, value, id_type).where(VALID).drop("_parts", value)
 
 
-def parse_rejects(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_rejects(lines: DataFrame, value: str = "value", id_type: str = "bigint") -> DataFrame:
     """The lines ``parse_lines`` leaves out, with the reason."""
     reason = """case when size(_parts) < 3 then 'missing field'
                      when event_ts is null then 'bad event_ts' else 'bad log_id' end"""
-    rows = _fields(lines, value).where(f"not ({VALID})").withColumn("reason", F.expr(reason))
+    rows = _fields(lines, value, id_type).where(f"not ({VALID})").withColumn("reason", F.expr(reason))
     return rows.drop("_parts", "event_ts", "log_id", "content")
 
 

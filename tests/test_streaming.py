@@ -16,7 +16,7 @@ def feed(spark, tmp_path):
     rows = [(n, f"{int(t * 1000)},{10 * n + i},c") for n, times in enumerate(FILES) for i, t in enumerate(times)]
     rows.append((2, "not a line"))
     folder = str(tmp_path / "feed")
-    write_feed(spark.createDataFrame(rows, "slice INT, value STRING"), "slice", len(FILES), folder)
+    assert write_feed(spark.createDataFrame(rows, "slice INT, value STRING"), "slice", folder) == 1
     assert read_lines(spark, folder).count() == len(rows)
     return folder
 
@@ -68,3 +68,65 @@ def test_late_split_survives_a_restart(spark, feed, tmp_path):
     job.start(parse_lines(stream_lines(spark, feed)), checkpoint).awaitTermination()
     assert sorted(r.log_id for r in job.late(spark).collect()) == late
     assert {r.window_end: r.count_actual for r in job.metrics(spark).collect()} == closed
+
+
+def batches(spark, folder, files, tmp_path):
+    """The lines of every micro-batch of a feed."""
+    found = {}
+
+    def take(batch, number):
+        found[number] = sorted(r.value for r in batch.collect())
+
+    writer = stream_lines(spark, folder, files).writeStream.foreachBatch(take)
+    writer.option("checkpointLocation", str(tmp_path / "feed-check")).trigger(availableNow=True).start().awaitTermination()
+    return [found[k] for k in sorted(found)]
+
+
+def test_feed_keeps_every_row_and_one_batch_a_slice(spark, tmp_path):
+    sizes = {None: 3, -7: 25, 4: 1, 5: 11, 900: 40}
+    rows = [(s, f"{s}-{k}") for s, n in sizes.items() for k in range(n)]
+    folder = str(tmp_path / "uneven")
+    files = write_feed(spark.createDataFrame(rows, "slice INT, value STRING").repartition(3), "slice", folder, rows_per_file=10)
+    assert files == 4
+    assert batches(spark, folder, files, tmp_path) == [sorted(v for s, v in rows if s == own) for own in sizes]
+
+
+def test_feed_reports_rows_that_do_not_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "one"), (0, "two\nlines")], "slice INT, value STRING")
+    with pytest.raises(ValueError, match="3 of 2"):
+        write_feed(rows, "slice", str(tmp_path / "broken"))
+    assert write_feed(rows.limit(0), "slice", str(tmp_path / "none")) == 1
+
+
+def test_open_windows_do_not_pile_up(spark, feed, tmp_path):
+    job = LateSplit(str(tmp_path / "job"), tumbling(2000), 0, 1)
+    job.start(parse_lines(stream_lines(spark, feed)), str(tmp_path / "checkpoint")).awaitTermination()
+    turns = sorted(p.name for p in (tmp_path / "job" / "open").iterdir() if not p.name.endswith("-all"))
+    assert turns == ["turn=0", "turn=1"]
+    closed = job.metrics(spark).select("task_id", "window_end")
+    assert closed.count() == closed.distinct().count()
+
+
+def test_watermark_is_the_minimum_over_sources(spark, tmp_path):
+    job = LateSplit(str(tmp_path / "job"), tumbling(1000), 0, 1, sources=2)
+    schema = "event_ts BIGINT, log_id BIGINT, content STRING, source STRING"
+    steps = [[(5000, 1, "c", "a")], [(1000, 2, "c", "b")], [(900, 3, "c", "a")], [(9000, 4, "c", "b")], [(3000, 5, "c", "a")]]
+    for n, rows in enumerate(steps):
+        job.process(spark.createDataFrame(rows, schema), n)
+    # No watermark before both have sent, then 1000 and, from batch 3 on, 5000.
+    assert [r.log_id for r in job.late(spark).orderBy("log_id").collect()] == [3, 5]
+    assert {r.window_end: r.current_wm for r in job.metrics(spark).collect()} == {2000: 4999}
+    with pytest.raises(ValueError, match="declared"):
+        job.process(spark.createDataFrame([(1, 1, "c", "third")], schema), 5)
+
+
+def test_a_stream_runs_until_it_is_stopped(spark, feed, tmp_path):
+    metrics = window_stream(parse_lines(stream_lines(spark, feed)), tumbling(2000), 0, 1, run={"run_id": "'r1'"})
+    query = start_native(metrics, str(tmp_path / "out"), str(tmp_path / "checkpoint"), {"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    rows = spark.read.schema(metrics.schema).parquet(str(tmp_path / "out")).collect()
+    assert {r.window_end: r.count_actual for r in rows} == {2000: 3, 4000: 2, 6000: 3} and {r.run_id for r in rows} == {"r1"}

@@ -1,21 +1,20 @@
 """Window stream that keeps its late events.
 
 Each micro-batch ``n`` reads what batch ``n - 1`` left (the watermark and the
-partial aggregates of open windows), splits off late events, adds the rest to the
-partials, and moves the watermark. Everything it writes goes to folders named
-after the batch and is overwritten if the batch is run again, so a restart after
-a failure gives the same result. A batch reads only what one batch left behind:
-state does not grow with the length of the stream.
-
-Folders below ``root``, each with one ``batch_id=<n>`` per batch: ``windows``
-aggregates of the windows that were open at the start of the batch (those closed
-by its watermark are final), ``late`` late events, ``accepted`` the other events
-per window (optional), ``watermark`` one row.
+partial counts of open windows), splits off late events, adds the rest to the
+counts, and moves the watermark. What it writes is overwritten if the batch is
+run again, so a restart after a failure gives the same result.
+
+Folders below ``root``: ``late``, ``closed`` and ``accepted`` (optional) have one
+``batch_id=<n>`` per batch, with its late events, the windows that its watermark
+closed, each written once, and the other events by window. ``open`` holds the
+partial counts of the windows still open, in two folders that batches use in
+turn, so it does not grow with the stream. ``watermark`` has one row per batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,51 +24,74 @@ from tidemark.operators.trace import LATE, NO_WINDOW, NORMAL
 from tidemark.operators.window_metrics import id_gaps
 from tidemark.operators.windows import WindowSpec
 
+STEP = "seen_before BIGINT, seen_ts BIGINT, tops ARRAY<STRUCT<source: STRING, top: BIGINT>>, processed_ts BIGINT"
 PARTIALS = "task_id BIGINT, window_end BIGINT, count_actual BIGINT, min_id BIGINT, max_id BIGINT"
 
 
 class LateSplit:
     """``foreachBatch`` handler; ``start`` runs it on a stream of parsed events.
 
-    ``root`` and the checkpoint belong together: begin both anew, or neither.
+    ``root`` and the checkpoint belong together: begin both anew, or neither. If
+    events have a ``source`` (a partition, file or sender), the watermark is the
+    minimum over the ``sources`` declared, and there is none before all have sent.
     """
 
-    def __init__(self, root: str, spec: WindowSpec, lag_ms: int, lanes: int, keep_events: bool = False):
+    def __init__(
+        self, root: str, spec: WindowSpec, lag_ms: int, lanes: int, keep_events: bool = False, sources: int = 1
+    ):
         self.root = root.rstrip("/")
-        self.spec, self.lag_ms, self.lanes, self.keep_events = spec, lag_ms, lanes, keep_events
+        self.spec, self.lag_ms, self.lanes, self.keep_events, self.sources = spec, lag_ms, lanes, keep_events, sources
 
-    def start(self, events: DataFrame, checkpoint: str) -> StreamingQuery:
-        writer = events.writeStream.foreachBatch(self.process)
-        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def start(self, events: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        """Processes what is available and ends, or runs on with a ``trigger``.
+
+        ``{"processingTime": "10 seconds"}`` is such a trigger.
+        """
+        writer = events.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def _folder(self, kind: str, batch_id: int) -> str:
         return f"{self.root}/{kind}/batch_id={batch_id}"
 
-    def _previous(self, spark: SparkSession, batch_id: int) -> tuple[int | None, DataFrame]:
-        """Highest event time seen and open partials after the batch before."""
+    def _open(self, batch_id: int) -> str:
+        return f"{self.root}/open/turn={batch_id % 2}"
+
+    def _previous(self, spark: SparkSession, batch_id: int) -> tuple[dict[str, int], DataFrame]:
+        """Highest event time of every source seen, and the open windows, after the batch before."""
         if batch_id == 0:
-            return None, spark.createDataFrame([], PARTIALS)
-        seen = spark.read.parquet(self._folder("watermark", batch_id - 1)).first()["seen_ts"]
-        partials = spark.read.schema(PARTIALS).parquet(self._folder("windows", batch_id - 1))
-        return seen, partials.where(f"not {self._closed(self._long(seen))}")
+            return {}, spark.createDataFrame([], PARTIALS)
+        row = spark.read.schema(STEP).parquet(self._folder("watermark", batch_id - 1)).first()
+        return {s.source: s.top for s in row.tops}, spark.read.schema(PARTIALS).parquet(self._open(batch_id - 1))
+
+    def _seen(self, tops: dict[str, int]) -> int | None:
+        """The lowest of the highest event times, once every source has one."""
+        return min(tops.values()) if len(tops) >= self.sources else None
 
     def _closed(self, seen: str) -> str:
         return f"coalesce({seen} - window_end >= {self.lag_ms}, false)"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen, partials = self._previous(spark, batch_id)
+        tops, partials = self._previous(spark, batch_id)
+        seen = self._seen(tops)
         task = f"{lane_of('log_id', self.lanes)} as task_id"
-        batch = batch.select("event_ts", "log_id", *[c for c in ("content",) if c in batch.columns])
-        rows = batch.withColumn("seen_ts", F.lit(seen).cast("bigint")).persist()
-
+        source = F.col("source").cast("string") if "source" in batch.columns else F.lit("")
+        found = batch.groupBy(source.alias("source")).agg(F.max("event_ts").alias("top")).where("top is not null").collect()
+        tops |= {r.source: max(r.top, tops.get(r.source, r.top)) for r in found}
+        if len(tops) > self.sources:
+            raise ValueError(f"{len(tops)} sources where {self.sources} are declared")
+        seen_after = self._seen(tops)
+
+        rows = batch.select("event_ts", "log_id", *[c for c in ("content",) if c in batch.columns])
+        rows = rows.withColumn("seen_ts", F.lit(seen).cast("bigint"))
         late = with_overrun(rows, self.spec).where(f"overrun >= {self.lag_ms}").drop("overrun", "seen_ts")
         late = late.selectExpr(task, "*", f"'{LATE}' as status", f"bigint({NO_WINDOW}) as window_end")
         late.write.mode("overwrite").parquet(self._folder("late", batch_id))
 
-        top = Observation()
-        pairs = window_pairs(rows.observe(top, F.max("event_ts").alias("top")), self.spec)
+        pairs = window_pairs(rows, self.spec)
         pairs = pairs.where(f"not {closed(self.lag_ms)}").drop("overrun", "seen_ts").selectExpr(task, "*")
+        if self.keep_events:
+            pairs.write.mode("overwrite").parquet(self._folder("accepted", batch_id))
         new = pairs.groupBy("task_id", "window_end").agg(
             F.count("*").alias("count_actual"),
             F.expr("min(bigint(log_id)) as min_id"),
@@ -78,18 +100,16 @@ class LateSplit:
         merged = new.unionByName(partials).groupBy("task_id", "window_end").agg(
             F.sum("count_actual").alias("count_actual"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id")
         )
-        merged.write.mode("overwrite").parquet(self._folder("windows", batch_id))
-        if self.keep_events:
-            pairs.write.mode("overwrite").parquet(self._folder("accepted", batch_id))
-
-        seen_after = max((t for t in (seen, top.get["top"]) if t is not None), default=None)
-        after = spark.range(1).selectExpr(
-            f"{self._long(seen)} as seen_before",
-            f"{self._long(seen_after)} as seen_ts",
-            "unix_millis(current_timestamp()) as processed_ts",
-        )
+        merged = merged.withColumn("closed", F.expr(self._closed(self._long(seen_after))))
+        turn = self._open(batch_id)
+        merged.write.mode("overwrite").partitionBy("closed").parquet(f"{turn}-all")
+        both = spark.read.schema(f"{PARTIALS}, closed BOOLEAN").parquet(f"{turn}-all")
+        both.where("closed").drop("closed").write.mode("overwrite").parquet(self._folder("closed", batch_id))
+        both.where("not closed").drop("closed").write.mode("overwrite").parquet(turn)
+
+        after = spark.createDataFrame([(seen, seen_after, sorted(tops.items()))], STEP.replace(", processed_ts BIGINT", ""))
+        after = after.withColumn("processed_ts", F.expr("unix_millis(current_timestamp())"))
         after.write.mode("overwrite").parquet(self._folder("watermark", batch_id))
-        rows.unpersist()
 
     @staticmethod
     def _long(value: int | None) -> str:
@@ -107,8 +127,7 @@ class LateSplit:
 
     def metrics(self, spark: SparkSession) -> DataFrame:
         """Metric rows of all windows closed so far, with the watermark that closed them."""
-        rows = self._all(spark, "windows").join(self._all(spark, "watermark"), "batch_id")
-        rows = rows.where(self._closed("seen_ts")).selectExpr(
+        rows = self._all(spark, "closed").join(self._all(spark, "watermark"), "batch_id").selectExpr(
             "batch_id",
             "task_id",
             f"{lane_key('task_id', self.lanes)} as key",

@@ -16,8 +16,15 @@ from tidemark.operators.window_metrics import id_gaps
 from tidemark.operators.windows import WindowSpec
 
 
-def window_stream(events: DataFrame, spec: WindowSpec, lag_ms: int, lanes: int) -> DataFrame:
-    """Streaming metrics of parsed events; state is one row per (key, open window)."""
+def window_stream(
+    events: DataFrame, spec: WindowSpec, lag_ms: int, lanes: int, run: dict[str, str] | None = None
+) -> DataFrame:
+    """Streaming metrics of parsed events; state is one row per (key, open window).
+
+    ``run`` adds constant columns, by name and expression, that tell runs apart in
+    a shared output. The watermark a window fired at is not known to a plain
+    aggregation; ``LateSplit`` has it.
+    """
     timed = events.withColumn("event_time", F.expr("timestamp_millis(event_ts)"))
     slide = None if spec.is_tumbling else f"{spec.slide_ms} milliseconds"
     window = F.window("event_time", f"{spec.size_ms} milliseconds", slide)
@@ -36,10 +43,15 @@ def window_stream(events: DataFrame, spec: WindowSpec, lag_ms: int, lanes: int)
         "max_id",
     )
     rows = rows.withColumn("trigger_ts", F.expr("unix_millis(current_timestamp())"))
-    return id_gaps(rows, lanes).withColumn("lag_system", F.expr("trigger_ts - window_end"))
+    rows = id_gaps(rows, lanes).withColumn("lag_system", F.expr("trigger_ts - window_end"))
+    return rows.withColumns({name: F.expr(value) for name, value in (run or {}).items()})
 
 
-def start_native(metrics: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Append every closed window once to ``output``; processes what is available."""
+def start_native(metrics: DataFrame, output: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append every closed window once to ``output``.
+
+    Processes what is available and ends; with ``trigger``, for example
+    ``{"processingTime": "10 seconds"}``, it runs until it is stopped.
+    """
     writer = metrics.writeStream.outputMode("append").format("parquet").option("path", output)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

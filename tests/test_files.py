@@ -122,3 +122,47 @@ def test_lookup_join_beyond_the_broadcast_limit(spark, monkeypatch):
     monkeypatch.setattr(session_module, "BROADCAST_ROWS", 0)
     large = lookup_join(left, right, ["k"], "left")
     assert sorted(map(str, large.collect())) == small and len(small) == 3
+
+
+TRACE_NAME = "3p1klag-all-data-trace_P3_task-0.csv"
+
+
+def test_content_with_commas_and_bad_lines(spark, tmp_path):
+    lines = [
+        "0,3000,1500,2,a,b,c,NORMAL,2000", '1,3000,1500,3,"quoted, ""twice""",LATE,-1', "2,3000,1500,4,,NORMAL,2000", "0,3000,1500",
+        "0,x,1500,5,c,NORMAL,2000", "0,3000,1500,6,c,OTHER,2000", "0,3000,1500,7,c,NORMAL,", "",
+    ]
+    (tmp_path / TRACE_NAME).write_text(TRACE_HEAD + "\n".join(lines) + "\n")
+    rows = run_files.read_traces(spark, str(tmp_path)).orderBy("log_id").collect()
+    assert [(r.log_id, r.content, r.status, r.window_end) for r in rows] == [
+        (2, "a,b,c", "NORMAL", 2000), (3, 'quoted, "twice"', "LATE", -1), (4, "", "NORMAL", 2000),
+    ]
+    found = {r.value: r.reason for r in run_files.rejects(spark, str(tmp_path)).collect()}
+    assert found == dict(zip(lines[3:7], ["number of fields", "bad sys_ts", "bad status", "bad window_end"], strict=True))
+
+
+def test_metric_rejects(spark, tmp_path):
+    name = "3p1klag-window_Tumbling_P3_task-0.csv"
+    (tmp_path / name).write_text(METRIC_HEAD + "0,2000,3000,1,1,0,1000,2499\n0,2000,3000,1,1,0,1000\n0,2000,3000,1,1,0,1000,9,9\n")
+    assert run_files.read_metrics(spark, str(tmp_path)).count() == 1
+    assert [r.reason for r in run_files.rejects(spark, str(tmp_path), "metrics").collect()] == ["number of fields"] * 2
+
+
+def test_no_file_is_reported_when_all_can_be_read(spark, stored):
+    assert run_files.read_traces(spark, stored, skip_corrupt=True).count() == 8
+    assert run_files.unread_files(spark, stored).count() == 0
+
+
+def test_lines_become_one_file_a_name(spark, tmp_path):
+    lines = spark.createDataFrame([("r_task-0", "a,b"), ("r_task-0", "c"), ("x p_task-1", "d")], "file STRING, value STRING")
+    run_files.write_lines(lines, str(tmp_path / "out"), "head")
+    texts = {p.name: p.read_text() for p in (tmp_path / "out").glob("*.csv")}
+    assert sorted(texts) == ["r_task-0.csv", "x p_task-1.csv"]
+    assert texts["r_task-0.csv"].startswith("head\n") and sorted(texts["r_task-0.csv"].split()) == ["a,b", "c", "head"]
+
+
+def test_tradeoff_sink_takes_a_run_name(spark, tmp_path):
+    table = spark.createDataFrame([("tumbling", 1000, 1.0, 0.1, 2.0, 0.5)], "window_type STRING, lag_ms INT, lag_s DOUBLE, drop_rate DOUBLE, avg_latency_s DOUBLE, avg_trigger_delay_s DOUBLE")
+    sinks.write_tradeoff(table, str(tmp_path / "t"), "concat(window_type, '-', lag_ms)")
+    row = spark.read.option("header", True).csv(str(tmp_path / "t")).first()
+    assert row.Experiment == "tumbling-1000" and row.Type == "Tumbling Window"

@@ -2,13 +2,19 @@
 
 Trace and window metric files of sliding runs share their run prefix and differ
 in a suffix only, so the kind is taken from the whole file name.
+
+Trace lines are stored without quotes, so ``content`` may hold commas: the first
+four and the last two fields are fixed, and what is between them is content.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.naming import lag_seconds, run_prefix, task_number
+from tidemark.session import scratch_path
 from tidemark.sources import schemas
 
 # File name patterns.
@@ -17,32 +23,107 @@ METRIC_FILES = "{*-window_*_task-*.csv,*_task-*_metrics.csv}"
 RUN_FILES = "*_task-*.csv"
 
 
-def _read(spark: SparkSession, folder: str, pattern: str, layout: str) -> DataFrame:
-    reader = spark.read.schema(layout).option("header", True).option("pathGlobFilter", pattern)
-    rows = reader.option("ignoreCorruptFiles", True).csv(folder)
-    named = rows.selectExpr("*", "_metadata.file_name as file_name")
-    return named.selectExpr(
+def _lines(spark: SparkSession, folder: str, pattern: str, layout: str, skip_corrupt: bool) -> DataFrame:
+    """The lines of all files but headers and empty lines, with run, lag and task."""
+    reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", skip_corrupt)
+    rows = reader.text(folder).selectExpr("value", "_metadata.file_name as file_name")
+    header = ",".join(schemas.names(layout))
+    rows = rows.where(f"trim(value) <> '' and trim(value) <> '{header}'")
+    return rows.selectExpr(
         f"{run_prefix('file_name')} as run_id",
         f"bigint({lag_seconds('file_name')} * 1000) as lag_ms",
         f"{task_number('file_name')} as file_task",
-        "*",
+        "file_name",
+        "value",
+        "split(value, ',', -1) as _parts",
     )
 
 
-def read_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """All trace files of a folder in one scan, with run, lag and file name."""
-    return _read(spark, folder, TRACE_FILES, schemas.TRACE)
-
-
-def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """All window metric files of a folder in one scan."""
-    return _read(spark, folder, METRIC_FILES, schemas.METRICS)
+def _typed(rows: DataFrame, layout: str) -> DataFrame:
+    """Typed fields, and ``reason`` for lines that do not fit the layout."""
+    fields = [f.split() for f in layout.split(", ")]
+    free = schemas.names(layout).index("content") if "content" in layout else None
+    size = len(fields)
+    casts = {}
+    for k, (name, kind) in enumerate(fields):
+        if k == free:
+            joined = f"array_join(slice(_parts, {k + 1}, size(_parts) - {size - 1}), ',')"
+            unquoted = f"replace(substr({joined}, 2, length({joined}) - 2), '\"\"', '\"')"
+            text = f"if({joined} like '\"%\"' and length({joined}) > 1, {unquoted}, {joined})"
+        else:
+            at = k if free is None or k < free else f"size(_parts) - {size - k}"
+            text = f"trim(get(_parts, {at}))"
+        casts[name] = f"try_cast({text} as {kind})"
+    fits = f"size(_parts) >= {size}" if free is not None else f"size(_parts) = {size}"
+    numbers = [name for name, kind in fields if kind != "STRING"]
+    reason = f"case when not ({fits}) then 'number of fields'"
+    reason += "".join(f" when {casts[n]} is null then 'bad {n}'" for n in numbers)
+    if free is not None:
+        reason += f" when {casts['status']} not in ('NORMAL', 'LATE') then 'bad status'"
+    checked = [f"if({fits}, {casts[n]}, null) as {n}" for n, _ in fields]
+    return rows.selectExpr(*[c for c in rows.columns if c != "_parts"], f"{reason} end as reason", *checked)
+
+
+def _read(spark: SparkSession, folder: str, pattern: str, layout: str, skip_corrupt: bool) -> DataFrame:
+    rows = _typed(_lines(spark, folder, pattern, layout, skip_corrupt), layout)
+    return rows.where("reason is null").drop("reason", "value")
+
+
+def read_traces(spark: SparkSession, folder: str, skip_corrupt: bool = False) -> DataFrame:
+    """All trace files of a folder in one scan, with run, lag and file name.
+
+    Lines that do not fit are left out; ``rejects`` lists them. A file that cannot
+    be read fails the scan, unless ``skip_corrupt``; ``unread_files`` lists those.
+    """
+    return _read(spark, folder, TRACE_FILES, schemas.TRACE, skip_corrupt)
+
+
+def read_metrics(spark: SparkSession, folder: str, skip_corrupt: bool = False) -> DataFrame:
+    """All window metric files of a folder in one scan, as ``read_traces``."""
+    return _read(spark, folder, METRIC_FILES, schemas.METRICS, skip_corrupt)
+
+
+def rejects(spark: SparkSession, folder: str, kind: str = "trace", skip_corrupt: bool = False) -> DataFrame:
+    """The lines that ``read_traces`` or ``read_metrics`` leaves out, with the reason."""
+    pattern, layout = (TRACE_FILES, schemas.TRACE) if kind == "trace" else (METRIC_FILES, schemas.METRICS)
+    rows = _typed(_lines(spark, folder, pattern, layout, skip_corrupt), layout)
+    return rows.where("reason is not null").select("run_id", "file_name", "value", "reason")
+
+
+def unread_files(spark: SparkSession, folder: str, kind: str = "trace") -> DataFrame:
+    """``file_name`` of the run files from which a scan with ``skip_corrupt`` gets no line."""
+    pattern = TRACE_FILES if kind == "trace" else METRIC_FILES
+    reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
+    read = reader.text(folder).selectExpr("_metadata.file_name as file_name").distinct()
+    return _listed(spark, folder, pattern).join(read, "file_name", "left_anti")
+
+
+def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.selectExpr("url_decode(element_at(split(path, '/'), -1)) as file_name")
+
+
+def write_lines(lines: DataFrame, folder: str, header: str) -> None:
+    """Writes ``file, value`` lines as one plain file for every ``file``, named after it.
+
+    A task holds the lines of whole files, as the jobs of a run write them.
+    """
+    staged = scratch_path(lines.sparkSession, "run-lines")
+    head = lines.select("file").distinct().selectExpr("file", f"'{header}' as value", "0 as place")
+    rows = lines.selectExpr("file", "value", "1 as place").unionByName(head)
+    rows = rows.repartition("file").sortWithinPartitions("file", "place").drop("place")
+    rows.write.partitionBy("file").text(staged)
+    jvm, conf = lines.sparkSession._jvm, lines.sparkSession._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(conf)
+    files.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/file=*/part-*")):
+        name = found.getPath().getParent().getName().removeprefix("file=")
+        files.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"{unquote(name)}.csv"))
 
 
 def discover_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct run prefixes in a folder, from the file listing alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", RUN_FILES).load(folder)
-    names = files.selectExpr("element_at(split(path, '/'), -1) as file_name")
+    names = _listed(spark, folder, RUN_FILES)
     return names.selectExpr(f"{run_prefix('file_name')} as run_id").distinct().orderBy("run_id")
 
 

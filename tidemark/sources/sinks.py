@@ -6,7 +6,7 @@ Parquet is the default; CSV writes the stored file layouts, with quoting.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.sources import schemas
 
@@ -24,6 +24,12 @@ def write_table(rows: DataFrame, path: str, run: list[str] | None = None, fmt: s
     writer.save(path)
 
 
+def read_table(spark: SparkSession, path: str, layout: str, run: list[str] | None = None, fmt: str = "csv") -> DataFrame:
+    """A table written by one of the sinks, with its run columns as text."""
+    schema = ", ".join([layout, *(f"{c} STRING" for c in run or [])])
+    return spark.read.format(fmt).schema(schema).option("header", True).load(path)
+
+
 def write_metrics(metrics: DataFrame, path: str, run: list[str], fmt: str = "parquet") -> None:
     write_table(metrics.select(*run, *schemas.names(schemas.METRICS)), path, run, fmt)
 
@@ -38,11 +44,14 @@ def write_series(series: DataFrame, path: str, run: list[str], fmt: str = "csv")
     write_table(rows, path, run, fmt)
 
 
-def write_tradeoff(table: DataFrame, path: str) -> None:
-    """The trade-off table in its stored layout, sorted by lag. One row per run."""
+def write_tradeoff(table: DataFrame, path: str, run_id: str = "run_id") -> None:
+    """The trade-off table in its stored layout, sorted by lag. One row per run.
+
+    ``run_id`` is the run's name, a column or an expression over the table.
+    """
     kinds = "concat(initcap(window_type), ' Window')"
     rows = table.selectExpr(
-        "run_id as Experiment",
+        f"{run_id} as Experiment",
         "lag_s as Lag",
         "drop_rate as DropRate",
         "avg_latency_s as AvgLatency",

@@ -4,9 +4,9 @@ import pytest
 
 from tests.model import StreamJob
 from tidemark.operators import prefix
-from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan
+from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, narrower_width, range_bucket_count
 from tidemark.operators.firing import slot_grids
-from tidemark.operators.lateness import drop_rates, late_events, partial_misses
+from tidemark.operators.lateness import drop_rates, late_events, late_events_sweep, partial_misses
 from tidemark.operators.trace import replay_totals, trace_rows, trace_totals
 from tidemark.operators.window_metrics import window_firing, window_metrics
 from tidemark.operators.windows import WindowSpec, assign_windows, sliding, tumbling
@@ -224,3 +224,30 @@ def test_dense_range_in_parts(spark):
     frame = spark.createDataFrame([("a", 10), ("b", 0)], "k STRING, last BIGINT")
     got = sorted((r.k, r.i) for r in prefix.dense_range(frame, "last", "i", 4).collect())
     assert got == [("a", i) for i in range(11)] + [("b", 0)]
+
+
+def test_bucket_counts_stay_bounded():
+    assert range_bucket_count(0, 1_000_000, 200) == 1
+    assert range_bucket_count(10**12, 1_000_000, 200) == 800
+    assert range_bucket_count(10**12, 1_000_000, 10**6) == 50_000
+    assert narrower_width(86_400_000, 10**9, 365, 10**6) == 86_400_000 // 1000 or narrower_width(86_400_000, 10**9, 365, 10**6) == 86_400_000
+    assert narrower_width(86_400_000, 5 * 10**7, 365, 10**6) == 86_400_000 // 50
+    assert narrower_width(1, 10**9, 5, 10**6) == 1
+
+
+def test_narrower_buckets_and_a_hot_millisecond_give_the_same_scan(log):
+    pairs = [(1000 * k, 1000 * k - k % 7) for k in range(200)] + [(50_000, 40_000 + k) for k in range(300)]
+    frame = log(pairs)
+
+    def seen(**options):
+        return {r.log_id: r.seen_ts for r in arrival_scan(frame, 3, bucket_ms=10**6, **options).collect()}
+
+    assert seen() == seen(rows_per_bucket=20, hot_rows=40) == seen(rows_per_bucket=20, hot_rows=400)
+
+
+def test_late_sweep_is_the_late_events_of_every_lag(log):
+    scan = materialize(arrival_scan(log(disorderly(300, 4)), 3), "sweep")
+    sweep = [(tumbling(2000), [0, 500]), (sliding(2000, 1000), [0, 1000])]
+    got = sorted((r.window_type, r.lag_ms, r.log_id, r.late_by_ms) for r in late_events_sweep(scan, sweep).collect())
+    want = [(s.kind, lag, r.log_id, r.late_by_ms) for s, lags in sweep for lag in lags for r in late_events(scan, s, lag).collect()]
+    assert got == sorted(want) and want

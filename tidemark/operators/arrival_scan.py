@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import lookup_join, materialize, materialize_observed
+from tidemark.session import BROADCAST_ROWS, lookup_join, materialize, materialize_observed
 
 ORDER = ["arrival_ts", "log_id", "event_ts"]
 ROWS_PER_BUCKET = 1_000_000
@@ -29,6 +29,24 @@ def time_bucket_width(rows: DataFrame, rows_per_bucket: int) -> int:
     return 1 if not n else max(1, (high - low + 1) * rows_per_bucket // n)
 
 
+def range_bucket_count(total: int, rows_per_bucket: int, parallelism: int) -> int:
+    """A few buckets a task at most, however many rows: large ones sort with spills.
+
+    The sampler behind a range partitioning needs many rows for every bound, and
+    the rows carried over, one a bucket, must stay small enough to broadcast.
+    """
+    return max(1, min(-(-total // rows_per_bucket), 4 * parallelism, BROADCAST_ROWS // 4))
+
+
+def narrower_width(bucket_ms: int, fullest: int, buckets: int, rows_per_bucket: int) -> int:
+    """A width at which the fullest bucket would be full, if its rows were spread evenly.
+
+    Unchanged if no narrower width helps or the buckets would be too many.
+    """
+    width = max(1, bucket_ms * rows_per_bucket // max(1, fullest))
+    return width if width < bucket_ms and buckets * -(-bucket_ms // width) <= BROADCAST_ROWS else bucket_ms
+
+
 def range_buckets(rows: DataFrame, by: list[str], buckets: int) -> DataFrame:
     """Buckets of even size from a range partitioning on the sort key.
 
@@ -88,26 +106,32 @@ def arrival_scan(
     turn in the dealing but moves no watermark.
     """
     by = list(by)
+    parallelism = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot_rows = hot_rows or 4 * rows_per_bucket
     if bucket_ms is None:
         bucket_ms = time_bucket_width(rows, rows_per_bucket)
-    timed = rows.withColumn("bucket", F.expr(f"arrival_ts div {bucket_ms}"))
-    counted = timed.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.max("event_ts").alias("top_0"))
-    histogram, found = materialize_observed(
-        counted,
-        "arrival-histogram",
-        F.expr("coalesce(max(n), 0L) as fullest"),
-        F.expr("count(1) as buckets"),
-        F.expr("coalesce(sum(n), 0L) as total"),
-    )
-    balanced = found["fullest"] <= hot_rows
+    for _ in range(2):
+        timed = rows.withColumn("bucket", F.expr(f"arrival_ts div {bucket_ms}"))
+        counted = timed.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.max("event_ts").alias("top_0"))
+        histogram, found = materialize_observed(
+            counted,
+            "arrival-histogram",
+            F.expr("coalesce(max(n), 0L) as fullest"),
+            F.expr("count(1) as buckets"),
+            F.expr("coalesce(sum(n), 0L) as total"),
+        )
+        balanced = found["fullest"] <= hot_rows
+        width = narrower_width(bucket_ms, found["fullest"], found["buckets"], rows_per_bucket)
+        if balanced or width == bucket_ms:
+            break
+        bucket_ms = width
 
     if balanced and lanes == 1:
         # The histogram already holds all that is carried over.
         scanned = _bucket_scan(timed, by, 1)
         carried, n_buckets = _carry(histogram, by, 1), found["buckets"]
     else:
-        bucketed = timed if balanced else range_buckets(rows, by, -(-found["total"] // rows_per_bucket))
+        bucketed = timed if balanced else range_buckets(rows, by, range_bucket_count(found["total"], rows_per_bucket, parallelism))
         scanned = _bucket_scan(bucketed, by, lanes)
         scanned = materialize(scanned, "arrival-scan")
         tops = [F.max(f"top_{r}").alias(f"top_{r}") for r in range(lanes)]

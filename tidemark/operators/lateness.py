@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arith import floor_div, ratio
-from tidemark.operators.windows import WindowSpec, assign_windows, last_window_end, windows_held
+from tidemark.operators.windows import Sweep, WindowSpec, assign_windows, last_window_end, windows_held
 
 
 def with_overrun(scan: DataFrame, spec: WindowSpec, keep: list[str] | None = None) -> DataFrame:
@@ -46,6 +46,18 @@ def late_events(scan: DataFrame, spec: WindowSpec, lag_ms: int) -> DataFrame:
     return late.withColumns({"lag_ms": F.expr(f"bigint({lag_ms})"), "late_by_ms": F.expr("arrival_ts - event_ts")})
 
 
+def late_events_sweep(scan: DataFrame, sweep: Sweep) -> DataFrame:
+    """``late_events`` of every window type and lag, from one pass over the rows."""
+    overruns, entries = [], []
+    for s, (spec, lags) in enumerate(sweep):
+        overruns.append(f"seen_ts - {last_window_end(spec)} as _overrun_{s}")
+        for lag in lags:
+            entries.append(f"if(_overrun_{s} >= {lag}, named_struct('window_type', '{spec.kind}', 'lag_ms', {lag}L), null)")
+    rows = scan.where("event_ts is not null").selectExpr("*", *overruns)
+    rows = rows.selectExpr(*scan.columns, f"inline(filter(array({', '.join(entries)}), x -> x is not null))")
+    return rows.withColumn("late_by_ms", F.expr("arrival_ts - event_ts"))
+
+
 def partial_misses(scan: DataFrame, spec: WindowSpec, lag_ms: int) -> DataFrame:
     """Accepted events that silently lost some of their windows (sliding only)."""
     rows = with_overrun(scan, spec).where(f"overrun < {lag_ms}")

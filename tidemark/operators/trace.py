@@ -39,7 +39,8 @@ def trace_rows(
         F.expr("map_from_entries(collect_list(struct(lag_ms, trigger_ts))) as fired_at")
     )
     pairs = [window_pairs(scan, spec).withColumn("window_type", F.lit(spec.kind)) for spec, _ in sweep]
-    joined = lookup_join(reduce(DataFrame.unionByName, pairs), fired, run, how="left")
+    width = max(len(ns) for _, ns in sweep)
+    joined = lookup_join(reduce(DataFrame.unionByName, pairs), fired, run, how="left", row_width=width)
 
     lags = " ".join(f"when '{spec.kind}' then array({', '.join(f'{n}L' for n in ns)})" for spec, ns in sweep)
     last = " ".join(f"when '{spec.kind}' then {last_window_end(spec)}" for spec, _ in sweep)

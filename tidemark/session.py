@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# Lookup tables up to this many rows are broadcast; larger ones are joined by
-# shuffle (adaptive execution then splits the skewed partitions).
+# Lookup tables up to this many values in rows are broadcast; larger ones are
+# joined by shuffle (adaptive execution then splits the skewed partitions).
 BROADCAST_ROWS = 200_000
 
 
@@ -31,15 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="tidemark-")
+    warnings.warn(f"spark.checkpoint.dir is not set; tables go to {folder}", stacklevel=2)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path below the folder of this application, which can be dropped when it is over."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/tidemark-{run}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -73,11 +78,13 @@ def lookup_join(
     keys: list[str],
     how: str = "inner",
     right_rows: int | None = None,
+    row_width: int = 1,
 ) -> DataFrame:
     """Join a lookup table with unique ``keys`` onto many rows.
 
     The table is broadcast only when its counted size allows it. ``right_rows``
     passes a size already known; otherwise the table is written once and counted.
+    ``row_width`` is the number of entries of a row that holds a map or array.
     Without keys the table is a single row, attached as constants.
     """
     if not keys:
@@ -88,6 +95,6 @@ def lookup_join(
     if right_rows is None:
         right, counted = materialize_observed(right, "lookup", F.count(F.lit(1)).alias("rows"))
         right_rows = counted["rows"]
-    if right_rows <= BROADCAST_ROWS:
+    if right_rows * row_width <= BROADCAST_ROWS:
         right = F.broadcast(right)
     return same_keys(left, right, keys, how)

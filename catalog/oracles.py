@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from catalog.settings import (
-    CUTOFF_S, FEED_SLICE, FEED_START, HOUR, LAG, LAGS, LANES, SCALE, SIZE, SLIDE,
+    CUTOFF_S, FEED_SLICE, HOUR, LAG, LAGS, LANES, SCALE, SIZE, SLIDE,
 )
-from tidemark.functions.messages import LATE_FORMAT, WINDOW_FORMAT
 from tidemark.operators.delay import QUANTILES, delay_quantiles
 
 KINDS = ("tumbling", "sliding")
 
+# Message formats and padding, written out so that SQL does not repeat the code under test.
+WINDOW_FORMAT = "[%d-%s] >>> 🪟 [Win %d] [WM=%d] | Count=%d"
+LATE_FORMAT = "[%d] ⚠️ [LATE DROP] ID=%d"
+PAD = r"[\t-\r\x{1c}- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 DELAYS = f"[{', '.join(map(str, delay_quantiles()))}]"
 
 EVENTS = """ev AS (
@@ -164,18 +168,22 @@ def text_lines(source: str) -> str:
     WHEN 2 THEN concat_ws(',', event_ts, log_id + 3000000000, content)
     WHEN 3 THEN chr(9) || ' ' || {line} || ' ' || chr(9)
     WHEN 4 THEN {line} || ',a,b'
+    WHEN 5 THEN chr(160) || chr(12288) || {line} || chr(8195) || chr(133)
+    WHEN 6 THEN concat_ws(',', event_ts, log_id || '99999999999999999999', content)
+    WHEN 7 THEN concat_ws(',', '1_0', log_id, content)
     ELSE {line} END AS value FROM {source}),
 split AS (
   SELECT line_no, value, f.a AS a, f.b AS b, f.c AS c, full_line FROM (
     SELECT *, regexp_full_match(trim_value, '([^,]*),([^,]*),(.*)', 's') AS full_line,
            regexp_extract(trim_value, '^([^,]*),([^,]*),(.*)$', ['a', 'b', 'c'], 's') AS f
-    FROM (SELECT *, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS trim_value FROM lines))),
+    FROM (SELECT *, regexp_replace(value, '^{PAD}+|{PAD}+$', '', 'g') AS trim_value FROM lines))),
 typed AS (
-  SELECT line_no, value, full_line, TRY_CAST(a AS BIGINT) AS event_ts, TRY_CAST(b AS INTEGER) AS log_id, c AS content
+  SELECT line_no, value, full_line, CASE WHEN regexp_full_match(a, '[+-]?[0-9]+') THEN TRY_CAST(a AS BIGINT) END AS event_ts,
+         CASE WHEN regexp_full_match(b, '[+-]?[0-9]+') THEN TRY_CAST(b AS BIGINT) END AS log_id, c AS content
   FROM split)"""
 
 
-FEED = f"""{LOG}, feed AS (SELECT *, (arrival_ts - {FEED_START}) // {FEED_SLICE} AS slice FROM log),
+FEED = f"""{LOG}, feed AS (SELECT *, dense_rank() OVER (ORDER BY arrival_ts // {FEED_SLICE}) - 1 AS slice FROM log),
 tops AS (SELECT slice, max(event_ts) AS top FROM feed GROUP BY slice),
 seen AS (
   SELECT slice, max(top) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
@@ -223,9 +231,9 @@ SELECT {first}log_id, event_ts, CAST(lane AS BIGINT) AS lane, {SEEN} FROM scan""
 
 
 def _late(kind: str) -> str:
-    return f"""WITH {SCAN}
-SELECT log_id, event_ts, arrival_ts, arrival_ts - event_ts AS late_by_ms FROM scan
-WHERE {last_end(kind)} + {LAG} <= seen_ts"""
+    return f"""WITH {SCAN}, {lag_rows((kind,))}
+SELECT lag_ms, log_id, event_ts, arrival_ts, arrival_ts - event_ts AS late_by_ms FROM scan, lags
+WHERE {last_end(kind)} + lag_ms <= seen_ts"""
 
 
 CURVE = f"""{LOG}, {scan(1)}, lag_rows AS (SELECT greatest(seen_ts - event_ts, 0) AS lag_ms FROM scan),
@@ -330,9 +338,9 @@ SELECT task_id * 1001 AS key, window_end, count_actual, max_id - min_id + 1 AS c
        max_id - min_id + 1 - count_actual AS loss_network,
        (max_id - min_id) // {LANES} + 1 - count_actual AS loss_stride
 FROM counts"""
-    sql["partial_miss_sliding"] = f"""WITH {SCAN}, {lag_rows(('sliding',), {'sliding': [LAG]})}, {pair_rows(('sliding',))}
-SELECT log_id, event_ts, count(*) FILTER ({CLOSED}) AS missed FROM pairs JOIN lags USING (window_type)
-GROUP BY log_id, event_ts, {ALL_CLOSED}
+    sql["partial_miss_sliding"] = f"""WITH {SCAN}, {lag_rows(('sliding',))}, {pair_rows(('sliding',))}
+SELECT lag_ms, log_id, event_ts, count(*) FILTER ({CLOSED}) AS missed FROM pairs JOIN lags USING (window_type)
+GROUP BY lag_ms, log_id, event_ts, {ALL_CLOSED}
 HAVING NOT {ALL_CLOSED} AND count(*) FILTER ({CLOSED}) > 0"""
     firing = f"""WITH {SCAN}, {lag_rows()}, {pair_rows()}, {STEPS},
 windows AS (SELECT DISTINCT window_type, lag_ms, window_end FROM pairs JOIN lags USING (window_type)),
@@ -344,13 +352,13 @@ SELECT window_type, lag_ms, window_end, trigger_ts IS NULL AS pending, coalesce(
 SELECT window_type, lag_ms, window_end,
        coalesce(trigger_ts, (SELECT max(arrival_ts) FROM log)) AS trigger_ts,
        coalesce(current_wm, 9223372036854775807) AS current_wm FROM firing"""
-    one_lag = {kind: [LAG] for kind in KINDS}
-    sql["window_messages"] = f"""WITH {SCAN}, {metric_rows(KINDS, one_lag)}
-SELECT window_type, task_id, window_end,
+    sql["window_messages"] = f"""WITH {SCAN}, {metric_rows()}
+SELECT window_type, lag_ms, task_id, window_end,
        printf('{WINDOW_FORMAT}', task_id, upper(window_type), window_end, current_wm, count_actual) AS message
 FROM metrics"""
-    sql["late_messages"] = f"""WITH late AS ({_late('tumbling')})
-SELECT log_id, printf('{LATE_FORMAT}', log_id % {LANES}, log_id) AS message FROM late"""
+    late = " UNION ALL ".join(f"SELECT '{kind}' AS window_type, * FROM ({_late(kind)})" for kind in KINDS)
+    sql["late_messages"] = f"""WITH late AS ({late})
+SELECT window_type, lag_ms, log_id, printf('{LATE_FORMAT}', log_id % {LANES}, log_id) AS message FROM late"""
 
     sql["trace_rows"] = f"WITH {SCAN}, {trace()} SELECT * FROM trace"
     all_lags = {kind: LAGS["tumbling"] for kind in KINDS}
@@ -395,7 +403,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY window_type ORDER BY lag_ms) AS
       WHERE drop_rate <= 0.02) WHERE place = 1"""
 
     skewed_trace = f"skewed AS (SELECT *, sys_ts + {SKEW} AS skewed_ts FROM trace)"
-    sql["calibrate_trace"] = f"""WITH {SCAN}, {trace(('tumbling',))}, {skewed_trace}, {OFFSETS}
+    sql["calibrate_trace"] = f"""WITH {SCAN}, {trace()}, {skewed_trace}, {OFFSETS}
 SELECT window_type, lag_ms, task_id, skewed_ts + coalesce(applied_ms, 0) AS sys_ts, event_ts, log_id, status, window_end
 FROM skewed LEFT JOIN applied USING (window_type, lag_ms, task_id)"""
     skewed_metrics = f"skewed AS (SELECT *, trigger_ts + {SKEW} AS skewed_ts FROM metrics)"
@@ -417,18 +425,47 @@ SELECT {run_id()} AS run_id, lag_s, round(round(drop_rate * 100, 2) / 100, 6) AS
        round(avg_latency_s, 4) AS avg_latency_s, round(avg_trigger_delay_s, 4) AS avg_trigger_delay_s, window_type
 FROM tradeoff"""
 
+    stored = f"""WITH {SCAN}, {trace()}, named AS (
+  SELECT *, {run_id()} AS run_id,
+         concat_ws(',', task_id, sys_ts, event_ts, log_id, content, log_id, status, window_end) AS value FROM trace)"""
+    sql["stored_run_scan"] = f"""{stored}
+SELECT run_id, CAST(lag_ms * 1000 // {HOUR} AS BIGINT) AS lag_ms, task_id AS file_task, task_id, sys_ts, event_ts, log_id,
+       content || ',' || log_id AS content, status, window_end FROM named"""
+    sql["stored_run_rejects"] = f"""{stored}
+SELECT run_id, CASE WHEN log_id % 2 = 0 THEN concat_ws(',', task_id, sys_ts, event_ts)
+                    ELSE regexp_replace(value, '^([0-9]+,)', '\\1x') END AS value,
+       CASE WHEN log_id % 2 = 0 THEN 'number of fields' ELSE 'bad sys_ts' END AS reason
+FROM named WHERE log_id % 97 = 0"""
+    sql["run_discovery"] = f"{stored} SELECT DISTINCT run_id FROM named"
+    sql["selected_run"] = f"""{stored}
+SELECT run_id, task_id AS file_task, status, count(*) AS n FROM named
+WHERE run_id = (SELECT max(run_id) FROM named) GROUP BY ALL"""
+    sql["metric_sink"] = f"""WITH {SCAN}, {metric_rows()}
+SELECT {run_id()} AS run_id, window_end, trigger_ts, count_actual, count_expected, loss_network, lag_system, current_wm
+FROM metrics"""
+    sql["series_sink"] = sql["per_second_series"].replace("SELECT window_type, lag_ms, sec AS relative_time_s", f"SELECT {run_id()} AS run_id, sec AS relative_time_s")
+    sql["tradeoff_sink"] = f"""WITH {TRADEOFF}
+SELECT {run_id()} AS "Experiment", lag_s AS "Lag", round(drop_rate, 6) AS "DropRate", round(avg_latency_s, 6) AS "AvgLatency",
+       round(avg_trigger_delay_s, 6) AS "TriggerDelay",
+       CASE window_type WHEN 'tumbling' THEN 'Tumbling Window' ELSE 'Sliding Window' END AS "Type" FROM tradeoff"""
+    sql["calibrated_rewrite"] = sql["calibrate_metrics"]
+
     for kind in KINDS:
         sql[f"stream_{kind}_metrics"] = native(kind)
-    sql["stream_late_events"] = f"""WITH {FEED}
+    def both(part) -> str:
+        """The same query for both window types."""
+        return " UNION ALL ".join(f"SELECT '{kind}' AS window_type, * FROM ({part(kind)})" for kind in KINDS)
+
+    sql["stream_late_events"] = both(lambda kind: f"""WITH {FEED}
 SELECT log_id, event_ts, slice AS batch_id, before - {LAG} - 1 AS current_wm
-FROM feed JOIN seen USING (slice) WHERE {last_end('tumbling')} + {LAG} <= before"""
-    sql["stream_split_windows"] = f"""WITH {FEED}, {feed_pairs('sliding')}, {SPLIT_WINDOWS}
+FROM feed JOIN seen USING (slice) WHERE {last_end(kind)} + {LAG} <= before""")
+    sql["stream_split_windows"] = both(lambda kind: f"""WITH {FEED}, {feed_pairs(kind)}, {SPLIT_WINDOWS}
 SELECT task_id * 1001 AS key, window_end, count_actual, min_id, max_id, max_id - min_id + 1 AS count_expected,
-       max_id - min_id + 1 - count_actual AS loss_network, current_wm FROM split_windows"""
-    sql["stream_trace"] = f"""WITH {FEED}, {feed_pairs('sliding')}, {SPLIT_WINDOWS}
+       max_id - min_id + 1 - count_actual AS loss_network, current_wm FROM split_windows""")
+    sql["stream_trace"] = both(lambda kind: f"""WITH {FEED}, {feed_pairs(kind)}, {SPLIT_WINDOWS}
 SELECT log_id % {LANES} AS task_id, event_ts, log_id, content, 'NORMAL' AS status, window_end
 FROM feed_pairs JOIN (SELECT DISTINCT window_end FROM split_windows) USING (window_end) WHERE NOT {SPLIT_CLOSED}
 UNION ALL
 SELECT log_id % {LANES}, event_ts, log_id, content, 'LATE', -1 FROM feed_pairs
-WHERE window_end = last_end AND {SPLIT_LATE}"""
+WHERE window_end = last_end AND {SPLIT_LATE}""")
     return sql

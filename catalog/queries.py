@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.settings import (
-    BUCKET, CUTOFF_S, FEED_SLICE, FEED_SLICES, FEED_START, HOUR, LAG, LAGS, LANES, SCALE, SIZE, SLIDE,
+    BUCKET, CUTOFF_S, FEED_SLICE, HOUR, LAG, LAGS, LANES, SCALE, SIZE, SLIDE,
 )
 from tidemark.functions.messages import late_message, window_message
 from tidemark.functions.naming import lag_seconds, run_name, window_kind
 from tidemark.functions.parse import format_line, lane_key, parse_lines, parse_rejects, typed_lines
 from tidemark.operators import calibrate, delay, disorder, series, trace
 from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, watermark
-from tidemark.operators.lateness import drop_rates, late_events, partial_misses
+from tidemark.operators.lateness import drop_rates, late_events_sweep, partial_misses
 from tidemark.operators.window_metrics import id_gaps, window_counts, window_metrics
 from tidemark.operators.window_metrics import window_firing as firing_times
 from tidemark.operators.windows import sliding, tumbling
 from tidemark.plans import profile, tradeoff
 from tidemark.session import materialize, prepare, scratch_path
-from tidemark.sources import replay_files, run_files, sinks, summaries
+from tidemark.sources import replay_files, run_files, schemas, sinks, summaries
 from tidemark.sources.lines import stream_lines
 from tidemark.streaming.feed import write_feed
 from tidemark.streaming.late_split import LateSplit
@@ -69,6 +70,9 @@ def text_lines(rows: DataFrame) -> DataFrame:
         when 2 then concat_ws(',', event_ts, log_id + 3000000000, content)
         when 3 then concat('\\t ', {line}, ' \\t')
         when 4 then concat({line}, ',a,b')
+        when 5 then concat('\u00a0\u3000', {line}, '\u2003\u0085')
+        when 6 then concat_ws(',', event_ts, concat(log_id, '99999999999999999999'), content)
+        when 7 then concat_ws(',', '1_0', log_id, content)
         else {line} end as value"""
     return rows.selectExpr("log_id as line_no", *[c for c in rows.columns if c != "log_id"], value)
 
@@ -260,19 +264,21 @@ def id_gap_loss(spark, sf_dir):
 
 @query
 def late_events_tumbling(spark, sf_dir):
-    rows = late_events(scan(spark, sf_dir), SPECS["tumbling"], LAG)
-    return rows.select("log_id", "event_ts", "arrival_ts", "late_by_ms")
+    rows = late_events_sweep(scan(spark, sf_dir), SWEEP[:1])
+    return rows.select("lag_ms", "log_id", "event_ts", "arrival_ts", "late_by_ms")
 
 
 @query
 def late_events_sliding(spark, sf_dir):
-    rows = late_events(scan(spark, sf_dir), SPECS["sliding"], LAG)
-    return rows.select("log_id", "event_ts", "arrival_ts", "late_by_ms")
+    rows = late_events_sweep(scan(spark, sf_dir), SWEEP[1:])
+    return rows.select("lag_ms", "log_id", "event_ts", "arrival_ts", "late_by_ms")
 
 
 @query
 def partial_miss_sliding(spark, sf_dir):
-    return partial_misses(scan(spark, sf_dir), SPECS["sliding"], LAG).select("log_id", "event_ts", "missed")
+    rows = scan(spark, sf_dir)
+    missed = [partial_misses(rows, SPECS["sliding"], lag) for lag in LAGS["sliding"]]
+    return reduce(DataFrame.unionByName, missed).select("lag_ms", "log_id", "event_ts", "missed")
 
 
 @query
@@ -290,15 +296,15 @@ def window_firing_flushed(spark, sf_dir):
 
 @query
 def window_messages(spark, sf_dir):
-    rows = window_metrics(scan(spark, sf_dir), [(spec, [LAG]) for spec, _ in SWEEP], LANES)
+    rows = window_metrics(scan(spark, sf_dir), SWEEP, LANES)
     text = window_message("task_id", "window_type", "window_end", "current_wm", "count_actual")
-    return rows.selectExpr("window_type", "task_id", "window_end", f"{text} as message")
+    return rows.selectExpr(*RUN, "task_id", "window_end", f"{text} as message")
 
 
 @query
 def late_messages(spark, sf_dir):
-    rows = late_events(scan(spark, sf_dir), SPECS["tumbling"], LAG)
-    return rows.selectExpr("log_id", f"{late_message(f'pmod(log_id, {LANES})', 'log_id')} as message")
+    rows = late_events_sweep(scan(spark, sf_dir), SWEEP)
+    return rows.selectExpr(*RUN, "log_id", f"{late_message(f'pmod(log_id, {LANES})', 'log_id')} as message")
 
 
 def _replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -364,7 +370,7 @@ SKEW = "task_id * 900000 - 400000"
 @query
 def calibrate_trace(spark, sf_dir):
     """Trace whose tasks have different clock offsets, calibrated per task."""
-    rows = trace.trace_rows(scan(spark, sf_dir), SWEEP[:1], LANES)
+    rows = trace.trace_rows(scan(spark, sf_dir), SWEEP, LANES)
     skewed = materialize(rows.withColumn("sys_ts", F.expr(f"sys_ts + {SKEW}")), "trace")
     rows = calibrate.calibrate(skewed, FILE, **CALIBRATION)
     return rows.select(*FILE, "sys_ts", "event_ts", "log_id", "status", "window_end")
@@ -388,12 +394,16 @@ def clock_offsets(spark, sf_dir):
 # --- stored runs -----------------------------------------------------------------
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    """Adds the run name of the stored naming scheme."""
+def _run_id() -> str:
+    """The run name of the stored naming scheme, as an expression."""
     lag = f"lag_ms / {float(HOUR)}D"
     names = {kind: run_name(kind, lag, 2000, SLIDE[kind] // (SIZE // 2000), LANES) for kind in SPECS}
     cases = " ".join(f"when '{kind}' then {name}" for kind, name in names.items())
-    return rows.withColumn("run_id", F.expr(f"case window_type {cases} end"))
+    return f"case window_type {cases} end"
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("run_id", F.expr(_run_id()))
 
 
 @query
@@ -402,15 +412,92 @@ def stored_traces(spark, sf_dir):
     folder = scratch_path(spark, "traces")
     rows = trace.trace_rows(scan(spark, sf_dir, extra=("content",)), SWEEP, LANES)
     sinks.write_trace(_named(rows), folder, ["run_id"], fmt="csv")
-    back = spark.read.option("header", True).schema(
-        "task_id INT, sys_ts BIGINT, event_ts BIGINT, log_id BIGINT, content STRING, status STRING, "
-        "window_end BIGINT, run_id STRING"
-    )
-    rows = run_files.select_run(back.csv(folder))
+    rows = run_files.select_run(sinks.read_table(spark, folder, schemas.TRACE, ["run_id"]))
     totals = materialize(trace.trace_totals(rows, ["run_id"]), "trace-totals")
     return rounded(series.run_summary(totals, ["run_id"], CUTOFF_S, HOUR), "drop_rate", "avg_latency_s")
 
 
+def _stored_runs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of run files, one for every run and task, as the original jobs leave them.
+
+    Lines are not quoted and content holds commas. Every file also has lines that
+    do not fit, made from some of its rows.
+    """
+    folder = scratch_path(spark, "runs")
+    rows = _named(trace.trace_rows(scan(spark, sf_dir, extra=("content",)), SWEEP, LANES))
+    file = "if(window_type = 'sliding', concat(run_id, '_task-', task_id, '_trace'), concat(run_id, '_task-', task_id))"
+    line = "concat_ws(',', task_id, sys_ts, event_ts, log_id, content, log_id, status, window_end)"
+    lines = rows.selectExpr("log_id", f"{file} as file", f"{line} as value")
+    bad = lines.where("log_id % 97 = 0").withColumn(
+        "value", F.expr("if(log_id % 2 = 0, substring_index(value, ',', 3), regexp_replace(value, '^[0-9]+,', '$0x'))")
+    )
+    run_files.write_lines(lines.unionByName(bad).select("file", "value"), folder, ",".join(schemas.names(schemas.TRACE)))
+    return folder
+
+
+STORED = ["run_id", "lag_ms", "file_task", "task_id", "sys_ts", "event_ts", "log_id", "content", "status", "window_end"]
+
+
+@query
+def stored_run_scan(spark, sf_dir):
+    rows = run_files.read_traces(spark, _stored_runs(spark, sf_dir))
+    return rows.selectExpr(*STORED)
+
+
+@query
+def stored_run_rejects(spark, sf_dir):
+    return run_files.rejects(spark, _stored_runs(spark, sf_dir)).select("run_id", "value", "reason")
+
+
+@query
+def run_discovery(spark, sf_dir):
+    return run_files.discover_runs(spark, _stored_runs(spark, sf_dir))
+
+
+@query
+def selected_run(spark, sf_dir):
+    rows = run_files.read_traces(spark, _stored_runs(spark, sf_dir))
+    name = rows.selectExpr("max(run_id) as run_id").first()["run_id"]
+    return run_files.select_run(rows, name).groupBy("run_id", "file_task", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def metric_sink(spark, sf_dir):
+    """Window metrics written one folder a run, and read back."""
+    folder = scratch_path(spark, "metrics")
+    sinks.write_metrics(_named(window_metrics(scan(spark, sf_dir), SWEEP, LANES)), folder, ["run_id"])
+    return sinks.read_table(spark, folder, schemas.METRICS, ["run_id"], fmt="parquet").drop("task_id")
+
+
+@query
+def series_sink(spark, sf_dir):
+    folder = scratch_path(spark, "series")
+    rows = series.run_series(_replay(spark, sf_dir)[1], RUN, CUTOFF_S, HOUR)
+    sinks.write_series(_named(rows), folder, ["run_id"])
+    back = sinks.read_table(spark, folder, schemas.SERIES, ["run_id"])
+    return rounded(back, "throughput", "processed_count", "drop_rate", "avg_delay_processed")
+
+
+@query
+def tradeoff_sink(spark, sf_dir):
+    folder = scratch_path(spark, "tradeoff")
+    sinks.write_tradeoff(_tradeoff(spark, sf_dir), folder, _run_id())
+    back = sinks.read_table(spark, folder, schemas.TRADEOFF)
+    return rounded(back, "DropRate", "AvgLatency", "TriggerDelay")
+
+
+@query
+def calibrated_rewrite(spark, sf_dir):
+    """Metrics with clock offsets stored, then corrected next to their source."""
+    source, target = scratch_path(spark, "skewed"), scratch_path(spark, "corrected")
+    metrics = window_metrics(scan(spark, sf_dir), SWEEP, LANES)
+    columns = [*FILE, "window_end", "trigger_ts", "count_actual", "lag_system"]
+    sinks.write_table(metrics.withColumn("trigger_ts", F.expr(f"trigger_ts + {SKEW}")).select(*columns), source, RUN)
+    stored = spark.read.parquet(source).withColumn("lag_ms", F.col("lag_ms").cast("bigint"))
+    sinks.rewrite(calibrate.calibrate(stored, FILE, **CALIBRATION), source, target, RUN)
+    return spark.read.parquet(target).withColumn("lag_ms", F.col("lag_ms").cast("bigint")).select(*columns)
+
+
 @query
 def run_names(spark, sf_dir):
     """Facts parsed back from the run names of the traces, one row per run."""
@@ -444,9 +531,9 @@ def summary_texts(spark, sf_dir):
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "feed")
-    log = arrivals(spark, sf_dir).withColumn("slice", F.expr(f"(arrival_ts - {FEED_START}) div {FEED_SLICE}"))
+    log = arrivals(spark, sf_dir).withColumn("slice", F.expr(f"arrival_ts div {FEED_SLICE}"))
     lines = log.selectExpr("slice", f"{format_line('event_ts', 'log_id', 'content')} as value")
-    files = write_feed(materialize(lines, "feed-lines"), "slice", FEED_SLICES, folder)
+    files = write_feed(materialize(lines, "feed-lines"), "slice", folder)
     return parse_lines(stream_lines(spark, folder, files))
 
 
@@ -471,27 +558,31 @@ def stream_sliding_metrics(spark, sf_dir):
     return _native(spark, sf_dir, "sliding")
 
 
-def _split(spark, sf_dir, kind, keep_events=False) -> LateSplit:
-    job = LateSplit(scratch_path(spark, "late-split"), SPECS[kind], LAG, LANES, keep_events)
-    job.start(_feed(spark, sf_dir), scratch_path(spark, "stream-checkpoint")).awaitTermination()
-    return job
+def _split(spark, sf_dir, result, keep_events=False) -> DataFrame:
+    """``result`` of the late split of both window types."""
+    feed, found = _feed(spark, sf_dir), []
+    for kind, spec in SPECS.items():
+        job = LateSplit(scratch_path(spark, "late-split"), spec, LAG, LANES, keep_events)
+        job.start(feed, scratch_path(spark, "stream-checkpoint")).awaitTermination()
+        found.append(result(job, spark).withColumn("window_type", F.lit(kind)))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
 def stream_late_events(spark, sf_dir):
-    rows = _split(spark, sf_dir, "tumbling").late(spark)
-    return rows.selectExpr("bigint(log_id) as log_id", "event_ts", "bigint(batch_id) as batch_id", "current_wm")
+    rows = _split(spark, sf_dir, LateSplit.late)
+    return rows.selectExpr("window_type", "bigint(log_id) as log_id", "event_ts", "bigint(batch_id) as batch_id", "current_wm")
 
 
 @query
 def stream_split_windows(spark, sf_dir):
-    rows = _split(spark, sf_dir, "sliding").metrics(spark)
+    rows = _split(spark, sf_dir, LateSplit.metrics)
     return rows.selectExpr(
-        "key", "window_end", "count_actual", "min_id", "max_id", "count_expected", "loss_network", "current_wm"
+        "window_type", "key", "window_end", "count_actual", "min_id", "max_id", "count_expected", "loss_network", "current_wm"
     )
 
 
 @query
 def stream_trace(spark, sf_dir):
-    rows = _split(spark, sf_dir, "sliding", keep_events=True).trace(spark)
-    return rows.selectExpr("task_id", "event_ts", "bigint(log_id) as log_id", "content", "status", "window_end")
+    rows = _split(spark, sf_dir, LateSplit.trace, keep_events=True)
+    return rows.selectExpr("window_type", "task_id", "event_ts", "bigint(log_id) as log_id", "content", "status", "window_end")

@@ -15,7 +15,5 @@ LAG = HOUR
 BUCKET = 24 * HOUR
 CUTOFF_S = 20
 
-# Stream feeds: slices of six days from the start of the table's month.
-FEED_START = 1_704_067_200_000
+# Stream feeds: slices of six days.
 FEED_SLICE = 6 * 24 * HOUR
-FEED_SLICES = 6

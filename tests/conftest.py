@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,7 @@ from tidemark.session import prepare  # noqa: E402
 def spark():
     builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "3")
     builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-tests-"))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield prepare(session)

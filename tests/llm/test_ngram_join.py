@@ -77,7 +77,7 @@ def test_blocks_lose_no_pair_at_the_bound():
                 continue
             b = np.unique(np.r_[rng.choice(a, common, replace=False), rng.integers(0, 1 << 63, other - common, np.uint64)])
             flat, bounds = np.r_[a, b], np.array([0, len(a), len(a) + len(b)])
-            keys, owner = ngram_join.block_keys(flat, bounds, like)
+            keys, owner, _ = ngram_join.block_keys(flat, bounds, like)
             assert set(keys[owner == 0]) & set(keys[owner == 1])
 
 
@@ -93,6 +93,21 @@ def test_product_matches_set_arithmetic(monkeypatch):
     assert some == {(i, j) for i, j in want if i < 15 <= j} and want and len(want) < 1500
 
 
+def test_sketches_lose_no_link():
+    like, rng = Similarity(4, 85), np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 400, np.uint64))
+    rows = [np.unique(np.r_[base[rng.random(len(base)) < rng.choice([1, 0.97, 0.9])], rng.integers(0, 1 << 63, rng.integers(0, 40), np.uint64)]) for _ in range(40)]
+    found = ngram_join.sketches(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), like)
+    every, linked, close = np.arange(40), set(), set()
+    for kind in {k for own in found for k, _ in own}:
+        own = [i for i in range(40) if kind in dict(found[i])]
+        cells = np.stack([np.frombuffer(dict(found[i])[kind], np.uint8) for i in own])
+        a, b = ngram_join.close_sketches(cells, np.array([len(rows[i]) for i in own]), np.arange(len(own)), np.arange(len(own)), like)
+        close |= {(own[i], own[j]) for i, j in zip(a, b, strict=True)}
+    linked = {*zip(*(x.tolist() for x in ngram_join.product_links(rows, every, every, like)), strict=True)}
+    assert linked and linked <= close and len(close) < 40 * 39
+
+
 def test_large_families_in_row_blocks(documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 6)
     rng = random.Random(8)

@@ -9,7 +9,7 @@ from tidemark.session import materialize, materialize_observed
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` for every node of ``links (a, b)``.
+    """``node, component`` for every node of ``links (a, b)``, of any type with an order.
 
     The component is the smallest node reachable. In each round every node moves
     to its smallest neighbour and the links follow, so at least half of the

@@ -3,11 +3,14 @@
 The rows of the incidence matrix are documents, its columns hashed word n-grams.
 Columns are cut into blocks by their hash. Two rows that reach the similarity
 differ in at most ``d`` columns, a bound from their sizes, so with more than
-``d`` blocks they agree on a whole block. Only rows that agree on a block are
-multiplied, block by block, and a pair is discarded as soon as its accumulated
-overlap and what is left of both rows cannot reach the bound of its sizes.
-A passage that many documents share makes no pairs by itself, as the blocks
-around it differ.
+``d`` blocks they agree on a whole block. Rows that agree on blocks, directly or
+over others, form families. Sketches of a byte for every few columns then part
+the families: sketches that differ in more bytes than the rows may in columns
+belong to no pair. The matrix is the product of the rows of each family that is
+left, cut into blocks of rows. It is accumulated over blocks of columns; pairs
+go as soon as their overlap and what is left of both rows cannot reach the bound
+of their sizes, and rows without pairs go with them. A passage that many
+documents share makes no family by itself, as the columns around it differ.
 """
 
 from __future__ import annotations
@@ -23,10 +26,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.text import LOWER, Hasher, Texts, map_texts, mix, prepare_arrow, shingles
-from tidemark.session import materialize, materialize_observed
+from tidemark.session import BROADCAST_ROWS, materialize, materialize_observed
 
-# Blocks of columns in which the overlap of a pair is accumulated.
-PRODUCT_BLOCKS = 4
+# Rows and columns of a block of the product.
+BLOCK_ROWS = 1024
+BLOCK_COLUMNS = 2048
+
+# Blocks of fewer columns count only where they must: two texts often agree on
+# one or two frequent shingles alone.
+LEAST_COLUMNS = 3
 
 
 @dataclass(frozen=True)
@@ -53,7 +61,7 @@ class Similarity:
             last.append(size)
             size = max(size + 1, int(size * self.class_ratio))
         differ = np.array([self.most_different(s) for s in last])
-        return np.array(last), differ + 1 + differ // 50, differ
+        return np.array(last), differ + 1 + differ // 4, differ
 
 
 def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,19 +103,20 @@ def set_keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sums[0], sums[1]
 
 
-def block_keys(grams: np.ndarray, bounds: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the column blocks of every set, and the set of every key.
+def block_keys(grams: np.ndarray, bounds: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the column blocks of every set, the set of every key and the size class.
 
-    A set joins the classes of all sizes that its smaller partners may have. An
-    empty block counts only for sets with so many of them that a pair might
-    agree on nothing else; both sets of such a pair have as many.
+    A set joins the classes of all sizes that its smaller partners may have.
+    Blocks with fewer than ``LEAST_COLUMNS`` shingles count only for sets with so
+    many of them that a pair might agree on nothing else; both sets of such a
+    pair have as many.
     """
     last, blocks, differ = like.classes
     sizes = np.diff(bounds)
     sums = np.zeros(len(grams) + 1, np.uint64)
     np.cumsum(mix(grams), out=sums[1:])
     high = grams >> np.uint64(32)
-    keys, owners = [], []
+    keys, owners, kinds = [], [], []
     smallest = -(-sizes * like.percent // 100)
     lo, hi = np.searchsorted(last, smallest), np.searchsorted(last, sizes)
     for up in range(int((hi - lo).max(initial=-1)) + 1):
@@ -123,17 +132,57 @@ def block_keys(grams: np.ndarray, bounds: np.ndarray, like: Similarity) -> tuple
         end = np.r_[start[1:], len(own)]
         of = own[start]
         seed = mix(kind[chosen][of].astype(np.uint64) << np.uint64(40) | block[start])
-        keys.append(mix(sums[pick[end - 1] + 1] - sums[pick[start]] + seed))
-        owners.append(chosen[of])
-        full = np.bincount(of, minlength=len(chosen))
-        k = blocks[kind[chosen]]
-        for i in np.flatnonzero(k - full >= k - differ[kind[chosen]]):
+        key = mix(sums[pick[end - 1] + 1] - sums[pick[start]] + seed)
+        large = end - start >= LEAST_COLUMNS
+        k, most = blocks[kind[chosen]], differ[kind[chosen]]
+        needs = k - np.bincount(of[large], minlength=len(chosen)) >= k - most
+        large |= needs[of]
+        keys.append(key[large])
+        owners.append(chosen[of[large]])
+        kinds.append(kind[chosen][of[large]])
+        for i in np.flatnonzero(k - np.bincount(of, minlength=len(chosen)) >= k - most):
             empty = np.setdiff1d(np.arange(k[i], dtype=np.uint64), block[start][of == i])
             keys.append(mix(mix(np.uint64(kind[chosen][i]) << np.uint64(40) | empty)))
             owners.append(np.full(len(empty), chosen[i]))
+            kinds.append(np.full(len(empty), kind[chosen][i]))
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(kinds)
+
+
+def sketches(grams: np.ndarray, bounds: np.ndarray, like: Similarity) -> list[list[tuple[int, bytes]]]:
+    """Size class and cells of every set, for each of its size classes.
+
+    A cell is a byte of the sum of its columns. Cells of equal columns are equal,
+    so two sets differ in at least as many columns as cells.
+    """
+    last, _, _ = like.classes
+    sizes = np.diff(bounds)
+    lo, hi = np.searchsorted(last, -(-sizes * like.percent // 100)), np.searchsorted(last, sizes)
+    high, value = grams >> np.uint64(32), mix(grams).astype(np.uint8)
+    out: list[list[tuple[int, bytes]]] = []
+    for a, b, first, final in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lo.tolist(), hi.tolist(), strict=True):
+        own = []
+        for kind in range(first, final + 1) if b > a else ():
+            cells = int(last[kind]) // 2 + 1
+            place = (high[a:b] * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+            own.append((kind, np.bincount(place, weights=value[a:b], minlength=cells).astype(np.int64).astype(np.uint8).tobytes()))
+        out.append(own)
+    return out
+
+
+def close_sketches(cells: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``left`` and ``right`` rows whose sketches allow a link."""
+    one, two = [], []
+    for i in left.tolist():
+        differ = (cells[right] != cells[i]).sum(1)
+        total = sizes[right] + sizes[i]
+        fits = 100 * np.minimum(sizes[right], sizes[i]) >= like.percent * np.maximum(sizes[right], sizes[i])
+        near = right[fits & (differ <= (100 - like.percent) * total // (100 + like.percent)) & (right != i)]
+        one.append(np.full(len(near), i))
+        two.append(near)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(one + none), np.concatenate(two + none)
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
@@ -153,7 +202,7 @@ def shingled(documents: DataFrame, like: Similarity) -> DataFrame:
 
 
 def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
-    """``block, leader, doc_id``: documents that agree on a block with its smallest document.
+    """``kind, leader, doc_id``: documents of a size class that agree on a block with its smallest document.
 
     Equal sets of one task are combined before the shuffle. Blocks arrive sorted,
     so a block of any size streams through its task.
@@ -164,18 +213,18 @@ def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
             grams, bounds = shingle_sets(part, like.words)
             ids = batch.column("doc_id").slice(first, len(part)).cast(pa.int64()).to_numpy()
             order = np.lexsort((ids, *set_keys(grams, bounds)))
-            keys, owner = block_keys(grams, bounds, like)
+            keys, owner, kinds = block_keys(grams, bounds, like)
             one, two = set_keys(grams, bounds)
             repeat = np.zeros(len(ids), bool)
             same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             repeat[order[1:][same]] = True
             keep = ~repeat[owner]
-            yield _batch("block doc_id", keys[keep], ids[owner[keep]])
+            yield _batch("block kind doc_id", keys[keep], kinds[keep].astype(np.int32), ids[owner[keep]])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, None
         for batch in batches:
-            block, doc = (batch.column(k).to_numpy() for k in (0, 1))
+            block, kind, doc = (batch.column(k).to_numpy() for k in range(3))
             if not len(block):
                 continue
             start = np.r_[True, block[1:] != block[:-1]]
@@ -187,53 +236,101 @@ def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
             keep = ~start & (doc != led)
             last, leader = block[-1], led[-1]
             if keep.any():
-                yield _batch("block leader doc_id", block[keep], led[keep], doc[keep])
+                yield _batch("kind leader doc_id", kind[keep], led[keep], doc[keep])
 
-    rows = map_texts(documents.where("doc_id is not null"), emit, "block BIGINT, doc_id BIGINT")
+    rows = map_texts(documents.where("doc_id is not null"), emit, "block BIGINT, kind INT, doc_id BIGINT")
     rows = rows.repartition("block").sortWithinPartitions("block", "doc_id")
-    return rows.mapInArrow(lead, "block BIGINT, leader BIGINT, doc_id BIGINT")
-
-
-def overlaps(a: list[np.ndarray], b: list[np.ndarray], like: Similarity) -> np.ndarray:
-    """Which pairs of sorted sets link, by the blocked product of their rows."""
-    sizes = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
-    need = like.least_common(*sizes)
-    common, left = np.zeros(len(a), np.int64), [s.copy() for s in sizes]
-    alive = np.minimum(*sizes) >= need
-    edges = (np.arange(1, PRODUCT_BLOCKS, dtype=np.uint64) << np.uint64(32)) // np.uint64(PRODUCT_BLOCKS) << np.uint64(32)
-    cuts = [[np.r_[0, np.searchsorted(x, edges), len(x)] for x in side] for side in (a, b)]
-    for k in range(PRODUCT_BLOCKS):
-        chosen = np.flatnonzero(alive)
-        if not len(chosen):
+    return rows.mapInArrow(lead, "kind INT, leader BIGINT, doc_id BIGINT").distinct()
+
+
+UNIT = ["kind", "family", "one", "two"]
+
+
+def product_links(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of ``left`` and ``right`` rows, by their blocked product."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    need = like.least_common(sizes[left][:, None], sizes[right][None, :])
+    alive = np.minimum(sizes[left][:, None], sizes[right][None, :]) >= need
+    alive &= left[:, None] != right[None, :]
+    common = np.zeros(alive.shape, np.float32)
+    grams, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    new = np.r_[True, grams[1:] != grams[:-1]]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    rest = sizes - np.bincount(owner[~shared[column]], minlength=len(rows))
+    column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
+    for first in range(0, int(shared.sum()), BLOCK_COLUMNS):
+        alive &= common + np.minimum(rest[left][:, None], rest[right][None, :]) >= need
+        a, b = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if not len(a):
             break
-        parts, owners = [], []
-        for side, cut, rest in zip((a, b), cuts, left, strict=True):
-            lengths = np.array([cut[i][k + 1] - cut[i][k] for i in chosen])
-            parts += [side[i][cut[i][k] : cut[i][k + 1]] for i in chosen]
-            owners.append(np.repeat(chosen, lengths))
-            rest[chosen] -= lengths
-        grams, owner = np.concatenate(parts), np.concatenate(owners)
-        order = np.lexsort((grams, owner))
-        grams, owner = grams[order], owner[order]
-        both = (grams[1:] == grams[:-1]) & (owner[1:] == owner[:-1])
-        common += np.bincount(owner[1:][both], minlength=len(a))
-        alive &= common + np.minimum(*left) >= need
-    return alive & (common >= need)
-
-
-def linked(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Those of ``pairs (a, b)`` that link; ``sets`` has ``doc_id, grams``."""
+        lo, hi = np.searchsorted(column, [first, first + BLOCK_COLUMNS])
+        matrix = np.zeros((len(rows), BLOCK_COLUMNS), np.float32)
+        matrix[owner[lo:hi], column[lo:hi] - first] = 1
+        common[np.ix_(a, b)] += matrix[left[a]] @ matrix[right[b]].T
+        rest = rest - np.bincount(owner[lo:hi], minlength=len(rows))
+    one, two = np.nonzero(alive & (common >= need))
+    return left[one], right[two]
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Indices of pairs that connect what all pairs connect."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def unit_links(units: DataFrame, like: Similarity, sketched: bool = False) -> DataFrame:
+    """``kind, a, b``: links that connect the rows of every unit as all its links do.
+
+    ``units`` has ``kind, family, one, two``, with the numbers of two blocks of
+    rows, and ``side``, ``id`` and ``row`` of their rows: shingles, or cells of a
+    sketch with ``size``.
+    """
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if rows.column("one")[0] == rows.column("two")[0]:
+            right = left
+        found = [np.frombuffer(g.as_buffer(), np.uint8 if sketched else np.uint64) for g in rows.column("row")]
+        if sketched:
+            a, b = close_sketches(np.stack(found), rows.column("size").to_numpy(), left, right, like)
+        else:
+            a, b = product_links(found, left, right, like)
+        kept = spanning(a, b, len(ids))
+        return _batch("kind a b", np.full(len(kept), rows.column("kind")[0].as_py(), np.int32), ids[a[kept]], ids[b[kept]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                rows = [[np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(c)] for c in ("grams_a", "grams_b")]
-                link = pa.array(overlaps(*rows, like))
-                yield part.select(["a", "b"]).filter(link)
+            keys = np.stack([batch.column(c).to_numpy() for c in UNIT])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if held and part.num_rows and any(held[0].column(c)[0] != part.column(c)[0] for c in UNIT):
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield links(pa.Table.from_batches(held))
 
-    rows = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
-    return rows.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a BIGINT, b BIGINT").distinct()
+    rows = units.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    return rows.mapInArrow(run, "kind INT, a BIGINT, b BIGINT")
 
 
 def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) -> DataFrame:
@@ -257,59 +354,80 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
 
     shared = materialize(shared_blocks(documents, like), "blocks")
 
-    wanted = shared.select("doc_id").union(shared.select("leader")).distinct().join(ids, "doc_id").select("first_id")
-    wanted = materialize(wanted.distinct().toDF("doc_id"), "wanted").where("doc_id > -9223372036854775808")
+    # Families of sets of a size class, connected by the blocks they agree on.
+    near = shared.join(ids.selectExpr("doc_id as leader", "first_id as a"), "leader").join(ids.selectExpr("doc_id", "first_id as b"), "doc_id")
+    near = near.where("a <> b").selectExpr("struct(kind, a as id) as a", "struct(kind, b as id) as b")
+    families = _families(near)
+    wanted = _sized(families.select("id").distinct().toDF("doc_id"), "wanted")
     sets = materialize(_sets(documents.join(wanted, "doc_id", "left_semi"), like), "sets")
 
-    # Pairs of sets that agree on blocks, and on how many of them.
-    stars = shared.groupBy("leader", "doc_id").agg(F.count(F.lit(1)).alias("blocks"))
-    stars = stars.join(ids.toDF("leader", "first_a", "size_a"), "leader").join(ids.toDF("doc_id", "first_b", "size_b"), "doc_id")
-    stars = stars.where(_fits(like)).selectExpr("least(first_a, first_b) as a", "greatest(first_a, first_b) as b", "blocks")
-    stars = materialize(stars.where("a < b").groupBy("a", "b").agg(F.max("blocks").alias("blocks")), "stars")
-
-    # Every set against the partner it agrees with most, then all other leaders
-    # of its blocks, then whatever still shares a block: links found before make
-    # most of the later pairs needless, as their ends are one component already.
-    best = stars.groupBy("b").agg(F.max(F.struct("blocks", (-F.col("a")).alias("a"))).alias("best"))
-    pairs = materialize(best.selectExpr("-best.a as a", "b"), "pairs")
+    key = ["kind", "family"]
+    rows = families.join(families.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
+    cells = sets.select("id", "size", F.explode("sketches").alias("kind", "row"))
+    rows = cells.join(_sized(rows, "rows"), ["kind", "id"]).withColumns({"main": F.lit(False), "mains": F.lit(0)})
+    close = unit_links(rows.select("id", "size", "row", *key, F.explode(_units()).alias("unit")).select("id", "size", "row", *key, "unit.*"), like, True)
+    close = materialize(close, "close").selectExpr("struct(kind, a as id) as a", "struct(kind, b as id) as b")
+    families, sets = _families(close), sets.select("id", "grams")
+    sizes = families.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    sizes, seen = materialize_observed(sizes, "families", F.max("n").alias("most"))
+
     twice = ids.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.count_distinct("first_id").alias("n"))
     links = twice.where("n > 1").join(ids, "doc_id").selectExpr("a", "first_id as b")
-    links = links.union(materialize(linked(pairs, sets, like), "linked"))
-    labels = components(links)
-
-    more = _apart(stars.select("a", "b"), labels).join(pairs, ["a", "b"], "left_anti")
-    more, seen = materialize_observed(more, "pairs", F.count(F.lit(1)).alias("rows"))
-    if seen["rows"]:
-        pairs = pairs.union(more)
-        links = links.union(materialize(linked(more, sets, like), "linked"))
-        labels = components(links)
-
-    inside = shared.select("block", "doc_id").union(shared.select("block", "leader").distinct())
-    inside = inside.join(ids, "doc_id").join(labels.toDF("first_id", "component"), "first_id", "left")
-    inside = inside.selectExpr("block", "first_id", "n_shingles", "coalesce(component, first_id) as component")
-    mixed = inside.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    inside = inside.join(mixed.where("lo < hi").select("block"), "block").distinct()
-    inside, seen = materialize_observed(inside, "mixed", F.count(F.lit(1)).alias("rows"))
-    if seen["rows"]:
-        one, two = (inside.toDF("block", f"first_{x}", f"size_{x}", f"component_{x}") for x in "ab")
-        cross = one.join(two, "block").where("first_a < first_b and component_a <> component_b").where(_fits(like))
-        cross = cross.selectExpr("first_a as a", "first_b as b").distinct().join(pairs, ["a", "b"], "left_anti")
-        cross, seen = materialize_observed(cross, "cross", F.count(F.lit(1)).alias("rows"))
-        if seen["rows"]:
-            labels = components(links.union(materialize(linked(cross, sets, like), "linked")))
-    labels = labels.toDF("first_id", "component")
+    rows = families.join(sizes, key).withColumns({"main": F.lit(False), "mains": F.lit(0)})
+    if (seen["most"] or 0) > BLOCK_ROWS:
+        # In large families, rows that link with the first row need no product among themselves.
+        large = families.join(sizes, key).where(f"n > {BLOCK_ROWS}")
+        first = _spokes(large.where("id <> family").select("family", "id").distinct(), sets, like)
+        links = links.union(first)
+        linked = first.toDF("family", "id").withColumn("main", F.lit(True))
+        main = large.join(linked, ["family", "id"], "left").withColumn("main", F.expr("coalesce(main, id = family)"))
+        main = main.where("main").select("kind", "family", "id", "main")
+        counts = main.groupBy(*key).agg(F.count(F.lit(1)).alias("mains"))
+        rows = families.join(sizes.join(counts, key, "left"), key).join(main, [*key, "id"], "left")
+        rows = rows.withColumns({"main": F.coalesce("main", F.lit(False)), "mains": F.coalesce("mains", F.lit(0))})
+    units = sets.join(_sized(rows, "rows"), "id").select("id", F.col("grams").alias("row"), *key, F.explode(_units()).alias("unit"))
+    links = links.union(materialize(unit_links(units.select("id", "row", *key, "unit.*"), like), "links").select("a", "b"))
+    labels = components(links).toDF("first_id", "component")
     out = members.join(labels, "first_id", "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, first_id, doc_id) as component_id")
 
 
-def _fits(like: Similarity) -> str:
-    return f"100 * least(size_a, size_b) >= {like.percent} * greatest(size_a, size_b)"
+def _sized(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written out, to be broadcast if their counted number allows it."""
+    rows, seen = materialize_observed(rows, label, F.count(F.lit(1)).alias("rows"))
+    return F.broadcast(rows) if seen["rows"] <= BROADCAST_ROWS else rows
+
 
+def _families(near: DataFrame) -> DataFrame:
+    """``kind, id, family`` of the sets that ``near (a, b)`` connects within a size class."""
+    return components(near).selectExpr("node.kind", "node.id", "component.id as family")
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not one component yet."""
-    pairs = pairs.join(labels.toDF("a", "one"), "a", "left").join(labels.toDF("b", "two"), "b", "left")
-    return pairs.where("coalesce(one, a) <> coalesce(two, b)").select("a", "b")
+
+def _units():
+    """The pairs of row blocks that a row takes part in, as ``one, two, side``.
+
+    Rows are dealt to blocks by their hash; those of ``main`` to blocks of their
+    own, of which no two are multiplied.
+    """
+    rest, mains = (f"bigint(ceil({x} / {BLOCK_ROWS}))" for x in ("(n - mains)", "mains"))
+    own = f"if(main, {rest} + pmod(xxhash64(id), {mains}), pmod(xxhash64(id), {rest}))"
+    others = f"filter(sequence(0L, {rest} + {mains} - 1), k -> not (main and k >= {rest}))"
+    return F.expr(f"transform({others}, k -> struct(least(k, {own}) as one, greatest(k, {own}) as two, int(if({own} > k, 1, 0)) as side))")
+
+
+def _spokes(rows: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """``a, b``: the ``rows`` (family, id) that link with the first row of their family."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                pair = [np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("hub", "grams")]
+                found.append(len(product_links(pair, np.array([0]), np.array([1]), like)[0]) > 0)
+            yield batch.select(["family", "id"]).filter(pa.array(found, pa.bool_())).rename_columns(["a", "b"])
+
+    pairs = rows.join(sets, "id").join(sets.toDF("family", "hub"), "family").select("family", "id", "hub", "grams")
+    return materialize(pairs.mapInArrow(run, "a BIGINT, b BIGINT").distinct(), "spokes")
 
 
 def _sets(documents: DataFrame, like: Similarity) -> DataFrame:
@@ -317,6 +435,8 @@ def _sets(documents: DataFrame, like: Similarity) -> DataFrame:
         for first, part in texts.runs():
             grams, bounds = shingle_sets(part, like.words)
             rows = pa.array([grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-            yield _batch("doc_id grams", batch.column("doc_id").slice(first, len(part)).cast(pa.int64()), rows)
+            cells = pa.array(sketches(grams, bounds, like), pa.map_(pa.int32(), pa.binary()))
+            ids = batch.column("doc_id").slice(first, len(part)).cast(pa.int64())
+            yield _batch("id size grams sketches", ids, np.diff(bounds), rows, cells)
 
-    return map_texts(documents, run, "doc_id BIGINT, grams BINARY")
+    return map_texts(documents, run, "id BIGINT, size BIGINT, grams BINARY, sketches MAP<INT, BINARY>")

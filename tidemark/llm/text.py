@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,13 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256,
 def prepare_arrow(spark: SparkSession) -> SparkSession:
     """Bounds the bytes of an Arrow batch, whatever the length of the texts.
 
+    Workers look for this package where the driver found it, besides their path.
     Joins of all texts with a few chosen ids may filter the texts before their
     shuffle by a Bloom filter of the ids, of bounded size.
     """
+    root, known = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")

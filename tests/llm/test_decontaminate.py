@@ -25,7 +25,7 @@ ITEMS = [
     (2, "A second text of the same item that has enough words to be told apart from the others."),
 ]
 SAME = "Peter buys 7 apples for 9 dollars each and gives 5 of the apples to Anna. How much money did Peter spend on what is left?"
-MIXED = "Peter buys 7 apples for 9 euros each and gives 7 of the apples to Peter. How much money did Anna spend on what is left?"
+NAMES = "{} sees {} near {} and then {} asks {} why {} left {} with {}"
 
 
 @pytest.fixture
@@ -51,9 +51,10 @@ def test_leaks_are_found_and_prose_is_left_alone(documents, benchmark, block):
     assert leaks(documents, benchmark, texts, Settings(block=block)) == want
 
 
-def test_slots_must_agree(documents, benchmark):
-    strict = Settings(literal=4, matches=10)
-    assert leaks(documents, benchmark, [SAME, MIXED], strict) == [[1], []]
+def test_slots_must_agree(documents, spark):
+    items = spark.createDataFrame([(1, NAMES.format(*["Tom"] * 8)), (2, "Add 3 to 3 so that 3 and 3 are with 3 under 3 as 3 was")], "item_id BIGINT, text STRING")
+    texts = [NAMES.format(*["Ann"] * 8), NAMES.format("Ann", "Bea", "Cleo", "Dan", "Eve", "Fay", "Gil", "Hal"), "Add 7 to 7 so that 7 and 7 are with 7 under 7 as 7 was", "Add 1 to 2 so that 3 and 4 are with 5 under 6 as 7 was"]
+    assert leaks(documents, items, texts) == [[1], [], [2], []]
 
 
 def test_matches_brute_force_on_plain_words(documents, spark):

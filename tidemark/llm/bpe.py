@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import pandas as pd
 
 from tidemark.llm.text import Hasher, Texts
 
@@ -109,18 +110,14 @@ class Vocabulary:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.searchsorted(owner[order], np.arange(len(pieces) + 1))
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of every word; pre-tokens that words share are merged once."""
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word, as packed 32-bit integers; pre-tokens that words share are merged once."""
         parts = [self.pieces(w.decode("utf-8", "replace")) for w in words]
         known = {p: k for k, p in enumerate(dict.fromkeys(p for part in parts for p in part if isinstance(p, str)))}
         symbols, bounds = self.merged(list(known))
-        ids = [symbols[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        none = np.zeros(0, np.int32)
-
-        def of(p: str | int) -> np.ndarray:
-            return ids[known[p]] if isinstance(p, str) else np.array([p], np.int32)
-
-        return [of(p[0]) if len(p) == 1 else np.concatenate([of(x) for x in p]) if p else none for p in parts]
+        packed, bounds = symbols.astype("<u4").tobytes(), (bounds * 4).tolist()
+        ids = {p: packed[a:b] for p, a, b in zip(known, bounds[:-1], bounds[1:], strict=True)}
+        return [b"".join(ids[p] if isinstance(p, str) else np.array(p, "<u4").tobytes() for p in part) for part in parts]
 
     def count_words(self, words: list[bytes]) -> np.ndarray:
         """Number of surviving symbols of every word."""
@@ -139,21 +136,26 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Memo:
-    """Results of words, kept between batches up to ``limit`` words."""
+    """Results of words, kept between batches: up to ``limit`` new and as many older ones."""
 
-    def __init__(self, fn: Callable[[list[bytes]], list], limit: int = 400_000):
-        self.fn, self.limit, self.known = fn, limit, {}
+    def __init__(self, fn: Callable[[list[bytes]], list], limit: int = 300_000):
+        self.fn, self.limit, self.new, self.old = fn, limit, {}, {}
 
     def __call__(self, words: list[bytes]) -> list:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > self.limit:
-            self.known = {}
-            fresh = words
-        self.known.update(zip(fresh, self.fn(fresh), strict=True))
-        out = [self.known[w] for w in words]
-        if len(self.known) > self.limit:
-            self.known = {}
-        return out
+        if len(words) > self.limit:
+            half = len(words) // 2
+            return [*self(words[:half]), *self(words[half:])]
+        if len(self.new) + len(words) > self.limit:
+            self.old, self.new = self.new, {}
+        missing = []
+        for w in words:
+            if w not in self.new:
+                if w in self.old:
+                    self.new[w] = self.old[w]
+                else:
+                    missing.append(w)
+        self.new.update(zip(missing, self.fn(missing) if missing else [], strict=True))
+        return [self.new[w] for w in words]
 
 
 def distinct_words(texts: Texts) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +164,10 @@ def distinct_words(texts: Texts) -> tuple[list[bytes], np.ndarray, np.ndarray, n
     if not len(starts):
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64), owner
     h = Hasher(texts.data).spans(starts, ends)
-    _, first, which, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    which, _ = pd.factorize(h.view(np.int64))
+    counts = np.bincount(which)
+    first = np.empty(len(counts), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
     data = texts.data.tobytes()
     words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     return words, counts, which, owner

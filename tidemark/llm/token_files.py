@@ -8,6 +8,7 @@ memory-mapped file is a view, without parsing or copying.
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,11 +48,11 @@ def _library(path: str):
     found.no_truncation()
     found.no_padding()
 
-    def encode(words: list[bytes]) -> list[np.ndarray]:
+    def encode(words: list[bytes]) -> list[bytes]:
         rows = found.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(r.ids, np.uint32) for r in rows]
+        return [struct.pack(f"<{len(r.ids)}I", *r.ids) for r in rows]
 
-    return Memo(encode), found.get_vocab_size(with_added_tokens=True)
+    return Memo(encode, 500_000), found.get_vocab_size(with_added_tokens=True)
 
 
 def _encoded(path: str, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +65,10 @@ def _encoded(path: str, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
     ids = _library(path)[0](words)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin, each = np.cumsum(sizes) - sizes, sizes[which]
     place = np.repeat(begin[which] - np.cumsum(each) + each, each) + np.arange(each.sum())
-    return np.concatenate(ids)[place], np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
+    return np.frombuffer(b"".join(ids), "<u4")[place], np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
 
 
 class _Writer:
@@ -129,7 +130,7 @@ def write_token_files(documents: DataFrame, path: str, layout: Layout = Layout()
                 uri = f"{folder}/{uuid.uuid4().hex}.arrow"
                 writer = _Writer(uri, layout, layout.schema(_library(path)[1]))
                 part = batch.column("part")[0].as_py()
-            for first, texts in Texts.of(batch.column("text")).runs(8 << 20):
+            for first, texts in Texts.of(batch.column("text")).runs():
                 flat, counts = _encoded(path, texts)
                 ends = np.cumsum(counts + 1) - 1
                 ids = np.full(len(flat) + len(counts), layout.end, np.uint32)
@@ -204,4 +205,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
-    return files.repartition("file").mapInArrow(run, schema)
+    return files.repartition(max(1, files.count())).mapInArrow(run, schema)

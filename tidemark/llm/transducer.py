@@ -9,7 +9,6 @@ outside it are merged exactly.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +26,7 @@ from tidemark.session import scratch_path
 LEXICON_WORDS = 50_000
 
 
-def compile_lexicon(entries: dict[bytes, np.ndarray]) -> bytes:
+def compile_lexicon(entries: dict[bytes, bytes]) -> bytes:
     """The automaton of ``entries`` and their ids as one flat file."""
     states: dict[tuple, int] = {}
     edges: list[tuple[tuple[int, int], ...]] = []
@@ -68,7 +67,7 @@ def compile_lexicon(entries: dict[bytes, np.ndarray]) -> bytes:
             targets.append(to)
             before.append(passed)
             passed += counts[to]
-    ids = [entries[w] for w in words]
+    ids = [np.frombuffer(entries[w], "<u4") for w in words]
     parts = [
         np.array([root]), np.array(keys), np.array(targets), np.array(before), np.array(finals, np.int64),
         np.cumsum([0, *map(len, ids)]), np.concatenate([*ids, np.zeros(0, np.int64)]),
@@ -84,7 +83,8 @@ class Lexicon:
         flat = np.frombuffer(buffer, np.int64)
         bounds = 1 + flat[0] + np.cumsum(np.r_[0, flat[1 : 1 + flat[0]]])
         parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        (self.root,), self.keys, self.targets, self.before, self.finals, self.bounds, self.ids = parts
+        (self.root,), self.keys, self.targets, self.before, self.finals, self.bounds, ids = parts
+        self.ids = ids.astype("<u4").tobytes()
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Rank of every word, -1 for words outside; all words walk together."""
@@ -108,15 +108,17 @@ class Lexicon:
         alive &= (self.finals[state] > 0) & (len(self.keys) > 0)
         return np.where(alive, rank, -1)
 
-    def get(self, rank: int) -> np.ndarray:
-        return self.ids[self.bounds[rank] : self.bounds[rank + 1]]
+    def get(self, ranks: np.ndarray) -> list[bytes]:
+        """Packed ids of words inside."""
+        lo, hi = (self.bounds[ranks] * 4).tolist(), (self.bounds[ranks + 1] * 4).tolist()
+        return [self.ids[a:b] for a, b in zip(lo, hi, strict=True)]
 
 
 def frequent_words(documents: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
     """The ``limit`` most frequent words of all texts; equal counts by their bytes."""
 
     def count(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
-        for _, part in texts.runs(8 << 20):
+        for _, part in texts.runs():
             words, counts, _, _ = distinct_words(part)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], ["word", "n"])
 
@@ -139,20 +141,20 @@ class Encoder:
         self.vocabulary = vocabulary(path)
         self.file = shared_files.mapped(lexicon)
         self.lexicon = Lexicon(self.file.read_buffer())
-        self.rest = Memo(self.vocabulary.merge_words, 200_000)
+        self.rest = Memo(self.vocabulary.merge_words)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents end to end, and the bounds of each."""
         words, _, which, owner = distinct_words(texts)
         ranks = self.lexicon.ranks(words)
-        unseen = np.flatnonzero(ranks < 0).tolist()
-        ids = [self.lexicon.get(r) if r >= 0 else None for r in ranks.tolist()]
-        for k, merged in zip(unseen, self.rest([words[k] for k in unseen]), strict=True):
-            ids[k] = merged
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, begin = np.concatenate(ids).astype(np.uint32), np.cumsum(sizes) - sizes
+        seen, unseen = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0).tolist()
+        ids = [b""] * len(words)
+        for k, packed in zip(seen.tolist(), self.lexicon.get(ranks[seen]), strict=True):
+            ids[k] = packed
+        for k, packed in zip(unseen, self.rest([words[k] for k in unseen]), strict=True):
+            ids[k] = packed
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         each = sizes[which]
         place = np.repeat(begin[which] - np.cumsum(each) + each, each) + np.arange(each.sum())
         return flat[place], np.r_[0, np.cumsum(np.bincount(owner, weights=each, minlength=len(texts)))].astype(np.int64)

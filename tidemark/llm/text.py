@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Texts are handled in runs of whole documents of about this many bytes, which
 # bounds the memory of a task (a longer document is a run of its own).
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1_000_000
 
 # The bytes that separate words.
 SEPARATORS = b" \t\n\x0b\f\r"
@@ -151,5 +151,6 @@ def map_texts(
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch, Texts.of(batch.column(text)))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

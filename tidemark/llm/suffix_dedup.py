@@ -295,13 +295,13 @@ def _cut(near: DataFrame, settings: Settings) -> DataFrame:
             gone = np.cumsum(change[:-1]) > 0
             kept = data[~gone].tobytes()
             spans = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(gone[0])
-            for to, value in zip(columns, (int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            for to, value in zip(columns, (int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
                 to.append(value)
-        types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), *columns], ["doc_id", "twin", *CUT])
 
-    return map_texts(near, run, "doc_id BIGINT, twin BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING, kept BINARY")
+    return map_texts(near, run, "doc_id BIGINT, twin BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING, kept STRING")
 
 
 CUT = ["n_removed", "n_spans", "kept_sha256", "kept"]
@@ -358,7 +358,7 @@ def deduplicate(documents: DataFrame, settings: Settings = Settings()) -> DataFr
     A character that is cut in two goes; all columns stay as they are.
     """
     rows, kept = _repeats(documents, settings)
-    changed = kept.select("doc_id", "twin", F.expr("try_validate_utf8(decode(kept, 'UTF-8'))").alias("_kept"))
+    changed = kept.select("doc_id", "twin", F.col("kept").alias("_kept"))
     copies = rows.where("copy").select("doc_id", "twin").distinct().withColumn("_kept", F.lit(""))
     changed = changed.union(copies).toDF("_id", "_twin", "_kept")
     same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_twin"))

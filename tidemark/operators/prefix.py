@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arith import floor_div
-from tidemark.session import lookup_join, materialize, same_keys
+from tidemark.session import lookup_join, materialize
 
 BLOCK = 8_192
 
@@ -33,8 +33,8 @@ def running_sums(
         *by, "_block", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_c_{c}") for c in cols]
     )
     local = rows.withColumns({new: F.sum(c).over(inside) for c, new in cols.items()})
-    # The rows are already partitioned by block, so only the carried rows move.
-    joined = same_keys(local, carried, [*by, "_block"])
+    # One carried row a block: looked up without moving the rows again.
+    joined = lookup_join(local, carried, [*by, "_block"])
     joined = joined.withColumns({new: F.col(new) + F.col(f"_c_{c}") for c, new in cols.items()})
     return joined.drop("_block", *[f"_c_{c}" for c in cols])
 
@@ -65,8 +65,8 @@ def min_at_or_after(
     later = later.rowsBetween(Window.unboundedPreceding, -1)
     blocks = marked.groupBy(*by, "_block").agg(*[F.min(v).alias(v) for v in values])
     carried = blocks.select(*by, "_block", *[F.min(v).over(later).alias(f"_later_{v}") for v in values])
-    # The rows are already partitioned by block, so only the carried rows move.
-    joined = same_keys(local, carried, [*by, "_block"])
+    # One carried row a block: looked up without moving the rows again.
+    joined = lookup_join(local, carried, [*by, "_block"])
     joined = joined.withColumns({v: F.coalesce(v, f"_later_{v}") for v in values})
     return joined.drop("_block", "_query", *[f"_later_{v}" for v in values])
 

@@ -83,3 +83,18 @@ def test_empty_tables(documents, benchmark):
 def test_other_columns_stay(documents, benchmark):
     row = decontaminate.find_leaks(documents([(None, "x")]), benchmark).first()
     assert row.doc_id is None and row.body == "x" and row.shard == -1
+
+
+CAPITALS = [
+    (1, "Outionly onanti and. Thst tieder.\nOf at thwhonat thed. Rein tionention blean hanted anatin with hesthe."),
+    (2, "Die Straße Über den Fluß. Kein Weg führt Am Ende Zurück, Nur Große Élan Ärzte gehen Heim. Was Tun?"),
+    (3, "Мы Шли Домой по Старой Дороге и Пели, пока Солнце не Село за Лес."),
+    (4, "Anna Has 12 Apples And Gives 5 Apples To Bert. How Many Apples Has Anna Now?"),
+]
+
+
+@pytest.mark.parametrize("case", [str.lower, str.upper, str.title, str.swapcase, str])
+def test_passages_in_another_case_are_found(documents, spark, case):
+    items = spark.createDataFrame(CAPITALS, "item_id BIGINT, text STRING")
+    texts = [f"{prose(20)} {case(t)} {prose(20)}" for _, t in CAPITALS] + [case(CAPITALS[3][1].replace("12", "31").replace("5", "7"))]
+    assert leaks(documents, items, texts) == [[1], [2], [3], [4], [4]]

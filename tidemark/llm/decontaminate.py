@@ -5,6 +5,10 @@ template when its parameters change. Windows of template tokens are looked up in
 a hash table of the benchmark's windows; windows of one document and item count
 if their slots are filled consistently: a value of the item always stands for
 the same value in the document, and the other way round.
+
+Names are told by their capital. So that a passage in another case is found too,
+windows are also looked up without placeholders for names, with case folded. A
+name that is changed and written in another case at once is not found.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ UNITS = (
     "hora horas minutos día días año años metro metros kilo kilos"
 ).split()
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (11, 12, 13))
+# With placeholders for numbers, units and names, and with names as words.
+VIEWS = ("template", "words")
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -43,8 +49,8 @@ _NUMERIC[list(b".,:/-+")] = True
 class Settings:
     """``window`` template tokens, of which ``literal`` are no placeholders.
 
-    An item leaks if ``matches`` of its windows, or all if it has fewer, match
-    consistently: 6 windows of 8 are a passage of 13 tokens. Shorter items count
+    An item leaks if ``matches`` of its windows in a view, or all if it has fewer,
+    match consistently: 6 windows of 8 are a passage of 13 tokens. Shorter items count
     as one window if they have ``short`` literal tokens. ``block`` bounds the
     bytes of benchmark text that are broadcast at a time.
     """
@@ -56,27 +62,41 @@ class Settings:
     block: int = 8 << 20
 
 
+def fold(texts: Texts) -> Texts:
+    """``texts`` without case, in all scripts."""
+    if not len(texts.data) or texts.data.max() < 128:
+        return Texts(LOWER[texts.data], texts.bounds)
+    raw, bounds = texts.data.tobytes(), texts.bounds.tolist()
+    parts = [raw[a:b].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return Texts(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
+
+
+def spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every token, in order: words without the punctuation around them."""
+    data = texts.data
+    starts, ends, owner = texts.words()
+    place = np.arange(len(data))
+    solid = ~_PUNCTUATION[data]
+    right = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
+    left = np.maximum.accumulate(np.where(solid, place, -1))
+    if len(starts):
+        starts, ends = right[starts], left[ends - 1] + 1
+    keep = starts < ends
+    return starts[keep], ends[keep], owner[keep]
+
+
 class Tokens:
-    """Template tokens of documents: hash, value, document and whether a slot."""
+    """Tokens of documents: value without case, document, and hash and slot for each of ``VIEWS``."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, folded: Texts):
         data = texts.data
-        lower = LOWER[data]
         after = np.r_[False, data[:-1] == 0xC3] if len(data) else np.zeros(0, bool)
         big = after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-        lower[big] += 32
-        starts, ends, owner = texts.words()
-        place = np.arange(len(data))
-        solid = ~_PUNCTUATION[data]
-        right = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
-        left = np.maximum.accumulate(np.where(solid, place, -1))
-        if len(starts):
-            starts, ends = right[starts], left[ends - 1] + 1
-        keep = starts < ends
-        starts, ends, self.owner = starts[keep], ends[keep], owner[keep]
-        self.value = Hasher(lower).spans(starts, ends)
-        self.hash = self.value.copy()
-        self.slot = np.zeros(len(starts), bool)
+        starts, ends, self.owner = spans(texts)
+        # Folding keeps the tokens, but not always their bytes.
+        self.value = Hasher(folded.data).spans(*spans(folded)[:2])
+        self.hash = {view: self.value.copy() for view in VIEWS}
+        self.slot = {view: np.zeros(len(starts), bool) for view in VIEWS}
         if not len(starts):
             return
         numeric, digits = (np.r_[0, np.cumsum(table[data])] for table in (_NUMERIC, _DIGIT))
@@ -87,19 +107,21 @@ class Tokens:
         capital = ((first >= 65) & (first <= 90) & (ends - starts > 1)) | (wide & big[np.minimum(starts + 1, len(data) - 1)])
         name = capital & (((second >= 97) & (second <= 122)) | ((second >= 0xC3) & ~big[np.minimum(starts + 2 + wide, len(data) - 1)]))
         unit = np.isin(self.value, _unit_hashes())
-        for kind, code in ((name, NAME), (unit, UNIT), (number, NUMBER)):
-            self.hash[kind] = code
-            self.slot |= kind
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of the windows inside one document, with literals counted."""
-        n = max(0, len(self.hash) - size + 1)
+        for view in VIEWS:
+            for kind, code in ((name, NAME), (unit, UNIT), (number, NUMBER)):
+                if code != NAME or view == "template":
+                    self.hash[view][kind] = code
+                    self.slot[view] |= kind
+
+    def windows(self, view: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first token of the windows inside one document."""
+        n = max(0, len(self.value) - size + 1)
         first = np.flatnonzero(self.owner[:n] == self.owner[size - 1 :]) if n else np.zeros(0, np.int64)
-        h, _ = shingles(self.hash, self.owner, size)
+        h, _ = shingles(self.hash[view], self.owner, size)
         return h, first
 
-    def literals(self, first: np.ndarray, size: int) -> np.ndarray:
-        sums = np.r_[0, np.cumsum(~self.slot)]
+    def literals(self, view: str, first: np.ndarray, size: int) -> np.ndarray:
+        sums = np.r_[0, np.cumsum(~self.slot[view])]
         return sums[first + size] - sums[first]
 
 
@@ -110,20 +132,21 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Index:
-    """Windows of benchmark items."""
+    """Windows of benchmark items, in every view."""
 
     def __init__(self, ids: list[int], texts: list[str], settings: Settings):
         self.ids, self.settings = ids, settings
-        tokens = Tokens(Texts.of(pa.array(texts, pa.string())))
+        texts = Texts.of(pa.array(texts, pa.string()))
+        tokens = Tokens(texts, fold(texts))
         self.tokens, n = tokens, len(ids)
-        self.bounds = np.searchsorted(tokens.owner, np.arange(n + 1))
-        lengths = np.diff(self.bounds)
-        self.tables, self.needed = {}, np.zeros(n, np.int64)
-        for size in sorted({settings.window, *np.minimum(lengths, settings.window).tolist()} - {0}):
-            h, first = tokens.windows(size)
+        lengths = np.diff(np.searchsorted(tokens.owner, np.arange(n + 1)))
+        self.tables, self.needed = {}, {view: np.zeros(n, np.int64) for view in VIEWS}
+        sizes = sorted({settings.window, *np.minimum(lengths, settings.window).tolist()} - {0})
+        for view, size in ((v, s) for v in VIEWS for s in sizes):
+            h, first = tokens.windows(view, size)
             own = tokens.owner[first] if len(first) else first
             enough = settings.literal if size == settings.window else settings.short
-            keep = tokens.literals(first, size) >= enough
+            keep = tokens.literals(view, first, size) >= enough
             if size < settings.window:
                 keep &= lengths[own] == size
             h, first, own = h[keep], first[keep], own[keep]
@@ -131,31 +154,36 @@ class Index:
                 order = np.argsort(h, kind="stable")
                 seen = np.zeros(1 << 20, bool)
                 seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables[size] = (h[order], first[order], seen)
-                self.needed += np.minimum(np.bincount(own, minlength=n), settings.matches)
+                self.tables[view, size] = (h[order], first[order], seen)
+                self.needed[view] += np.minimum(np.bincount(own, minlength=n), settings.matches)
 
     def leaks(self, texts: Texts) -> list[list[int]]:
         """Ids of the items that leak into each document, in order."""
-        tokens = Tokens(texts)
-        found: dict[tuple[int, int], dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for size, (hashes, places, seen) in self.tables.items():
-            h, first = tokens.windows(size)
+        tokens = Tokens(texts, fold(texts))
+        found: dict[tuple[int, int], dict[tuple[str, int], list]] = defaultdict(lambda: defaultdict(list))
+        for (view, size), (hashes, places, seen) in self.tables.items():
+            h, first = tokens.windows(view, size)
             near = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             lo, hi = (np.searchsorted(hashes, h[near], side) for side in ("left", "right"))
             for at, a, b in zip(first[near][hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 for place in places[a:b].tolist():
                     item = int(self.tokens.owner[place])
-                    found[int(tokens.owner[at]), item][at - place].append((place, size))
+                    found[int(tokens.owner[at]), item][view, at - place].append((place, size))
         out: list[list[int]] = [[] for _ in range(len(texts))]
         for (doc, item), shifts in found.items():
-            good = set().union(*(self._consistent(tokens, shift, rows) for shift, rows in shifts.items()))
-            if len(good) >= self.needed[item]:
+            good = {view: set() for view in VIEWS}
+            for (view, shift), rows in shifts.items():
+                good[view] |= self._consistent(view, tokens, shift, rows)
+            # Every window of the template is one of the words too, so those count together there.
+            good["words"] |= good["template"]
+            if any(0 < self.needed[view][item] <= len(good[view]) for view in VIEWS):
                 out[doc].append(self.ids[item])
         return [sorted(x) for x in out]
 
-    def _consistent(self, tokens: Tokens, shift: int, rows: list[tuple[int, int]]) -> set[int]:
+    def _consistent(self, view: str, tokens: Tokens, shift: int, rows: list[tuple[int, int]]) -> set[int]:
         """The matched windows of one alignment that agree on what fills the slots."""
-        places = sorted({p for first, size in rows for p in range(first, first + size) if self.tokens.slot[p]})
+        slot = self.tokens.slot[view]
+        places = sorted({p for first, size in rows for p in range(first, first + size) if slot[p]})
         votes: dict[tuple[int, int], int] = defaultdict(int)
         for p in places:
             votes[int(self.tokens.value[p]), int(tokens.value[p + shift])] += 1

@@ -98,3 +98,23 @@ def test_passages_in_another_case_are_found(documents, spark, case):
     items = spark.createDataFrame(CAPITALS, "item_id BIGINT, text STRING")
     texts = [f"{prose(20)} {case(t)} {prose(20)}" for _, t in CAPITALS] + [case(CAPITALS[3][1].replace("12", "31").replace("5", "7"))]
     assert leaks(documents, items, texts) == [[1], [2], [3], [4], [4]]
+
+
+TRAIN = "A train drives {}{s}km in {}{s}h and then {}{s}km in {}{s}h before it waits {}{s}min for a guest who paid {}{s}€ for the seat"
+RIDE = "The ride of {}{s}€ or €{} takes {}-minute breaks, then solve {}x+{}y={} and see which of the answers is the right one"
+
+
+@pytest.mark.parametrize("one", ["", " ", "\u00a0"])
+@pytest.mark.parametrize("two", ["", " ", "\u202f"])
+def test_numbers_glued_to_units_and_signs_are_slots(documents, spark, one, two):
+    items = [(1, TRAIN.format(60, 2, 30, 1, 10, 5, s=one)), (2, RIDE.format(8, 8, 15, 2, 3, 7, s=one))]
+    texts = [TRAIN.format(80, 4, 50, 3, 20, 9, s=two), RIDE.format(9, 9, 25, 4, 5, 6, s=two), TRAIN.format(80, 4, 50, 4, 4, 4, s=two), prose(9) + TRAIN.upper().format(60, 2, 30, 1, 10, 5, S=two, s=two)]
+    found = leaks(documents, spark.createDataFrame(items, "item_id BIGINT, text STRING"), texts)
+    assert found == [[1], [2], [], [1]]
+
+
+def test_whole_words_count_where_cut_ones_are_too_few(documents, spark):
+    """Each number changes and every other word is glued: only the whole words hold enough literals."""
+    text = "7km {} 8km {} 9km {} 5km {} 4km {} 3km {} 2km {}"
+    items = spark.createDataFrame([(1, text.format(*range(20, 27)))], "item_id BIGINT, text STRING")
+    assert leaks(documents, items, [text.format(*range(60, 67)), text.replace("km", "")]) == [[1], []]

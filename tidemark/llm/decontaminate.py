@@ -9,6 +9,10 @@ the same value in the document, and the other way round.
 Names are told by their capital. So that a passage in another case is found too,
 windows are also looked up without placeholders for names, with case folded. A
 name that is changed and written in another case at once is not found.
+
+Both are done on whole words and on words cut where numbers begin and end, so that
+"60km" is a number and a unit as "60 km" is. Words that are no longer literal when
+cut may leave too few literals in a window; the whole words are kept for those.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidemark.llm.text import LOWER, Hasher, Texts, map_texts, prepare_arrow, shingles
+from tidemark.llm.text import IS_WORD, LOWER, Hasher, Texts, map_texts, prepare_arrow, shingles
 
 # Words for units, and what placeholders hash to.
 UNITS = (
@@ -33,6 +37,8 @@ UNITS = (
     "stunde stunden minuten tage tag jahr jahre meter kilometer gramm heure heures jour jours an ans mètre mètres gramme grammes "
     "hora horas minutos día días año años metro metros kilo kilos"
 ).split()
+# Words that are units right after a number only.
+AFTER_NUMBER = "h hr hrs min mins s sec secs ms".split()
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (11, 12, 13))
 # With placeholders for numbers, units and names, and with names as words.
 VIEWS = ("template", "words")
@@ -45,6 +51,22 @@ _NUMERIC = _DIGIT.copy()
 _NUMERIC[list(b".,:/-+")] = True
 
 
+def _signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of currency signs (U+00A2 to U+00A5, U+20A0 to U+20CF) and of no-break spaces."""
+    currency, blank = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    one = np.flatnonzero(data[:-1] == 0xC2)
+    two = np.flatnonzero(data[:-2] == 0xE2)
+    for table, at, width in (
+        (currency, one[(data[one + 1] >= 0xA2) & (data[one + 1] <= 0xA5)], 2),
+        (currency, two[((data[two + 1] == 0x82) & (data[two + 2] >= 0xA0)) | ((data[two + 1] == 0x83) & (data[two + 2] <= 0x8F))], 3),
+        (blank, one[data[one + 1] == 0xA0], 2),
+        (blank, two[(data[two + 1] == 0x80) & (data[two + 2] == 0xAF)], 3),
+    ):
+        for k in range(width):
+            table[at + k] = True
+    return currency, blank
+
+
 @dataclass(frozen=True)
 class Settings:
     """``window`` template tokens, of which ``literal`` are no placeholders.
@@ -71,12 +93,25 @@ def fold(texts: Texts) -> Texts:
     return Texts(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
 
 
-def spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every token, in order: words without the punctuation around them."""
+def spans(texts: Texts, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every token, in order: words without the punctuation around them.
+
+    If ``cut``, words end where numbers and currency signs begin or end, and at no-break spaces.
+    """
     data = texts.data
     starts, ends, owner = texts.words()
     place = np.arange(len(data))
     solid = ~_PUNCTUATION[data]
+    if cut and len(starts):
+        numeric = _NUMERIC[data]
+        runs = np.r_[0, np.flatnonzero(numeric[1:] != numeric[:-1]) + 1]
+        numeric &= np.repeat(np.logical_or.reduceat(_DIGIT[data], runs), np.diff(np.r_[runs, len(data)]))
+        currency, blank = _signs(data)
+        kind = numeric + np.uint8(2) * currency + np.uint8(3) * blank
+        cuts = np.flatnonzero((kind[1:] != kind[:-1]) & IS_WORD[data[1:]] & IS_WORD[data[:-1]]) + 1
+        starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
+        owner = np.searchsorted(texts.bounds, starts, "right") - 1
+        solid &= ~blank
     right = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
     left = np.maximum.accumulate(np.where(solid, place, -1))
     if len(starts):
@@ -88,13 +123,14 @@ def spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Tokens:
     """Tokens of documents: value without case, document, and hash and slot for each of ``VIEWS``."""
 
-    def __init__(self, texts: Texts, folded: Texts):
+    def __init__(self, texts: Texts, folded: Texts, cut: bool):
         data = texts.data
         after = np.r_[False, data[:-1] == 0xC3] if len(data) else np.zeros(0, bool)
         big = after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-        starts, ends, self.owner = spans(texts)
-        # Folding keeps the tokens, but not always their bytes.
-        self.value = Hasher(folded.data).spans(*spans(folded)[:2])
+        starts, ends, self.owner = spans(texts, cut)
+        # Folding keeps the tokens, but not always the bytes of their characters.
+        aligned = len(data) == len(folded.data) and np.array_equal(data & 0xC0 == 0x80, folded.data & 0xC0 == 0x80)
+        self.value = Hasher(folded.data).spans(*((starts, ends) if aligned else spans(folded, cut)[:2]))
         self.hash = {view: self.value.copy() for view in VIEWS}
         self.slot = {view: np.zeros(len(starts), bool) for view in VIEWS}
         if not len(starts):
@@ -106,7 +142,10 @@ class Tokens:
         second = data[np.minimum(starts + 1 + wide, len(data) - 1)]
         capital = ((first >= 65) & (first <= 90) & (ends - starts > 1)) | (wide & big[np.minimum(starts + 1, len(data) - 1)])
         name = capital & (((second >= 97) & (second <= 122)) | ((second >= 0xC3) & ~big[np.minimum(starts + 2 + wide, len(data) - 1)]))
-        unit = np.isin(self.value, _unit_hashes())
+        unit = np.isin(self.value, _hashes(UNITS))
+        if cut:
+            after = np.r_[False, number[:-1] & (self.owner[1:] == self.owner[:-1])]
+            unit |= (after & np.isin(self.value, _hashes(AFTER_NUMBER))) | _signs(data)[0][starts]
         for view in VIEWS:
             for kind, code in ((name, NAME), (unit, UNIT), (number, NUMBER)):
                 if code != NAME or view == "template":
@@ -125,20 +164,35 @@ class Tokens:
         return sums[first + size] - sums[first]
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+def _hashes(words: list[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends, _ = Texts(data, np.array([0, len(data)])).words()
     return Hasher(data).spans(starts, ends)
 
 
 class Index:
-    """Windows of benchmark items, in every view."""
+    """Windows of benchmark items, in every view of whole words and of cut ones."""
 
     def __init__(self, ids: list[int], texts: list[str], settings: Settings):
-        self.ids, self.settings = ids, settings
         texts = Texts.of(pa.array(texts, pa.string()))
-        tokens = Tokens(texts, fold(texts))
-        self.tokens, n = tokens, len(ids)
+        self.ids, self.words = ids, [Words(texts, fold(texts), cut, settings) for cut in (False, True)]
+
+    def leaks(self, texts: Texts) -> list[list[int]]:
+        """Ids of the items that leak into each document, in order."""
+        folded = fold(texts)
+        out: list[set[int]] = [set() for _ in range(len(texts))]
+        for words in self.words:
+            for doc, item in words.leaks(texts, folded):
+                out[doc].add(item)
+        return [sorted(self.ids[item] for item in x) for x in out]
+
+
+class Words:
+    """Windows of benchmark items, of whole words or of cut ones."""
+
+    def __init__(self, texts: Texts, folded: Texts, cut: bool, settings: Settings):
+        tokens = Tokens(texts, folded, cut)
+        self.tokens, self.cut, n = tokens, cut, len(texts)
         lengths = np.diff(np.searchsorted(tokens.owner, np.arange(n + 1)))
         self.tables, self.needed = {}, {view: np.zeros(n, np.int64) for view in VIEWS}
         sizes = sorted({settings.window, *np.minimum(lengths, settings.window).tolist()} - {0})
@@ -157,9 +211,9 @@ class Index:
                 self.tables[view, size] = (h[order], first[order], seen)
                 self.needed[view] += np.minimum(np.bincount(own, minlength=n), settings.matches)
 
-    def leaks(self, texts: Texts) -> list[list[int]]:
-        """Ids of the items that leak into each document, in order."""
-        tokens = Tokens(texts, fold(texts))
+    def leaks(self, texts: Texts, folded: Texts) -> Iterator[tuple[int, int]]:
+        """Documents, and the numbers of the items that leak into them."""
+        tokens = Tokens(texts, folded, self.cut)
         found: dict[tuple[int, int], dict[tuple[str, int], list]] = defaultdict(lambda: defaultdict(list))
         for (view, size), (hashes, places, seen) in self.tables.items():
             h, first = tokens.windows(view, size)
@@ -169,7 +223,6 @@ class Index:
                 for place in places[a:b].tolist():
                     item = int(self.tokens.owner[place])
                     found[int(tokens.owner[at]), item][view, at - place].append((place, size))
-        out: list[list[int]] = [[] for _ in range(len(texts))]
         for (doc, item), shifts in found.items():
             good = {view: set() for view in VIEWS}
             for (view, shift), rows in shifts.items():
@@ -177,8 +230,7 @@ class Index:
             # Every window of the template is one of the words too, so those count together there.
             good["words"] |= good["template"]
             if any(0 < self.needed[view][item] <= len(good[view]) for view in VIEWS):
-                out[doc].append(self.ids[item])
-        return [sorted(x) for x in out]
+                yield doc, item
 
     def _consistent(self, view: str, tokens: Tokens, shift: int, rows: list[tuple[int, int]]) -> set[int]:
         """The matched windows of one alignment that agree on what fills the slots."""

@@ -44,7 +44,11 @@ class Settings:
     """Base limits, the largest distances, and the least sizes they apply from.
 
     A distance may exceed its limit by the noise of a small sample, ``noise``
-    over the square root of the characters or words.
+    over the square root of the characters or words. The word rule can reject a
+    text without any listed word only from ``(word_noise / (d - word_distance)) ** 2``
+    words on, where ``d`` is the distance of such a text: 77 to 82 words if 22 % of
+    the language's words are listed. From ``least_listed`` up to there it rejects
+    only texts that lie farther off than those.
     """
 
     least_words: int = 10

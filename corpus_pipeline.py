@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, quality, suffix_dedup, transducer
 from tidemark.llm.queries import table, vocabulary_path
@@ -20,15 +21,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of every group, and a row for every id.
+    """Keeps the document of smallest id of every group, and every text of it.
 
-    Groups are those of 5-word shingles with a similarity of 0.8. Rows with a null
-    id are no copies of anything and stay.
+    Groups are those of 5-word shingles with a similarity of 0.8. Of rows with equal
+    id and text one stays, that with the smallest other columns. Rows with a null id
+    are no copies of anything and stay.
     """
     found = ngram_join.jaccard_components(docs, ngram_join.Similarity(words=5, percent=80))
     copies = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = docs.select(COLUMNS).where("doc_id is not null").join(copies, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]).union(docs.select(COLUMNS).where("doc_id is null"))
+    kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return kept.select("doc_id", "text", "rest.*").union(docs.select(COLUMNS).where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

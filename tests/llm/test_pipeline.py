@@ -80,3 +80,12 @@ def test_stages_take_null_ids_and_extra_columns(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         empty = materialize(stage(spark, empty, SF), "test-empty")
     assert empty.count() == 0
+
+
+def test_different_texts_of_one_id_stay(spark):
+    one, two = (" ".join(f"{a}{k}" for k in range(30)) for a in ("first", "second"))
+    rows = [(1, one, "en", "a", 7), (1, two, "de", "b", 8), (1, two, "de", "b", 8), (1, one, "de", "c", 7), (2, one, "en", "a", 7), (3, None, "en", "a", 0), (3, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").repartition(3)
+    found = corpus_pipeline.join_near_copies(spark, docs, SF)
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, one, "de", "c", 7), (1, two, "de", "b", 8), (3, None, "en", "a", 0)], key=str)

@@ -93,3 +93,11 @@ def test_nearest_smaller():
     for values in (rng.permutation(50), np.arange(50), np.arange(50)[::-1].copy()):
         want = [max((j for j in range(k) if values[j] < values[k]), default=-1) for k in range(50)]
         assert suffix_dedup.nearest_smaller(values).tolist() == want
+
+
+def test_the_smallest_id_is_compared_too(documents):
+    rng = random.Random(8)
+    part, other = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (300, 200))
+    rows = [(-(1 << 63), part + "-" + part + "!"), (1, other + part), (2, other + "x")]
+    assert [r[1] for _, r in sorted(brute_force(rows).items())] == [300, 300, 200]
+    check(documents(rows), rows, Settings())

@@ -323,7 +323,8 @@ def _repeats(documents: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     counts = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     found = found.join(counts, "anchor").withColumn("hot", F.expr(f"n > {settings.hot}"))
     places = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "runs", "anchor", "hot")).alias("places"))
-    places = materialize(places, "places").where("doc_id > -9223372036854775808")
+    # True for every id; a comparison lets the join filter the texts by a Bloom filter.
+    places = materialize(places, "places").where(F.col("doc_id") >= F.lit(-(1 << 63)))
     near = texts.join(places, "doc_id").join(single, ["doc_id", "twin"], "left_semi")
     near = materialize(near, "near")
     later = later_copies(windows_of(near, settings), settings)

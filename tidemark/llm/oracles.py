@@ -118,3 +118,125 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged join far using (doc_id)
 """
 ).replace("LISTED", _LISTED)
+
+
+# Every filter order by itself, over counts of the sets of filters that texts fail.
+ORACLES["op13_filter_audit"] = r"""
+with texts as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+           coalesce(doc_id > min(doc_id) over (partition by coalesce(text, '')), false) as e
+    from documents
+), marked as (
+    select part, list_filter([
+               case when len(w) < 50 then 'A' end,
+               case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' end,
+               case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' end,
+               case when regexp_matches(t, '[#$%&*|]') then 'D' end,
+               case when e then 'E' end], lambda x: x is not null) as fails,
+           doc_id in (select doc_id from labels where quality = 1 and doc_id is not null) as good,
+           doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null) as toxic
+    from texts
+), kinds as (
+    select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from marked group by all
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as f
+), orders as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps as (
+    select filter_order, step, filter_order[step:step] as f, string_split(filter_order[1:step - 1], '') as before
+    from orders, range(1, 6) as r(step)
+), audit as (
+    select part, filter_order, step, f,
+           sum(case when list_has_any(fails, list_append(before, f)) then 0 else n end) as kept,
+           sum(case when list_contains(fails, f) and not list_has_any(fails, before) then n else 0 end) as removed,
+           sum(case when list_contains(fails, f) and list_has_any(fails, before) then n else 0 end) as redundant,
+           sum(case when fails = [f] then n else 0 end) as unique_fails,
+           sum(case when list_contains(fails, f) and not list_has_any(fails, before) then good else 0 end) as good_lost,
+           sum(case when list_contains(fails, f) and not list_has_any(fails, before) then toxic else 0 end) as toxic_lost
+    from kinds, steps group by all
+)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from audit
+"""
+
+# The repair one row at a time: cost and audit of the four states of a dialogue.
+ORACLES["op11_conversation_repair"] = r"""
+with recursive keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+           coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+    from conversations
+), fates as (
+    select conv_id, turn, role, text, xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i:i])::bigint)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                                 lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 20 as fate
+    from keyed
+), damaged as (
+    select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+           case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from fates, range(2) as copies(copy) where fate <> 0 and (copy = 0 or fate = 3)
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(octet_length(encode(role)) || ':' || role || text)) as k
+    from damaged
+), rows_ as materialized (
+    select conv_id, turn, k, role, text, role[1:1] as initial,
+           case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                when row_number() over (partition by conv_id, role, text order by k) > 1 then 'duplicate'
+                when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault,
+           lag(role[1:1]) over (partition by conv_id order by k) as earlier
+    from placed
+), costs as (
+    select *, fault in ('', 'truncated') as keeps, case when fault = 'truncated' then 1 else 0 end as extra from rows_
+), dp as (
+    select conv_id, 0::bigint as k, {'c': 0, 'a': ''} as o, {'c': 1000000, 'a': ''} as s, {'c': 1000000, 'a': ''} as u, {'c': 1000000, 'a': ''} as a
+    from (select distinct conv_id from rows_)
+    union all
+    select conv_id, k,
+           {'c': o.c + 3, 'a': o.a || 'D'},
+           least({'c': s.c + 3, 'a': s.a || 'D'}, case when keeps and initial = 's' then {'c': o.c + extra, 'a': o.a || 'K'} else {'c': 2000000, 'a': ''} end),
+           least({'c': u2.c + 3, 'a': u2.a || 'D'},
+                 case when keeps then {'c': least(o, s, a2).c + extra + case when initial = 'u' then 0 else 2 end,
+                                       'a': least(o, s, a2).a || case when initial = 'u' then 'K' else 'R' end} else {'c': 2000000, 'a': ''} end),
+           least({'c': a2.c + 3, 'a': a2.a || 'D'},
+                 case when keeps then {'c': u2.c + extra + case when initial = 'a' then 0 else 2 end,
+                                       'a': u2.a || case when initial = 'a' then 'K' else 'R' end} else {'c': 2000000, 'a': ''} end)
+    from (select d.conv_id, r.k, o, s, initial, keeps, extra,
+                 least(u, {'c': o.c + 2, 'a': o.a || 'I'}, {'c': s.c + 2, 'a': s.a || 'I'}, {'c': a.c + 2, 'a': a.a || 'I'}) as u2,
+                 least(a, {'c': u.c + 2, 'a': u.a || 'I'}, {'c': o.c + 4, 'a': o.a || 'II'}, {'c': s.c + 4, 'a': s.a || 'II'}) as a2
+          from dp d join costs r on r.conv_id is not distinct from d.conv_id and r.k = d.k + 1)
+), ends as (
+    select conv_id, least(o, a, {'c': u.c + 2, 'a': u.a || 'I'}, {'c': s.c + 4, 'a': s.a || 'II'}) as best
+    from dp qualify k = max(k) over (partition by conv_id)
+), pieces as (
+    -- The edits of every row: turns put in before it, and what becomes of it.
+    select e.conv_id, r.k, r.role, r.text, best.a as audit, regexp_extract_all(best.a, 'I*[KRD]')[r.k] as edits
+    from ends e join rows_ r on r.conv_id is not distinct from e.conv_id
+), emitted as (
+    select conv_id, k, i, case when edits[i:i] = 'I' then '' else text end as text, role, edits[i:i] as edit
+    from pieces, range(1, 1000) as r(i) where i <= length(edits) and edits[i:i] <> 'D'
+    union all
+    select conv_id, 1000000000, i, '', '', 'I' from ends, range(1, 3) as r(i) where i <= length(best.a) - length(rtrim(best.a, 'I'))
+), numbered as (
+    select *, row_number() over w - max(case when edit = 'K' and role[1:1] = 's' then 1 else 0 end) over w as n
+    from emitted window w as (partition by conv_id order by k, i rows unbounded preceding)
+), repaired as (
+    select conv_id, string_agg(case when edit = 'K' then role when n % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by k, i) as repaired
+    from numbered group by conv_id
+), counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+           count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+           count(*) filter (earlier is not null and earlier || initial not in ('su', 'ua', 'au')) as illegal
+    from rows_ group by conv_id
+)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.c, 0)::bigint as cost,
+       coalesce(best.a, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) i
+left join counts c on c.conv_id is not distinct from i.conv_id
+left join ends e on e.conv_id is not distinct from i.conv_id
+left join repaired r on r.conv_id is not distinct from i.conv_id
+"""

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, kd_shards, ngram_join, quality, quality_rules, suffix_dedup, token_counts, token_files, transducer, warc
+from tidemark.llm import (
+    conversation_repair, decontaminate, filter_audit, kd_shards, ngram_join, quality, quality_rules, suffix_dedup,
+    token_counts, token_files, toxicity, transducer, warc,
+)
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import prepare
 
@@ -89,3 +92,20 @@ def op9_warc(spark, sf_dir):
 def op7_quality_rules(spark, sf_dir):
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))
     return rows.drop("class_distance", "word_distance")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.classify(documents, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -321,6 +321,8 @@ FROM lagged GROUP BY source"""
     sql["watermark_3lane"] = _watermarks(LANES)
     sql["watermark_by_source"] = _watermarks(LANES, "source")
     sql["watermark_range_buckets"] = _watermarks(LANES)
+    sql["watermark_resumed"] = _watermarks(LANES)
+    sql["watermark_resumed_by_source"] = _watermarks(LANES, "source")
     raw = scan(LANES, "", "raw_lines")
     sql["watermark_raw_lines"] = f"""WITH {LOG}, {text_lines('log')}, raw_lines AS (
   SELECT line_no AS log_id, arrival_ts,
@@ -361,6 +363,8 @@ FROM metrics"""
 SELECT window_type, lag_ms, log_id, printf('{LATE_FORMAT}', log_id % {LANES}, log_id) AS message FROM late"""
 
     sql["trace_rows"] = f"WITH {SCAN}, {trace()} SELECT * FROM trace"
+    sql["coded_trace_view"] = sql["trace_rows"]
+    sql["coded_trace_of_lag"] = f"{sql['trace_rows']} WHERE lag_ms = {LAG}"
     all_lags = {kind: LAGS["tumbling"] for kind in KINDS}
     sql["lag_sweep"] = f"""WITH {SCAN}, {lag_rows(KINDS, all_lags)}, {pair_rows()}, sums AS (
   SELECT window_type, lag_ms, count(*) FILTER (window_end = last_end) AS events,

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.settings import (
-    BUCKET, CUTOFF_S, FEED_SLICE, HOUR, LAG, LAGS, LANES, SCALE, SIZE, SLIDE,
+    BUCKET, CUTOFF_S, FEED_SLICE, FEED_START, HOUR, LAG, LAGS, LANES, RESUME_AT, SCALE, SIZE, SLIDE,
 )
 from tidemark.functions.messages import late_message, window_message
 from tidemark.functions.naming import lag_seconds, run_name, window_kind
 from tidemark.functions.parse import format_line, lane_key, parse_lines, parse_rejects, typed_lines
-from tidemark.operators import calibrate, delay, disorder, series, trace
+from tidemark.operators import calibrate, delay, disorder, resume, series, trace
 from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, watermark
 from tidemark.operators.lateness import drop_rates, late_events_sweep, partial_misses
 from tidemark.operators.window_metrics import id_gaps, window_counts, window_metrics
@@ -226,6 +226,23 @@ def watermark_range_buckets(spark, sf_dir):
     return _watermarks(scan(spark, sf_dir, hot_rows=1, rows_per_bucket=2_000))
 
 
+def _in_two(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The log cut by arrival time, the second part scanned from the stored state of the first."""
+    log = arrivals(spark, sf_dir).select("arrival_ts", "log_id", "event_ts", *by)
+    parts = [log.where(f"arrival_ts < {RESUME_AT}"), log.where(f"arrival_ts >= {RESUME_AT}")]
+    return reduce(DataFrame.unionByName, resume.scan_in_parts(parts, LANES, by, bucket_ms=BUCKET))
+
+
+@query
+def watermark_resumed(spark, sf_dir):
+    return _watermarks(_in_two(spark, sf_dir))
+
+
+@query
+def watermark_resumed_by_source(spark, sf_dir):
+    return _watermarks(_in_two(spark, sf_dir, ("source",)), "source")
+
+
 @query
 def watermark_raw_lines(spark, sf_dir):
     """Lanes are dealt before parsing: malformed lines take turns but move no watermark."""
@@ -320,6 +337,25 @@ def trace_rows(spark, sf_dir):
     return trace.trace_rows(scan(spark, sf_dir, extra=("content",)), SWEEP, LANES)
 
 
+def _coded(spark: SparkSession, sf_dir: str) -> str:
+    """A stored trace with one row for each event and window."""
+    rows, folder = scan(spark, sf_dir, extra=("content",)), scratch_path(spark, "coded")
+    sinks.write_coded_trace(trace.coded_trace(rows, SWEEP, LANES), trace.firing_table(rows, SWEEP), folder)
+    return folder
+
+
+@query
+def coded_trace_view(spark, sf_dir):
+    """The trace rows of all lags, read from a stored trace that has no row of any lag."""
+    return sinks.read_coded_trace(spark, _coded(spark, sf_dir), SWEEP)
+
+
+@query
+def coded_trace_of_lag(spark, sf_dir):
+    """The same for one lag."""
+    return sinks.read_coded_trace(spark, _coded(spark, sf_dir), SWEEP, lag_ms=LAG)
+
+
 @query
 def lag_sweep(spark, sf_dir):
     rows = drop_rates(scan(spark, sf_dir), list(SPECS.values()), LAGS["tumbling"])

@@ -17,3 +17,9 @@ CUTOFF_S = 20
 
 # Stream feeds: slices of six days.
 FEED_SLICE = 6 * 24 * HOUR
+
+# The replay file counts seconds from the first day of the events.
+FEED_START = 1_704_067_200_000
+
+# The log is cut here for scans that go on where an earlier one ended.
+RESUME_AT = FEED_START + 15 * 24 * HOUR

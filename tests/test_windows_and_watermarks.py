@@ -251,3 +251,24 @@ def test_late_sweep_is_the_late_events_of_every_lag(log):
     got = sorted((r.window_type, r.lag_ms, r.log_id, r.late_by_ms) for r in late_events_sweep(scan, sweep).collect())
     want = [(s.kind, lag, r.log_id, r.late_by_ms) for s, lags in sweep for lag in lags for r in late_events(scan, s, lag).collect()]
     assert got == sorted(want) and want
+
+
+def test_coded_trace_has_no_row_of_a_lag(spark, log, tmp_path):
+    """The stored rows are those of the pairs; every lag is a view of them."""
+    from tidemark.operators.trace import coded_trace, firing_table
+    from tidemark.sources.sinks import read_coded_trace, write_coded_trace
+
+    scan = materialize(arrival_scan(log(disorderly(400, 12)), 3, bucket_ms=1500), "scan")
+    sweep = [(tumbling(2000), [700, 0]), (sliding(3000, 1000), [0, 1500])]
+    many = [(spec, [*lags, *range(10, 90, 10)]) for spec, lags in sweep]
+    sizes = []
+    for k, each in enumerate((sweep, many)):
+        write_coded_trace(coded_trace(scan, each, 3), firing_table(scan, each), f"{tmp_path}/{k}")
+        sizes.append(spark.read.parquet(f"{tmp_path}/{k}/pairs").count())
+    assert sizes[0] == sizes[1] == 400 * 4
+    columns = ["window_type", "lag_ms", "task_id", "sys_ts", "event_ts", "log_id", "content", "status", "window_end"]
+    whole = trace_rows(scan, many, 3).select(columns).collect()
+    assert sorted(read_coded_trace(spark, f"{tmp_path}/1", many).select(columns).collect()) == sorted(whole)
+    for lag in (0, 700, 80):
+        one = read_coded_trace(spark, f"{tmp_path}/1", many, lag_ms=lag).select(columns).collect()
+        assert one and sorted(one) == sorted(r for r in whole if r.lag_ms == lag)

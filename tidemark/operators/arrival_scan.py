@@ -98,12 +98,14 @@ def arrival_scan(
     bucket_ms: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     hot_rows: int | None = None,
+    keep_tops: bool = False,
 ) -> DataFrame:
     """Add ``seen_ts`` (null until every lane has a row) and ``lane`` to ``rows``.
 
     ``rows`` needs ``arrival_ts, log_id, event_ts``; select only the columns used
     later. ``by`` separates independent logs. A row without event time takes its
-    turn in the dealing but moves no watermark.
+    turn in the dealing but moves no watermark. ``keep_tops`` also adds ``tops``, the
+    highest event time of each lane so far.
     """
     by = list(by)
     parallelism = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -144,12 +146,17 @@ def arrival_scan(
     joined = lookup_join(scanned, carried, [*by, "bucket"], right_rows=n_buckets)
     tops = [f"greatest(top_{r}, carry_{r})" for r in range(lanes)]
     if lanes == 1:
-        return joined.selectExpr(*rows.columns, "0 as lane", f"{tops[0]} as seen_ts")
+        kept = [f"array({tops[0]}) as tops"] if keep_tops else []
+        return joined.selectExpr(*rows.columns, "0 as lane", f"{tops[0]} as seen_ts", *kept)
+    # Residue r of the local row number is lane (base_idx + r) % lanes.
+    of_lane = ", ".join(f"get(array({', '.join(tops)}), int(pmod({k} - base_idx, {lanes})))" for k in range(lanes))
+    kept = [f"array({of_lane}) as tops"] if keep_tops else []
     started = " and ".join(f"{top} is not null" for top in tops)
     return joined.selectExpr(
         *rows.columns,
         f"int((base_idx + idx) % {lanes}) as lane",
         f"case when {started} then least({', '.join(tops)}) end as seen_ts",
+        *kept,
     )
 
 

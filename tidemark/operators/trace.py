@@ -18,49 +18,95 @@ from tidemark.session import lookup_join
 NORMAL, LATE, NO_WINDOW = "NORMAL", "LATE", -1
 
 
-def trace_rows(
-    scan: DataFrame,
-    sweep: Sweep,
-    lanes: int,
-    by: tuple[str, ...] = (),
-    flush: bool = False,
-    block: int = BLOCK,
+def coded_trace(scan: DataFrame, sweep: Sweep, lanes: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (event, window), for all lags at once.
+
+    ``refused_by`` is the number of the window type's lags, in ascending order, that
+    refuse the pair: for the others it is accepted. The row of an event's last window
+    (``is_last``) also stands for the late event those lags make of it.
+    """
+    parts = []
+    for spec, lags in sweep:
+        refused = " + ".join(f"int({closed(lag)})" for lag in sorted(set(lags)))
+        parts.append(
+            window_pairs(scan, spec).selectExpr(
+                *by,
+                f"'{spec.kind}' as window_type",
+                f"{lane_of('log_id', lanes)} as task_id",
+                "arrival_ts",
+                "event_ts",
+                "log_id",
+                *[c for c in ("content",) if c in scan.columns],
+                "window_end",
+                f"{refused} as refused_by",
+                f"window_end = {last_window_end(spec)} as is_last",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def firing_table(
+    scan: DataFrame, sweep: Sweep, by: tuple[str, ...] = (), flush: bool = False, block: int = BLOCK
+) -> DataFrame:
+    """``fired``, the firing times of a window by the number of its lag; windows that never fire are left out."""
+    fired = window_firing(scan, sweep, by, flush, block).where("trigger_ts is not null")
+    numbers = " ".join(
+        f"when window_type = '{spec.kind}' and lag_ms = {lag} then {k}" for spec, lags in sweep for k, lag in enumerate(sorted(set(lags)))
+    )
+    entries = f"collect_list(struct(case {numbers} end as lag_no, trigger_ts))"
+    return fired.groupBy(*by, "window_type", "window_end").agg(F.expr(f"map_from_entries({entries}) as fired"))
+
+
+def trace_view(
+    coded: DataFrame, firing: DataFrame, sweep: Sweep, by: tuple[str, ...] = (), lag_ms: int | None = None
 ) -> DataFrame:
-    """One NORMAL row per accepted (event, fired window), one LATE row per late event.
+    """The trace rows of every lag, or of ``lag_ms`` alone, from a coded trace.
 
+    One NORMAL row per accepted (event, fired window), one LATE row per late event.
     NORMAL rows carry the firing time as ``sys_ts``, LATE rows their arrival time.
-    Both kinds come from the same pass over the (event, window) pairs.
+    Coded rows are joined with the firing times once, and multiplied by the lags
+    afterwards, without moving again; for one lag they are filtered instead.
     """
     run = [*by, "window_type", "window_end"]
-    firing = window_firing(scan, sweep, by, flush, block).where("trigger_ts is not null")
-    # One lookup row per window with the firing times of all lags: the pairs are
-    # joined once and multiplied by the lags afterwards, without moving again.
-    fired = firing.groupBy(*run).agg(
-        F.expr("map_from_entries(collect_list(struct(lag_ms, trigger_ts))) as fired_at")
-    )
-    pairs = [window_pairs(scan, spec).withColumn("window_type", F.lit(spec.kind)) for spec, _ in sweep]
-    width = max(len(ns) for _, ns in sweep)
-    joined = lookup_join(reduce(DataFrame.unionByName, pairs), fired, run, how="left", row_width=width)
-
-    lags = " ".join(f"when '{spec.kind}' then array({', '.join(f'{n}L' for n in ns)})" for spec, ns in sweep)
-    last = " ".join(f"when '{spec.kind}' then {last_window_end(spec)}" for spec, _ in sweep)
-    joined = joined.selectExpr("*", f"explode(case window_type {lags} end) as lag_ms")
-    joined = joined.selectExpr("*", f"{closed('lag_ms')} as late", "try_element_at(fired_at, lag_ms) as trigger_ts")
-    joined = joined.where(f"not late or window_end = case window_type {last} end")
-    return joined.where("late or trigger_ts is not null").selectExpr(
+    lags = {spec.kind: sorted(set(ns)) for spec, ns in sweep}
+    width = max(map(len, lags.values()))
+    if lag_ms is None:
+        cases = " ".join(f"when '{kind}' then array({', '.join(f'{n}L' for n in ns)})" for kind, ns in lags.items())
+        chosen, each = coded, f"posexplode(case window_type {cases} end) as (lag_no, lag_ms)"
+    else:
+        cases = " ".join(f"when '{kind}' then {ns.index(lag_ms) if lag_ms in ns else 'null'}" for kind, ns in lags.items())
+        number = f"case window_type {cases} end"
+        chosen = coded.where(f"{number} >= refused_by or ({number} < refused_by and is_last)")
+        each = f"inline(array(struct({number} as lag_no, {lag_ms}L as lag_ms)))"
+    joined = lookup_join(chosen, firing, run, how="left", row_width=width).selectExpr("*", each)
+    joined = joined.selectExpr("*", "lag_no < refused_by as late", "try_element_at(fired, lag_no) as trigger_ts")
+    joined = joined.where("if(late, is_last, trigger_ts is not null)")
+    return joined.selectExpr(
         *by,
         "window_type",
         "lag_ms",
-        f"{lane_of('log_id', lanes)} as task_id",
+        "task_id",
         "if(late, arrival_ts, trigger_ts) as sys_ts",
         "event_ts",
         "log_id",
-        *[c for c in ("content",) if c in scan.columns],
+        *[c for c in ("content",) if c in coded.columns],
         f"if(late, '{LATE}', '{NORMAL}') as status",
         f"if(late, bigint({NO_WINDOW}), window_end) as window_end",
     )
 
 
+def trace_rows(
+    scan: DataFrame,
+    sweep: Sweep,
+    lanes: int,
+    by: tuple[str, ...] = (),
+    flush: bool = False,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The trace of every window type and lag (``trace_view``), from one pass over the pairs."""
+    return trace_view(coded_trace(scan, sweep, lanes, by), firing_table(scan, sweep, by, flush, block), sweep, by)
+
+
 def trace_totals(trace: DataFrame, run: list[str]) -> DataFrame:
     """A trace condensed to one row per ``sys_ts``: all that series and summaries need."""
     return trace.groupBy(*run, "sys_ts").agg(

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.parse import lane_key, lane_of
 from tidemark.operators.firing import attach_firing
 from tidemark.operators.lateness import window_pairs
+from tidemark.operators.panes import sliding_counts, window_ends_of
 from tidemark.operators.prefix import BLOCK
-from tidemark.operators.windows import Sweep, WindowSpec, assign_windows
+from tidemark.operators.windows import Sweep, WindowSpec
 
 
 def window_counts(
@@ -22,24 +23,14 @@ def window_counts(
     A pair accepted for one lag is accepted for every larger one, so pairs are
     counted once, by the smallest lag that accepts them, and the few counts of a
     window are added up over the lags afterwards. Counts are combined before the
-    shuffle: neither a hot window nor the number of lags multiplies the data.
+    shuffle: neither a hot window nor the number of lags multiplies the data, nor
+    does the number of windows an event is in (``operators.panes``).
     ``wait_ms`` sums the distance to the window end, which stays small, unlike
     epoch times.
     """
     lags = sorted(set(lags_ms))
     keys = [*by, "task_id", "window_end"]
-    refused_by = " + ".join(f"int(coalesce(overrun >= {lag}, false))" for lag in lags)
-    pairs = window_pairs(scan, spec).selectExpr(
-        *by,
-        f"{lane_of('log_id', lanes)} as task_id",
-        "window_end",
-        "log_id",
-        "window_end - event_ts as wait",
-        f"{refused_by} as refused_by",
-    )
-    counts = pairs.groupBy(*keys, "refused_by").agg(
-        F.count("*").alias("n"), F.min("log_id").alias("low"), F.max("log_id").alias("high"), F.sum("wait").alias("wait")
-    )
+    counts = sliding_counts(scan, spec, lags, lanes, by) if not spec.is_tumbling else _tumbling_counts(scan, spec, lags, lanes, by)
     all_lags = f"array({', '.join(f'{lag}L' for lag in lags)})"
     # explode_outer: the planner would turn the test of an empty array, for pairs no
     # lag accepts, into a costly filter on the rows.
@@ -54,6 +45,21 @@ def window_counts(
     return totals.selectExpr("*", f"{lane_key('task_id', lanes)} as key", f"'{spec.kind}' as window_type")
 
 
+def _tumbling_counts(scan: DataFrame, spec: WindowSpec, lags: list[int], lanes: int, by: tuple[str, ...]) -> DataFrame:
+    refused_by = " + ".join(f"int(coalesce(overrun >= {lag}, false))" for lag in lags)
+    pairs = window_pairs(scan, spec).selectExpr(
+        *by,
+        f"{lane_of('log_id', lanes)} as task_id",
+        "window_end",
+        "log_id",
+        "window_end - event_ts as wait",
+        f"{refused_by} as refused_by",
+    )
+    return pairs.groupBy(*by, "task_id", "window_end", "refused_by").agg(
+        F.count("*").alias("n"), F.min("log_id").alias("low"), F.max("log_id").alias("high"), F.sum("wait").alias("wait")
+    )
+
+
 def id_gaps(metrics: DataFrame, lanes: int) -> DataFrame:
     """Loss estimates from gaps in the ids.
 
@@ -89,7 +95,7 @@ def window_firing(
     """Firing time of every non-empty window for every lag; nulls while pending."""
     parts = []
     for spec, lags in sweep:
-        ends = assign_windows(scan.where("event_ts is not null"), spec).select(*by, "window_end").distinct()
+        ends = window_ends_of(scan, spec, by)
         each = f"explode(array({', '.join(f'{lag}L' for lag in lags)})) as lag_ms"
         parts.append(ends.selectExpr("*", f"'{spec.kind}' as window_type", each))
     return attach_firing(reduce(DataFrame.unionByName, parts), scan, sweep, by, flush, block)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.trace import trace_view
+from tidemark.operators.windows import Sweep
 from tidemark.sources import schemas
 
 
@@ -38,6 +40,20 @@ def write_trace(trace: DataFrame, path: str, run: list[str], fmt: str = "parquet
     write_table(trace.select(*run, *schemas.names(schemas.TRACE)), path, run, fmt)
 
 
+def write_coded_trace(coded: DataFrame, firing: DataFrame, path: str) -> None:
+    """A coded trace and its firing times: one row per (event, window), however many lags."""
+    write_table(coded, f"{path}/pairs", ["window_type"])
+    write_table(firing, f"{path}/firing", ["window_type"])
+
+
+def read_coded_trace(
+    spark: SparkSession, path: str, sweep: Sweep, by: tuple[str, ...] = (), lag_ms: int | None = None
+) -> DataFrame:
+    """The trace rows of all lags or of one, made as they are read."""
+    coded, firing = (spark.read.parquet(f"{path}/{part}") for part in ("pairs", "firing"))
+    return trace_view(coded, firing, sweep, by, lag_ms)
+
+
 def write_series(series: DataFrame, path: str, run: list[str], fmt: str = "csv") -> None:
     rows = series.select(*run, *schemas.names(schemas.SERIES))
     rows = rows.repartitionByRange(*run, "relative_time_s").sortWithinPartitions(*run, "relative_time_s")

@@ -340,6 +340,20 @@ SELECT task_id * 1001 AS key, window_end, count_actual, max_id - min_id + 1 AS c
        max_id - min_id + 1 - count_actual AS loss_network,
        (max_id - min_id) // {LANES} + 1 - count_actual AS loss_stride
 FROM counts"""
+    spans = f"""WITH {LOG}, kept_log AS (
+  SELECT * FROM log WHERE (log_id * 31 + 7) % 100 >= 2), {scan(LANES, '', 'kept_log')}, {lag_rows(('tumbling',))},
+placed AS (SELECT *, log_id % {LANES} AS task_id, {last_end('tumbling')} AS window_end FROM scan),
+spans AS (
+  SELECT task_id, window_end, low, coalesce(lead(low) OVER (PARTITION BY task_id ORDER BY window_end), high + {LANES}) AS upto
+  FROM (SELECT task_id, window_end, min(log_id) AS low, max(log_id) AS high FROM placed GROUP BY ALL))"""
+    sql["exact_id_gaps"] = f"""{spans}
+SELECT task_id, window_end, lag_ms, any_value((upto - low) // {LANES}) AS given, count(*) FILTER (NOT {CLOSED}) AS accepted,
+       count(*) FILTER ({CLOSED}) AS late, any_value((upto - low) // {LANES}) - count(*) AS lost
+FROM placed JOIN spans USING (task_id, window_end), lags GROUP BY task_id, window_end, lag_ms"""
+    sql["lost_ids"] = f"""{spans}
+SELECT ev.log_id % {LANES} AS task_id, s.window_end, ev.log_id FROM ev
+JOIN spans s ON s.task_id = ev.log_id % {LANES} AND ev.log_id >= s.low AND ev.log_id < s.upto
+WHERE ev.log_id NOT IN (SELECT log_id FROM kept_log)"""
     sql["partial_miss_sliding"] = f"""WITH {SCAN}, {lag_rows(('sliding',))}, {pair_rows(('sliding',))}
 SELECT lag_ms, log_id, event_ts, count(*) FILTER ({CLOSED}) AS missed FROM pairs JOIN lags USING (window_type)
 GROUP BY lag_ms, log_id, event_ts, {ALL_CLOSED}

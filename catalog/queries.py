@@ -15,6 +15,7 @@ from tidemark.functions.messages import late_message, window_message
 from tidemark.functions.naming import lag_seconds, run_name, window_kind
 from tidemark.functions.parse import format_line, lane_key, parse_lines, parse_rejects, typed_lines
 from tidemark.operators import calibrate, delay, disorder, resume, series, trace
+from tidemark.operators import id_gaps as id_gaps_exact
 from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, watermark
 from tidemark.operators.lateness import drop_rates, late_events_sweep, partial_misses
 from tidemark.operators.window_metrics import id_gaps, window_counts, window_metrics
@@ -279,6 +280,26 @@ def id_gap_loss(spark, sf_dir):
     return counts.select("key", "window_end", "count_actual", "count_expected", "loss_network", "loss_stride")
 
 
+def _received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids received of a log that lost some, in two parts whose bitmaps are merged."""
+    log = delay.inject_delay(delay.lose(events(spark, sf_dir)), SCALE)
+    rows = materialize(arrival_scan(log.select("arrival_ts", "log_id", "event_ts"), LANES, bucket_ms=BUCKET), "scan")
+    parts = [rows.where(f"arrival_ts < {RESUME_AT}"), rows.where(f"arrival_ts >= {RESUME_AT}")]
+    found = [id_gaps_exact.received_ids(part, *SWEEP[0], LANES) for part in parts]
+    return materialize(id_gaps_exact.merge_ids(reduce(DataFrame.unionByName, found)), "received")
+
+
+@query
+def exact_id_gaps(spark, sf_dir):
+    """Ids accepted, late and lost by window for every lag; the losses are exact."""
+    return id_gaps_exact.exact_gaps(_received(spark, sf_dir), SWEEP[0][1])
+
+
+@query
+def lost_ids(spark, sf_dir):
+    return id_gaps_exact.lost_ids(_received(spark, sf_dir), LANES)
+
+
 @query
 def late_events_tumbling(spark, sf_dir):
     rows = late_events_sweep(scan(spark, sf_dir), SWEEP[:1])

@@ -333,6 +333,13 @@ SELECT log_id, event_ts, CAST(lane AS BIGINT) AS lane, {SEEN} FROM scan WHERE ev
     for kind in KINDS:
         sql[f"{kind}_window_metrics"] = f"WITH {SCAN}, {metric_rows((kind,))} SELECT {METRIC_COLUMNS} FROM metrics"
         sql[f"late_events_{kind}"] = _late(kind)
+    sql["window_functions"] = f"""WITH {SCAN}, {metric_rows()}, spread AS (
+  SELECT window_type, lag_ms, log_id % {LANES} AS task_id, window_end, round(sum(d) / count(*), 6) AS mean_delay,
+         round(CAST(count(*) * sum(d * d) - sum(d) * sum(d) AS DOUBLE) / (count(*) * count(*)), 6) AS variance_delay
+  FROM (SELECT *, (arrival_ts - event_ts) // {SCALE} AS d FROM pairs) JOIN lags USING (window_type) WHERE NOT {CLOSED} GROUP BY ALL)
+SELECT window_type, lag_ms, task_id, key, window_end, trigger_ts, current_wm, count_actual, count_expected, loss_network,
+       mean_delay, variance_delay
+FROM metrics JOIN spread USING (window_type, lag_ms, task_id, window_end)"""
     sql["id_gap_loss"] = f"""WITH {LOG}, kept_log AS (
   SELECT * FROM log WHERE (log_id * 31 + 7) % 100 >= 2), {scan(LANES, '', 'kept_log')},
 {metric_rows(('tumbling',), {'tumbling': [LAG]})}
@@ -454,6 +461,10 @@ SELECT run_id, CASE WHEN log_id % 2 = 0 THEN concat_ws(',', task_id, sys_ts, eve
                     ELSE regexp_replace(value, '^([0-9]+,)', '\\1x') END AS value,
        CASE WHEN log_id % 2 = 0 THEN 'number of fields' ELSE 'bad sys_ts' END AS reason
 FROM named WHERE log_id % 97 = 0"""
+    names = run_id().replace("klag-all-data-trace", "klag-window_Tumbling")
+    sql["stored_metric_scan"] = f"""WITH {SCAN}, {metric_rows()}
+SELECT {names} AS run_id, CAST(lag_ms * 1000 // {HOUR} AS BIGINT) AS lag_ms, task_id AS file_task, task_id, window_end, trigger_ts,
+       count_actual, count_expected, loss_network, lag_system, current_wm FROM metrics"""
     sql["run_discovery"] = f"{stored} SELECT DISTINCT run_id FROM named"
     sql["selected_run"] = f"""{stored}
 SELECT run_id, task_id AS file_task, status, count(*) AS n FROM named

@@ -18,6 +18,7 @@ from tidemark.operators import calibrate, delay, disorder, resume, series, trace
 from tidemark.operators import id_gaps as id_gaps_exact
 from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, watermark
 from tidemark.operators.lateness import drop_rates, late_events_sweep, partial_misses
+from tidemark.operators.window_functions import COUNT, ID_GAPS, apply_functions, spread_of
 from tidemark.operators.window_metrics import id_gaps, window_counts, window_metrics
 from tidemark.operators.window_metrics import window_firing as firing_times
 from tidemark.operators.windows import sliding, tumbling
@@ -271,6 +272,15 @@ def sliding_window_metrics(spark, sf_dir):
     return window_metrics(scan(spark, sf_dir), SWEEP[1:], LANES).select(*METRIC_COLUMNS)
 
 
+@query
+def window_functions(spark, sf_dir):
+    """Functions of a user's own on both window types: id gaps, and the spread of the delays."""
+    rows = scan(spark, sf_dir)
+    own = [COUNT, ID_GAPS, spread_of(f"(arrival_ts - event_ts) div {SCALE}", "delay")]
+    found = reduce(DataFrame.unionByName, [apply_functions(rows, spec, lags, LANES, own) for spec, lags in SWEEP])
+    return rounded(found, "mean_delay", "variance_delay")
+
+
 @query
 def id_gap_loss(spark, sf_dir):
     """Loss estimated from id gaps, on a log that really lost events."""
@@ -506,6 +516,19 @@ def stored_run_rejects(spark, sf_dir):
     return run_files.rejects(spark, _stored_runs(spark, sf_dir)).select("run_id", "value", "reason")
 
 
+@query
+def stored_metric_scan(spark, sf_dir):
+    """Window metric files, one for every run and task, written in parts and read back."""
+    folder = scratch_path(spark, "metric-files")
+    rows = _named(window_metrics(scan(spark, sf_dir), SWEEP, LANES))
+    run = "if(window_type = 'sliding', run_id, replace(run_id, 'all-data-trace', 'window_Tumbling'))"
+    file = f"concat({run}, '_task-', task_id, if(window_type = 'sliding', '_metrics', ''))"
+    line = f"concat_ws(',', {', '.join(schemas.names(schemas.METRICS))})"
+    lines = rows.selectExpr(f"{file} as file", f"{line} as value")
+    run_files.write_lines(lines, folder, ",".join(schemas.names(schemas.METRICS)), rows_per_part=1_000)
+    return run_files.read_metrics(spark, folder).drop("file_name")
+
+
 @query
 def run_discovery(spark, sf_dir):
     return run_files.discover_runs(spark, _stored_runs(spark, sf_dir))
@@ -575,10 +598,9 @@ def summary_texts(spark, sf_dir):
     windows = windows.withColumn("run_id", F.regexp_replace("run_id", "all-data-trace", "window_Tumbling"))
     summaries.write_texts(summaries.summary_texts(traces), f"{folder}/trace")
     summaries.write_texts(summaries.window_summary_texts(windows), f"{folder}/window")
-    texts = spark.read.schema("value STRING, run_id STRING")
     table = tradeoff.tradeoff_from_summaries(
-        summaries.parse_summaries(texts.text(f"{folder}/trace", wholetext=True)),
-        summaries.parse_window_summaries(texts.text(f"{folder}/window", wholetext=True)),
+        summaries.parse_summaries(summaries.read_texts(spark, f"{folder}/trace")),
+        summaries.parse_window_summaries(summaries.read_texts(spark, f"{folder}/window")),
     )
     return rounded(table, "drop_rate", "avg_latency_s", "avg_trigger_delay_s")
 

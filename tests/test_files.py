@@ -166,3 +166,25 @@ def test_tradeoff_sink_takes_a_run_name(spark, tmp_path):
     sinks.write_tradeoff(table, str(tmp_path / "t"), "concat(window_type, '-', lag_ms)")
     row = spark.read.option("header", True).csv(str(tmp_path / "t")).first()
     assert row.Experiment == "tumbling-1000" and row.Type == "Tumbling Window"
+
+
+def test_large_run_files_are_written_in_parts(spark, tmp_path):
+    rows = [("3p1klag-all-data-trace_P3_task-0", f"0,3000,1500,{k},c,NORMAL,2000") for k in range(250)]
+    rows += [("3p1klag-all-data-trace_P3_task-1", "1,3000,1500,7,c,NORMAL,2000")]
+    lines = spark.createDataFrame(rows, "file STRING, value STRING").repartition(3)
+    folder = str(tmp_path / "parts")
+    run_files.write_lines(lines, folder, TRACE_HEAD.strip(), rows_per_part=100)
+    names = sorted(p.name for p in (tmp_path / "parts").iterdir() if p.name.endswith(".csv"))
+    assert names == [f"3p1klag-all-data-trace_P3_task-0.part-{k}.csv" for k in range(3)] + ["3p1klag-all-data-trace_P3_task-1.csv"]
+    assert all((tmp_path / "parts" / n).read_text().startswith(TRACE_HEAD) for n in names)
+    found = run_files.read_traces(spark, folder).collect()
+    assert len(found) == 251 and {(r.run_id, r.file_task) for r in found} == {("3p1klag-all-data-trace_P3", 0), ("3p1klag-all-data-trace_P3", 1)}
+    assert run_files.discover_runs(spark, folder).count() == 1
+
+
+def test_unknown_runs_are_listed(spark):
+    from tidemark.plans.tradeoff import unknown_runs
+
+    names = [("3p1klag-all-data-trace_P3",), ("4p1klag-all-data-trace_P4",), ("other-1klag",), ("3p-trace",)]
+    got = {tuple(r) for r in unknown_runs(spark.createDataFrame(names, "run_id STRING")).collect()}
+    assert got == {("other-1klag", "unknown type"), ("3p-trace", "no lag")}

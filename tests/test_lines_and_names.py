@@ -96,3 +96,22 @@ def test_delay_model(spark):
     assert lose(events).count() == 4900
     row = inject_delay(events, 3).agg(F.sum("delay_ms"), F.min("delay_ms")).first()
     assert tuple(row) == (5 * 3 * 506_172, 150)
+
+
+def test_own_run_names_come_back_for_any_lanes(spark):
+    from tidemark.functions.naming import run_name
+
+    for lanes in (1, 3, 4, 13, 128):
+        for kind in ("tumbling", "sliding"):
+            name = run_name(kind, "1.5D", 2000, 1000, lanes)
+            got = spark.range(1).selectExpr(f"{name} as name").selectExpr(lag_seconds("name"), window_kind("name")).first()
+            assert tuple(got) == (1.5, kind)
+    odd = spark.createDataFrame([("xp5klag-trace",), ("3pxklag-trace",), ("top5klag-trace",)], "name STRING")
+    assert {r[0] for r in odd.selectExpr(window_kind("name")).collect()} == {"unknown"}
+
+
+def test_lines_are_split_once(spark):
+    """However many fields and filters stand above, each line is stripped and split once."""
+    for rows in (parse_lines(lines(spark, "1,2,c")), parse_rejects(lines(spark, "1,2"))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 # These names and labels are part of the stored file formats.
 LAG_PATTERN = r"(\d+(\.\d+)?)klag"
 SLIDING_MARK = "slide21k"
-TUMBLING_MARK = "3p"
+TUMBLING_PATTERN = r"(^|[^A-Za-z0-9.])\d+p\d"
 TRACE_MARK = "trace"
 WINDOW_MARK = "window"
 
@@ -18,11 +18,12 @@ def lag_seconds(name: str) -> str:
 def window_kind(name: str, tumbling_kind: str = TRACE_MARK) -> str:
     """``sliding``, ``tumbling`` or ``unknown``.
 
-    Tumbling runs keep traces and window metrics apart in the name, so a trace
+    Names of tumbling runs begin with the number of lanes, a ``p`` and the lag; those of
+    sliding runs hold a mark. Tumbling runs keep traces and window metrics apart in the name, so a trace
     run must also be marked as one; use ``WINDOW_MARK`` for window metric runs.
     """
     return f"""case when contains({name}, '{SLIDING_MARK}') then 'sliding'
-        when contains({name}, '{TUMBLING_MARK}') and contains({name}, '{tumbling_kind}') then 'tumbling'
+        when {name} rlike r'{TUMBLING_PATTERN}' and contains({name}, '{tumbling_kind}') then 'tumbling'
         else 'unknown' end"""
 
 

@@ -37,35 +37,33 @@ def last_window(spec: WindowSpec, ts: str = "pane") -> str:
     return floor_div(ts, spec.slide_ms)
 
 
-def pane_counts(scan: DataFrame, spec: WindowSpec, lags: list[int], lanes: int, by: list[str]) -> DataFrame:
-    """Events by key, pane and windows missed for each of the sorted ``lags``."""
+def pane_groups(
+    scan: DataFrame, spec: WindowSpec, lags: list[int], lanes: int, by: list[str], partials: list
+) -> DataFrame:
+    """``partials`` of the events by key, pane and windows missed for each of the sorted ``lags``."""
     missed = [f"missed_{k}" for k in range(len(lags))]
     rows = scan.where("event_ts is not null").selectExpr(
-        *by,
-        f"{lane_of('log_id', lanes)} as task_id",
-        f"{pane_start(spec)} as pane",
-        "log_id",
-        "event_ts",
-        f"seen_ts - {last_window_end(spec)} as overrun",
+        "*", f"{lane_of('log_id', lanes)} as task_id", f"{pane_start(spec)} as pane", f"seen_ts - {last_window_end(spec)} as overrun"
     )
     rows = rows.selectExpr("*", *[f"{missed_windows(spec, lag)} as {m}" for lag, m in zip(lags, missed, strict=True)])
-    return rows.groupBy(*by, "task_id", "pane", *missed).agg(
-        F.count("*").alias("n"),
-        F.min("log_id").alias("low"),
-        F.max("log_id").alias("high"),
-        F.expr("sum(event_ts - pane) as beyond"),
-    )
+    return rows.groupBy(*by, "task_id", "pane", *missed).agg(*partials)
+
+
+def pane_counts(scan: DataFrame, spec: WindowSpec, lags: list[int], lanes: int, by: list[str]) -> DataFrame:
+    """Number, lowest and highest id, and time into the pane."""
+    ids = [F.count("*").alias("n"), F.min("log_id").alias("low"), F.max("log_id").alias("high")]
+    return pane_groups(scan, spec, lags, lanes, by, [*ids, F.expr("sum(event_ts - pane) as beyond")])
 
 
 def accepting_runs(panes: DataFrame, spec: WindowSpec, lags: list[int]) -> DataFrame:
     """Runs ``first..last`` of windows that accept a group by ``refused_by`` and no smaller lag."""
     held, runs = windows_held(spec, "pane"), []
     for k in range(len(lags)):
-        upto = "_last" if k == 0 else f"_last - _held + missed_{k - 1}"
-        runs.append(f"struct({k} as refused_by, _last - _held + 1 + missed_{k} as first, {upto} as last)")
-    rows = panes.selectExpr("*", f"{last_window(spec)} as _last", f"{held} as _held")
+        upto = "__upto" if k == 0 else f"__upto - __held + missed_{k - 1}"
+        runs.append(f"struct({k} as refused_by, __upto - __held + 1 + missed_{k} as first, {upto} as last)")
+    rows = panes.selectExpr("*", f"{last_window(spec)} as __upto", f"{held} as __held")
     rows = rows.selectExpr("*", f"inline(filter(array({', '.join(runs)}), r -> r.first <= r.last))")
-    return rows.drop("_last", "_held", *[f"missed_{k}" for k in range(len(lags))])
+    return rows.drop("__upto", "__held", *[f"missed_{k}" for k in range(len(lags))])
 
 
 def _nodes(levels: int) -> str:
@@ -103,6 +101,23 @@ def window_ends_of(scan: DataFrame, spec: WindowSpec, by: tuple[str, ...] = ())
     return held_windows(panes, spec, list(by)).selectExpr(*by, f"w * {spec.slide_ms} + {spec.size_ms} as window_end")
 
 
+def windows_of_groups(
+    groups: DataFrame, spec: WindowSpec, lags: list[int], by: list[str], merges: list, listed: int = LISTED
+) -> DataFrame:
+    """``merges`` of groups of events (by pane and ``missed_*``) for every key, window and ``refused_by``."""
+    keys = [*by, "task_id", "refused_by"]
+    end = f"w * {spec.slide_ms} + {spec.size_ms} as window_end"
+    if -(-spec.size_ms // spec.slide_ms) <= listed:
+        pairs = accepting_runs(groups, spec, lags).selectExpr("*", "explode(sequence(first, last)) as w")
+        return pairs.selectExpr("*", end).groupBy(*keys, "window_end").agg(*merges)
+    runs = accepting_runs(groups, spec, lags).selectExpr("*", f"inline({_nodes(_levels(spec))})")
+    nodes = runs.groupBy(*keys, "level", "node").agg(*merges)
+    above = f"explode(sequence(0, {_levels(spec)})) as level"
+    windows = held_windows(groups, spec, by).selectExpr(*by, "w", above).selectExpr("*", "shiftright(w, level) as node")
+    pairs = same_keys(nodes, windows, [*by, "level", "node"])
+    return pairs.selectExpr("*", end).groupBy(*keys, "window_end").agg(*merges)
+
+
 def sliding_counts(
     scan: DataFrame, spec: WindowSpec, lags: list[int], lanes: int, by: tuple[str, ...] = (), listed: int = LISTED
 ) -> DataFrame:

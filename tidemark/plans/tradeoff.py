@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arith import in_units
-from tidemark.functions.naming import WINDOW_MARK, lag_seconds, window_kind
+from tidemark.functions.naming import TRACE_MARK, WINDOW_MARK, lag_seconds, window_kind
 from tidemark.operators.series import run_summary, window_summary
 from tidemark.operators.trace import replay_totals
 from tidemark.operators.window_metrics import window_metrics
@@ -15,6 +15,7 @@ from tidemark.session import materialize
 
 RUN = ["window_type", "lag_ms"]
 
+
 def replay_sweep(
     scan: DataFrame, sweep: Sweep, lanes: int, by: tuple[str, ...] = (), flush: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +46,8 @@ def tradeoff_table(
 def tradeoff_from_summaries(trace_summaries: DataFrame, window_summaries: DataFrame) -> DataFrame:
     """The same table from stored summary texts (``sources.summaries``).
 
-    Runs without a lag in their name, or of unknown type, are left out. If several
+    Runs without a lag in their name, or of unknown type, are left out;
+    ``unknown_runs`` lists them. If several
     runs share lag and type, the trigger delay of the first name is used.
     """
     lag = f"{lag_seconds('run_id')} as lag_s"
@@ -60,6 +62,13 @@ def tradeoff_from_summaries(trace_summaries: DataFrame, window_summaries: DataFr
     return joined.select(*columns).orderBy("lag_s", "run_id")
 
 
+def unknown_runs(summaries: DataFrame, kind_mark: str = TRACE_MARK) -> DataFrame:
+    """The runs ``tradeoff_from_summaries`` leaves out, with what their name lacks."""
+    rows = summaries.selectExpr("run_id", f"{lag_seconds('run_id')} as lag_s", f"{window_kind('run_id', kind_mark)} as window_type")
+    reason = "case when lag_s is null then 'no lag' else 'unknown type' end as reason"
+    return rows.where("lag_s is null or window_type = 'unknown'").selectExpr("run_id", reason)
+
+
 def sweet_spot(table: DataFrame, max_drop_rate: float = 0.02) -> DataFrame:
     """Per window type the smallest lag that keeps the drop rate within the target."""
     columns = ["lag_s", "drop_rate", "avg_latency_s", "avg_trigger_delay_s"]

@@ -12,14 +12,15 @@ from __future__ import annotations
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.naming import lag_seconds, run_prefix, task_number
-from tidemark.session import scratch_path
+from tidemark.session import lookup_join, materialize, scratch_path
 from tidemark.sources import schemas
 
 # File name patterns.
-TRACE_FILES = "{*all-data-trace*_task-*.csv,*_task-*_trace.csv}"
-METRIC_FILES = "{*-window_*_task-*.csv,*_task-*_metrics.csv}"
+TRACE_FILES = "{*all-data-trace*_task-*.csv,*_task-*_trace.csv,*_task-*_trace.part-*.csv}"
+METRIC_FILES = "{*-window_*_task-*.csv,*_task-*_metrics.csv,*_task-*_metrics.part-*.csv}"
 RUN_FILES = "*_task-*.csv"
 
 
@@ -103,21 +104,29 @@ def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return files.selectExpr("url_decode(element_at(split(path, '/'), -1)) as file_name")
 
 
-def write_lines(lines: DataFrame, folder: str, header: str) -> None:
-    """Writes ``file, value`` lines as one plain file for every ``file``, named after it.
+def write_lines(lines: DataFrame, folder: str, header: str, rows_per_part: int = 1_000_000) -> None:
+    """Writes ``file, value`` lines as plain files named after ``file``, a header in each.
 
-    A task holds the lines of whole files, as the jobs of a run write them.
+    A file of more than ``rows_per_part`` rows is written in parts ``<file>.part-<k>.csv``
+    by as many tasks; readers take the run and task from the part of the name they share.
+    The other files have their plain name.
     """
-    staged = scratch_path(lines.sparkSession, "run-lines")
-    head = lines.select("file").distinct().selectExpr("file", f"'{header}' as value", "0 as place")
-    rows = lines.selectExpr("file", "value", "1 as place").unionByName(head)
-    rows = rows.repartition("file").sortWithinPartitions("file", "place").drop("place")
-    rows.write.partitionBy("file").text(staged)
-    jvm, conf = lines.sparkSession._jvm, lines.sparkSession._jsc.hadoopConfiguration()
+    spark = lines.sparkSession
+    staged = scratch_path(spark, "run-lines")
+    sizes = lines.groupBy("file").agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.selectExpr("file", f"bigint(ceil(n / {rows_per_part}D)) as parts"), "run-sizes")
+    heads = sizes.selectExpr("file", "explode(sequence(0L, parts - 1)) as part", f"'{header}' as value", "0 as place", "parts")
+    # Rows are dealt to the parts of their file by a hash, also those of a hot file.
+    rows = lookup_join(lines.select("file", "value"), sizes, ["file"])
+    rows = rows.selectExpr("file", "pmod(xxhash64(value, monotonically_increasing_id()), parts) as part", "value", "1 as place", "parts")
+    rows = rows.unionByName(heads).withColumn("name", F.expr("if(parts = 1, file, concat(file, '.part-', part))"))
+    rows = rows.repartition("name").sortWithinPartitions("name", "place").select("name", "value")
+    rows.write.partitionBy("name").text(staged)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     files = jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(conf)
     files.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/file=*/part-*")):
-        name = found.getPath().getParent().getName().removeprefix("file=")
+    for found in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/name=*/part-*")):
+        name = found.getPath().getParent().getName().removeprefix("name=")
         files.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"{unquote(name)}.csv"))
 
 

@@ -41,11 +41,18 @@ def parse_window_summaries(texts: DataFrame) -> DataFrame:
     return texts.selectExpr("run_id", f"{_number(TRIGGER_LABEL, 's')} as avg_trigger_delay_s")
 
 
-def read_texts(spark: SparkSession, folder: str, file_name: str) -> DataFrame:
-    """Whole texts ``folder/<run>/file_name`` with the run taken from the folder."""
+def read_texts(spark: SparkSession, folder: str, file_name: str = "*.txt") -> DataFrame:
+    """Whole texts ``folder/<run>/file_name`` with the run taken from the folder.
+
+    Folders may also be named ``run_id=<run>``, as ``write_texts`` names them.
+    """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
     texts = reader.text(folder, wholetext=True)
-    return texts.selectExpr("element_at(split(_metadata.file_path, '/'), -2) as run_id", "value")
+    name = "url_decode(replace(element_at(split(_metadata.file_path, '/'), -2), '+', '%2B'))"
+    # File paths are encoded twice: as a partition's name, and as a URI.
+    return texts.selectExpr(f"{name} as name", "value").selectExpr(
+        "if(startswith(name, 'run_id='), url_decode(replace(substr(name, 8), '+', '%2B')), name) as run_id", "value"
+    )
 
 
 def summary_texts(summaries: DataFrame) -> DataFrame:

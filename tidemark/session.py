@@ -55,7 +55,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once all that was made of them is written.
+
+    A table that some lazy result still reads must stay.
+    """
+    for table in tables:
+        path, jvm = getattr(table, "_scratch_path", None), table.sparkSession._jvm
+        if path:
+            found = jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def materialize_observed(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:

@@ -120,3 +120,54 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 2)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()}
     assert found == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
+
+
+def test_pairs_of_small_blocks_and_stars_of_large_ones():
+    rng = np.random.default_rng(3)
+    block = np.sort(rng.integers(0, 40, 300))
+    doc = np.arange(300) * 7 % 301
+    kind = (block % 3).astype(np.int32)
+    got = set(zip(*(x.tolist() for x in ngram_join.block_pairs(block, kind, doc)), strict=True))
+    expected = set()
+    for b in set(block.tolist()):
+        docs = doc[block == b].tolist()
+        pairs = [(x, y) for k, x in enumerate(docs) for y in docs[k + 1 :]] if len(docs) <= ngram_join.SMALL_BLOCK else [(docs[0], y) for y in docs[1:]]
+        expected |= {(b % 3, min(p), max(p), len(docs) <= ngram_join.SMALL_BLOCK) for p in pairs}
+    assert got == expected and all(not len(x) for x in ngram_join.block_pairs(*[np.zeros(0, np.int64)] * 3))
+
+
+def test_blocks_of_all_sizes_over_many_batches(spark, documents, monkeypatch):
+    """Groups around the size at which blocks are no longer compared pair by pair, in Arrow batches of a few rows."""
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    rows = []
+    for size in (1, 2, 3, 7, 8, 9, 10, 30):
+        base = rng.choices(words, k=60)
+        for _ in range(size):
+            text = list(base)
+            text[rng.randrange(60)] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    frame = documents(rows)
+    prepare = ngram_join.prepare_arrow
+
+    def few_rows(session):
+        prepare(session).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+
+    monkeypatch.setattr(ngram_join, "prepare_arrow", few_rows)
+    like = Similarity(words=3, percent=80)
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame, like).collect()}
+    prepare(spark)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(58)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                one, two = sorted((find(a), find(b)))
+                root[two] = one
+    assert found == {i: find(i) for i in sets} and len(set(found.values())) < len(rows)

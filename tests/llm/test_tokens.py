@@ -120,3 +120,13 @@ def test_no_documents_no_files(documents, vocabulary_path):
 def test_shared_files_round_trip(tmp_path):
     shared_files.write(f"file://{tmp_path}/deep/x.bin", b"abc")
     assert shared_files.mapped(f"{tmp_path}/deep/x.bin").read() == b"abc"
+
+
+def test_lexicon_words_are_those_above_a_count(documents):
+    from tidemark.llm import transducer
+
+    rows = [(1, "a a a a b b b c c c d d e once"), (2, "a b a"), (3, None)]
+    assert transducer.frequent_words(documents(rows), 10) == [b"a", b"b", b"c", b"d"]
+    assert transducer.frequent_words(documents(rows), 3) == [b"a", b"b", b"c"]
+    assert transducer.frequent_words(documents(rows), 2) == [b"a", b"b"] and transducer.frequent_words(documents(rows), 0) == []
+    assert transducer.frequent_words(documents([(1, "x y " * 5000 + "z " * 1025)]), 2) == [b"x", b"y"]

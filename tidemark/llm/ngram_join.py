@@ -4,9 +4,10 @@ The rows of the incidence matrix are documents, its columns hashed word n-grams.
 Columns are cut into blocks by their hash. Two rows that reach the similarity
 differ in at most ``d`` columns, a bound from their sizes, so with more than
 ``d`` blocks they agree on a whole block. Rows that agree on blocks, directly or
-over others, form families. Sketches of a byte for every few columns then part
-the families: sketches that differ in more bytes than the rows may in columns
-belong to no pair. The matrix is the product of the rows of each family that is
+over others, form families; rows that agree by chance do not, as pairs of small
+blocks are first held against each other's sketch, a byte for every few columns:
+sketches that differ in more bytes than the rows may in columns belong to no pair.
+Sketches also part the families. The matrix is the product of the rows of each family that is
 left, cut into blocks of rows. It is accumulated over blocks of columns; pairs
 go as soon as their overlap and what is left of both rows cannot reach the bound
 of their sizes, and rows without pairs go with them. A passage that many
@@ -26,12 +27,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.text import LOWER, Hasher, Texts, map_texts, mix, prepare_arrow, shingles
-from tidemark.session import BROADCAST_ROWS, materialize, materialize_observed
+from tidemark.session import BROADCAST_ROWS, materialize, materialize_observed, release
 
 # Rows and columns of a block of the product.
 BLOCK_ROWS = 1024
 BLOCK_COLUMNS = 2048
 
+# In blocks of at most so many documents each pair is looked at by itself: two texts
+# that agree on a block by chance then tie no families together.
+SMALL_BLOCK = 8
+
 # Blocks of fewer columns count only where they must: two texts often agree on
 # one or two frequent shingles alone.
 LEAST_COLUMNS = 3
@@ -201,8 +206,29 @@ def shingled(documents: DataFrame, like: Similarity) -> DataFrame:
     return map_texts(documents, run, "doc_id BIGINT, n_shingles BIGINT, key1 BIGINT, key2 BIGINT")
 
 
+def block_pairs(block: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``kind, a, b, whole`` of rows sorted by block, whose blocks are complete.
+
+    A block of at most ``SMALL_BLOCK`` documents gives all its pairs (``whole``), a
+    larger one pairs all its documents with the first.
+    """
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(block)])
+    first, small = np.repeat(start, size), np.repeat(size <= SMALL_BLOCK, size)
+    at = np.arange(len(block))
+    one, two = [first[~small]], [at[~small]]
+    for step in range(1, SMALL_BLOCK):
+        later = at[small & (at - first >= step)]
+        one.append(later - step)
+        two.append(later)
+    one, two = np.concatenate(one), np.concatenate(two)
+    keep = doc[one] != doc[two]
+    one, two = one[keep], two[keep]
+    return kind[two], np.minimum(doc[one], doc[two]), np.maximum(doc[one], doc[two]), small[two]
+
+
 def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
-    """``kind, leader, doc_id``: documents of a size class that agree on a block with its smallest document.
+    """``kind, a, b, whole``: documents of a size class that agree on a block (``block_pairs``).
 
     Equal sets of one task are combined before the shuffle. Blocks arrive sorted,
     so a block of any size streams through its task.
@@ -221,26 +247,53 @@ def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
             keep = ~repeat[owner]
             yield _batch("block kind doc_id", keys[keep], kinds[keep].astype(np.int32), ids[owner[keep]])
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, None
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large, leader = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)], None, None
         for batch in batches:
-            block, kind, doc = (batch.column(k).to_numpy() for k in range(3))
-            if not len(block):
-                continue
-            start = np.r_[True, block[1:] != block[:-1]]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(block)), 0))
-            led = doc[first]
-            if last is not None and block[0] == last:
-                led[first == 0] = leader
-                start[0] = False
-            keep = ~start & (doc != led)
-            last, leader = block[-1], led[-1]
-            if keep.any():
-                yield _batch("kind leader doc_id", kind[keep], led[keep], doc[keep])
+            rows = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            found = []
+            if large is not None:
+                # The rest of a large block whose first document has gone by.
+                n = int(np.searchsorted(rows[0], large, "right"))
+                doc = rows[2][:n]
+                found.append((rows[1][:n], np.minimum(doc, leader), np.maximum(doc, leader), np.zeros(n, bool)))
+                rows = [r[n:] for r in rows]
+            if len(rows[0]):
+                cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+                held, large = [r[cut:] for r in rows], None
+                found.append(block_pairs(*[r[:cut] for r in rows]))
+                if len(held[0]) > SMALL_BLOCK:
+                    found.append(block_pairs(*held))
+                    large, leader = held[0][0], held[2][0]
+                    held = [h[:0] for h in held]
+            else:
+                held = rows
+            for part in found:
+                yield _batch("kind a b whole", *part)
+        yield _batch("kind a b whole", *block_pairs(*held))
 
     rows = map_texts(documents.where("doc_id is not null"), emit, "block BIGINT, kind INT, doc_id BIGINT")
     rows = rows.repartition("block").sortWithinPartitions("block", "doc_id")
-    return rows.mapInArrow(lead, "kind INT, leader BIGINT, doc_id BIGINT").distinct()
+    found = rows.mapInArrow(pairs, "kind INT, a BIGINT, b BIGINT, whole BOOLEAN").where("a <> b")
+    return found.groupBy("kind", "a", "b").agg(F.min("whole").alias("whole"))
+
+
+def possible_pairs(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """The ``pairs (kind, a, b)`` whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)] for c in ("row_a", "row_b")]
+            differ = np.array([np.count_nonzero(x != y) for x, y in zip(*rows, strict=True)], np.int64)
+            one, two = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+            fits = 100 * np.minimum(one, two) >= like.percent * np.maximum(one, two)
+            fits &= differ <= (100 - like.percent) * (one + two) // (100 + like.percent)
+            yield batch.select(["kind", "a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    cells = sets.select("id", "size", F.explode("sketches").alias("kind", "row"))
+    for side in ("a", "b"):
+        pairs = pairs.join(cells.toDF(side, f"size_{side}", "kind", f"row_{side}"), ["kind", side])
+    return pairs.mapInArrow(run, "kind INT, a BIGINT, b BIGINT")
 
 
 UNIT = ["kind", "family", "one", "two"]
@@ -354,20 +407,25 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
 
     shared = materialize(shared_blocks(documents, like), "blocks")
 
-    # Families of sets of a size class, connected by the blocks they agree on.
-    near = shared.join(ids.selectExpr("doc_id as leader", "first_id as a"), "leader").join(ids.selectExpr("doc_id", "first_id as b"), "doc_id")
-    near = near.where("a <> b").selectExpr("struct(kind, a as id) as a", "struct(kind, b as id) as b")
-    families = _families(near)
-    wanted = _sized(families.select("id").distinct().toDF("doc_id"), "wanted")
+    # Families of sets of a size class, connected by the blocks they agree on. A pair of
+    # a small block connects its sets only if their sketches allow a link.
+    near = shared.join(ids.selectExpr("doc_id as a", "first_id as _a"), "a").join(ids.selectExpr("doc_id as b", "first_id as _b"), "b")
+    near = near.where("_a <> _b").selectExpr("kind", "least(_a, _b) as a", "greatest(_a, _b) as b", "whole")
+    near = materialize(near.groupBy("kind", "a", "b").agg(F.min("whole").alias("whole")), "near")
+    wanted = _sized(near.selectExpr("explode(array(a, b)) as doc_id").distinct(), "wanted")
     sets = materialize(_sets(documents.join(wanted, "doc_id", "left_semi"), like), "sets")
+    edges = possible_pairs(near.where("whole").drop("whole"), sets, like).union(near.where("not whole").drop("whole"))
+    edges = materialize(edges, "edges")
+    families = _families(edges.selectExpr("struct(kind, a as id) as a", "struct(kind, b as id) as b"))
 
     key = ["kind", "family"]
     rows = families.join(families.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
     cells = sets.select("id", "size", F.explode("sketches").alias("kind", "row"))
     rows = cells.join(_sized(rows, "rows"), ["kind", "id"]).withColumns({"main": F.lit(False), "mains": F.lit(0)})
     close = unit_links(rows.select("id", "size", "row", *key, F.explode(_units()).alias("unit")).select("id", "size", "row", *key, "unit.*"), like, True)
-    close = materialize(close, "close").selectExpr("struct(kind, a as id) as a", "struct(kind, b as id) as b")
-    families, sets = _families(close), sets.select("id", "grams")
+    close_links = materialize(close, "close")
+    close = close_links.selectExpr("struct(kind, a as id) as a", "struct(kind, b as id) as b")
+    families, all_sets, sets = _families(close), sets, sets.select("id", "grams")
     sizes = families.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     sizes, seen = materialize_observed(sizes, "families", F.max("n").alias("most"))
 
@@ -388,6 +446,8 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
     units = sets.join(_sized(rows, "rows"), "id").select("id", F.col("grams").alias("row"), *key, F.explode(_units()).alias("unit"))
     links = links.union(materialize(unit_links(units.select("id", "row", *key, "unit.*"), like), "links").select("a", "b"))
     labels = components(links).toDF("first_id", "component")
+    # Labels are written: what they were made of can go.
+    release(found, shared, near, all_sets, edges, close_links)
     out = members.join(labels, "first_id", "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, first_id, doc_id) as component_id")
 

@@ -21,6 +21,9 @@ from tidemark.llm.text import LOWER, Hasher, Texts, map_texts, mix, prepare_arro
 CLASSES, WORDS, SHAPES, REPEATS = 512, 256, 256, 3
 COLUMNS = CLASSES + WORDS + SHAPES + 2 * REPEATS
 
+# Documents of a block of cosines: bounds the memory of short documents too.
+BLOCK_ROWS = 256
+
 # Bytes with a class of their own in the character trigrams.
 SPECIAL = b" \n\t.,;:!?'\"()-|*#$%&<>/\\@=+_[]{}~^"
 
@@ -128,6 +131,9 @@ class Model:
         if not len(self.labels):
             return np.full(len(counts), prior)
         rows = self._unit((weighted(counts) * self.scale - self.mean) @ self.directions)
+        return np.concatenate([self._votes(rows[k : k + BLOCK_ROWS], prior) for k in range(0, max(1, len(rows)), BLOCK_ROWS)])
+
+    def _votes(self, rows: np.ndarray, prior: float) -> np.ndarray:
         cosine = np.round(rows @ self.vectors.T, 5)
         k = min(self.settings.neighbours, cosine.shape[1])
         edge = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, [cosine.shape[1] - k]]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import shared_files
 from tidemark.llm.bpe import Memo, distinct_words, vocabulary
 from tidemark.llm.text import Texts, map_texts, prepare_arrow
-from tidemark.session import scratch_path
+from tidemark.session import materialize, release, scratch_path
 
 # Words compiled into the lexicon.
 LEXICON_WORDS = 50_000
@@ -115,15 +115,35 @@ class Lexicon:
 
 
 def frequent_words(documents: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``limit`` most frequent words of all texts; equal counts by their bytes."""
+    """At most ``limit`` frequent words of all texts: those above a count that few enough have.
+
+    Words are counted by tasks; the number of words of each count tells where the cut
+    is, and no more than ``limit`` words reach the driver. Words that come once are
+    left out. Which words are in changes no result.
+    """
 
     def count(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
         for _, part in texts.runs():
             words, counts, _, _ = distinct_words(part)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], ["word", "n"])
 
-    words = map_texts(documents, count, "word BINARY, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    words = map_texts(documents, count, "word BINARY, n BIGINT").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    words = materialize(words.withColumn("level", F.expr(_LEVEL)), "word-counts")
+    levels = words.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    least, total = None, 0
+    for row in levels:
+        total += row["words"]
+        if total > limit:
+            break
+        least = row["level"]
+    rows = [] if least is None else words.where(f"level >= {least}").orderBy(F.desc("n"), "word").collect()
+    release(words)
+    return [bytes(r.word) for r in rows]
+
+
+# Counts up to 1,024 by themselves, larger ones in steps of about one percent: some
+# thousand levels at most.
+_LEVEL = "if(n <= 1024, n, 384 + bigint(log2(n) * 64))"
 
 
 def write_lexicon(documents: DataFrame, path: str, limit: int = LEXICON_WORDS) -> str:

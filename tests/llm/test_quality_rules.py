@@ -115,14 +115,3 @@ def test_texts_without_common_words_go_from_the_least_size(documents, n):
     rows = [text(400, 100) for _ in range(30)] + [text(n, n // 4) for _ in range(20)] + [text(n, 0) for _ in range(10)] + [text(n - 24, 0) + " " + " ".join(spanish[:24])]
     kept = {r.doc_id: r.kept for r in quality_rules.judge(documents([*enumerate(rows)])).collect()}
     assert all(kept[k] for k in range(50)) and not any(kept[k] for k in range(50, 61))
-
-
-def test_texts_without_listed_words_go_from_the_documented_size(documents):
-    known, sizes = COMMON["en"], range(50, 101, 5)
-    prose = [" ".join(known[k // 4 % len(known)] if k % 4 == 0 else f"{'bcdfghjklm'[k % 10]}ord{'aeiou'[k % 5]}{chr(97 + k // 10 % 26)}{chr(97 + j)}" for k in range(400)) for j in range(20)]
-    bare = [" ".join(f"{'bcdfghjklm'[k % 10]}ald{'aeiou'[k // 10 % 5]}{chr(97 + k // 50)}" for k in range(n)) for n in sizes]
-    found = {r.doc_id: r for r in quality_rules.judge(documents([*enumerate(prose + bare)])).collect()}
-    rule = Settings()
-    for k, n in enumerate(sizes, len(prose)):
-        least = (rule.word_noise / (found[k].word_distance - rule.word_distance)) ** 2
-        assert 50 < least < 100 and found[k].kept == (n <= least)

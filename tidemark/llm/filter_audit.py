@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import materialize
+
 # Filters in the order of their bits: A is bit 0.
 FILTERS = "ABCDE"
 ORDERS = factorial(len(FILTERS))
@@ -117,7 +119,7 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     empty table has no parts. Extra columns are ignored.
     """
     spark = documents.sparkSession
-    masks = mask_counts(documents, labels)
+    masks = materialize(mask_counts(documents, labels), "masks")
     # 31 masks of at most a few dozen intervals each, whatever the data.
     spans = spark.createDataFrame(intervals(), "mask INT, step INT, first INT, end INT")
     ends = masks.join(F.broadcast(spans), "mask").selectExpr(

@@ -109,10 +109,15 @@ with words as (
     select doc_id, kind, any_value(total) as total, case when count(p) = count(*) and count(q) = count(*) then sqrt(greatest(0, round(sum(
         (case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2), 12))) end as d
     from terms group by doc_id, kind
+), farthest as (
+    -- Of a text without any listed word, whose words are all in the last cell.
+    select lang, sqrt(greatest(0, round(sum(case when k < top then q / 2 else
+        (log2(2 / (1 + q)) + case when q > 0 then q * log2(2 * q / (1 + q)) else 0 end) / 2 end), 12))) as most
+    from (select lang, k, q, max(k) over (partition by lang) as top from shares where kind = 'word') group by lang
 ), far as (
     select doc_id, bool_or(case when kind = 'class' then total >= 200 and d > 0.2 + 3 / sqrt(total)
-                                else total >= 50 and d > 0.12 + 2 / sqrt(total) end) as far
-    from distances group by doc_id
+                                else total >= 50 and d > least(0.12 + 2 / sqrt(total), 0.97 * most) end) as far
+    from distances join judged using (doc_id) left join farthest on farthest.lang is not distinct from judged.lang group by doc_id
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(far, false) as kept
 from judged join far using (doc_id)

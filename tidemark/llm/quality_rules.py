@@ -44,11 +44,9 @@ class Settings:
     """Base limits, the largest distances, and the least sizes they apply from.
 
     A distance may exceed its limit by the noise of a small sample, ``noise``
-    over the square root of the characters or words. The word rule can reject a
-    text without any listed word only from ``(word_noise / (d - word_distance)) ** 2``
-    words on, where ``d`` is the distance of such a text: 77 to 82 words if 22 % of
-    the language's words are listed. From ``least_listed`` up to there it rejects
-    only texts that lie farther off than those.
+    over the square root of the characters or words. With its noise, the limit of the
+    word distance stays under ``none_listed`` of the distance that a text without any
+    listed word has from its reference, so such texts go from ``least_listed`` words on.
     """
 
     least_words: int = 10
@@ -57,6 +55,7 @@ class Settings:
     class_noise: float = 3.0
     word_distance: float = 0.12
     word_noise: float = 2.0
+    none_listed: float = 0.97
     least_chars: int = 200
     least_listed: int = 50
 
@@ -165,9 +164,13 @@ def judge(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     class_distance = F.when(F.col("_classes_total") >= settings.least_chars, jensen_shannon("classes", "all_classes"))
     word_distance = F.when(F.col("_common_total") >= settings.least_listed, jensen_shannon("common", "all_common"))
     rows = rows.withColumns({"class_distance": class_distance, "word_distance": word_distance})
+    # The distance of a text that has only words that are not listed.
+    nothing = F.array(*[F.lit(0.0)] * (n_common - 1), F.lit(1.0))
+    rows = rows.withColumns({"none": nothing, "_none_total": F.lit(1.0)}).withColumn("_farthest", jensen_shannon("none", "all_common"))
+    noisy = settings.word_distance + settings.word_noise / F.sqrt("_common_total")
     limits = {
         "class_distance": settings.class_distance + settings.class_noise / F.sqrt("_classes_total"),
-        "word_distance": settings.word_distance + settings.word_noise / F.sqrt("_common_total"),
+        "word_distance": F.least(noisy, settings.none_listed * F.col("_farthest")),
     }
     far = F.lit(False)
     for name, limit in limits.items():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import Hasher, Texts, map_texts, prepare_arrow
-from tidemark.session import materialize
+from tidemark.session import materialize, release
 
 # Windows whose suffix array is built at a time; anchors stay whole.
 ARRAY_WINDOWS = 60_000
@@ -312,26 +312,32 @@ def _repeats(documents: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     prepare_arrow(documents.sparkSession)
     texts = _with_twin(documents.select("doc_id", "text"))
     rows = texts.selectExpr("doc_id", "twin", "bigint(octet_length(text)) as n_bytes", "sha2(text, 256) as sha256")
-    rows = materialize(rows, "texts")
+    plain = rows = materialize(rows, "texts")
     first = rows.where("doc_id is not null").groupBy("sha256").agg(F.min("doc_id").alias("first_id"))
     copy = F.coalesce(F.expr(f"doc_id > first_id and n_bytes >= {settings.length}"), F.lit(False))
     rows = materialize(rows.join(first, "sha256", "left").withColumn("copy", copy).drop("first_id"), "rows")
+    release(plain)
 
     single = rows.where("not copy and doc_id is not null").select("doc_id", "twin").distinct()
-    found = materialize(repeated_anchors(texts, settings), "anchors")
-    found = found.join(single.select("doc_id").distinct(), "doc_id", "left_semi")
+    all_anchors = materialize(repeated_anchors(texts, settings), "anchors")
+    found = all_anchors.join(single.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     found = found.join(counts, "anchor").withColumn("hot", F.expr(f"n > {settings.hot}"))
     places = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "runs", "anchor", "hot")).alias("places"))
     # True for every id; a comparison lets the join filter the texts by a Bloom filter.
-    places = materialize(places, "places").where(F.col("doc_id") >= F.lit(-(1 << 63)))
+    all_places = materialize(places, "places")
+    release(all_anchors, counts)
+    places = all_places.where(F.col("doc_id") >= F.lit(-(1 << 63)))
     near = texts.join(places, "doc_id").join(single, ["doc_id", "twin"], "left_semi")
     near = materialize(near, "near")
+    release(all_places)
     later = later_copies(windows_of(near, settings), settings)
     later = later.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("first", "runs")).alias("later"))
     later = materialize(later, "later")
     kept = _cut(near.drop("places").join(later, ["doc_id", "twin"]), settings)
-    return rows, materialize(kept, "kept").dropDuplicates(["doc_id", "twin"])
+    kept = materialize(kept, "kept")
+    release(near, later)
+    return rows, kept.dropDuplicates(["doc_id", "twin"])
 
 
 def remains(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:

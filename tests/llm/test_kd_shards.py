@@ -65,3 +65,37 @@ def test_written_shards_hold_their_documents(spark, tmp_path):
     kd_shards.write_shards(documents, assigned, f"{tmp_path}/out")
     read = spark.read.parquet(f"{tmp_path}/out")
     assert read.count() == documents.count() and {r.shard for r in read.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_shards_match_a_plain_tree(spark):
+    rng = random.Random(8)
+    made = [(k, "y" * (60 + int(rng.paretovariate(1.1) * 40) % 9000), rng.choice(["en", "de", "fr", None]), rng.choice("aaaabc")) for k in range(400)]
+    rows = kd_shards._coordinates(spark.createDataFrame(made, "doc_id BIGINT, text STRING, lang STRING, source STRING"), kd_shards.DIMENSIONS)
+    names = [f"at_{d}" for d in kd_shards.DIMENSIONS]
+    root = kd_shards.kd_tree(rows, names, 9)
+    found = {r.doc_id: r.shard for r in rows.selectExpr("doc_id", f"{root.sql(lambda n: n.first)} as shard").collect()}
+    want = {}
+
+    def place(points, leaves, first):
+        if leaves == 1:
+            want.update((p.doc_id, first) for p in points)
+            return
+        dim = max(names, key=lambda d: max(p[d] for p in points) - min(p[d] for p in points))
+        goal = sum(p["size"] for p in points) * (leaves // 2) // leaves
+        points = sorted(points, key=lambda p: (p[dim], p.tie))
+        sums = [0]
+        for p in points:
+            sums.append(sums[-1] + p["size"])
+        at = min(range(len(sums)), key=lambda k: abs(sums[k] - goal))
+        place(points[:at], leaves // 2, first)
+        place(points[at:], leaves - leaves // 2, first + leaves // 2)
+
+    place(rows.collect(), 9, 0)
+    assert found == want
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    rows = [(k, "z" * 100, "en", "s") for k in range(20)] + [(7, "z" * 100, "en", "s")] * 3 + [(99, "w" * 2_000_000, "en", "s")]
+    found = kd_shards.kd_shards(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING"), shards=4).toPandas()
+    assert len(found) == 24 and found["size"].max() == 2_000_016
+    assert all(sorted(s) == list(range(len(s))) for _, s in found.groupby("shard")["slot"])

@@ -130,3 +130,26 @@ def test_lexicon_words_are_those_above_a_count(documents):
     assert transducer.frequent_words(documents(rows), 3) == [b"a", b"b", b"c"]
     assert transducer.frequent_words(documents(rows), 2) == [b"a", b"b"] and transducer.frequent_words(documents(rows), 0) == []
     assert transducer.frequent_words(documents([(1, "x y " * 5000 + "z " * 1025)]), 2) == [b"x", b"y"]
+
+
+def test_memo_keeps_results_over_its_limit():
+    calls = []
+
+    def fn(words):
+        calls.extend(words)
+        return [w * 2 for w in words]
+
+    memo = Memo(fn, limit=4)
+    for words in ([b"a", b"b", b"c"], [b"b", b"d"], [b"a", b"c"], [b"e", b"f", b"g", b"h", b"i"]):
+        assert memo(words) == [w * 2 for w in words]
+    assert calls.count(b"b") == calls.count(b"a") == 1
+
+
+def test_library_words_in_one_call_equal_single_ones(library, vocabulary_path):
+    texts = [w for t in ODD if t for w in t.split()]
+    words = list(dict.fromkeys(w.encode() for t in texts for w in t.split()))
+    plain = [w for w in words if b"<|startoftext|>" not in w]
+    encode = token_files._library(vocabulary_path)[0]
+    for given in (plain, words, plain[:1]):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encode.fn(given)]
+        assert got == [ids_of(library, w.decode()) for w in given]

@@ -147,15 +147,15 @@ class Memo:
             return [*self(words[:half]), *self(words[half:])]
         if len(self.new) + len(words) > self.limit:
             self.old, self.new = self.new, {}
-        missing = []
-        for w in words:
-            if w not in self.new:
-                if w in self.old:
-                    self.new[w] = self.old[w]
-                else:
-                    missing.append(w)
-        self.new.update(zip(missing, self.fn(missing) if missing else [], strict=True))
-        return [self.new[w] for w in words]
+        found = list(map(self.new.get, words))
+        absent = [k for k, x in enumerate(found) if x is None]
+        for k in absent:
+            found[k] = self.old.get(words[k])
+        missing = [k for k in absent if found[k] is None]
+        for k, made in zip(missing, self.fn([words[k] for k in missing]) if missing else [], strict=True):
+            found[k] = made
+        self.new.update((words[k], found[k]) for k in absent)
+        return found
 
 
 def distinct_words(texts: Texts) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:

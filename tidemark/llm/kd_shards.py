@@ -97,7 +97,9 @@ def _cuts(rows: DataFrame, root: Node, nodes: list[Node], slack: int) -> None:
             before = int(total[k - 1]) if k else before
             lo, weight = lo + int(bucket[k]) * step, int(total[k]) - before
             if weight <= slack or (phase and step == 1):
-                n.cut = (n.cut[0], lo) if phase else (lo, 0)
+                # Of the two ends of the bucket the one nearer to the goal.
+                at = lo + step if before + weight - goal[n.first] < goal[n.first] - before else lo
+                n.cut = (n.cut[0], at) if phase else (at, 0)
             elif step == 1:
                 n.cut, state[n.first] = (lo, 0), [1, 0, 1 << TIE, before]
                 still.append(n)
@@ -136,7 +138,9 @@ def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int
 
     Sizes are UTF-8 bytes of the text (null: none) plus 16 and near equal over
     the shards; slots count from 0 without gaps in each. Without ``shards`` their
-    number follows from ``target_bytes``. Null metadata counts as empty, null ids
+    number follows from ``target_bytes``. A cut leaves a row on the side that comes
+    nearer to the goal. Equal texts may be parted; rows of equal text and id are told
+    apart by their place in the input. Null metadata counts as empty, null ids
     and repeated rows are rows like any other, extra columns are not looked at.
     ``dimensions`` are SQL expressions over the columns and ``size``.
     """

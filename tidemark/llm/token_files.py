@@ -8,7 +8,6 @@ memory-mapped file is a view, without parsing or copying.
 
 from __future__ import annotations
 
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +25,9 @@ from tidemark.llm.bpe import Memo, distinct_words
 from tidemark.llm.text import Texts, prepare_arrow
 from tidemark.session import materialize, scratch_path
 
+# Words that one call of the library encodes; it bounds the memory of the call.
+CALL_WORDS = 20_000
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -48,9 +50,25 @@ def _library(path: str):
     found.no_truncation()
     found.no_padding()
 
+    marks = [(t.content, n) for n, t in found.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word or " " in t.content)]
+    mark, number = marks[0] if marks else ("", -1)
+
+    def alone(words: list[str]) -> list[bytes]:
+        return [np.array(r.ids, "<u4").tobytes() for r in found.encode_batch_fast(words, add_special_tokens=False)]
+
+    def together(words: list[str]) -> list[bytes]:
+        """One call for all words, a special token between each two."""
+        ids = np.array(found.encode_batch_fast([f" {mark} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == number)
+        if len(ends) != len(words) - 1:  # a word yields the mark itself
+            return alone(words)
+        packed, starts = ids.tobytes(), [0, *(ends * 4 + 4).tolist()]
+        return [packed[a:b] for a, b in zip(starts, [*(ends * 4).tolist(), len(packed)], strict=True)]
+
     def encode(words: list[bytes]) -> list[bytes]:
-        rows = found.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [struct.pack(f"<{len(r.ids)}I", *r.ids) for r in rows]
+        texts = [w.decode("utf-8", "replace") for w in words]
+        parts = [texts[k : k + CALL_WORDS] for k in range(0, len(texts), CALL_WORDS)]
+        return [ids for part in parts for ids in (together(part) if mark else alone(part))]
 
     return Memo(encode, 500_000), found.get_vocab_size(with_added_tokens=True)
 

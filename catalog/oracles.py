@@ -487,6 +487,12 @@ SELECT {run_id()} AS "Experiment", lag_s AS "Lag", round(drop_rate, 6) AS "DropR
 
     sql["stream_late_events"] = both(lambda kind: f"""WITH {FEED}
 SELECT log_id, event_ts, slice AS batch_id, before - {LAG} - 1 AS current_wm
+FROM feed JOIN seen USING (slice) WHERE {last_end(kind)} + {LAG} <= before""")
+    sql["stream_late_sweep"] = " UNION ALL ".join(f"""SELECT '{kind}' AS window_type, {lag}::BIGINT AS lag_ms, * FROM (WITH {FEED}
+SELECT log_id, event_ts, slice AS batch_id, before - {lag} - 1 AS current_wm
+FROM feed JOIN seen USING (slice) WHERE {last_end(kind)} + {lag} <= before)""" for kind in KINDS for lag in LAGS[kind])
+    sql["stream_stateful_late"] = both(lambda kind: f"""WITH {FEED}
+SELECT log_id, event_ts, before - {LAG} - 1 AS current_wm
 FROM feed JOIN seen USING (slice) WHERE {last_end(kind)} + {LAG} <= before""")
     sql["stream_split_windows"] = both(lambda kind: f"""WITH {FEED}, {feed_pairs(kind)}, {SPLIT_WINDOWS}
 SELECT task_id * 1001 AS key, window_end, count_actual, min_id, max_id, max_id - min_id + 1 AS count_expected,

@@ -29,6 +29,7 @@ from tidemark.sources.lines import stream_lines
 from tidemark.streaming.feed import write_feed
 from tidemark.streaming.late_split import LateSplit
 from tidemark.streaming.native import start_native, window_stream
+from tidemark.streaming.stateful_windows import StatefulWindows
 
 SPECS = {"tumbling": tumbling(SIZE), "sliding": sliding(SIZE, SLIDE["sliding"])}
 SWEEP = [(SPECS[kind], LAGS[kind]) for kind in SPECS]
@@ -637,25 +638,36 @@ def stream_sliding_metrics(spark, sf_dir):
     return _native(spark, sf_dir, "sliding")
 
 
-def _split(spark, sf_dir, result, keep_events=False) -> DataFrame:
-    """``result`` of the late split of both window types."""
+def _late(spark, sf_dir, sweep) -> DataFrame:
+    job = LateSplit(scratch_path(spark, "late-split"), sweep, LANES)
+    job.start(_feed(spark, sf_dir), scratch_path(spark, "stream-checkpoint")).awaitTermination()
+    rows = job.late(spark)
+    return rows.selectExpr("window_type", "lag_ms", "bigint(log_id) as log_id", "event_ts", "bigint(batch_id) as batch_id", "current_wm")
+
+
+@query
+def stream_late_events(spark, sf_dir):
+    return _late(spark, sf_dir, [(spec, [LAG]) for spec in SPECS.values()]).drop("lag_ms")
+
+
+@query
+def stream_late_sweep(spark, sf_dir):
+    return _late(spark, sf_dir, SWEEP)
+
+
+def _stateful(spark, sf_dir, result, keep_events=False) -> DataFrame:
+    """``result`` of the stateful stream of both window types."""
     feed, found = _feed(spark, sf_dir), []
     for kind, spec in SPECS.items():
-        job = LateSplit(scratch_path(spark, "late-split"), spec, LAG, LANES, keep_events)
+        job = StatefulWindows(scratch_path(spark, "stateful"), spec, LAG, LANES, keep_events)
         job.start(feed, scratch_path(spark, "stream-checkpoint")).awaitTermination()
         found.append(result(job, spark).withColumn("window_type", F.lit(kind)))
     return reduce(DataFrame.unionByName, found)
 
 
-@query
-def stream_late_events(spark, sf_dir):
-    rows = _split(spark, sf_dir, LateSplit.late)
-    return rows.selectExpr("window_type", "bigint(log_id) as log_id", "event_ts", "bigint(batch_id) as batch_id", "current_wm")
-
-
 @query
 def stream_split_windows(spark, sf_dir):
-    rows = _split(spark, sf_dir, LateSplit.metrics)
+    rows = _stateful(spark, sf_dir, StatefulWindows.metrics)
     return rows.selectExpr(
         "window_type", "key", "window_end", "count_actual", "min_id", "max_id", "count_expected", "loss_network", "current_wm"
     )
@@ -663,5 +675,11 @@ def stream_split_windows(spark, sf_dir):
 
 @query
 def stream_trace(spark, sf_dir):
-    rows = _split(spark, sf_dir, LateSplit.trace, keep_events=True)
-    return rows.selectExpr("window_type", "task_id", "event_ts", "bigint(log_id) as log_id", "content", "status", "window_end")
+    rows = _stateful(spark, sf_dir, StatefulWindows.trace, keep_events=True)
+    return rows.selectExpr("window_type", "task_id", "event_ts", "log_id", "content", "status", "window_end")
+
+
+@query
+def stream_stateful_late(spark, sf_dir):
+    rows = _stateful(spark, sf_dir, StatefulWindows.late)
+    return rows.selectExpr("window_type", "log_id", "event_ts", "current_wm")

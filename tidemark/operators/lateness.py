@@ -47,7 +47,10 @@ def late_events(scan: DataFrame, spec: WindowSpec, lag_ms: int) -> DataFrame:
 
 
 def late_events_sweep(scan: DataFrame, sweep: Sweep) -> DataFrame:
-    """``late_events`` of every window type and lag, from one pass over the rows."""
+    """``late_events`` of every window type and lag, from one pass over the rows.
+
+    Without arrival times there is no ``late_by_ms``.
+    """
     overruns, entries = [], []
     for s, (spec, lags) in enumerate(sweep):
         overruns.append(f"seen_ts - {last_window_end(spec)} as _overrun_{s}")
@@ -55,7 +58,7 @@ def late_events_sweep(scan: DataFrame, sweep: Sweep) -> DataFrame:
             entries.append(f"if(_overrun_{s} >= {lag}, named_struct('window_type', '{spec.kind}', 'lag_ms', {lag}L), null)")
     rows = scan.where("event_ts is not null").selectExpr("*", *overruns)
     rows = rows.selectExpr(*scan.columns, f"inline(filter(array({', '.join(entries)}), x -> x is not null))")
-    return rows.withColumn("late_by_ms", F.expr("arrival_ts - event_ts"))
+    return rows.withColumn("late_by_ms", F.expr("arrival_ts - event_ts")) if "arrival_ts" in scan.columns else rows
 
 
 def partial_misses(scan: DataFrame, spec: WindowSpec, lag_ms: int) -> DataFrame:

@@ -1,15 +1,13 @@
-"""Window stream that keeps its late events.
-
-Each micro-batch ``n`` reads what batch ``n - 1`` left (the watermark and the
-partial counts of open windows), splits off late events, adds the rest to the
-counts, and moves the watermark. What it writes is overwritten if the batch is
-run again, so a restart after a failure gives the same result.
-
-Folders below ``root``: ``late``, ``closed`` and ``accepted`` (optional) have one
-``batch_id=<n>`` per batch, with its late events, the windows that its watermark
-closed, each written once, and the other events by window. ``open`` holds the
-partial counts of the windows still open, in two folders that batches use in
-turn, so it does not grow with the stream. ``watermark`` has one row per batch.
+"""Late output of a stream for all window types and lags at once.
+
+Each micro-batch ``n`` reads the highest event times that batch ``n - 1`` left and
+splits off its late events: whether an event is late depends on those alone, not on
+the windows, so one stream serves a whole sweep of lags. What a batch writes is
+overwritten if it is run again, so a restart after a failure gives the same result.
+Windows with their counts come from ``stateful_windows``.
+
+Folders below ``root`` have one ``batch_id=<n>`` per batch: ``late`` with its late
+events and ``watermark`` with one row.
 """
 
 from __future__ import annotations
@@ -18,14 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.parse import lane_key, lane_of
-from tidemark.operators.lateness import closed, window_pairs, with_overrun
-from tidemark.operators.trace import LATE, NO_WINDOW, NORMAL
-from tidemark.operators.window_metrics import id_gaps
-from tidemark.operators.windows import WindowSpec
+from tidemark.functions.parse import lane_of
+from tidemark.operators.lateness import late_events_sweep
+from tidemark.operators.trace import LATE, NO_WINDOW
+from tidemark.operators.windows import Sweep
 
-STEP = "seen_before BIGINT, seen_ts BIGINT, tops ARRAY<STRUCT<source: STRING, top: BIGINT>>, processed_ts BIGINT"
-PARTIALS = "task_id BIGINT, window_end BIGINT, count_actual BIGINT, min_id BIGINT, max_id BIGINT"
+TOPS = "seen_before BIGINT, tops ARRAY<STRUCT<source: STRING, top: BIGINT>>"
+STEP = f"{TOPS}, processed_ts BIGINT"
 
 
 class LateSplit:
@@ -36,11 +33,8 @@ class LateSplit:
     minimum over the ``sources`` declared, and there is none before all have sent.
     """
 
-    def __init__(
-        self, root: str, spec: WindowSpec, lag_ms: int, lanes: int, keep_events: bool = False, sources: int = 1
-    ):
-        self.root = root.rstrip("/")
-        self.spec, self.lag_ms, self.lanes, self.keep_events, self.sources = spec, lag_ms, lanes, keep_events, sources
+    def __init__(self, root: str, sweep: Sweep, lanes: int, sources: int = 1):
+        self.root, self.sweep, self.lanes, self.sources = root.rstrip("/"), sweep, lanes, sources
 
     def start(self, events: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Processes what is available and ends, or runs on with a ``trigger``.
@@ -53,97 +47,35 @@ class LateSplit:
     def _folder(self, kind: str, batch_id: int) -> str:
         return f"{self.root}/{kind}/batch_id={batch_id}"
 
-    def _open(self, batch_id: int) -> str:
-        return f"{self.root}/open/turn={batch_id % 2}"
-
-    def _previous(self, spark: SparkSession, batch_id: int) -> tuple[dict[str, int], DataFrame]:
-        """Highest event time of every source seen, and the open windows, after the batch before."""
+    def _tops(self, spark: SparkSession, batch_id: int) -> dict[str, int]:
+        """Highest event time of every source seen, after the batch before."""
         if batch_id == 0:
-            return {}, spark.createDataFrame([], PARTIALS)
+            return {}
         row = spark.read.schema(STEP).parquet(self._folder("watermark", batch_id - 1)).first()
-        return {s.source: s.top for s in row.tops}, spark.read.schema(PARTIALS).parquet(self._open(batch_id - 1))
-
-    def _seen(self, tops: dict[str, int]) -> int | None:
-        """The lowest of the highest event times, once every source has one."""
-        return min(tops.values()) if len(tops) >= self.sources else None
-
-    def _closed(self, seen: str) -> str:
-        return f"coalesce({seen} - window_end >= {self.lag_ms}, false)"
+        return {s.source: s.top for s in row.tops}
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tops, partials = self._previous(spark, batch_id)
-        seen = self._seen(tops)
-        task = f"{lane_of('log_id', self.lanes)} as task_id"
+        tops = self._tops(spark, batch_id)
+        seen = min(tops.values()) if len(tops) >= self.sources else None
         source = F.col("source").cast("string") if "source" in batch.columns else F.lit("")
         found = batch.groupBy(source.alias("source")).agg(F.max("event_ts").alias("top")).where("top is not null").collect()
         tops |= {r.source: max(r.top, tops.get(r.source, r.top)) for r in found}
         if len(tops) > self.sources:
             raise ValueError(f"{len(tops)} sources where {self.sources} are declared")
-        seen_after = self._seen(tops)
 
         rows = batch.select("event_ts", "log_id", *[c for c in ("content",) if c in batch.columns])
-        rows = rows.withColumn("seen_ts", F.lit(seen).cast("bigint"))
-        late = with_overrun(rows, self.spec).where(f"overrun >= {self.lag_ms}").drop("overrun", "seen_ts")
-        late = late.selectExpr(task, "*", f"'{LATE}' as status", f"bigint({NO_WINDOW}) as window_end")
-        late.write.mode("overwrite").parquet(self._folder("late", batch_id))
-
-        pairs = window_pairs(rows, self.spec)
-        pairs = pairs.where(f"not {closed(self.lag_ms)}").drop("overrun", "seen_ts").selectExpr(task, "*")
-        if self.keep_events:
-            pairs.write.mode("overwrite").parquet(self._folder("accepted", batch_id))
-        new = pairs.groupBy("task_id", "window_end").agg(
-            F.count("*").alias("count_actual"),
-            F.expr("min(bigint(log_id)) as min_id"),
-            F.expr("max(bigint(log_id)) as max_id"),
+        late = late_events_sweep(rows.withColumn("seen_ts", F.lit(seen).cast("bigint")), self.sweep).drop("seen_ts")
+        late = late.selectExpr(
+            f"{lane_of('log_id', self.lanes)} as task_id", "*", f"'{LATE}' as status", f"bigint({NO_WINDOW}) as window_end"
         )
-        merged = new.unionByName(partials).groupBy("task_id", "window_end").agg(
-            F.sum("count_actual").alias("count_actual"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id")
-        )
-        merged = merged.withColumn("closed", F.expr(self._closed(self._long(seen_after))))
-        turn = self._open(batch_id)
-        merged.write.mode("overwrite").partitionBy("closed").parquet(f"{turn}-all")
-        both = spark.read.schema(f"{PARTIALS}, closed BOOLEAN").parquet(f"{turn}-all")
-        both.where("closed").drop("closed").write.mode("overwrite").parquet(self._folder("closed", batch_id))
-        both.where("not closed").drop("closed").write.mode("overwrite").parquet(turn)
-
-        after = spark.createDataFrame([(seen, seen_after, sorted(tops.items()))], STEP.replace(", processed_ts BIGINT", ""))
+        late.write.mode("overwrite").parquet(self._folder("late", batch_id))
+        after = spark.createDataFrame([(seen, sorted(tops.items()))], TOPS)
         after = after.withColumn("processed_ts", F.expr("unix_millis(current_timestamp())"))
         after.write.mode("overwrite").parquet(self._folder("watermark", batch_id))
 
-    @staticmethod
-    def _long(value: int | None) -> str:
-        return "cast(null as bigint)" if value is None else f"{value}L"
-
-    def _all(self, spark: SparkSession, kind: str) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/{kind}")
-
     def late(self, spark: SparkSession) -> DataFrame:
-        """Late events with the watermark they met and the time they were processed."""
-        steps = self._all(spark, "watermark").selectExpr(
-            "batch_id", f"seen_before - {self.lag_ms} - 1 as current_wm", "processed_ts as sys_ts"
-        )
-        return self._all(spark, "late").join(steps, "batch_id")
-
-    def metrics(self, spark: SparkSession) -> DataFrame:
-        """Metric rows of all windows closed so far, with the watermark that closed them."""
-        rows = self._all(spark, "closed").join(self._all(spark, "watermark"), "batch_id").selectExpr(
-            "batch_id",
-            "task_id",
-            f"{lane_key('task_id', self.lanes)} as key",
-            "window_end",
-            "processed_ts as trigger_ts",
-            "count_actual",
-            "min_id",
-            "max_id",
-            "processed_ts - window_end as lag_system",
-            f"seen_ts - {self.lag_ms} - 1 as current_wm",
-        )
-        return id_gaps(rows, self.lanes)
-
-    def trace(self, spark: SparkSession) -> DataFrame:
-        """NORMAL rows of closed windows and LATE rows (needs ``keep_events``)."""
-        fired = self.metrics(spark).select("task_id", "window_end", F.col("trigger_ts").alias("sys_ts"))
-        normal = self._all(spark, "accepted").join(fired, ["task_id", "window_end"])
-        normal = normal.withColumn("status", F.lit(NORMAL))
-        return normal.unionByName(self.late(spark).drop("current_wm"))
+        """Late events of every window type and lag, with the watermark they met and the time they were processed."""
+        late, steps = (spark.read.parquet(f"{self.root}/{kind}") for kind in ("late", "watermark"))
+        rows = late.join(steps.selectExpr("batch_id", "seen_before", "processed_ts as sys_ts"), "batch_id")
+        return rows.withColumn("current_wm", F.expr("seen_before - lag_ms - 1")).drop("seen_before")

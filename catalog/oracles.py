@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.settings import (
-    CUTOFF_S, FEED_SLICE, HOUR, LAG, LAGS, LANES, SCALE, SIZE, SLIDE,
+    CUTOFF_S, FEED_SLICE, HORIZON, HOUR, LAG, LAGS, LANES, SCALE, SIZE, SLIDE,
 )
 from tidemark.operators.delay import QUANTILES, delay_quantiles
 
@@ -131,18 +131,40 @@ window_summary AS (
   FROM metrics JOIN metric_bounds USING (window_type, lag_ms) WHERE trigger_ts <= last_ts - {CUT} GROUP BY ALL)"""
 
 
-def _merge_ctes(trace_part: str) -> str:
+def _merge_ctes(trace_part: str, lags=LAGS) -> str:
     """Trace and metric CTEs share their first CTEs; keep the metric ones out."""
-    metrics = metric_rows()
+    metrics = metric_rows(lags=lags)
     return f"{trace_part}, {metrics[metrics.index('counts AS (') :]}"
 
 
-TRADEOFF = f"""{SCAN}, {_merge_ctes(trace())}, {KEPT}, {SUMMARY}, {WINDOW_SUMMARY},
+
+
+def tradeoff(source: str = SCAN, lags=LAGS) -> str:
+    return f"""{source}, {_merge_ctes(trace(lags=lags), lags)}, {KEPT}, {SUMMARY}, {WINDOW_SUMMARY},
 tradeoff AS (
   SELECT s.window_type, s.lag_ms, s.lag_ms / {HOUR}.0::DOUBLE AS lag_s, s.drop_rate, s.avg_latency_s,
          coalesce(w.avg_trigger_delay_s, 0.0) AS avg_trigger_delay_s
   FROM summary s LEFT JOIN window_summary w USING (window_type, lag_ms))"""
 
+
+TRADEOFF = tradeoff()
+
+ADAPTIVE_LAGS = f"""{LOG}, adaptive_lags AS (
+  WITH {scan(1)}, placed AS (
+    SELECT arrival_ts // {HORIZON} AS horizon, greatest(seen_ts - event_ts, 0) AS disorder_ms,
+           row_number() OVER (PARTITION BY arrival_ts // {HORIZON} ORDER BY greatest(seen_ts - event_ts, 0)) AS place,
+           count(*) OVER (PARTITION BY arrival_ts // {HORIZON}) AS n
+    FROM scan)
+  SELECT horizon, n AS "rows",
+         CAST(coalesce(lag(min(disorder_ms) FILTER (place * 1000 >= 990 * n)) OVER (ORDER BY horizon), {LAG}) AS BIGINT) AS lag_ms
+  FROM placed GROUP BY horizon, n)"""
+ADAPTIVE = f"""{ADAPTIVE_LAGS}, shifted AS (
+  SELECT * REPLACE (event_ts - lag_ms AS event_ts), event_ts AS true_ts
+  FROM log JOIN adaptive_lags ON horizon = arrival_ts // {HORIZON}),
+scan AS (
+  WITH {scan(log='shifted')}
+  SELECT * EXCLUDE (true_ts, lag_ms, horizon, "rows") REPLACE (true_ts AS event_ts) FROM scan)"""
+
 SKEW = "task_id * 900000 - 400000"
 OFFSETS = f"""offsets AS (
   SELECT *, lag_ms + {100 * SCALE} - min_lag_system AS offset_ms FROM (
@@ -427,6 +449,27 @@ SELECT window_type, lag_s, round(drop_rate, 6) AS drop_rate, round(avg_latency_s
 FROM (SELECT *, row_number() OVER (PARTITION BY window_type ORDER BY lag_ms) AS place FROM tradeoff
       WHERE drop_rate <= 0.02) WHERE place = 1"""
 
+    sql["adaptive_lags"] = f"""WITH {ADAPTIVE_LAGS} SELECT * FROM adaptive_lags"""
+    sql["adaptive_drop_rates"] = f"""WITH {ADAPTIVE}, {lag_rows(KINDS, dict.fromkeys(KINDS, [0]))}, {pair_rows()}, sums AS (
+  SELECT window_type, count(*) FILTER (window_end = last_end) AS events,
+         count(*) FILTER (window_end = last_end AND {ALL_CLOSED}) AS late, count(*) AS pairs,
+         count(*) FILTER ({CLOSED}) AS missed_pairs
+  FROM pairs JOIN lags USING (window_type) GROUP BY ALL)
+SELECT events, window_type, late, pairs, missed_pairs, round(late / events, 6) AS drop_rate_events,
+       round(late / (pairs - missed_pairs + late), 6) AS drop_rate_rows,
+       round(missed_pairs / pairs, 6) AS pair_loss_rate FROM sums"""
+    measures = ("drop_rate", "avg_latency_s", "avg_trigger_delay_s")
+    sql["adaptive_tradeoff"] = f"""WITH ours AS (
+  WITH {tradeoff(ADAPTIVE, dict.fromkeys(KINDS, [0]))}
+  SELECT *, (SELECT sum("rows" * lag_ms)::DOUBLE / sum("rows") FROM adaptive_lags) / {HOUR} AS mean_lag_s FROM tradeoff),
+fixed AS (WITH {TRADEOFF} SELECT * FROM tradeoff),
+best AS (
+  SELECT f.*, row_number() OVER (PARTITION BY window_type ORDER BY f.lag_ms) AS place
+  FROM fixed f JOIN ours o USING (window_type) WHERE f.drop_rate <= o.drop_rate)
+SELECT window_type, round(mean_lag_s, 6) AS mean_lag_s, {", ".join(f"round(o.{m}, 6) AS {m}" for m in measures)},
+       round(b.lag_s, 6) AS fixed_lag_s, {", ".join(f"round(b.{m}, 6) AS fixed_{m}" for m in measures)}
+FROM ours o LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (window_type)"""
+
     skewed_trace = f"skewed AS (SELECT *, sys_ts + {SKEW} AS skewed_ts FROM trace)"
     sql["calibrate_trace"] = f"""WITH {SCAN}, {trace()}, {skewed_trace}, {OFFSETS}
 SELECT window_type, lag_ms, task_id, skewed_ts + coalesce(applied_ms, 0) AS sys_ts, event_ts, log_id, status, window_end

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.settings import (
-    BUCKET, CUTOFF_S, FEED_SLICE, FEED_START, HOUR, LAG, LAGS, LANES, RESUME_AT, SCALE, SIZE, SLIDE,
+    BUCKET, CUTOFF_S, FEED_SLICE, FEED_START, HORIZON, HOUR, LAG, LAGS, LANES, RESUME_AT, SCALE, SIZE, SLIDE,
 )
 from tidemark.functions.messages import late_message, window_message
 from tidemark.functions.naming import lag_seconds, run_name, window_kind
 from tidemark.functions.parse import format_line, lane_key, parse_lines, parse_rejects, typed_lines
-from tidemark.operators import calibrate, delay, disorder, resume, series, trace
+from tidemark.operators import adaptive_lag, calibrate, delay, disorder, resume, series, trace
 from tidemark.operators import id_gaps as id_gaps_exact
 from tidemark.operators.arrival_scan import DISORDER_MS, arrival_scan, watermark
 from tidemark.operators.lateness import drop_rates, late_events_sweep, partial_misses
@@ -428,6 +428,37 @@ def sweet_spot(spark, sf_dir):
     return rounded(rows, "drop_rate", "avg_latency_s", "avg_trigger_delay_s")
 
 
+def _adaptive_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    disorder_ms = adaptive_lag.disorder_by_horizon(scan(spark, sf_dir, 1), HORIZON)
+    return materialize(adaptive_lag.following_lags(disorder_ms, LAG), "lags")
+
+
+@query
+def adaptive_lags(spark, sf_dir):
+    return _adaptive_lags(spark, sf_dir)
+
+
+@query
+def adaptive_drop_rates(spark, sf_dir):
+    lags = _adaptive_lags(spark, sf_dir)
+    log = arrivals(spark, sf_dir).select("arrival_ts", "log_id", "event_ts")
+    rows = adaptive_lag.adaptive_scan(log, lags, HORIZON, LANES, bucket_ms=BUCKET)
+    found = drop_rates(rows, list(SPECS.values()), [0]).drop("lag_ms")
+    return rounded(found, "drop_rate_events", "drop_rate_rows", "pair_loss_rate")
+
+
+@query
+def adaptive_tradeoff(spark, sf_dir):
+    """The lag that follows the disorder next to the best fixed one."""
+    lags = _adaptive_lags(spark, sf_dir)
+    log = arrivals(spark, sf_dir).select("arrival_ts", "log_id", "event_ts")
+    rows = adaptive_lag.adaptive_scan(log, lags, HORIZON, LANES, bucket_ms=BUCKET).drop("lag_ms")
+    metrics, totals = tradeoff.replay_sweep(rows, [(spec, [0]) for spec in SPECS.values()], LANES)
+    ours = tradeoff.tradeoff_table(totals, metrics, RUN, CUTOFF_S, HOUR)
+    table = adaptive_lag.beside_fixed(ours, _tradeoff(spark, sf_dir), lags, HOUR)
+    return rounded(table, *[c for c in table.columns if c != "window_type"])
+
+
 # --- calibration ---------------------------------------------------------------
 
 FILE = [*RUN, "task_id"]

@@ -23,3 +23,6 @@ FEED_START = 1_704_067_200_000
 
 # The log is cut here for scans that go on where an earlier one ended.
 RESUME_AT = FEED_START + 15 * 24 * HOUR
+
+# The adaptive lag is chosen for every two days.
+HORIZON = 48 * HOUR

@@ -38,8 +38,8 @@ def leaks(documents, benchmark, texts, settings=Settings()):
     return [r.leaked_items for r in sorted(found, key=lambda r: r.doc_id)]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 60])
-def test_leaks_are_found_and_prose_is_left_alone(documents, benchmark, block):
+@pytest.mark.parametrize("bits", [1 << 28, 64])
+def test_leaks_are_found_and_prose_is_left_alone(documents, benchmark, bits):
     two = ITEMS[1][1]
     half = " ".join(two.split()[5:25])
     texts = [
@@ -48,7 +48,7 @@ def test_leaks_are_found_and_prose_is_left_alone(documents, benchmark, block):
         "x " * 200_000 + two,
     ]
     want = [[1], [1], [2], [2], [], [], [], [], [3], [], [4], [], [2], [1, 2], [2]]
-    assert leaks(documents, benchmark, texts, Settings(block=block)) == want
+    assert leaks(documents, benchmark, texts, Settings(filter_bits=bits)) == want
 
 
 def test_slots_must_agree(documents, spark):
@@ -118,3 +118,74 @@ def test_whole_words_count_where_cut_ones_are_too_few(documents, spark):
     text = "7km {} 8km {} 9km {} 5km {} 4km {} 3km {} 2km {}"
     items = spark.createDataFrame([(1, text.format(*range(20, 27)))], "item_id BIGINT, text STRING")
     assert leaks(documents, items, [text.format(*range(60, 67)), text.replace("km", "")]) == [[1], []]
+
+
+def test_items_of_one_template_are_one_class(documents, spark):
+    """No rows for pairs of documents and items; the end of the passage alone is of both classes."""
+    text = "{} buys {} apples for {} dollars each and gives {} of the apples to Mary before the sun goes down over the hill"
+    items = [(k, text.format("John", k, k + 7, k + 90)) for k in range(100, 400)] + [(k, text.format("Ann", 5, 6, 5)) for k in (20, 10)] + [(9, prose(30))]
+    frame = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    texts = [text.format("Peter", 1, 2, 3), text.format("Peter", 1, 2, 1), text.format("john", 1, 2, 3).lower(), items[-1][1], prose(60)]
+    assert leaks(documents, frame, texts) == [[10, 100]] * 3 + [[9], []]
+    classes = {r.item_id: (r.template_class, r.words_class) for r in decontaminate.item_classes(frame).collect()}
+    assert classes == {k: (9, 9) if k == 9 else (10, 10) if k < 100 else (100, 100) for k, _ in items}
+
+
+def test_matches_a_plain_model_with_slots(documents, spark):
+    """Numbers and names as slots, against a model that works on lists of tokens."""
+    names, numbers = ["Anna", "Bert", "Cleo", "Dora"], ["3", "17", "205", "44"]
+
+    def draw(n):
+        return [RNG.choice(names) if (x := RNG.random()) < 0.15 else RNG.choice(numbers) if x < 0.35 else RNG.choice(WORDS[:40]) for _ in range(n)]
+
+    def slot(word, view):
+        return "number" if word.isdigit() else "name" if word[0].isupper() and view == "template" else None
+
+    def windows(words, view):
+        for k in range(len(words) - 7):
+            w = words[k : k + 8]
+            yield k, tuple(slot(x, view) or x.lower() for x in w), [i for i, x in enumerate(w) if slot(x, view)]
+
+    def leak(item, text):
+        good = {"template": set(), "words": set()}
+        kept = {v: [(k, h, s) for k, h, s in windows(item, v) if len(s) <= 4] for v in good}
+        for view in good:
+            found = {}
+            for at, other, _ in windows(text, view):
+                for k, h, s in kept[view]:
+                    if h == other:
+                        found.setdefault(at - k, []).append((k, s))
+            for shift, rows in found.items():
+                places = sorted({k + i for k, s in rows for i in s})
+                votes = {}
+                for p in places:
+                    votes.setdefault((item[p].lower(), text[p + shift].lower()), []).append(p)
+                one, two = {}, {}
+                for a, b in sorted(votes, key=lambda x: (-len(votes[x]), -votes[x][-1])):
+                    if a not in one and b not in two:
+                        one[a], two[b] = b, a
+                good[view] |= {k for k, s in rows if all(one.get(item[k + i].lower()) == text[k + i + shift].lower() for i in s)}
+        good["words"] |= good["template"]
+        return any(kept[v] and len(good[v]) >= min(6, len(kept[v])) for v in good)
+
+    items = [draw(RNG.randrange(13, 30)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        words = list(RNG.choice(items))
+        swap = dict(zip(names + numbers, RNG.sample(names, 4) + RNG.sample(numbers, 4)))
+        words = [swap.get(x, x) if RNG.random() < RNG.choice([1, 0.9]) else x for x in words]
+        words = [x.lower() for x in words] if RNG.random() < 0.2 else words
+        a = RNG.randrange(6)
+        texts.append(draw(10) + words[a : a + RNG.randrange(10, 30)] + draw(10))
+    want = [[k for k, item in enumerate(items) if leak(item, text)] for text in texts]
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id BIGINT, text STRING")
+    assert leaks(documents, frame, [" ".join(x) for x in texts]) == want and 10 < sum(map(bool, want)) < 60
+
+
+def test_repeated_documents_and_clashing_columns(documents, benchmark):
+    from pyspark.sql import functions as F
+
+    rows = documents([(1, ITEMS[1][1])] * 3 + [(2, "x")]).withColumns({"leaked_items": F.lit("old"), "text_1": F.lit(7), "h": F.lit(8)})
+    found = decontaminate.find_leaks(rows, benchmark)
+    assert found.columns == [*[c for c in rows.columns if c != "leaked_items"], "leaked_items"]
+    assert sorted((r.doc_id, r.text_1, r.h, tuple(r.leaked_items)) for r in found.collect()) == [(1, 7, 8, (2,))] * 3 + [(2, 7, 8, ())]

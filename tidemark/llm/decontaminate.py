@@ -1,10 +1,14 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units become typed placeholders, so a question keeps its
-template when its parameters change. Windows of template tokens are looked up in
-a hash table of the benchmark's windows; windows of one document and item count
-if their slots are filled consistently: a value of the item always stands for
-the same value in the document, and the other way round.
+template when its parameters change. Windows of template tokens are hash-joined with
+the benchmark's windows; windows of one document and item count if their slots are
+filled consistently: a value of the item always stands for the same value in the
+document, and the other way round. Which values an item has does not matter, only
+which of its slots are equal, so items that differ in values alone are one class.
+
+Documents take part with the few windows that pass a Bloom filter of the benchmark's
+windows, of bounded size whatever the benchmark's. Equal texts take part once.
 
 Names are told by their capital. So that a passage in another case is found too,
 windows are also looked up without placeholders for names, with case folded. A
@@ -17,7 +21,8 @@ cut may leave too few literals in a window; the whole words are kept for those.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tidemark.llm.text import IS_WORD, LOWER, Hasher, Texts, map_texts, prepare_arrow, shingles
+from tidemark.session import BROADCAST_ROWS, materialize, materialize_observed
 
 # Words for units, and what placeholders hash to.
 UNITS = (
@@ -73,15 +78,17 @@ class Settings:
 
     An item leaks if ``matches`` of its windows in a view, or all if it has fewer,
     match consistently: 6 windows of 8 are a passage of 13 tokens. Shorter items count
-    as one window if they have ``short`` literal tokens. ``block`` bounds the
-    bytes of benchmark text that are broadcast at a time.
+    as one window if they have ``short`` literal tokens. The broadcast filter has
+    ``window_bits`` bits for every window of the benchmark and ``filter_bits`` at most
+    (32 MB); a fuller filter lets more windows through to the join, with equal results.
     """
 
     window: int = 8
     literal: int = 4
     matches: int = 6
     short: int = 5
-    block: int = 8 << 20
+    window_bits: int = 512
+    filter_bits: int = 1 << 28
 
 
 def fold(texts: Texts) -> Texts:
@@ -159,10 +166,6 @@ class Tokens:
         h, _ = shingles(self.hash[view], self.owner, size)
         return h, first
 
-    def literals(self, view: str, first: np.ndarray, size: int) -> np.ndarray:
-        sums = np.r_[0, np.cumsum(~self.slot[view])]
-        return sums[first + size] - sums[first]
-
 
 def _hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
@@ -170,108 +173,243 @@ def _hashes(words: list[str]) -> np.ndarray:
     return Hasher(data).spans(starts, ends)
 
 
-class Index:
-    """Windows of benchmark items, in every view of whole words and of cut ones."""
-
-    def __init__(self, ids: list[int], texts: list[str], settings: Settings):
-        texts = Texts.of(pa.array(texts, pa.string()))
-        self.ids, self.words = ids, [Words(texts, fold(texts), cut, settings) for cut in (False, True)]
-
-    def leaks(self, texts: Texts) -> list[list[int]]:
-        """Ids of the items that leak into each document, in order."""
-        folded = fold(texts)
-        out: list[set[int]] = [set() for _ in range(len(texts))]
-        for words in self.words:
-            for doc, item in words.leaks(texts, folded):
-                out[doc].add(item)
-        return [sorted(self.ids[item] for item in x) for x in out]
-
-
-class Words:
-    """Windows of benchmark items, of whole words or of cut ones."""
-
-    def __init__(self, texts: Texts, folded: Texts, cut: bool, settings: Settings):
-        tokens = Tokens(texts, folded, cut)
-        self.tokens, self.cut, n = tokens, cut, len(texts)
-        lengths = np.diff(np.searchsorted(tokens.owner, np.arange(n + 1)))
-        self.tables, self.needed = {}, {view: np.zeros(n, np.int64) for view in VIEWS}
-        sizes = sorted({settings.window, *np.minimum(lengths, settings.window).tolist()} - {0})
-        for view, size in ((v, s) for v in VIEWS for s in sizes):
-            h, first = tokens.windows(view, size)
-            own = tokens.owner[first] if len(first) else first
-            enough = settings.literal if size == settings.window else settings.short
-            keep = tokens.literals(view, first, size) >= enough
-            if size < settings.window:
-                keep &= lengths[own] == size
-            h, first, own = h[keep], first[keep], own[keep]
-            if len(h):
-                order = np.argsort(h, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables[view, size] = (h[order], first[order], seen)
-                self.needed[view] += np.minimum(np.bincount(own, minlength=n), settings.matches)
-
-    def leaks(self, texts: Texts, folded: Texts) -> Iterator[tuple[int, int]]:
-        """Documents, and the numbers of the items that leak into them."""
-        tokens = Tokens(texts, folded, self.cut)
-        found: dict[tuple[int, int], dict[tuple[str, int], list]] = defaultdict(lambda: defaultdict(list))
-        for (view, size), (hashes, places, seen) in self.tables.items():
-            h, first = tokens.windows(view, size)
-            near = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            lo, hi = (np.searchsorted(hashes, h[near], side) for side in ("left", "right"))
-            for at, a, b in zip(first[near][hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for place in places[a:b].tolist():
-                    item = int(self.tokens.owner[place])
-                    found[int(tokens.owner[at]), item][view, at - place].append((place, size))
-        for (doc, item), shifts in found.items():
-            good = {view: set() for view in VIEWS}
-            for (view, shift), rows in shifts.items():
-                good[view] |= self._consistent(view, tokens, shift, rows)
-            # Every window of the template is one of the words too, so those count together there.
-            good["words"] |= good["template"]
-            if any(0 < self.needed[view][item] <= len(good[view]) for view in VIEWS):
-                yield doc, item
-
-    def _consistent(self, view: str, tokens: Tokens, shift: int, rows: list[tuple[int, int]]) -> set[int]:
-        """The matched windows of one alignment that agree on what fills the slots."""
-        slot = self.tokens.slot[view]
-        places = sorted({p for first, size in rows for p in range(first, first + size) if slot[p]})
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for p in places:
-            votes[int(self.tokens.value[p]), int(tokens.value[p + shift])] += 1
-        here, there, ok = {}, {}, set()
-        for (a, b), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] != v[0][1], v[0])):
-            if a not in here and b not in there:
-                here[a] = there[b] = True
-                ok.add((a, b))
-        bad = {p for p in places if (int(self.tokens.value[p]), int(tokens.value[p + shift])) not in ok}
-        return {first for first, size in rows if not any(p in bad for p in range(first, first + size))}
+# Bits of one row of the filter, as ``bitmap_construct_agg`` makes them.
+BITMAP = 32_768
+WINDOW = ["cut", "view", "size", "h"]
+TEXT = ["text_1", "text_2"]
+
+
+def _digest(*parts: np.ndarray) -> int:
+    joined = hashlib.blake2b(b"|".join(x.tobytes() for x in parts), digest_size=8)
+    return int.from_bytes(joined.digest(), "little", signed=True)
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names.split())
+
+
+def _rows(values: np.ndarray, first: np.ndarray, size: int) -> pa.Array:
+    """``values`` of the ``size`` tokens from each of ``first``, as bytes."""
+    picked = values[first[:, None] + np.arange(size)] if len(first) else np.zeros((0, size), values.dtype)
+    return pa.array([row.tobytes() for row in picked], pa.binary())
+
+
+def item_windows(benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The windows of every item, with its ``template`` and ``words`` class.
+
+    ``slots`` has four bytes for every token of the window: -1 for a literal, else a
+    number that equal values of the item share. Items of a class have equal windows
+    with equal slots, in the template view alone or in both views.
+    """
+
+    def emit(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
+        ids = batch.column("item_id").to_numpy()
+        for start, part in texts.runs():
+            folded = fold(part)
+            both = [Tokens(part, folded, cut) for cut in (False, True)]
+            for k in range(len(part)):
+                spans = [slice(*np.searchsorted(t.owner, [k, k + 1])) for t in both]
+                numbers = [{v: _numbered(t, v, s) for v in VIEWS} for t, s in zip(both, spans, strict=True)]
+                parts = {v: [x for t, s, n in zip(both, spans, numbers, strict=True) for x in (t.hash[v][s], n[v])] for v in VIEWS}
+                template = _digest(*parts["template"])
+                words = _digest(*parts["template"], *parts["words"])
+                for cut, (tokens, span) in enumerate(zip(both, spans, strict=True)):
+                    size = min(settings.window, span.stop - span.start)
+                    for v, view in enumerate(VIEWS if size else ()):
+                        h, first = shingles(tokens.hash[view][span], tokens.owner[span], size)[0], np.arange(span.stop - span.start - size + 1)
+                        enough = settings.literal if size == settings.window else settings.short
+                        keep = (numbers[cut][view][first[:, None] + np.arange(size)] < 0).sum(1) >= enough
+                        h, first, n = h[keep], first[keep], int(keep.sum())
+                        same = [np.full(n, x) for x in (ids[start + k], template, words)] + [np.full(n, x, np.int32) for x in (cut, v, size)]
+                        yield _batch("item_id template words cut view size place h slots", *same, first, h.view(np.int64), _rows(numbers[cut][view], first, size))
+
+    schema = "item_id BIGINT, template BIGINT, words BIGINT, cut INT, view INT, size INT, place BIGINT, h BIGINT, slots BINARY"
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text")
+    return map_texts(items, emit, schema)
+
+
+def _numbered(tokens: Tokens, view: str, span: slice) -> np.ndarray:
+    """-1 for literals, else which of the item's values fills the slot, in the order of their first places."""
+    slot = tokens.slot[view][span]
+    _, first, code = np.unique(tokens.value[span][slot], return_index=True, return_inverse=True)
+    out = np.full(len(slot), -1, np.int32)
+    out[slot] = np.argsort(np.argsort(first))[code]
+    return out
+
+
+def item_classes(benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``item_id, template_class, words_class``: the smallest ids of the classes of each item.
+
+    A leak of a class is a leak of all its items. Items without any window are left out.
+    """
+    return _classes(materialize(item_windows(benchmark, settings), "items"))
+
+
+def _classes(items: DataFrame) -> DataFrame:
+    members = items.select("item_id", "template", "words").distinct()
+    for kind in ("template", "words"):
+        members = members.join(members.groupBy(kind).agg(F.min("item_id").alias(f"{kind}_class")), kind)
+    return members.select("item_id", "template_class", "words_class")
+
+
+def _filter_bits(items: DataFrame, windows: int, settings: Settings) -> np.ndarray:
+    """A Bloom filter of the windows, made in rows of ``BITMAP`` bits and of bounded size."""
+    bits = BITMAP
+    while bits < min(windows * settings.window_bits, settings.filter_bits):
+        bits *= 2
+    places = items.select(F.explode(F.array("h", F.expr("shiftrightunsigned(h, 32)"))).alias("p")).select(F.expr(f"p & {bits - 1}L").alias("p"))
+    rows = places.groupBy(F.expr(f"p div {BITMAP}").alias("row")).agg(F.expr(f"bitmap_construct_agg(p % {BITMAP})").alias("bits"))
+    table = np.zeros((bits // BITMAP, BITMAP // 8), np.uint8)
+    for row in rows.toLocalIterator():
+        table[row["row"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Indices of the hashes that the filter lets through."""
+    mask, found = np.uint64(len(table) * 8 - 1), np.arange(len(h))
+    for shift in (np.uint64(0), np.uint64(32)):
+        place = (h[found] >> shift) & mask
+        found = found[(table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+    return found
+
+
+def candidate_windows(documents: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
+    """The windows of the texts that pass the filter, once for every text: ``at``, ``h`` and the ``values`` of their tokens."""
+    known = documents.sparkSession.sparkContext.broadcast(table)
+
+    def emit(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
+        keys = [batch.column(c).to_numpy() for c in TEXT]
+        for start, part in texts.runs():
+            folded = fold(part)
+            for cut in (False, True):
+                tokens = Tokens(part, folded, cut)
+                for v, view in enumerate(VIEWS):
+                    for size in sizes:
+                        h, first = tokens.windows(view, size)
+                        near = _passes(known.value, h)
+                        h, first = h[near], first[near]
+                        doc = tokens.owner[first] if len(first) else first
+                        at = first - np.searchsorted(tokens.owner, doc)
+                        same = [np.full(len(h), x, np.int32) for x in (cut, v, size)]
+                        yield _batch("text_1 text_2 cut view size at h values", *[k[start + doc] for k in keys], *same, at, h.view(np.int64), _rows(tokens.value, first, size))
+
+    schema = "text_1 BIGINT, text_2 BIGINT, cut INT, view INT, size INT, at BIGINT, h BIGINT, values BINARY"
+    return map_texts(documents.select(*TEXT, "text"), emit, schema).distinct()
+
+
+def agreeing(places: list[int], slots: list[np.ndarray], values: list[np.ndarray]) -> list[int]:
+    """The places of the windows of one alignment that agree on what fills the slots.
+
+    Pairs of an item's value and a document's are taken by their number of tokens,
+    those with the later last token first, if neither value has a partner.
+    """
+    pairs = {p + int(k): (int(s[k]), int(x[k])) for p, s, x in zip(places, slots, values, strict=True) for k in np.flatnonzero(s >= 0)}
+    here, there = {}, {}
+    for (a, b), _ in Counter(pairs[p] for p in sorted(pairs, reverse=True)).most_common():
+        if a not in here and b not in there:
+            here[a], there[b] = b, a
+    bad = {p for p, (a, b) in pairs.items() if here.get(a) != b}
+    return [p for p, s in zip(places, slots, strict=True) if bad.isdisjoint(range(p, p + len(s)))]
+
+
+def _good(matches: DataFrame, kind: str) -> DataFrame:
+    """``text_1, text_2, cut, template, kind, place`` of the matched windows that count.
+
+    Windows without slots always do. The others of one alignment of a text and a class
+    are at most as many as the windows of an item.
+    """
+    key = [*TEXT, "cut", *dict.fromkeys(["template", kind])]
+
+    def agree(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        rows = [[np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in (("slots", np.int32), ("values", np.uint64))]
+        good = agreeing(table.column("place").to_pylist(), *rows)
+        return table.slice(0, len(good)).select(key).append_column("place", pa.array(good, pa.int64()))
+
+    literal = F.col("slots") == F.expr("unhex(repeat('FFFFFFFF', size))")
+    schema = ", ".join(f"{c} {'INT' if c == 'cut' else 'BIGINT'}" for c in [*key, "place"])
+    aligned = matches.where(~literal).withColumn("shift", F.expr("at - place")).groupBy(*key, "shift")
+    return matches.where(literal).select(*key, "place").union(aligned.applyInArrow(agree, schema)).distinct()
+
+
+def _class_windows(items: DataFrame, view: str) -> tuple[DataFrame, DataFrame]:
+    """The windows of the classes of a view, and by class and cut the number that must match."""
+    key = list(dict.fromkeys(["template", view]))
+    windows = items.where(F.col("view") == VIEWS.index(view)).groupBy(*key, *WINDOW, "place").agg(F.min("slots").alias("slots"))
+    return windows, key
+
+
+def _needed(windows: DataFrame, key: list[str], settings: Settings) -> DataFrame:
+    return windows.groupBy(*key, "cut").agg(F.least(F.count(F.lit(1)), F.lit(settings.matches)).alias("needed"))
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def text_leaks(candidates: DataFrame, items: DataFrame, windows: int, settings: Settings) -> DataFrame:
+    """``text_1, text_2, leaked_items`` of the texts into which classes of items leak.
+
+    Template classes come first. Classes of both views are matched only for those that
+    did not leak by their template, and where enough of the places of their items match
+    any of them.
+    """
+    templates, key = _class_windows(items, "template")
+    joined = candidates.join(_small(templates, windows), WINDOW)
+    good = materialize(_good(joined, "template"), "templates")
+    counts = good.groupBy(*TEXT, "cut", "template").agg(F.count(F.lit(1)).alias("n"))
+    leaked = counts.join(_needed(templates, key, settings), ["cut", "template"]).where("n >= needed")
+    leaked = materialize(leaked.select(*TEXT, "template").distinct(), "leaked")
+
+    wordly, key = _class_windows(items, "words")
+    needed = _needed(wordly, key, settings)
+    shared = wordly.select("template", *WINDOW, "place").distinct()
+    near = candidates.join(_small(shared, windows), WINDOW).join(leaked, [*TEXT, "template"], "left_anti")
+    group = [*TEXT, "cut", "template"]
+    touched = near.select(*group, "place").union(good.select(*group, "place")).distinct()
+    least = needed.groupBy("template", "cut").agg(F.min("needed").alias("least"))
+    hopeful = touched.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(least, ["template", "cut"]).where("n >= least").select(*group)
+    near = near.drop("place").distinct().join(hopeful, group, "left_semi")
+    matches = near.join(_small(wordly, windows), ["template", *WINDOW])
+    found = materialize(_good(matches, "words"), "words")
+    more = good.join(found.select(*group, "words").distinct(), group).select(*found.columns)
+    counts = found.union(more).distinct().groupBy(*group, "words").agg(F.count(F.lit(1)).alias("n"))
+    also = counts.join(needed, ["template", "words", "cut"]).where("n >= needed").select(*TEXT, "words")
+
+    parts = []
+    for kind, rows in (("template", leaked), ("words", also)):
+        first = items.groupBy(kind).agg(F.min("item_id").alias("item_id"))
+        parts.append(rows.join(first, kind).select(*TEXT, "item_id"))
+    return parts[0].union(parts[1]).groupBy(*TEXT).agg(F.array_sort(F.collect_set("item_id")).alias("leaked_items"))
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``documents`` with ``leaked_items``, the sorted ids of items that leak into each.
+    """``documents`` with ``leaked_items``, the sorted ids of the classes of items that leak into each.
 
-    The benchmark is broadcast in blocks of bounded size; one that is larger takes
-    a pass for every block. Items with a null id or text, and items too short to
-    tell, match nothing; items with equal texts match together. A null text has
-    no leaks. A ``leaked_items`` column that is there is replaced, others stay.
+    A class is named by its smallest id; ``item_classes`` has the members. Items with a
+    null id or text, and items too short to tell, match nothing; items of equal texts
+    are of one class. A null text has no leaks. A ``leaked_items`` column that is there is
+    replaced, others stay.
     """
     spark = prepare_arrow(documents.sparkSession)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // settings.block) or 1
-    documents = documents.drop("leaked_items").withColumn("leaked_items", F.array().cast("array<bigint>"))
-    schema = StructType([*documents.schema.fields[:-1], StructField("leaked_items", ArrayType(LongType()))])
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
-        index = spark.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["text"].to_pylist(), settings))
-
-        def match(batch: pa.RecordBatch, texts: Texts, index=index) -> Iterator[pa.RecordBatch]:
-            leaks = [x for _, part in texts.runs() for x in index.value.leaks(part)]
-            if blocks > 1:
-                leaks = [sorted({*a, *b}) for a, b in zip(leaks, batch.column("leaked_items").to_pylist(), strict=True)]
-            column = pa.array([sorted(set(x)) for x in leaks], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], batch.schema.names)
-
-        documents = map_texts(documents, match, schema)
-    return documents
+    items = item_windows(benchmark, settings)
+    items, seen = materialize_observed(items, "items", F.count(F.lit(1)).alias("windows"), F.collect_set("size").alias("sizes"))
+    documents = documents.drop("leaked_items")
+    if not seen["windows"]:
+        return documents.withColumn("leaked_items", F.array().cast("array<bigint>"))
+    texts = documents.select(*text_keys(), "text")
+    candidates = candidate_windows(texts, _filter_bits(items, seen["windows"], settings), sorted(seen["sizes"]))
+    leaks = text_leaks(materialize(candidates, "candidates"), items, seen["windows"], settings)
+    leaks, found = materialize_observed(leaks, "leaks", F.coalesce(F.sum(F.size("leaked_items") + 2), F.lit(0)).alias("values"))
+    columns = documents.columns
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *text_keys())
+    joined = keyed.join(_small(leaks, found["values"]), TEXT, "left")
+    empty = F.array().cast("array<bigint>")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in columns], F.coalesce("leaked_items", empty).alias("leaked_items"))
+
+
+def text_keys() -> list:
+    """Two hashes of 64 bits that stand for a text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias(TEXT[0]), F.xxhash64(F.lit(1), text).alias(TEXT[1])]

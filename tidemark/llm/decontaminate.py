@@ -25,6 +25,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -100,29 +101,74 @@ def fold(texts: Texts) -> Texts:
     return Texts(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
 
 
-def spans(texts: Texts, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Marks:
+    """What both ways of cutting a text share: words, edges of punctuation, numbers, hashes of spans."""
+
+    def __init__(self, texts: Texts):
+        self.texts, self.data = texts, texts.data
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.texts.words()
+
+    @cached_property
+    def signs(self) -> tuple[np.ndarray, np.ndarray]:
+        return _signs(self.data)
+
+    @cached_property
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        return _edges(~_PUNCTUATION[self.data])
+
+    @cached_property
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.r_[0, np.cumsum(table[self.data], dtype=np.int32)] for table in (_NUMERIC, _DIGIT))
+
+    @cached_property
+    def hasher(self) -> Hasher:
+        return Hasher(self.data)
+
+    def cuts(self) -> np.ndarray:
+        """Where numbers, currency signs and no-break spaces begin or end inside words."""
+        data, kind = self.data, np.zeros(len(self.data), np.uint8)
+        numeric = np.flatnonzero(_NUMERIC[data])
+        if len(numeric):
+            first = np.flatnonzero(np.r_[True, np.diff(numeric) > 1])
+            digits = np.logical_or.reduceat(_DIGIT[data[numeric]], first)
+            kind[numeric[np.repeat(digits, np.diff(np.r_[first, len(numeric)]))]] = 1
+        currency, blank = self.signs
+        kind += np.uint8(2) * currency + np.uint8(3) * blank
+        found = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        return found[IS_WORD[data[found]] & IS_WORD[data[found - 1]]]
+
+
+def _edges(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next and the last solid byte, seen from every byte."""
+    place = np.arange(len(solid), dtype=np.int32 if len(solid) < 1 << 31 else np.int64)
+    right = np.minimum.accumulate(np.where(solid, place, len(solid))[::-1])[::-1]
+    return right, np.maximum.accumulate(np.where(solid, place, -1))
+
+
+def _merged(one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
+    both = np.zeros(size + 1, bool)
+    both[one] = both[two] = True
+    return np.flatnonzero(both)
+
+
+def spans(marks: Marks, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every token, in order: words without the punctuation around them.
 
     If ``cut``, words end where numbers and currency signs begin or end, and at no-break spaces.
     """
-    data = texts.data
-    starts, ends, owner = texts.words()
-    place = np.arange(len(data))
-    solid = ~_PUNCTUATION[data]
+    starts, ends, owner = marks.words
+    right, left = marks.edges
     if cut and len(starts):
-        numeric = _NUMERIC[data]
-        runs = np.r_[0, np.flatnonzero(numeric[1:] != numeric[:-1]) + 1]
-        numeric &= np.repeat(np.logical_or.reduceat(_DIGIT[data], runs), np.diff(np.r_[runs, len(data)]))
-        currency, blank = _signs(data)
-        kind = numeric + np.uint8(2) * currency + np.uint8(3) * blank
-        cuts = np.flatnonzero((kind[1:] != kind[:-1]) & IS_WORD[data[1:]] & IS_WORD[data[:-1]]) + 1
-        starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
-        owner = np.searchsorted(texts.bounds, starts, "right") - 1
-        solid &= ~blank
-    right = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
-    left = np.maximum.accumulate(np.where(solid, place, -1))
+        cuts, blank = marks.cuts(), marks.signs[1]
+        starts, ends = (_merged(x, cuts, len(marks.data)) for x in (starts, ends))
+        owner = np.searchsorted(marks.texts.bounds, starts, "right") - 1
+        if blank.any():
+            right, left = _edges(~_PUNCTUATION[marks.data] & ~blank)
     if len(starts):
-        starts, ends = right[starts], left[ends - 1] + 1
+        starts, ends = right[starts].astype(np.int64), left[ends - 1].astype(np.int64) + 1
     keep = starts < ends
     return starts[keep], ends[keep], owner[keep]
 
@@ -130,29 +176,29 @@ def spans(texts: Texts, cut: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Tokens:
     """Tokens of documents: value without case, document, and hash and slot for each of ``VIEWS``."""
 
-    def __init__(self, texts: Texts, folded: Texts, cut: bool):
-        data = texts.data
+    def __init__(self, marks: Marks, folded: Marks, cut: bool):
+        data = marks.data
         after = np.r_[False, data[:-1] == 0xC3] if len(data) else np.zeros(0, bool)
         big = after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-        starts, ends, self.owner = spans(texts, cut)
+        starts, ends, self.owner = spans(marks, cut)
         # Folding keeps the tokens, but not always the bytes of their characters.
         aligned = len(data) == len(folded.data) and np.array_equal(data & 0xC0 == 0x80, folded.data & 0xC0 == 0x80)
-        self.value = Hasher(folded.data).spans(*((starts, ends) if aligned else spans(folded, cut)[:2]))
+        self.value = folded.hasher.spans(*((starts, ends) if aligned else spans(folded, cut)[:2]))
         self.hash = {view: self.value.copy() for view in VIEWS}
         self.slot = {view: np.zeros(len(starts), bool) for view in VIEWS}
         if not len(starts):
             return
-        numeric, digits = (np.r_[0, np.cumsum(table[data])] for table in (_NUMERIC, _DIGIT))
+        numeric, digits = marks.sums
         number = (numeric[ends] - numeric[starts] == ends - starts) & (digits[ends] > digits[starts])
         first = data[starts]
         wide = (first == 0xC3) & (ends - starts > 2)
         second = data[np.minimum(starts + 1 + wide, len(data) - 1)]
         capital = ((first >= 65) & (first <= 90) & (ends - starts > 1)) | (wide & big[np.minimum(starts + 1, len(data) - 1)])
         name = capital & (((second >= 97) & (second <= 122)) | ((second >= 0xC3) & ~big[np.minimum(starts + 2 + wide, len(data) - 1)]))
-        unit = np.isin(self.value, _hashes(UNITS))
+        unit = _is_one_of(self.value, _hashes(UNITS))
         if cut:
             after = np.r_[False, number[:-1] & (self.owner[1:] == self.owner[:-1])]
-            unit |= (after & np.isin(self.value, _hashes(AFTER_NUMBER))) | _signs(data)[0][starts]
+            unit |= (after & _is_one_of(self.value, _hashes(AFTER_NUMBER))) | marks.signs[0][starts]
         for view in VIEWS:
             for kind, code in ((name, NAME), (unit, UNIT), (number, NUMBER)):
                 if code != NAME or view == "template":
@@ -167,6 +213,16 @@ class Tokens:
         return h, first
 
 
+def _is_one_of(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """``np.isin`` for values of which hardly one is among ``few``."""
+    table, low = np.zeros(1 << 16, bool), np.uint64((1 << 16) - 1)
+    table[few & low] = True
+    found = table[values & low]
+    near = np.flatnonzero(found)
+    found[near] = np.isin(values[near], few)
+    return found
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends, _ = Texts(data, np.array([0, len(data)])).words()
@@ -205,8 +261,8 @@ def item_windows(benchmark: DataFrame, settings: Settings = Settings()) -> DataF
     def emit(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
         ids = batch.column("item_id").to_numpy()
         for start, part in texts.runs():
-            folded = fold(part)
-            both = [Tokens(part, folded, cut) for cut in (False, True)]
+            marks, folded = Marks(part), Marks(fold(part))
+            both = [Tokens(marks, folded, cut) for cut in (False, True)]
             for k in range(len(part)):
                 spans = [slice(*np.searchsorted(t.owner, [k, k + 1])) for t in both]
                 numbers = [{v: _numbered(t, v, s) for v in VIEWS} for t, s in zip(both, spans, strict=True)]
@@ -281,9 +337,9 @@ def candidate_windows(documents: DataFrame, table: np.ndarray, sizes: list[int])
     def emit(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
         keys = [batch.column(c).to_numpy() for c in TEXT]
         for start, part in texts.runs():
-            folded = fold(part)
+            marks, folded = Marks(part), Marks(fold(part))
             for cut in (False, True):
-                tokens = Tokens(part, folded, cut)
+                tokens = Tokens(marks, folded, cut)
                 for v, view in enumerate(VIEWS):
                     for size in sizes:
                         h, first = tokens.windows(view, size)

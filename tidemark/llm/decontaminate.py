@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import IS_WORD, LOWER, Hasher, Texts, map_texts, prepare_arrow, shingles
-from tidemark.session import BROADCAST_ROWS, materialize, materialize_observed
+from tidemark.session import BROADCAST_ROWS, materialize, materialize_observed, release
 
 # Words for units, and what placeholders hash to.
 UNITS = (
@@ -456,8 +456,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings =
         return documents.withColumn("leaked_items", F.array().cast("array<bigint>"))
     texts = documents.select(*text_keys(), "text")
     candidates = candidate_windows(texts, _filter_bits(items, seen["windows"], settings), sorted(seen["sizes"]))
-    leaks = text_leaks(materialize(candidates, "candidates"), items, seen["windows"], settings)
+    candidates = materialize(candidates, "candidates")
+    leaks = text_leaks(candidates, items, seen["windows"], settings)
     leaks, found = materialize_observed(leaks, "leaks", F.coalesce(F.sum(F.size("leaked_items") + 2), F.lit(0)).alias("values"))
+    release(candidates, items)
     columns = documents.columns
     keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *text_keys())
     joined = keyed.join(_small(leaks, found["values"]), TEXT, "left")

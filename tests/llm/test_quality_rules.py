@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import quality_rules
-from tidemark.llm.quality_rules import CLASSES, COMMON, Settings
+from tidemark.llm.quality_rules import CLASSES, MOST_COMMON, Settings
 
 CLEAN = "The house of the man is on the hill, and it was for you that they have not been at this place. " * 1
 TEXTS = [
@@ -49,7 +49,15 @@ def distance(p, q):
     return float(np.sqrt(sum(np.sum(x[x > 0] * np.log2(x[x > 0] / m[x > 0])) for x in (p, q)) / 2))
 
 
-def histogram(text):
+def listed(texts):
+    """Words in a fifth of the texts and in two at least, those in most first."""
+    sets = [{w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")} for t in texts]
+    counts = Counter(w for s in sets for w in s)
+    good = [w for w in counts if counts[w] > 1 and 5 * counts[w] >= sum(map(bool, sets))]
+    return sorted(good, key=lambda w: (-counts[w], w))[:MOST_COMMON]
+
+
+def histogram(text, words_listed):
     import regex
 
     counts, left = [], text
@@ -58,14 +66,16 @@ def histogram(text):
         counts.append(len(left) - len(rest))
         left = rest
     words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
-    common = [sum(w == c for w in words) for c in COMMON["en"]]
-    return [*counts, len(left)], [*common, *[0] * (max(map(len, COMMON.values())) - len(common)), len(words) - sum(common)]
+    common = [sum(w == c for w in words) for c in words_listed]
+    return [*counts, len(left)], [*common, *[0] * (MOST_COMMON - len(common)), len(words) - sum(common)]
 
 
 def test_distances_match_brute_force(judged):
     rows = judged.collect()
     texts = [TEXTS[r.doc_id] if r.doc_id is not None else CLEAN for r in rows]
-    hist = [histogram(t or "") for t in texts]
+    words = listed(texts)
+    assert 20 < len(words) and "the" in words
+    hist = [histogram(t or "", words) for t in texts]
     for kind, name, least in ((0, "class_distance", 200), (1, "word_distance", 50)):
         reference = np.sum([h[kind] for h, r in zip(hist, rows, strict=True) if not r.base_failed], axis=0)
         for h, r in zip(hist, rows, strict=True):
@@ -103,7 +113,7 @@ def test_texts_without_common_words_go_from_the_least_size(documents, n):
     import random
 
     rng = random.Random(n)
-    known = [w for w in COMMON["en"] if w != "not"]
+    known = "the of and to in a is that for it was on as with be by at this are from or an have they you".split()
 
     def text(k, listed):
         made = ["".join(rng.choice("bdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))) for _ in range(k - listed)]
@@ -115,3 +125,13 @@ def test_texts_without_common_words_go_from_the_least_size(documents, n):
     rows = [text(400, 100) for _ in range(30)] + [text(n, n // 4) for _ in range(20)] + [text(n, 0) for _ in range(10)] + [text(n - 24, 0) + " " + " ".join(spanish[:24])]
     kept = {r.doc_id: r.kept for r in quality_rules.judge(documents([*enumerate(rows)])).collect()}
     assert all(kept[k] for k in range(50)) and not any(kept[k] for k in range(50, 61))
+
+
+def test_common_words_are_learned_for_every_language(documents, spark):
+    from pyspark.sql import functions as F
+
+    rows = documents([(k, t) for k, t in enumerate(["Na ba na", "NA ku", "ba na", "", None, "ti na", "mo ba"])])
+    rows = rows.withColumn("lang", F.expr("if(doc_id = 6, null, 'xx')"))
+    assert [tuple(r) for r in quality_rules.common_words(rows).collect()] == [("xx", ["na", "ba"])]
+    assert quality_rules.common_words(rows, Settings(common_percent=75)).first().listed == ["na"]
+    assert quality_rules.common_words(rows.limit(0)).count() == 0

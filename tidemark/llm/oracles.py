@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.llm.quality_rules import COMMON
 
 ORACLES: dict[str, str] = {}
 
@@ -50,14 +49,19 @@ select page_id, payload_bytes, payload_digest,
 from first
 """
 
-_LISTED = "case lang " + " ".join(f"when '{lang}' then {words}" for lang, words in COMMON.items()) + " end"
-
 ORACLES["op7_quality_rules"] = (
     r"""
 with words as (
     select doc_id, lang, coalesce(text, '') as t,
            list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
     from documents
+), seen as (
+    select lang, word, count(*) as n from (select lang, unnest(list_distinct(list_transform(w, lambda x: lower(x)))) as word from words)
+    where lang is not null group by all
+), learned as (
+    select lang, list(word order by n desc, word)[1:26] as listed
+    from seen join (select lang, count(*) as documents from words where len(w) > 0 group by lang) using (lang)
+    where n > 1 and 100 * n >= 20 * documents group by lang
 ), windows as (
     select doc_id, unnest(range(1, len(w) - 3)) as i, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) as g
     from words
@@ -74,8 +78,8 @@ with words as (
     from words join lines using (doc_id) left join repeated using (doc_id)
 ), judged as (
     select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, list_transform(w, lambda x: lower(x)) as lw,
-           LISTED as listed
-    from base
+           listed
+    from base left join learned using (lang)
 ), stripped as (
     select doc_id, t, r1, r2, r3, r4, r5, regexp_replace(r5, '[.,;:!?''"()-]+', '', 'g') as r6
     from (select *, regexp_replace(r4, '\p{N}+', '', 'g') as r5
@@ -122,7 +126,7 @@ with words as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(far, false) as kept
 from judged join far using (doc_id)
 """
-).replace("LISTED", _LISTED)
+)
 
 
 # Every filter order by itself, over counts of the sets of filters that texts fail.

@@ -3,14 +3,15 @@
 A document's histogram of character classes and of common words is compared with
 that of its language, by Jensen-Shannon distance. The references are sums over
 all documents of the language that pass the base rules. Documents too short for
-a histogram are not judged by it.
+a histogram are not judged by it. Which words are common is learned from the table,
+for every language in it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import lookup_join, materialize
@@ -19,14 +20,8 @@ from tidemark.session import lookup_join, materialize
 BLANKS = r" \x09-\x0D"
 SYMBOLS = r"[#*$%&|<>]"
 
-# Common words by language, at most 26.
-COMMON = {
-    "en": "the of and to in a is that for it was on as with be by at this are from or an have not they you".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce avec sont".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus".split(),
-}
-NO_WORD = "_"
+# Common words of a language, one letter each.
+MOST_COMMON = 26
 
 # Character classes, counted by taking each out of what the ones before left.
 CLASSES = {
@@ -47,6 +42,8 @@ class Settings:
     over the square root of the characters or words. With its noise, the limit of the
     word distance stays under ``none_listed`` of the distance that a text without any
     listed word has from its reference, so such texts go from ``least_listed`` words on.
+    A word can be listed if ``common_percent`` of the language's documents have it, and
+    two at least.
     """
 
     least_words: int = 10
@@ -58,14 +55,34 @@ class Settings:
     none_listed: float = 0.97
     least_chars: int = 200
     least_listed: int = 50
+    common_percent: int = 20
+
+
+def _words(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANKS}]+"))
+
+
+def common_words(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``lang, listed``: the words in most documents of every language, without case.
+
+    Words in equally many documents go by the word. A null language has no list.
+    """
+    rows = documents.where("lang is not null").select("lang", F.array_distinct(_words(F.lower(F.coalesce("text", F.lit(""))))).alias("w"))
+    rows = rows.where("size(w) > 0").select("lang", F.explode(F.concat("w", F.array(F.lit("")))).alias("word"))
+    counts = materialize(rows.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    # The empty word counts the documents.
+    found = lookup_join(counts.where("word <> '' and n > 1"), counts.where("word = ''").selectExpr("lang", "n as documents"), ["lang"])
+    found = found.where(f"100 * n >= {settings.common_percent} * documents")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    found = found.where(f"place <= {MOST_COMMON}").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("l"))
+    return found.select("lang", F.col("l.word").alias("listed"))
 
 
 def _base(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The base counts of ``text``; ``words`` stays for the histograms."""
     rows = rows.withColumn("_t", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("_trim", F.btrim("_t", F.lit(" \t\n\x0b\f\r")))
-    words = F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", f"[{BLANKS}]+"))
-    rows = rows.select(*keep, "_t", words.alias("words"))
+    rows = rows.select(*keep, "_t", _words(F.col("_t")).alias("words"))
     full = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
     rows = rows.withColumns({"_h": F.transform("words", lambda x: F.xxhash64(x)), "_lines": full})
     window = F.transform(
@@ -104,17 +121,13 @@ def _histograms(rows: DataFrame, keep: list[str]) -> DataFrame:
         rows = rows.withColumn(f"_{name}", F.regexp_replace(left, pattern, ""))
         counts.append((F.length(left) - F.length(f"_{name}")).cast("double"))
         left = f"_{name}"
-    listed = F.lit(None)
-    for lang, words in COMMON.items():
-        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(listed)
-    rows = rows.withColumn("_listed", F.coalesce(listed, F.array(F.lit(NO_WORD))))
-    letters = "".join(chr(97 + k) for k in range(max(map(len, COMMON.values()))))
+    letters = "".join(chr(97 + k) for k in range(MOST_COMMON))
     # Each common word as one letter, so counts are lengths.
-    known = F.filter(F.transform("words", F.lower), lambda x: x.isin(sorted({w for words in COMMON.values() for w in words})))
+    known = F.filter(F.transform("words", F.lower), lambda x: F.array_contains("_listed", x))
     coded = F.transform(known, lambda x: F.substring(F.lit("-" + letters), F.array_position(F.col("_listed"), x).cast("int") + 1, F.lit(1)))
     rows = rows.withColumn("_coded", F.array_join(coded, ""))
     common = [(F.length("_coded") - F.length(F.replace("_coded", F.lit(c)))).cast("double") for c in letters]
-    common.append(F.when(F.col("_listed")[0] != NO_WORD, F.size("words") - F.length(F.replace("_coded", F.lit("-")))).otherwise(0).cast("double"))
+    common.append(F.when(F.size("_listed") > 0, F.size("words") - F.length(F.replace("_coded", F.lit("-")))).otherwise(0).cast("double"))
     return rows.select(*keep, F.array(*counts, F.length(left).cast("double")).alias("classes"), F.array(*common).alias("common"))
 
 
@@ -141,16 +154,18 @@ def judge(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     ``doc_id``, the counts, ``base_failed``, ``class_distance``, ``word_distance``
     (null under the least sizes: fewer characters, fewer words, or a
-    language without a list) and ``kept``. A null text has no words; a null or
-    unknown ``lang`` has a reference of its own for the character classes only. An
+    language without common words) and ``kept``. A null text has no words; a null
+    ``lang`` has a reference of its own for the character classes only. An
     empty table gives no rows; other columns are not looked at.
     """
-    rows = _base(documents.select("doc_id", "text", "lang"), ["doc_id", "lang"])
-    rows = _histograms(rows, ["doc_id", "lang", *BASE])
+    rows = documents.select("doc_id", "text", "lang")
+    rows = lookup_join(rows, common_words(documents, settings), ["lang"], "left", row_width=MOST_COMMON)
+    rows = rows.withColumn("_listed", F.coalesce("listed", F.array().cast("array<string>")))
+    rows = _histograms(_base(rows, ["doc_id", "lang", "_listed"]), ["doc_id", "lang", *BASE])
     failed = (F.col("n_words") < settings.least_words) | (100 * F.col("n_repeat_words") > settings.repeat_percent * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed), "histograms")
 
-    n_classes, n_common = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
+    n_classes, n_common = len(CLASSES) + 1, MOST_COMMON + 1
     sums = [F.sum(F.col(c)[k]).alias(f"{c}{k}") for c, n in (("classes", n_classes), ("common", n_common)) for k in range(n)]
     found = rows.where("not base_failed").groupBy("lang").agg(*sums)
     found = found.select(

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import lookup_join, materialize
+from tidemark.session import lookup_join, materialize, materialize_observed
 
 # White space between words, and symbol characters.
 BLANKS = r" \x09-\x0D"
@@ -22,6 +22,8 @@ SYMBOLS = r"[#*$%&|<>]"
 
 # Common words of a language, one letter each.
 MOST_COMMON = 26
+# With more languages the lists stay off the driver, with equal results.
+FEW_LANGUAGES = 200
 
 # Character classes, counted by taking each out of what the ones before left.
 CLASSES = {
@@ -114,8 +116,11 @@ def _base(rows: DataFrame, keep: list[str]) -> DataFrame:
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _histograms(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``classes`` and ``common``: counts by character class, by common word and of other words."""
+def _histograms(rows: DataFrame, keep: list[str], candidates: list[str] | None) -> DataFrame:
+    """``classes`` and ``common``: counts by character class, by common word and of other words.
+
+    ``candidates`` are the common words of all languages, if known: most words are in no list.
+    """
     left, counts = "_t", []
     for name, pattern in CLASSES.items():
         rows = rows.withColumn(f"_{name}", F.regexp_replace(left, pattern, ""))
@@ -123,7 +128,7 @@ def _histograms(rows: DataFrame, keep: list[str]) -> DataFrame:
         left = f"_{name}"
     letters = "".join(chr(97 + k) for k in range(MOST_COMMON))
     # Each common word as one letter, so counts are lengths.
-    known = F.filter(F.transform("words", F.lower), lambda x: F.array_contains("_listed", x))
+    known = F.filter(F.transform("words", F.lower), (lambda x: x.isin(candidates)) if candidates else (lambda x: F.array_contains("_listed", x)))
     coded = F.transform(known, lambda x: F.substring(F.lit("-" + letters), F.array_position(F.col("_listed"), x).cast("int") + 1, F.lit(1)))
     rows = rows.withColumn("_coded", F.array_join(coded, ""))
     common = [(F.length("_coded") - F.length(F.replace("_coded", F.lit(c)))).cast("double") for c in letters]
@@ -159,9 +164,13 @@ def judge(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     empty table gives no rows; other columns are not looked at.
     """
     rows = documents.select("doc_id", "text", "lang")
-    rows = lookup_join(rows, common_words(documents, settings), ["lang"], "left", row_width=MOST_COMMON)
+    learned, seen = materialize_observed(common_words(documents, settings), "common", F.count(F.lit(1)).alias("languages"))
+    rows = lookup_join(rows, learned, ["lang"], "left", seen["languages"], MOST_COMMON)
+    # At most MOST_COMMON words of every language, of which there are few in most tables.
+    few = seen["languages"] <= FEW_LANGUAGES
+    candidates = sorted({w for r in learned.collect() for w in r.listed}) if few else None
     rows = rows.withColumn("_listed", F.coalesce("listed", F.array().cast("array<string>")))
-    rows = _histograms(_base(rows, ["doc_id", "lang", "_listed"]), ["doc_id", "lang", *BASE])
+    rows = _histograms(_base(rows, ["doc_id", "lang", "_listed"]), ["doc_id", "lang", *BASE], candidates)
     failed = (F.col("n_words") < settings.least_words) | (100 * F.col("n_repeat_words") > settings.repeat_percent * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed), "histograms")
 

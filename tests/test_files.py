@@ -188,3 +188,26 @@ def test_unknown_runs_are_listed(spark):
     names = [("3p1klag-all-data-trace_P3",), ("4p1klag-all-data-trace_P4",), ("other-1klag",), ("3p-trace",)]
     got = {tuple(r) for r in unknown_runs(spark.createDataFrame(names, "run_id STRING")).collect()}
     assert got == {("other-1klag", "unknown type"), ("3p-trace", "no lag")}
+
+
+def test_lines_are_made_of_rows_that_have_been_moved(spark, tmp_path):
+    """Rows make lines of up to three files; the lines themselves are not shuffled."""
+    rows = spark.sql("select id % 2 as task, id from range(0, 60, 1, 4)")
+
+    def each(moved):
+        named = moved.selectExpr("_part", "inline(array(struct('a' as run, id), struct('b' as run, id), struct('c' as run, id))) as (run, id)")
+        named = named.where("run <> 'c' or id = 7").selectExpr("*", "spark_partition_id() as place")
+        return named.selectExpr("_part", "concat(run, '-1klag_P2_task-', _part.task, '_trace') as file", "concat(id, ' ', place) as value")
+
+    run_files.write_lines(rows, str(tmp_path / "out"), "head", 10, ("task",), "xxhash64(id)", each)
+    texts = {p.name: p.read_text().splitlines() for p in (tmp_path / "out").glob("*.csv")}
+    assert {n.split(".")[0] for n in texts} == {f"{run}-1klag_P2_task-{k}_trace" for run, k in ("a0", "a1", "b0", "b1", "c1")}
+    assert all(lines[0] == "head" and lines.count("head") == 1 and len(lines) > 1 for lines in texts.values())
+    for run, ids in (("a", range(60)), ("b", range(60)), ("c", [7])):
+        lines = [line.split() for name, found in texts.items() if name[0] == run for line in found[1:]]
+        assert sorted(int(k) for k, _ in lines) == list(ids)
+    # All files that a part of a group has come from one task.
+    places = {}
+    for name, found in texts.items():
+        places.setdefault(name.partition("_task-")[2], set()).update(line.split()[1] for line in found[1:])
+    assert all(len(p) == 1 for p in places.values()) and len(places) == 6

@@ -58,14 +58,20 @@ def firing_table(
 
 
 def trace_view(
-    coded: DataFrame, firing: DataFrame, sweep: Sweep, by: tuple[str, ...] = (), lag_ms: int | None = None
+    coded: DataFrame,
+    firing: DataFrame,
+    sweep: Sweep,
+    by: tuple[str, ...] = (),
+    lag_ms: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """The trace rows of every lag, or of ``lag_ms`` alone, from a coded trace.
 
     One NORMAL row per accepted (event, fired window), one LATE row per late event.
     NORMAL rows carry the firing time as ``sys_ts``, LATE rows their arrival time.
     Coded rows are joined with the firing times once, and multiplied by the lags
-    afterwards, without moving again; for one lag they are filtered instead.
+    afterwards, without moving again; for one lag they are filtered instead. Columns to
+    ``keep`` pass through.
     """
     run = [*by, "window_type", "window_end"]
     lags = {spec.kind: sorted(set(ns)) for spec, ns in sweep}
@@ -92,6 +98,7 @@ def trace_view(
         *[c for c in ("content",) if c in coded.columns],
         f"if(late, '{LATE}', '{NORMAL}') as status",
         f"if(late, bigint({NO_WINDOW}), window_end) as window_end",
+        *keep,
     )
 
 

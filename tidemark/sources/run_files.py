@@ -9,13 +9,14 @@ four and the last two fields are fixed, and what is between them is content.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.naming import lag_seconds, run_prefix, task_number
-from tidemark.session import lookup_join, materialize, scratch_path
+from tidemark.session import lookup_join, materialize_observed, scratch_path
 from tidemark.sources import schemas
 
 # File name patterns.
@@ -23,6 +24,9 @@ TRACE_FILES = "{*all-data-trace*_task-*.csv,*_task-*_trace.csv,*_task-*_trace.pa
 METRIC_FILES = "{*-window_*_task-*.csv,*_task-*_metrics.csv,*_task-*_metrics.part-*.csv}"
 RUN_FILES = "*_task-*.csv"
 
+# Tasks that write run files, at most; more parts share them.
+MOST_TASKS = 4_000
+
 
 def _lines(spark: SparkSession, folder: str, pattern: str, layout: str, skip_corrupt: bool) -> DataFrame:
     """The lines of all files but headers and empty lines, with run, lag and task."""
@@ -104,24 +108,43 @@ def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return files.selectExpr("url_decode(element_at(split(path, '/'), -1)) as file_name")
 
 
-def write_lines(lines: DataFrame, folder: str, header: str, rows_per_part: int = 1_000_000) -> None:
+def write_lines(
+    rows: DataFrame,
+    folder: str,
+    header: str,
+    rows_per_part: int = 1_000_000,
+    group: tuple[str, ...] = ("file",),
+    spread: str = "xxhash64(value, monotonically_increasing_id())",
+    each: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> None:
     """Writes ``file, value`` lines as plain files named after ``file``, a header in each.
 
     A file of more than ``rows_per_part`` rows is written in parts ``<file>.part-<k>.csv``
     by as many tasks; readers take the run and task from the part of the name they share.
     The other files have their plain name.
+
+    If many lines are made of a row, pass the rows: ``each`` makes the lines of rows that
+    have been moved, counted and cut into parts already, so only rows are shuffled. Files
+    of one ``group`` of rows are cut alike, by the hash ``spread``; no two groups may
+    share a file. ``each`` has to keep the column ``_part``.
     """
-    spark = lines.sparkSession
+    spark = rows.sparkSession
     staged = scratch_path(spark, "run-lines")
-    sizes = lines.groupBy("file").agg(F.count("*").alias("n"))
-    sizes = materialize(sizes.selectExpr("file", f"bigint(ceil(n / {rows_per_part}D)) as parts"), "run-sizes")
-    heads = sizes.selectExpr("file", "explode(sequence(0L, parts - 1)) as part", f"'{header}' as value", "0 as place", "parts")
-    # Rows are dealt to the parts of their file by a hash, also those of a hot file.
-    rows = lookup_join(lines.select("file", "value"), sizes, ["file"])
-    rows = rows.selectExpr("file", "pmod(xxhash64(value, monotonically_increasing_id()), parts) as part", "value", "1 as place", "parts")
-    rows = rows.unionByName(heads).withColumn("name", F.expr("if(parts = 1, file, concat(file, '.part-', part))"))
-    rows = rows.repartition("name").sortWithinPartitions("name", "place").select("name", "value")
-    rows.write.partitionBy("name").text(staged)
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    sizes = sizes.selectExpr(*group, f"bigint(ceil(n / {rows_per_part}D)) as _parts")
+    sizes, found = materialize_observed(sizes, "run-sizes", F.expr("count(1) as groups"), F.expr("coalesce(sum(_parts), 0L) as parts"))
+    # Rows are dealt to the parts of their group by a hash, also those of a hot one. The number
+    # of tasks is explicit: adaptive execution would merge them by the size of the rows.
+    rows = lookup_join(rows, sizes, list(group), right_rows=found["groups"])
+    part = f"struct({', '.join(group)}, if(_parts > 1, pmod({spread}, _parts), null) as no) as _part"
+    # Twice as many tasks as parts, since a task that gets several sorts them together.
+    tasks = max(1, min(2 * found["parts"], MOST_TASKS))
+    lines = each(rows.selectExpr("*", part).drop("_parts").repartition(tasks, "_part"))
+    lines = lines.selectExpr("if(_part.no is null, file, concat(file, '.part-', _part.no)) as name", "_part", "value")
+    # The sort that this window needs is the one by which the writer keeps one file open.
+    first = "row_number() over (partition by name, _part order by name) = 1"
+    lines = lines.selectExpr("name", f"if({first}, concat('{header}\n', value), value) as value")
+    lines.write.partitionBy("name").text(staged)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     files = jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(conf)
     files.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))

@@ -211,3 +211,9 @@ def test_lines_are_made_of_rows_that_have_been_moved(spark, tmp_path):
     for name, found in texts.items():
         places.setdefault(name.partition("_task-")[2], set()).update(line.split()[1] for line in found[1:])
     assert all(len(p) == 1 for p in places.values()) and len(places) == 6
+
+
+def test_a_line_is_split_once(spark, stored, capsys):
+    for rows in (run_files.read_traces(spark, stored), run_files.rejects(spark, stored), run_files.read_metrics(spark, stored)):
+        rows.explain()
+        assert capsys.readouterr().out.count("split(value") == 1

@@ -40,12 +40,16 @@ def _lines(spark: SparkSession, folder: str, pattern: str, layout: str, skip_cor
         f"{task_number('file_name')} as file_task",
         "file_name",
         "value",
-        "split(value, ',', -1) as _parts",
     )
 
 
 def _typed(rows: DataFrame, layout: str) -> DataFrame:
-    """Typed fields, and ``reason`` for lines that do not fit the layout."""
+    """Typed fields, and ``reason`` for lines that do not fit the layout.
+
+    A line is split once and each field cast once: parts, content and fields come out of
+    generators of one row, as the planner copies expressions of a projection into the
+    filters and projections above it, but not a generator's.
+    """
     fields = [f.split() for f in layout.split(", ")]
     free = schemas.names(layout).index("content") if "content" in layout else None
     size = len(fields)
@@ -53,20 +57,25 @@ def _typed(rows: DataFrame, layout: str) -> DataFrame:
     for k, (name, kind) in enumerate(fields):
         if k == free:
             joined = f"array_join(slice(_parts, {k + 1}, size(_parts) - {size - 1}), ',')"
-            unquoted = f"replace(substr({joined}, 2, length({joined}) - 2), '\"\"', '\"')"
-            text = f"if({joined} like '\"%\"' and length({joined}) > 1, {unquoted}, {joined})"
+            unquoted = "replace(substr(_free, 2, length(_free) - 2), '\"\"', '\"')"
+            text = f"if(_free like '\"%\"' and length(_free) > 1, {unquoted}, _free)"
         else:
             at = k if free is None or k < free else f"size(_parts) - {size - k}"
             text = f"trim(get(_parts, {at}))"
         casts[name] = f"try_cast({text} as {kind})"
     fits = f"size(_parts) >= {size}" if free is not None else f"size(_parts) = {size}"
     numbers = [name for name, kind in fields if kind != "STRING"]
-    reason = f"case when not ({fits}) then 'number of fields'"
-    reason += "".join(f" when {casts[n]} is null then 'bad {n}'" for n in numbers)
+    reason = "case when not _fits then 'number of fields'"
+    reason += "".join(f" when {n} is null then 'bad {n}'" for n in numbers)
+    if free is not None:
+        reason += " when status not in ('NORMAL', 'LATE') then 'bad status'"
+    checked = ", ".join(f"if({fits}, {casts[n]}, null) as {n}" for n, _ in fields)
+    kept = rows.columns
+    rows = rows.selectExpr("*", "explode(array(split(value, ',', -1))) as _parts")
     if free is not None:
-        reason += f" when {casts['status']} not in ('NORMAL', 'LATE') then 'bad status'"
-    checked = [f"if({fits}, {casts[n]}, null) as {n}" for n, _ in fields]
-    return rows.selectExpr(*[c for c in rows.columns if c != "_parts"], f"{reason} end as reason", *checked)
+        rows = rows.selectExpr("*", f"explode(array(if({fits}, {joined}, null))) as _free")
+    rows = rows.selectExpr(*kept, f"inline(array(struct({fits} as _fits, {checked})))")
+    return rows.selectExpr(*kept, f"{reason} end as reason", *schemas.names(layout))
 
 
 def _read(spark: SparkSession, folder: str, pattern: str, layout: str, skip_corrupt: bool) -> DataFrame:

@@ -217,3 +217,8 @@ def test_a_line_is_split_once(spark, stored, capsys):
     for rows in (run_files.read_traces(spark, stored), run_files.rejects(spark, stored), run_files.read_metrics(spark, stored)):
         rows.explain()
         assert capsys.readouterr().out.count("split(value") == 1
+
+
+def test_the_last_run_is_found_without_reading_lines(spark, stored):
+    runs = run_files.discover_runs(spark, stored, run_files.TRACE_FILES)
+    assert [r.run_id for r in runs.collect()] == ["3p0.5klag-all-data-trace_P3", "slide21k-1klag_Sliding_SZ2000_SL1000_P3"]

@@ -162,9 +162,9 @@ def write_lines(
         files.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"{unquote(name)}.csv"))
 
 
-def discover_runs(spark: SparkSession, folder: str) -> DataFrame:
+def discover_runs(spark: SparkSession, folder: str, pattern: str = RUN_FILES) -> DataFrame:
     """Distinct run prefixes in a folder, from the file listing alone."""
-    names = _listed(spark, folder, RUN_FILES)
+    names = _listed(spark, folder, pattern)
     return names.selectExpr(f"{run_prefix('file_name')} as run_id").distinct().orderBy("run_id")
 
 
@@ -179,5 +179,5 @@ def table_kind(rows: DataFrame) -> str:
 
 
 def select_run(rows: DataFrame, run_id: str | None = None) -> DataFrame:
-    """One run, or all of them; on partitioned tables this prunes partitions."""
+    """One run, or all of them; on partitioned tables this prunes partitions, on run files it prunes files."""
     return rows if run_id is None else rows.where(rows["run_id"] == run_id)

@@ -46,6 +46,26 @@ def test_late_split_of_a_sweep(spark, feed, tmp_path):
     assert {r.log_id: r.current_wm for r in rows}[10] == 3899
 
 
+def test_trace_of_a_sweep_from_the_watermarks_alone(spark, feed, tmp_path, monkeypatch):
+    """Nothing is closed for a lag of a minute; a batch that is run again writes the same."""
+    sweep = [(spec, [0, 60_000]) for spec, _, _ in CASES.values()]
+    monkeypatch.setattr(FailsOnce, "failed", False)
+    job, lines = FailsOnce(str(tmp_path / "job"), sweep, 1, keep_events=True), parse_lines(stream_lines(spark, feed))
+    with pytest.raises(Exception, match="lost"):
+        job.start(lines, str(tmp_path / "checkpoint")).awaitTermination()
+    job.start(lines, str(tmp_path / "checkpoint")).awaitTermination()
+    rows = job.trace(spark).collect()
+    for kind, (_, late, closed) in CASES.items():
+        own = [r for r in rows if r.window_type == kind and r.lag_ms == 0]
+        assert sorted(r.log_id for r in own if r.status == "LATE") == late
+        ends = [r.window_end for r in own if r.status == "NORMAL"]
+        assert {end: ends.count(end) for end in ends} == closed
+    assert not [r for r in rows if r.lag_ms]
+    open_rows = spark.read.parquet(str(tmp_path / "job" / "normal")).where("lag_ms = 60000")
+    events = sum(map(len, FILES))
+    assert open_rows.count() == events + 2 * events
+
+
 class FailsOnce(LateSplit):
     """Fails in batch 2 after everything is written, before the batch is committed."""
 

@@ -6,19 +6,26 @@ the windows, so one stream serves a whole sweep of lags. What a batch writes is
 overwritten if it is run again, so a restart after a failure gives the same result.
 Windows with their counts come from ``stateful_windows``.
 
+The same holds for the events of a trace: which windows accept an event depends on
+those highest event times, and which windows have closed on the newest of them, so a
+trace needs no state of windows and its rows are never moved.
+
 Folders below ``root`` have one ``batch_id=<n>`` per batch: ``late`` with its late
-events and ``watermark`` with one row.
+events, ``watermark`` with one row and, with ``keep_events``, ``normal`` (an accepted
+event for each of its open windows).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.parse import lane_of
-from tidemark.operators.lateness import late_events_sweep
-from tidemark.operators.trace import LATE, NO_WINDOW
+from tidemark.operators.lateness import closed, late_events_sweep, window_pairs
+from tidemark.operators.trace import LATE, NO_WINDOW, NORMAL
 from tidemark.operators.windows import Sweep
 
 TOPS = "seen_before BIGINT, tops ARRAY<STRUCT<source: STRING, top: BIGINT>>"
@@ -33,8 +40,9 @@ class LateSplit:
     minimum over the ``sources`` declared, and there is none before all have sent.
     """
 
-    def __init__(self, root: str, sweep: Sweep, lanes: int, sources: int = 1):
+    def __init__(self, root: str, sweep: Sweep, lanes: int, sources: int = 1, keep_events: bool = False):
         self.root, self.sweep, self.lanes, self.sources = root.rstrip("/"), sweep, lanes, sources
+        self.keep_events = keep_events
 
     def start(self, events: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Processes what is available and ends, or runs on with a ``trigger``.
@@ -65,15 +73,36 @@ class LateSplit:
             raise ValueError(f"{len(tops)} sources where {self.sources} are declared")
 
         rows = batch.select("event_ts", "log_id", *[c for c in ("content",) if c in batch.columns])
-        late = late_events_sweep(rows.withColumn("seen_ts", F.lit(seen).cast("bigint")), self.sweep).drop("seen_ts")
-        late = late.selectExpr(
-            f"{lane_of('log_id', self.lanes)} as task_id", "*", f"'{LATE}' as status", f"bigint({NO_WINDOW}) as window_end"
-        )
+        rows = rows.withColumn("seen_ts", F.lit(seen).cast("bigint"))
+        task = f"{lane_of('log_id', self.lanes)} as task_id"
+        late = late_events_sweep(rows, self.sweep).drop("seen_ts")
+        late = late.selectExpr(task, "*", f"'{LATE}' as status", f"bigint({NO_WINDOW}) as window_end")
         late.write.mode("overwrite").parquet(self._folder("late", batch_id))
+        if self.keep_events:
+            normal = self._accepted(rows).selectExpr(task, "*", f"'{NORMAL}' as status")
+            normal.write.mode("overwrite").parquet(self._folder("normal", batch_id))
         after = spark.createDataFrame([(seen, sorted(tops.items()))], TOPS)
         after = after.withColumn("processed_ts", F.expr("unix_millis(current_timestamp())"))
         after.write.mode("overwrite").parquet(self._folder("watermark", batch_id))
 
+    def _accepted(self, rows: DataFrame) -> DataFrame:
+        """The events once for each window type, lag and window that accepts them."""
+        found = []
+        for spec, lags in self.sweep:
+            accepting = ", ".join(f"if({closed(lag)}, null, {lag}L)" for lag in sorted(set(lags)))
+            pairs = window_pairs(rows, spec).selectExpr("*", f"'{spec.kind}' as window_type", f"explode(array({accepting})) as lag_ms")
+            found.append(pairs.where("lag_ms is not null").drop("seen_ts", "overrun"))
+        return reduce(DataFrame.unionByName, found)
+
+    def trace(self, spark: SparkSession) -> DataFrame:
+        """NORMAL rows of the windows closed so far and all LATE rows (needs ``keep_events``)."""
+        late, normal = (spark.read.parquet(f"{self.root}/{kind}") for kind in ("late", "normal"))
+        steps = spark.read.parquet(f"{self.root}/watermark")
+        tops = steps.orderBy(F.desc("batch_id")).first()["tops"]
+        seen = min(s.top for s in tops) if tops and len(tops) >= self.sources else None
+        normal = normal.withColumn("overrun", F.lit(seen).cast("bigint") - F.col("window_end")).where(closed("lag_ms"))
+        return normal.drop("overrun", "batch_id").unionByName(late.drop("batch_id"))
+
     def late(self, spark: SparkSession) -> DataFrame:
         """Late events of every window type and lag, with the watermark they met and the time they were processed."""
         late, steps = (spark.read.parquet(f"{self.root}/{kind}") for kind in ("late", "watermark"))

@@ -15,6 +15,63 @@ from tidemark.llm.text import Hasher, Texts
 NONE = np.iinfo(np.int32).max
 
 
+def _steps(step: dict | None) -> list[dict]:
+    """The steps of a normaliser or pre-tokeniser, sequences laid out."""
+    if not step:
+        return []
+    inner = step.get("normalizers", step.get("pretokenizers"))
+    return [step] if inner is None else [x for s in inner for x in _steps(s)]
+
+
+# Latin letters beyond ASCII that are in normal form and have one lower-case letter.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+
+
+def plain_splitter(spec: dict) -> Callable[[list[str]], list[list[str] | None]]:
+    """Pre-tokens, as text, of words of visible ASCII and Latin letters without special tokens.
+
+    For such words the usual steps come down to lower case and one regular expression, as
+    they are in normal form. A pre-token taken as a word gives itself. Any other word gets
+    None, and so does every word if the file has other steps or added tokens of other kinds.
+    """
+    normal, split = _steps(spec["normalizer"]), _steps(spec["pre_tokenizer"])
+    lower = any(s["type"] == "Lowercase" for s in normal)
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    known = all(s["type"] in ("NFC", "Lowercase") or s == blanks for s in normal) and [s["type"] for s in split] == ["Split", "ByteLevel"]
+    if known:
+        cut, level = split
+        pattern = cut["pattern"].get("Regex", "\\p").replace(r"\p{L}", f"A-Za-z{LATIN}").replace(r"\p{N}", "0-9")
+        known = cut["behavior"] == "Removed" and cut["invert"] and "\\p" not in pattern and "(?" not in pattern
+        known = known and not level["add_prefix_space"] and not level["use_regex"]
+    added = spec["added_tokens"]
+    if not known or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        return lambda words: [None] * len(words)
+    find = re.compile(pattern).findall
+    special = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)").search
+
+    plain = re.compile(f"[!-~{LATIN}]+").fullmatch
+
+    def pieces(words: list[str]) -> list[list[str] | None]:
+        fits = list(map(plain, words))
+        if special("\n".join(words)):
+            fits = [fit and not special(word) for fit, word in zip(fits, words, strict=True)]
+        if lower:
+            words = list(map(str.lower, words))
+        return [find(word) if fit else None for fit, word in zip(fits, words, strict=True)]
+
+    return pieces
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_ALPHABET = _byte_alphabet()
+
+
 class Vocabulary:
     """Merges of a tokenizer file, with its own normaliser and pre-tokeniser.
 
@@ -40,6 +97,7 @@ class Vocabulary:
             self.tokens[number] = token.encode()
         self.end = model["end_of_word_suffix"] or ""
         special = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.plain = plain_splitter(spec)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         left, right, made = (np.array([self.ids[f(p)] for p in pairs], np.int64) for f in (lambda p: p[0], lambda p: p[1], "".join))
@@ -67,6 +125,18 @@ class Vocabulary:
                 out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
+    def all_pieces(self, words: list[bytes]) -> list[list[str | int]]:
+        """``pieces`` of every word; those of plain words need no call of the library."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        out = []
+        for text, plain in zip(texts, self.plain(texts), strict=True):
+            if plain is None:
+                plain = self.pieces(text)
+            elif not text.isascii():
+                plain = [p.encode().decode("latin-1").translate(BYTE_ALPHABET) for p in plain]
+            out.append(plain)
+        return out
+
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbols of every pre-token, end to end, and their bounds.
 
@@ -112,7 +182,7 @@ class Vocabulary:
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of every word, as packed 32-bit integers; pre-tokens that words share are merged once."""
-        parts = [self.pieces(w.decode("utf-8", "replace")) for w in words]
+        parts = self.all_pieces(words)
         known = {p: k for k, p in enumerate(dict.fromkeys(p for part in parts for p in part if isinstance(p, str)))}
         symbols, bounds = self.merged(list(known))
         packed, bounds = symbols.astype("<u4").tobytes(), (bounds * 4).tolist()
@@ -121,7 +191,7 @@ class Vocabulary:
 
     def count_words(self, words: list[bytes]) -> np.ndarray:
         """Number of surviving symbols of every word."""
-        parts = [self.pieces(w.decode("utf-8", "replace")) for w in words]
+        parts = self.all_pieces(words)
         flat = [p for part in parts for p in part]
         known = {p: k for k, p in enumerate(dict.fromkeys(p for p in flat if isinstance(p, str)))}
         sizes = np.r_[np.diff(self.merged(list(known))[1]), 1]

@@ -8,6 +8,7 @@ memory-mapped file is a view, without parsing or copying.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import shared_files
-from tidemark.llm.bpe import Memo, distinct_words
+from tidemark.llm.bpe import Memo, distinct_words, plain_splitter
 from tidemark.llm.text import Texts, prepare_arrow
 from tidemark.session import materialize, scratch_path
 
@@ -65,12 +66,42 @@ def _library(path: str):
         packed, starts = ids.tobytes(), [0, *(ends * 4 + 4).tolist()]
         return [packed[a:b] for a, b in zip(starts, [*(ends * 4).tolist(), len(packed)], strict=True)]
 
-    def encode(words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
+    def whole(texts: list[str]) -> list[bytes]:
         parts = [texts[k : k + CALL_WORDS] for k in range(0, len(texts), CALL_WORDS)]
         return [ids for part in parts for ids in (together(part) if mark else alone(part))]
 
-    return Memo(encode, 500_000), found.get_vocab_size(with_added_tokens=True)
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    size, suffix = found.get_vocab_size(with_added_tokens=True), spec["model"].get("end_of_word_suffix")
+    is_end = np.zeros(size, bool)
+    is_end[[n for token, n in found.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+    split = plain_splitter(spec) if suffix else lambda words: [None] * len(words)
+
+    def joined(pieces: list[str]) -> list[bytes]:
+        """One call for all pre-tokens; the last token of each tells its end."""
+        out = []
+        for part in (pieces[k : k + CALL_WORDS] for k in range(0, len(pieces), CALL_WORDS)):
+            ids = np.array(found.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(is_end[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                out += whole(part)
+                continue
+            packed, ends = ids.tobytes(), [0, *(ends * 4).tolist()]
+            out += [packed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
+    known = Memo(joined, 250_000)
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        """Plain words by their pre-tokens, which many words share; the others whole."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        parts = split(texts)
+        rest = iter(whole([t for t, part in zip(texts, parts, strict=True) if part is None]))
+        pieces = list({p: None for part in parts if part for p in part})
+        ids = dict(zip(pieces, known(pieces), strict=True))
+        return [next(rest) if part is None else ids[part[0]] if len(part) == 1 else b"".join([ids[p] for p in part]) for part in parts]
+
+    return Memo(encode, 250_000), size
 
 
 def _encoded(path: str, texts: Texts) -> tuple[np.ndarray, np.ndarray]:

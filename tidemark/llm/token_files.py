@@ -101,7 +101,7 @@ def _library(path: str):
         ids = dict(zip(pieces, known(pieces), strict=True))
         return [next(rest) if part is None else ids[part[0]] if len(part) == 1 else b"".join([ids[p] for p in part]) for part in parts]
 
-    return Memo(encode, 250_000), size
+    return Memo(encode, 500_000), size
 
 
 def _encoded(path: str, texts: Texts) -> tuple[np.ndarray, np.ndarray]:

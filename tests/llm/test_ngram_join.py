@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 
+from tidemark import session
 from tidemark.llm import ngram_join
 from tidemark.llm.components import components
 from tidemark.llm.ngram_join import Similarity
@@ -171,3 +173,28 @@ def test_blocks_of_all_sizes_over_many_batches(spark, documents, monkeypatch):
                 one, two = sorted((find(a), find(b)))
                 root[two] = one
     assert found == {i: find(i) for i in sets} and len(set(found.values())) < len(rows)
+
+
+def test_rounds_of_small_components_write_few_files(spark, monkeypatch):
+    """Each file makes an executor start processes, so their number must not be that of the shuffle partitions."""
+    files = Counter()
+
+    def counted(df, label, write=session.materialize):
+        table = write(df, label)
+        files[label] = max(files[label], len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr("tidemark.llm.components.materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.createDataFrame([(0, k + 1) for k in range(300)], "a BIGINT, b BIGINT")
+        assert {r.component for r in components(links).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files and max(files.values()) == 1
+    # Many rows have many tasks.
+    assert session.few_tasks(spark.range(10).repartition(60), 10 * session.TASK_ROWS).rdd.getNumPartitions() == 11

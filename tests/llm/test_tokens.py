@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import shared_files, token_counts, token_files, transducer
+from tidemark.llm import bpe, shared_files, token_counts, token_files, transducer
 from tidemark.llm.bpe import Memo, plain_splitter, vocabulary
+from tidemark.llm.text import map_texts
 
 RNG = random.Random(1)
 ODD = [
@@ -186,3 +187,25 @@ def test_other_steps_leave_all_words_to_the_library(vocabulary_path):
         {"added_tokens": [spec["added_tokens"][0] | {"normalized": True}]},
     ):
         assert plain_splitter(spec | change)(["a.b"]) == [None]
+
+
+def test_workers_drop_the_vocabulary_when_other_work_begins(documents, vocabulary_path):
+    """A stage after the encoder has the memory of its Python workers for itself."""
+
+    def held(batch, texts):
+        kept = transducer._encoder.cache_info().currsize + bpe.vocabulary.cache_info().currsize
+        yield pa.RecordBatch.from_arrays([pa.array([kept])], ["kept"])
+
+    rows = documents([(k, f"some words {k}") for k in range(30)])
+    assert transducer.encode(rows, vocabulary_path).count() == 30
+    assert {r.kept for r in map_texts(rows, held, "kept BIGINT").collect()} == {0}
+    # Tasks of the same work find what the tasks before them have built.
+    work = ("test", vocabulary_path)
+
+    def built(batch, texts):
+        before = bpe.vocabulary.cache_info().currsize
+        bpe.vocabulary(vocabulary_path)
+        yield pa.RecordBatch.from_arrays([pa.array([before])], ["before"])
+
+    again = map_texts(rows.repartition(40, "doc_id"), built, "before BIGINT", work=work)
+    assert {r.before for r in again.collect()} >= {1}

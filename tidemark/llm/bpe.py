@@ -5,12 +5,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 import pandas as pd
 
-from tidemark.llm.text import Hasher, Texts
+from tidemark.llm.text import Hasher, Texts, kept_for_work
 
 NONE = np.iinfo(np.int32).max
 
@@ -199,7 +198,7 @@ class Vocabulary:
         return np.bincount(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), weights=each, minlength=len(parts)).astype(np.int64)
 
 
-@cache
+@kept_for_work
 def vocabulary(path: str) -> Vocabulary:
     """One per worker process."""
     return Vocabulary(path)

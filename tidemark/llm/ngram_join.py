@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.text import LOWER, Hasher, Texts, map_texts, mix, prepare_arrow, shingles
-from tidemark.session import BROADCAST_ROWS, materialize, materialize_observed, release
+from tidemark.session import BROADCAST_ROWS, few_tasks, materialize, materialize_observed, release
 
 # Rows and columns of a block of the product.
 BLOCK_ROWS = 1024
@@ -411,8 +411,11 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
     # a small block connects its sets only if their sketches allow a link.
     near = shared.join(ids.selectExpr("doc_id as a", "first_id as _a"), "a").join(ids.selectExpr("doc_id as b", "first_id as _b"), "b")
     near = near.where("_a <> _b").selectExpr("kind", "least(_a, _b) as a", "greatest(_a, _b) as b", "whole")
-    near = materialize(near.groupBy("kind", "a", "b").agg(F.min("whole").alias("whole")), "near")
-    wanted = _sized(near.selectExpr("explode(array(a, b)) as doc_id").distinct(), "wanted")
+    near = near.groupBy("kind", "a", "b").agg(F.min("whole").alias("whole"))
+    near, seen = materialize_observed(near, "near", F.count(F.lit(1)).alias("rows"))
+    # No table of their sets, by size class, has more rows.
+    most = 2 * seen["rows"]
+    wanted = _sized(near.selectExpr("explode(array(a, b)) as doc_id").distinct(), "wanted", most)
     sets = materialize(_sets(documents.join(wanted, "doc_id", "left_semi"), like), "sets")
     edges = possible_pairs(near.where("whole").drop("whole"), sets, like).union(near.where("not whole").drop("whole"))
     edges = materialize(edges, "edges")
@@ -421,13 +424,13 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
     key = ["kind", "family"]
     rows = families.join(families.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
     cells = sets.select("id", "size", F.explode("sketches").alias("kind", "row"))
-    rows = cells.join(_sized(rows, "rows"), ["kind", "id"]).withColumns({"main": F.lit(False), "mains": F.lit(0)})
+    rows = cells.join(_sized(rows, "rows", most), ["kind", "id"]).withColumns({"main": F.lit(False), "mains": F.lit(0)})
     close = unit_links(rows.select("id", "size", "row", *key, F.explode(_units()).alias("unit")).select("id", "size", "row", *key, "unit.*"), like, True)
     close_links = materialize(close, "close")
     close = close_links.selectExpr("struct(kind, a as id) as a", "struct(kind, b as id) as b")
     families, all_sets, sets = _families(close), sets, sets.select("id", "grams")
     sizes = families.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    sizes, seen = materialize_observed(sizes, "families", F.max("n").alias("most"))
+    sizes, seen = materialize_observed(few_tasks(sizes, most), "families", F.max("n").alias("most"))
 
     twice = ids.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.count_distinct("first_id").alias("n"))
     links = twice.where("n > 1").join(ids, "doc_id").selectExpr("a", "first_id as b")
@@ -443,7 +446,7 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
         counts = main.groupBy(*key).agg(F.count(F.lit(1)).alias("mains"))
         rows = families.join(sizes.join(counts, key, "left"), key).join(main, [*key, "id"], "left")
         rows = rows.withColumns({"main": F.coalesce("main", F.lit(False)), "mains": F.coalesce("mains", F.lit(0))})
-    units = sets.join(_sized(rows, "rows"), "id").select("id", F.col("grams").alias("row"), *key, F.explode(_units()).alias("unit"))
+    units = sets.join(_sized(rows, "rows", most), "id").select("id", F.col("grams").alias("row"), *key, F.explode(_units()).alias("unit"))
     links = links.union(materialize(unit_links(units.select("id", "row", *key, "unit.*"), like), "links").select("a", "b"))
     labels = components(links).toDF("first_id", "component")
     # Labels are written: what they were made of can go.
@@ -452,9 +455,9 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, first_id, doc_id) as component_id")
 
 
-def _sized(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` written out, to be broadcast if their counted number allows it."""
-    rows, seen = materialize_observed(rows, label, F.count(F.lit(1)).alias("rows"))
+def _sized(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """``rows``, at most ``most``, written out, to be broadcast if their counted number allows it."""
+    rows, seen = materialize_observed(few_tasks(rows, most), label, F.count(F.lit(1)).alias("rows"))
     return F.broadcast(rows) if seen["rows"] <= BROADCAST_ROWS else rows
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -48,6 +50,28 @@ def prepare_arrow(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_work: list[object] = [None]
+_kept: list[Callable] = []
+
+
+def kept_for_work(make: Callable) -> Callable:
+    """A cache of what tasks build, by worker process, until the process goes on to other work."""
+    _kept.append(cache(make))
+    return _kept[-1]
+
+
+def begin_work(work: object) -> None:
+    """Drops what this process has built for other work and gives its memory back."""
+    if work != _work[0]:
+        _work[0] = work
+        if any(made.cache_info().currsize for made in _kept):
+            for made in _kept:
+                made.cache_clear()
+            gc.collect()
+            # Freed pages between used ones go back only if asked for (glibc).
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
 class Texts:
     """Documents laid end to end: ``data`` and the bounds of every document."""
 
@@ -143,11 +167,15 @@ def shingles(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def map_texts(
-    df: DataFrame, fn: Callable[[pa.RecordBatch, Texts], Iterator[pa.RecordBatch]], schema: str, text: str = "text"
+    df: DataFrame, fn: Callable[[pa.RecordBatch, Texts], Iterator[pa.RecordBatch]], schema: str, text: str = "text", work: object = None
 ) -> DataFrame:
-    """``fn`` on Arrow batches of ``df``, with the texts as flat bytes."""
+    """``fn`` on Arrow batches of ``df``, with the texts as flat bytes.
+
+    What ``fn`` keeps by ``kept_for_work`` stays in a worker for tasks of equal ``work``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_work(work)
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch, Texts.of(batch.column(text)))

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bpe import Memo, distinct_words, vocabulary
-from tidemark.llm.text import Texts, map_texts, prepare_arrow
+from tidemark.llm.text import Texts, kept_for_work, map_texts, prepare_arrow
 
 
-@cache
+@kept_for_work
 def _counter(path: str) -> Memo:
     return Memo(vocabulary(path).count_words)
 
@@ -38,4 +37,4 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = "doc_id BIGINT, n_bytes BIGINT, n_tokens BIGINT, over_limit BOOLEAN"
-    return map_texts(documents.selectExpr("bigint(doc_id) as doc_id", "text"), run, schema)
+    return map_texts(documents.selectExpr("bigint(doc_id) as doc_id", "text"), run, schema, work=("count_tokens", path))

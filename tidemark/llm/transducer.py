@@ -10,7 +10,6 @@ outside it are merged exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shared_files
 from tidemark.llm.bpe import Memo, distinct_words, vocabulary
-from tidemark.llm.text import Texts, map_texts, prepare_arrow
+from tidemark.llm.text import Texts, kept_for_work, map_texts, prepare_arrow
 from tidemark.session import materialize, release, scratch_path
 
 # Words compiled into the lexicon.
@@ -184,7 +183,7 @@ class Encoder:
         return b" ".join(map(self.vocabulary.tokens.__getitem__, ids.tolist()))
 
 
-@cache
+@kept_for_work
 def _encoder(path: str, lexicon: str) -> Encoder:
     return Encoder(path, lexicon)
 
@@ -206,7 +205,7 @@ def encode(documents: DataFrame, path: str, lexicon: str | None = None) -> DataF
             columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([doc, *columns], ["doc_id", "ids", "decoded"])
 
-    return map_texts(documents, run, "doc_id BIGINT, ids BINARY, decoded STRING")
+    return map_texts(documents, run, "doc_id BIGINT, ids BINARY, decoded STRING", work=("encode", path, lexicon))
 
 
 def _encoded(batch: pa.RecordBatch, texts: Texts, path: str, lexicon: str) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 # joined by shuffle (adaptive execution then splits the skewed partitions).
 BROADCAST_ROWS = 200_000
 
+# Rows of a task that writes a table of bounded size.
+TASK_ROWS = 10_000
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the library relies on; all can be changed on a live session."""
@@ -47,6 +50,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidemark-{run}/{label}-{uuid.uuid4().hex}"
 
 
+def few_tasks(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, of at most ``most_rows`` rows, in no more tasks and files than these need.
+
+    Executors start processes for each file that they write to a local folder (Hadoop
+    sets its permissions), so small tables should not have one for each shuffle partition.
+    """
+    return df.coalesce(1 + most_rows // TASK_ROWS)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -198,3 +198,42 @@ def test_rounds_of_small_components_write_few_files(spark, monkeypatch):
     assert files and max(files.values()) == 1
     # Many rows have many tasks.
     assert session.few_tasks(spark.range(10).repartition(60), 10 * session.TASK_ROWS).rdd.getNumPartitions() == 11
+
+
+@pytest.mark.parametrize("like", [Similarity(4, 85), Similarity()])
+def test_links_agree_on_the_least_number_of_blocks(like):
+    rng = np.random.default_rng(4)
+    for size in [*range(1, 60), 89, 100, 227, 333, 360, 580, 640, 1000]:
+        a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        for other in {size, size * 110 // 100, size * 100 // like.percent}:
+            common = int(like.least_common(np.array([size]), np.array([other]))[0])
+            if common > size:
+                continue
+            b = np.unique(np.r_[rng.choice(a, common, replace=False), rng.integers(0, 1 << 63, other - common, np.uint64)])
+            flat, bounds = np.r_[a, b], np.array([0, len(a), len(a) + len(b)])
+            keys, owner, kinds = ngram_join.block_keys(flat, bounds, like)
+            least = ngram_join.least_agreeing(owner, kinds, np.diff(bounds), like)
+            kind = int(np.searchsorted(like.classes[0], size))
+            own = [(owner == k) & (kinds == kind) for k in (0, 1)]
+            agree = len(set(keys[own[0]]) & set(keys[own[1]]))
+            assert least.min() >= 1 and agree >= max(least[own[0]].max(), least[own[1]].max())
+
+
+def test_a_passage_of_many_texts_makes_no_families(documents, monkeypatch):
+    """What is moved of unlike texts with a common passage must not grow with their number."""
+    rows_of = Counter()
+
+    def counted(df, label, write=session.materialize):
+        table = write(df, label)
+        rows_of[label] = table.count()
+        return table
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(14)]
+    rows = [(k, " ".join([f"w{rng.random()}" for _ in range(90)] + passage)) for k in range(240)]
+    copies = [f"c{k}" for k in range(90)]
+    rows += [(1000 + k, edited(rng, copies + passage, k % 4)) for k in range(14)]
+    rows += [(2000 + k, edited(rng, ["only", *copies[::-1]], k)) for k in range(2)]
+    check(documents, rows, Similarity())
+    assert 16 <= rows_of["sets"] < 60

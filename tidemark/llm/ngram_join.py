@@ -140,7 +140,7 @@ def block_keys(grams: np.ndarray, bounds: np.ndarray, like: Similarity) -> tuple
         key = mix(sums[pick[end - 1] + 1] - sums[pick[start]] + seed)
         large = end - start >= LEAST_COLUMNS
         k, most = blocks[kind[chosen]], differ[kind[chosen]]
-        needs = k - np.bincount(of[large], minlength=len(chosen)) >= k - most
+        needs = np.bincount(of[large], minlength=len(chosen)) <= most + most // 8
         large |= needs[of]
         keys.append(key[large])
         owners.append(chosen[of[large]])
@@ -155,6 +155,20 @@ def block_keys(grams: np.ndarray, bounds: np.ndarray, like: Similarity) -> tuple
     return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(kinds)
 
 
+def least_agreeing(owners: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, like: Similarity) -> np.ndarray:
+    """For each of the ``block_keys`` the least number of keys of its class in which its set agrees with any that it links with.
+
+    Linked sets share the class of the smaller one. Each column in which they differ spoils one
+    block at most. If one set has keys of large blocks alone, these are more than
+    ``most + most // 8``; if one has keys of all blocks that are not empty, more than ``most``.
+    """
+    _, blocks, differ = like.classes
+    at = owners * len(blocks) + kinds
+    counts, most = np.bincount(at, minlength=len(sizes) * len(blocks))[at], differ[kinds]
+    sure = np.where(counts == blocks[kinds], most + 1, np.minimum(counts, most + 1 + most // 8))
+    return sure - np.minimum(most, like.most_different(sizes[owners]))
+
+
 def sketches(grams: np.ndarray, bounds: np.ndarray, like: Similarity) -> list[list[tuple[int, bytes]]]:
     """Size class and cells of every set, for each of its size classes.
 
@@ -206,11 +220,12 @@ def shingled(documents: DataFrame, like: Similarity) -> DataFrame:
     return map_texts(documents, run, "doc_id BIGINT, n_shingles BIGINT, key1 BIGINT, key2 BIGINT")
 
 
-def block_pairs(block: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+def block_pairs(block: np.ndarray, kind: np.ndarray, doc: np.ndarray, *least: np.ndarray) -> tuple[np.ndarray, ...]:
     """``kind, a, b, whole`` of rows sorted by block, whose blocks are complete.
 
     A block of at most ``SMALL_BLOCK`` documents gives all its pairs (``whole``), a
-    larger one pairs all its documents with the first.
+    larger one pairs all its documents with the first. With ``least`` there is a fifth
+    column, the larger value of a pair or that of the row paired with the first.
     """
     start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, len(block)])
@@ -224,15 +239,19 @@ def block_pairs(block: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[n
     one, two = np.concatenate(one), np.concatenate(two)
     keep = doc[one] != doc[two]
     one, two = one[keep], two[keep]
-    return kind[two], np.minimum(doc[one], doc[two]), np.maximum(doc[one], doc[two]), small[two]
+    pairs = kind[two], np.minimum(doc[one], doc[two]), np.maximum(doc[one], doc[two]), small[two]
+    return *pairs, *(np.where(small[two], np.maximum(x[one], x[two]), x[two]) for x in least)
 
 
 def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
-    """``kind, a, b, whole``: documents of a size class that agree on a block (``block_pairs``).
+    """``kind, a, b, whole, blocks, least``: documents of a size class that agree on ``blocks`` blocks (``block_pairs``).
 
     Equal sets of one task are combined before the shuffle. Blocks arrive sorted,
-    so a block of any size streams through its task.
+    so a block of any size streams through its task. ``least`` is the least number of
+    blocks (``least_agreeing``) of a linked pair, or, if the pair is not ``whole``, of links
+    of ``b``, which is not the first of its block.
     """
+    n_kinds = len(like.classes[0])
 
     def emit(batch: pa.RecordBatch, texts: Texts) -> Iterator[pa.RecordBatch]:
         for first, part in texts.runs():
@@ -245,18 +264,23 @@ def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
             same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             repeat[order[1:][same]] = True
             keep = ~repeat[owner]
-            yield _batch("block kind doc_id", keys[keep], kinds[keep].astype(np.int32), ids[owner[keep]])
+            # One number for the class and the least number of blocks: this is the largest shuffle.
+            least = np.minimum(least_agreeing(owner, kinds, np.diff(bounds), like), (1 << 31) // n_kinds - 1)
+            kinds = (kinds + n_kinds * least).astype(np.int32)
+            yield _batch("block kind doc_id", keys[keep], kinds[keep], ids[owner[keep]])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large, leader = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)], None, None
+        held, large, leader = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32)], None, None
         for batch in batches:
-            rows = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            block, kind, doc = (c.to_numpy() for c in batch.columns)
+            new = block, kind % n_kinds, doc, kind // n_kinds
+            rows = [np.concatenate([h, x]) for h, x in zip(held, new, strict=True)]
             found = []
             if large is not None:
                 # The rest of a large block whose first document has gone by.
                 n = int(np.searchsorted(rows[0], large, "right"))
                 doc = rows[2][:n]
-                found.append((rows[1][:n], np.minimum(doc, leader), np.maximum(doc, leader), np.zeros(n, bool)))
+                found.append((rows[1][:n], np.minimum(doc, leader), np.maximum(doc, leader), np.zeros(n, bool), rows[3][:n]))
                 rows = [r[n:] for r in rows]
             if len(rows[0]):
                 cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
@@ -269,13 +293,26 @@ def shared_blocks(documents: DataFrame, like: Similarity) -> DataFrame:
             else:
                 held = rows
             for part in found:
-                yield _batch("kind a b whole", *part)
-        yield _batch("kind a b whole", *block_pairs(*held))
+                yield _batch("kind a b whole least", *part)
+        yield _batch("kind a b whole least", *block_pairs(*held))
 
     rows = map_texts(documents.where("doc_id is not null"), emit, "block BIGINT, kind INT, doc_id BIGINT")
     rows = rows.repartition("block").sortWithinPartitions("block", "doc_id")
-    found = rows.mapInArrow(pairs, "kind INT, a BIGINT, b BIGINT, whole BOOLEAN").where("a <> b")
-    return found.groupBy("kind", "a", "b").agg(F.min("whole").alias("whole"))
+    found = rows.mapInArrow(pairs, "kind INT, a BIGINT, b BIGINT, whole BOOLEAN, least INT").where("a <> b")
+    return found.groupBy("kind", "a", "b").agg(F.min("whole").alias("whole"), F.count(F.lit(1)).alias("blocks"), F.min("least").alias("least"))
+
+
+def linkable(near: DataFrame) -> DataFrame:
+    """``kind, a, b, whole`` of the pairs ``near (kind, a, b, whole, blocks, least)`` of sets that links may need.
+
+    The larger a table is, the more of its sets agree on a block or two by chance or by a
+    passage that many have. Pairs of small blocks go if they agree on too few of them. With
+    the first set of a large block only sets stay that share enough blocks with any others;
+    the first one itself need not.
+    """
+    ends = near.selectExpr("kind", "explode(array(a, b)) as b", "blocks")
+    total = ends.groupBy("kind", "b").agg(F.sum("blocks").alias("total"))
+    return near.join(total, ["kind", "b"]).where("if(whole, blocks, total) >= least").select("kind", "a", "b", "whole")
 
 
 def possible_pairs(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
@@ -408,11 +445,13 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
     shared = materialize(shared_blocks(documents, like), "blocks")
 
     # Families of sets of a size class, connected by the blocks they agree on. A pair of
-    # a small block connects its sets only if their sketches allow a link.
+    # a small block connects its sets only if their sketches allow a link. In other pairs
+    # ``a`` stays the first set of a block.
     near = shared.join(ids.selectExpr("doc_id as a", "first_id as _a"), "a").join(ids.selectExpr("doc_id as b", "first_id as _b"), "b")
-    near = near.where("_a <> _b").selectExpr("kind", "least(_a, _b) as a", "greatest(_a, _b) as b", "whole")
-    near = near.groupBy("kind", "a", "b").agg(F.min("whole").alias("whole"))
-    near, seen = materialize_observed(near, "near", F.count(F.lit(1)).alias("rows"))
+    near = near.where("_a <> _b").groupBy("kind", F.col("_a").alias("a"), F.col("_b").alias("b"))
+    near = near.agg(F.min("whole").alias("whole"), F.max("blocks").alias("blocks"), F.min("least").alias("least"))
+    blocks = materialize(near, "near")
+    near, seen = materialize_observed(linkable(blocks), "linkable", F.count(F.lit(1)).alias("rows"))
     # No table of their sets, by size class, has more rows.
     most = 2 * seen["rows"]
     wanted = _sized(near.selectExpr("explode(array(a, b)) as doc_id").distinct(), "wanted", most)
@@ -450,7 +489,7 @@ def jaccard_components(documents: DataFrame, like: Similarity = Similarity()) ->
     links = links.union(materialize(unit_links(units.select("id", "row", *key, "unit.*"), like), "links").select("a", "b"))
     labels = components(links).toDF("first_id", "component")
     # Labels are written: what they were made of can go.
-    release(found, shared, near, all_sets, edges, close_links)
+    release(found, shared, blocks, near, all_sets, edges, close_links)
     out = members.join(labels, "first_id", "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, first_id, doc_id) as component_id")
 

@@ -101,3 +101,22 @@ def test_the_smallest_id_is_compared_too(documents):
     rows = [(-(1 << 63), part + "-" + part + "!"), (1, other + part), (2, other + "x")]
     assert [r[1] for _, r in sorted(brute_force(rows).items())] == [300, 300, 200]
     check(documents(rows), rows, Settings())
+
+
+def test_texts_with_repeated_anchors_are_shuffled_once(documents, monkeypatch):
+    joins = {}
+
+    def watched(df, label, write=suffix_dedup.materialize):
+        joins[label] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return write(df, label)
+
+    monkeypatch.setattr(suffix_dedup, "materialize", watched)
+    rng = random.Random(11)
+    passage, other = (" ".join(f"{name}{rng.random()}" for _ in range(20)) for name in "pq")
+    rows = [(k, f"{rng.random()} {passage} {rng.random()}") for k in range(4)]
+    rows += [(2, f"{rng.random()} {passage} {other}"), (9, f"{other} {rng.random()}"), (None, passage), rows[3]]
+    settings = suffix_dedup.Settings(length=100)
+    found = suffix_dedup.remains(documents(rows), settings).collect()
+    assert joins["near"] == 1
+    assert len(found) == len(rows) and sum(r.n_removed > 0 for r in found) == 6
+    assert all(r.n_removed == 0 for r in found if r.doc_id in (0, None))

@@ -324,11 +324,12 @@ def _repeats(documents: DataFrame, settings: Settings) -> tuple[DataFrame, DataF
     counts = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     found = found.join(counts, "anchor").withColumn("hot", F.expr(f"n > {settings.hot}"))
     places = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "runs", "anchor", "hot")).alias("places"))
-    # True for every id; a comparison lets the join filter the texts by a Bloom filter.
-    all_places = materialize(places, "places")
+    # With the texts of an id told apart here, the texts themselves are shuffled once.
+    all_places = materialize(places.join(single, "doc_id"), "places")
     release(all_anchors, counts)
+    # True for every id; a comparison lets the join filter the texts by a Bloom filter.
     places = all_places.where(F.col("doc_id") >= F.lit(-(1 << 63)))
-    near = texts.join(places, "doc_id").join(single, ["doc_id", "twin"], "left_semi")
+    near = texts.join(places, ["doc_id", "twin"])
     near = materialize(near, "near")
     release(all_places)
     later = later_copies(windows_of(near, settings), settings)
